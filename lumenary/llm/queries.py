@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from lumenary.llm.bpe import op2_bpe_lexicon
+from lumenary.llm.media import op1_media_jpeg
 from lumenary.llm.packing import op6_best_fit
+from lumenary.llm.simhash import op7_simhash_covering
+from lumenary.llm.tokencount import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_bpe_lexicon, op6_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_media_jpeg, op2_bpe_lexicon, op6_best_fit, op7_simhash_covering, op9_token_counts)}
 ORACLE: dict[str, str] = {}
