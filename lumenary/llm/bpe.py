@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import SparkFiles, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ from lumenary.llm.wordtable import word_hashes
 #: Words that the lexicon holds at most. It is a store of results: its size changes no result.
 LEXICON_WORDS = 50_000
 #: Distinct words that a task counts before it hands on its counts.
-COUNTED = 1 << 19
+COUNTED = 1 << 18
 
 
 def word_counts(docs: DataFrame, text: str = "text", tokenizer: str = "word_bpe_49k.json", least: int = 2) -> DataFrame:
@@ -66,9 +66,20 @@ def word_counts(docs: DataFrame, text: str = "text", tokenizer: str = "word_bpe_
 def compile_lexicon(docs: DataFrame, text: str = "text", tokenizer: str = "word_bpe_49k.json", words: int = LEXICON_WORDS) -> str:
     """The name of a file with the most frequent words' lexicon, sent to all executors.
 
-    Only this bounded list comes to the driver. Ties in count go by the word.
+    The driver gets the numbers of words by bands of frequency, and then the words of the
+    upper bands that together have at most `words`.
     """
-    top = word_counts(docs, text, tokenizer).orderBy(F.desc("count"), "word").limit(words).collect()
+    counts = word_counts(docs, text, tokenizer).persist(StorageLevel.DISK_ONLY)
+    # sixteenths of powers of two: under 1,024 rows whatever the corpus
+    bands = counts.groupBy(F.floor(F.log2("count") * 16).alias("band")).agg(F.count("*").alias("n"), F.min("count").alias("least")).collect()
+    total, least = 0, None
+    for b in sorted(bands, key=lambda b: -b.band):
+        total += b.n
+        if total > words:
+            break
+        least = b.least
+    top = counts.where(F.col("count") >= least).collect() if least is not None else []
+    counts.unpersist()
     sorted_ = sorted(bytes(r.word) for r in top)
     folder = tempfile.mkdtemp(prefix="lumenary-lexicon-")
     atexit.register(shutil.rmtree, folder, True)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from lumenary.runtime import ship
 
 #: Bytes of text that a Python function works on at once (a longer text comes alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
 
 

@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 from lumenary.llm.bpe import op2_bpe_lexicon
+from lumenary.llm.language import op8_language_bayes
 from lumenary.llm.media import op1_media_jpeg
 from lumenary.llm.packing import op6_best_fit
+from lumenary.llm.rules import op4_isolation_rules
+from lumenary.llm.secrets import op5_credential_links
 from lumenary.llm.simhash import op7_simhash_covering
+from lumenary.llm.substrings import op3_suffix_dedup
 from lumenary.llm.tokencount import op9_token_counts
+from lumenary.llm.toxicity import op10_toxicity_channel
 
-QUERIES = {f.__name__: f for f in (op1_media_jpeg, op2_bpe_lexicon, op6_best_fit, op7_simhash_covering, op9_token_counts)}
+_ALL = (
+    op1_media_jpeg, op2_bpe_lexicon, op3_suffix_dedup, op4_isolation_rules, op5_credential_links,
+    op6_best_fit, op7_simhash_covering, op8_language_bayes, op9_token_counts, op10_toxicity_channel,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
