@@ -1,3 +1,74 @@
 """A pipeline of text operators over documents, a written table after each stage."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenary.llm import packing, secrets, simhash, substrings, toxicity
+from lumenary.llm.common import documents, table
+from lumenary.runtime import checkpointed
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that aren't predicted toxic; the model learns from labels not held out."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id (rows of equal id: all).
+
+    Groups: SimHash within 4 bits, or 5-word shingle sets of similarity 0.8 or more.
+    """
+    groups = simhash.resembling(docs)
+    gone = groups.where("doc_id > component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 13-word windows of smaller ids; a document of which no word is left goes."""
+    cut = substrings.deduplicate(docs.select(*COLUMNS)).where("n_removed = 0 or n_removed < n_words")
+    return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret or linked part of a credential replaced by its kind in brackets."""
+    found = secrets.scan(docs.select(*COLUMNS))
+    return found.withColumn("text", F.col("masked")).withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("masked").cast("long"))).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 2048 tokens."""
+    cut = checkpointed(packing.with_copies(packing.pieces(docs)))
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("secret_scan", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over documents; each result is written as Parquet to the shared folder and reread."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenary-pipeline-")
+    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
+
+
+#: Models, sketches, tokens and the packing plan can't be told in SQL; tests hold each stage
+#: against brute force instead.
+ORACLE_SQL = None

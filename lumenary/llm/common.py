@@ -15,7 +15,7 @@ from lumenary.runtime import ship
 
 #: Bytes of text that a Python function works on at once (a longer text comes alone).
 SLICE_BYTES = 2 << 20
-ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "longs": pa.list_(pa.int64())}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,28 @@ def map_slices(df: DataFrame, start: Callable[[], Callable], schema: str, column
         if (rest := getattr(step, "rest", None)) is not None:
             yield packed(rest())
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema.replace(" longs", " array<long>"))
+
+
+def add_columns(df: DataFrame, start: Callable[[], Callable], schema: str, column: str) -> DataFrame:
+    """All columns of df and those of schema, which replace any of their name.
+
+    start() gives a function from a slice to a list of columns, as for map_slices.
+    """
+    ship(df.sparkSession)
+    own = empty_like(schema)
+    kept = [f for f in df.schema.fields if f.name not in own.names or f.name == column]
+    out = T.StructType([*(f for f in kept if f.name not in own.names), *own.fields])
+    types = arrow_fields(schema)
+
+    def run(batches):
+        step = start()
+        for part in slices(batches, column):
+            new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(step(part), types)]
+            names = [f.name for f in kept if f.name not in own.names]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *new], names=[*names, *own.names])
+
+    return df.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, out)
 
 
 def utf8(part: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -9,9 +9,8 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lumenary.llm.common import documents, map_slices, strings
+from lumenary.llm.common import add_columns, documents
 
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")
 #: Strong patterns with the least length of a group; leftmost matches, later ones don't overlap.
@@ -126,23 +125,23 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, masked) of each text."""
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with n_assign, n_access, n_hex, base_sha256, spans and masked (null for a null text)."""
 
     def start():
         def step(part):
             out: list[list] = [[] for _ in range(6)]
-            for t in strings(part):
-                strong, weak = find(t)
+            for t in part.column(text).to_pylist():
+                strong, weak = find(t or "")
                 n = Counter(k for _, _, k in strong)
-                row = (n["assign"], n["access"], n["hex"], hashlib.sha256(join_spans(strong).encode()).hexdigest(), join_spans([*strong, *weak]), masked(t, [*strong, *weak]))
+                row = (n["assign"], n["access"], n["hex"], hashlib.sha256(join_spans(strong).encode()).hexdigest(), join_spans([*strong, *weak]), masked(t, [*strong, *weak]) if strong or weak else t)
                 for c, v in zip(out, row):
                     c.append(v)
-            return [part.column("doc_id"), *out]
+            return out
 
         return step
 
-    return map_slices(docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text")), start, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, masked string")
+    return add_columns(docs, start, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, masked string", text)
 
 
 def op5_credential_links(spark, sf_dir: str) -> DataFrame:
@@ -151,4 +150,4 @@ def op5_credential_links(spark, sf_dir: str) -> DataFrame:
     A null or empty text has none (spans is the empty string); a repeated row is scanned again;
     other columns play no part; an empty table gives no rows.
     """
-    return scan(documents(spark, sf_dir)).drop("masked")
+    return scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "masked")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenary.llm.common import documents, map_slices, spaced, utf8
 from lumenary.llm.components import components
+from lumenary.llm.resemblance import band_links, sketch
 from lumenary.runtime import checkpointed, ship
 
 BITS, SEED = 64, 42
@@ -190,6 +191,37 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", sh
     return marked.join(named, "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def resembling(docs: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 4, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): documents linked by fingerprints within radius or by like shingle sets.
+
+    At a similarity of 0.8 two fingerprints differ in about ten bits, which no affordable set of
+    covering masks reaches; such pairs come from sketches of the shingle sets. Equal texts count
+    as one from the start.
+    """
+
+    def start():
+        def step(part):
+            raw = utf8(part)
+            hashes = [shingle_hashes(t, shingle) for t in raw]
+            sketches = [sketch(h) for h in hashes]
+            keys = [xxhash.xxh3_64_intdigest(spaced(t.lower())) for t in raw]
+            return [part.column("doc_id"), np.array(keys, np.uint64).view(np.int64), majority(hashes).view(np.int64), [c for c, _ in sketches], pa.array([k.view(np.int64) for _, k in sketches], pa.list_(pa.int64()))]
+
+        return step
+
+    rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    marked = map_slices(rows, start, "doc_id long, key long, fp long, codes binary, bands longs")
+    classes = checkpointed(marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("codes").alias("codes"), F.first("bands").alias("bands")))
+    owners = classes.groupBy("fp").agg(F.min("first").alias("owner"))
+    near = close_links(owners, radius)
+    named = owners.where("owner is not null")
+    near = near.join(named.select(F.col("fp").alias("a"), F.col("owner").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("owner").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = classes.join(named, "fp").where("first <> owner").select(F.col("first").alias("a"), F.col("owner").alias("b"))
+    roots = components(near.unionByName(equal).unionByName(band_links(classes, similarity)))
+    known = classes.select("key", "first").join(roots.withColumnRenamed("node", "first"), "first", "left").select("key", F.coalesce("root", "first").alias("component_id"))
+    return marked.select("doc_id", "key").join(known, "key").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def op7_simhash_covering(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component.
 

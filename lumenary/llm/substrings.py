@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.llm.automaton import SuffixAutomaton
-from lumenary.llm.common import documents, map_slices, mix, spaced, utf8
+from lumenary.llm.common import add_columns, documents, map_slices, mix, spaced, utf8
 from lumenary.llm.wordtable import word_hashes
 from lumenary.runtime import ship
 
@@ -212,17 +212,32 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return texts.join(spans, ["doc_id", "version"], "left")
 
 
-def deduplicate(docs: DataFrame, id_: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): the words that no removed window covers, one space apart.
+def cut_text(raw: bytes, off: np.ndarray) -> bytes:
+    """raw without the words marked off, each with the white space after it."""
+    byte = np.frombuffer(raw, np.uint8)
+    white = (byte == 32) | (byte >= 9) & (byte <= 13)
+    start = np.flatnonzero(np.concatenate([[True], white[:-1]]) & ~white)
+    edge = np.diff(np.concatenate([[0], off.astype(np.int8), [0]]))
+    first, after = start[np.flatnonzero(edge[:-1] == 1)], np.append(start, len(raw))[np.flatnonzero(edge == -1)]
+    kept = [raw[a:b] for a, b in zip([0, *after.tolist()], [*first.tolist(), len(raw)])]
+    return b"".join(kept)
 
-    A window goes if its words also start in a document with a smaller id. With digest,
-    kept_sha256 stands in place of kept. Documents without an id stay whole.
+
+def deduplicate(docs: DataFrame, id_: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs with n_words, n_removed, kept and kept_sha256: what no removed window covers.
+
+    A window goes if its words also start in a document with a smaller id. kept is the text
+    without the removed words, otherwise unchanged (null for a null text); the digest is that
+    of the kept words one space apart. Documents without an id stay whole.
     """
-    rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
+    mine = ["doc_id", "text", "version", "anchors", "kinds", "at", "mask"]
+    other = [c for c in docs.columns if c not in (id_, text, *mine)]
+    rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"), *other)
 
     def start():
         def step(part):
-            w = Windows(utf8(part), window)
+            raw = utf8(part)
+            w = Windows(raw, window)
             kind = kinds(part, w)
             gone = np.zeros(len(w.start) + 1, np.int64)
             whole = np.flatnonzero(kind == SHARED)
@@ -239,19 +254,21 @@ def deduplicate(docs: DataFrame, id_: str = "doc_id", text: str = "text", window
             n = np.diff(w.first)
             total = np.concatenate([[0], np.cumsum(off)])
             removed = total[w.first[1:]] - total[w.first[:-1]]
-            kept = []
+            digest, kept = [], part.column("text")
+            texts = dict.fromkeys(np.flatnonzero(removed).tolist(), "")
             for k, words in enumerate(w.words):
                 if removed[k]:
-                    a, b = w.first[k], w.first[k + 1]
-                    stay = np.flatnonzero(~off[a:b]) + a
-                    words = b" ".join(w.buffer[x:y] for x, y in zip(w.start[stay].tolist(), w.end[stay].tolist()))
-                kept.append(words)
-            last = [hashlib.sha256(t).hexdigest() for t in kept] if digest else [t.decode() for t in kept]
-            return [part.column("doc_id"), n, removed, last]
+                    stay = cut_text(raw[k], off[w.first[k] : w.first[k + 1]])
+                    texts[k] = stay.decode()
+                    words = spaced(stay)
+                digest.append(hashlib.sha256(words).hexdigest())
+            if texts:
+                kept = pa.array([texts.get(k, t) for k, t in enumerate(kept.to_pylist())], pa.string())
+            return [n, removed, kept, digest]
 
         return step
 
-    return map_slices(removed_spans(rows, window), start, "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept string"))
+    return add_columns(removed_spans(rows, window), start, "n_words long, n_removed long, kept string, kept_sha256 string", "text").drop("version", "anchors", "kinds", "at", "mask")
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -260,4 +277,4 @@ def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     A null or empty text has no words; a repeated row (equal id) removes nothing from its twin;
     other columns play no part; an empty table gives no rows.
     """
-    return deduplicate(documents(spark, sf_dir), digest=True)
+    return deduplicate(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenary.llm.common import documents, held_out, map_slices, strings, table
+from lumenary.llm.common import add_columns, documents, held_out, map_slices, strings, table
 
 #: Labelled rows that words are weighed on at most: those of least hash of the id.
 SAMPLE = 30_000
@@ -280,21 +280,21 @@ def regress(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25)
     return w
 
 
-def score(docs: DataFrame, model: tuple, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score, predicted): the probability of label 1, and 1 from 0.5 on."""
+def score(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
+    """docs with score, the probability of label 1, and predicted, 1 from 0.5 on."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
         scorer = Scorer(*shared.value)
 
         def step(part):
-            total = np.array([scorer.total(t) for t in strings(part)])
+            total = np.array([scorer.total(t) for t in strings(part, text)])
             p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-            return [part.column("doc_id"), p, (p >= 0.5).astype(np.int32)]
+            return [p, (p >= 0.5).astype(np.int32)]
 
         return step
 
-    return map_slices(docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text")), start, "doc_id long, score double, predicted int")
+    return add_columns(docs, start, "score double, predicted int", text)
 
 
 def op10_toxicity_channel(spark, sf_dir: str) -> DataFrame:
@@ -305,5 +305,5 @@ def op10_toxicity_channel(spark, sf_dir: str) -> DataFrame:
     both kinds all scores are near the one there is (0 without any); an empty table gives no rows.
     """
     docs = documents(spark, sf_dir)
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
