@@ -33,9 +33,10 @@ def derived(progress: DataFrame) -> DataFrame:
 
 
 def presented(sessions: DataFrame) -> DataFrame:
-    """A session as shown: whole minutes (1 at least if any time), whole percent, change in confidence."""
-    minutes = F.when(F.col("time_spent_seconds") > 0, F.greatest(F.lit(1), F.floor(F.col("time_spent_seconds") / 60))).otherwise(0)
-    return sessions.select("id", "user_id", "topic", minutes.cast("long").alias("minutes"), F.floor(percent(F.col("score"), F.col("total_questions"))).alias("performance"), F.round(F.col("confidence_after") - F.col("confidence_before"), 4).alias("confidence_change"))
+    """A session as shown: rounded minutes (1 at least if any time), whole percent, change in confidence."""
+    rounded = F.round(F.col("time_spent_seconds") / 60)
+    minutes = F.when((F.col("time_spent_seconds") > 0) & (rounded == 0), 1).otherwise(rounded)
+    return sessions.select("id", "user_id", "topic", minutes.cast("long").alias("minutes"), F.round(percent(F.col("score"), F.col("total_questions"))).cast("long").alias("performance"), F.round(F.col("confidence_after") - F.col("confidence_before"), 1).alias("confidence_change"))
 
 
 def telemetry(sessions: DataFrame, key: str = "user_id") -> DataFrame:
@@ -75,12 +76,17 @@ def latest(df: DataFrame, keys: list[str], order: list[Column], n: int, name: st
 
 
 def cognitive(sessions: DataFrame, as_of: str, last: int = 10) -> DataFrame:
-    """Focus, consistency and efficiency of each learner's last sessions."""
-    recent = latest(sessions, ["user_id"], [F.desc("completed_at"), F.desc("id")], last)
+    """Focus, consistency and efficiency of each learner's last sessions by date.
+
+    Consistency is sessions a day since the oldest of them, times 20; efficiency is the mean
+    accuracy over the mean seconds, times 100; both end at 100.
+    """
+    recent = latest(sessions, ["user_id"], [F.desc("date"), F.desc("id")], last)
     days = F.datediff(F.lit(as_of).cast("date"), F.min("date"))
+    seconds = F.avg(F.greatest("time_spent_seconds", F.lit(0)))
     return recent.groupBy("user_id").agg(
         F.round(F.avg("focus_score"), 4).alias("focus"), F.round(F.least(F.lit(100.0), F.count("*") / F.greatest(F.lit(1), days) * 20), 4).alias("consistency"),
-        F.round(F.least(F.lit(100.0), percent(F.sum("score"), F.sum("total_questions")) / F.greatest(F.lit(1.0), F.avg("time_spent_seconds")) * 100), 4).alias("efficiency"),
+        F.round(F.least(F.lit(100.0), F.avg("accuracy_rate") / F.greatest(F.lit(1.0), seconds) * 100), 4).alias("efficiency"),
     )
 
 
@@ -116,20 +122,27 @@ def dashboard(sessions: DataFrame, as_of: str) -> DataFrame:
 
 
 def revision_scores(topics: DataFrame, as_of: str) -> DataFrame:
-    """Spaced repetition: retention halves once per stability in days; priority, bucket and minutes."""
-    days = F.greatest(F.lit(0), F.datediff(F.lit(as_of).cast("date"), F.to_date("last_practiced")))
-    acc = F.col("accuracy") / 100
-    base = 1 + F.least(F.lit(40), "attempts") * 0.15 * (0.4 + acc)
-    stability = F.greatest(F.lit(1.0), F.least(F.lit(14.0), base * F.when(F.col("weak"), 0.5).otherwise(1.0)))
-    retention = F.pow(F.lit(0.5), days / stability)
-    priority = 70 * (1 - retention) + 30 * (1 - acc) + F.when(F.col("weak"), 12).otherwise(0) + F.when(F.col("trend") < 0, 6).otherwise(0)
-    bucket = F.when(retention < 0.5, "overdue").when(retention < 0.7, "due").when(retention < 0.85, "soon").otherwise("fresh")
-    minutes = F.when(F.col("weak"), 25).when(F.col("accuracy") < 75, 20).otherwise(12)
-    return topics.where("attempts > 0").select("user_id", "topic", F.round(stability, 6).alias("stability"), F.round(retention, 6).alias("retention"), F.round(priority, 4).alias("priority"), bucket.alias("bucket"), minutes.alias("minutes"))
+    """Spaced repetition of practised topics: retention halves once per stability in days.
+
+    A topic without a date counts as three half-lives old.
+    """
+    acc = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("correct") / F.col("attempts")))
+    base = (1 + F.least(F.lit(40), "attempts") * 0.15 * (0.4 + acc)) * F.when(F.col("weak"), 0.5).otherwise(1.0)
+    stability = F.greatest(F.lit(1.0), F.least(F.lit(14.0), base))
+    seconds = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("last_practiced")
+    t = topics.where("attempts > 0").withColumn("acc", acc).withColumn("stab", stability)
+    t = t.withColumn("days", F.coalesce(F.greatest(F.lit(0.0), seconds / 86400.0), F.col("stab") * 3))
+    retention = F.pow(F.lit(0.5), F.col("days") / F.col("stab"))
+    priority = (1 - retention) * 70 + (1 - F.col("acc")) * 30 + F.when(F.col("weak"), 12).otherwise(0) + F.when(F.col("trend") < 0, 6).otherwise(0)
+    bucket = F.when(F.col("days") >= 1.5 * F.col("stab"), "overdue").when(F.col("days") >= 0.75 * F.col("stab"), "due").when(F.col("acc") < 0.6, "strengthen").otherwise("fresh")
+    mode = F.when(F.col("acc") < 0.5, "deep_review").when(bucket == "overdue", "quick_recall").otherwise("practice_mcq")
+    minutes = F.when(F.col("acc") < 0.5, 15).when(bucket == "overdue", 12).when(bucket == "fresh", 5).otherwise(10)
+    name = F.coalesce(F.nullif(F.trim("topic"), F.lit("")), F.lit("General"))
+    return t.select("user_id", name.alias("topic"), F.round(retention, 3).alias("retention"), F.round(F.least(F.lit(100.0), priority), 1).alias("priority"), bucket.alias("bucket"), mode.alias("mode"), minutes.alias("minutes"), (F.col("trend") < 0).alias("declining"))
 
 
 def _bucket_order() -> Column:
-    return F.when(F.col("bucket") == "overdue", 0).when(F.col("bucket") == "due", 1).when(F.col("bucket") == "soon", 2).otherwise(3)
+    return F.when(F.col("bucket") == "overdue", 0).when(F.col("bucket") == "due", 1).when(F.col("bucket") == "strengthen", 2).otherwise(3)
 
 
 def revision_queue(scores: DataFrame, k: int = 25) -> DataFrame:
@@ -138,7 +151,9 @@ def revision_queue(scores: DataFrame, k: int = 25) -> DataFrame:
 
 
 def revision_summary(scores: DataFrame) -> DataFrame:
-    """Counts of each learner's queue, its top pick and a message."""
+    """Counts of each learner's queue, its top pick and a headline."""
     n = lambda b: F.count_if(F.col("bucket") == b).alias(b)
-    out = scores.groupBy("user_id").agg(n("overdue"), n("due"), n("soon"), n("fresh"), F.min_by("topic", F.struct(_bucket_order(), -F.col("priority"), F.col("topic"))).alias("top_topic"))
-    return out.withColumn("message", F.when(F.col("overdue") > 0, "revise overdue topics first").when(F.col("due") > 0, "a short revision is due").otherwise("all topics are fresh"))
+    out = scores.groupBy("user_id").agg(n("overdue"), n("due"), n("strengthen"), n("fresh"), F.min_by("topic", F.struct(_bucket_order(), -F.col("priority"), F.col("topic"))).alias("top_topic"))
+    late = F.concat(F.col("overdue").cast("string"), F.when(F.col("overdue") == 1, " topic overdue: start with ").otherwise(" topics overdue: start with "), F.col("top_topic"))
+    soon = F.concat(F.lit("review "), F.col("top_topic"), F.lit(" before it fades"))
+    return out.withColumn("message", F.when(F.col("overdue") > 0, late).when(F.col("due") + F.col("strengthen") > 0, soon).otherwise("all topics are fresh"))

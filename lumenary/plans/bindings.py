@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 AS_OF = "2024-01-31 00:00:00"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _K = "CAST(regexp_extract(props, '[0-9]+', 0) AS INT)"
+#: Tells lines apart: an order has line numbers twice.
+LINE = "(((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey % 1000)"
 
 VIEWS = {
     "sessions": f"""
@@ -52,23 +54,23 @@ VIEWS = {
     "interactions": """
         SELECT conv_id AS session_id, turn AS id, role, text AS message FROM conversations""",
     "questions": """
-        SELECT l_orderkey AS paper_id, l_linenumber AS question_number, o_custkey AS user_id, o_orderpriority AS subject,
+        SELECT l_orderkey AS paper_id, l_linenumber * 1000000 + l_partkey AS question_number, o_custkey AS user_id, o_orderpriority AS subject,
                CAST(FLOOR(l_quantity) AS INT) AS marks, l_returnflag AS question_type, l_linestatus AS difficulty, p_brand AS topic
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
     "weakness_signals": """
         SELECT o_custkey AS user_id, o_orderpriority AS subject, p_brand AS topic, l_returnflag AS weakness_type, l_shipdate AS seen_at,
-               CONCAT('work on ', p_brand) AS suggestion, l_orderkey AS paper_id, l_linenumber AS question_number
+               CONCAT('work on ', p_brand) AS suggestion, l_orderkey AS paper_id, l_linenumber * 1000000 + l_partkey AS question_number
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
-    "attempts": """
-        SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS session_id, o_custkey AS user_id, l_quantity AS marks_total,
+    "attempts": f"""
+        SELECT {LINE} AS id, l_orderkey AS session_id, o_custkey AS user_id, l_quantity AS marks_total,
                o_orderpriority AS subject, p_brand AS topic, l_shipdate AS created_at
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
-    "feedback": """
-        SELECT l_orderkey * 100 + l_linenumber * 10 + 1 AS id, l_orderkey * 10 + l_linenumber AS attempt_id,
+    "feedback": f"""
+        SELECT {LINE} * 10 + 1 AS id, {LINE} AS attempt_id,
                FLOOR(l_quantity * (1 - l_discount)) AS marks_awarded, l_quantity AS marks_total
         FROM lineitem WHERE l_linenumber % 3 <> 0
         UNION ALL
-        SELECT l_orderkey * 100 + l_linenumber * 10 + 2, l_orderkey * 10 + l_linenumber, FLOOR(l_quantity * 0.5), l_quantity
+        SELECT {LINE} * 10 + 2, {LINE}, FLOOR(l_quantity * 0.5), l_quantity
         FROM lineitem WHERE l_linenumber % 2 = 0""",
     "units": """
         SELECT CONCAT(p_brand, ':', CAST(p_partkey AS STRING)) AS unit_id, p_brand AS chapter, p_name AS title, p_partkey,

@@ -27,20 +27,21 @@ _TOPIC = """
                       accuracy < 60 AS weak, completed_at AS last_practiced FROM tr WHERE rn = 1)"""
 _COG = f"""
     recent AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY completed_at DESC, id DESC) AS rn FROM sessions),
+    bydate AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY date DESC, id DESC) AS rn FROM sessions),
     cog AS (SELECT user_id, ROUND(AVG(focus_score), 4) AS focus,
                    ROUND(LEAST(100.0, COUNT(*) / GREATEST(1, DATE '2024-01-31' - MIN(date)) * 20), 4) AS consistency,
-                   ROUND(LEAST(100.0, COALESCE(100.0 * SUM(score) / NULLIF(SUM(total_questions), 0), 0.0) / GREATEST(1.0, AVG(time_spent_seconds)) * 100), 4) AS efficiency
-            FROM recent WHERE rn <= 10 GROUP BY user_id)"""
+                   ROUND(LEAST(100.0, AVG(accuracy_rate) / GREATEST(1.0, AVG(GREATEST(time_spent_seconds, 0))) * 100), 4) AS efficiency
+            FROM bydate WHERE rn <= 10 GROUP BY user_id)"""
 _REV = f"""{_TOPIC},
-    base AS (SELECT *, GREATEST(0, DATE '2024-01-31' - CAST(last_practiced AS DATE)) AS days,
-                    GREATEST(1.0, LEAST(14.0, (1 + LEAST(40, attempts) * 0.15 * (0.4 + accuracy / 100)) * CASE WHEN weak THEN 0.5 ELSE 1.0 END)) AS stab
-             FROM topics WHERE attempts > 0),
-    ret AS (SELECT *, POW(CAST(0.5 AS DOUBLE), days / stab) AS r FROM base),
-    scores AS (SELECT user_id, topic, ROUND(stab, 6) AS stability, ROUND(r, 6) AS retention,
-                      ROUND(70 * (1 - r) + 30 * (1 - accuracy / 100) + CASE WHEN weak THEN 12 ELSE 0 END + CASE WHEN trend < 0 THEN 6 ELSE 0 END, 4) AS priority,
-                      CASE WHEN r < 0.5 THEN 'overdue' WHEN r < 0.7 THEN 'due' WHEN r < 0.85 THEN 'soon' ELSE 'fresh' END AS bucket,
-                      CASE WHEN weak THEN 25 WHEN accuracy < 75 THEN 20 ELSE 12 END AS minutes FROM ret),
-    ordered AS (SELECT *, CASE bucket WHEN 'overdue' THEN 0 WHEN 'due' THEN 1 WHEN 'soon' THEN 2 ELSE 3 END AS bo FROM scores)"""
+    base AS (SELECT *, GREATEST(0.0, LEAST(1.0, correct / attempts)) AS acc FROM topics WHERE attempts > 0),
+    st AS (SELECT *, GREATEST(1.0, LEAST(14.0, (1 + LEAST(40, attempts) * 0.15 * (0.4 + acc)) * CASE WHEN weak THEN 0.5 ELSE 1.0 END)) AS stab,
+                  GREATEST(0.0, (CAST(FLOOR(epoch(TIMESTAMP '{AS_OF}')) AS BIGINT) - CAST(FLOOR(epoch(last_practiced)) AS BIGINT)) / 86400.0) AS days FROM base),
+    ret AS (SELECT *, POW(CAST(0.5 AS DOUBLE), days / stab) AS r, CASE WHEN days >= 1.5 * stab THEN 'overdue' WHEN days >= 0.75 * stab THEN 'due' WHEN acc < 0.6 THEN 'strengthen' ELSE 'fresh' END AS bucket FROM st),
+    scores AS (SELECT user_id, topic, ROUND(r, 3) AS retention,
+                      ROUND(LEAST(100.0, (1 - r) * 70 + (1 - acc) * 30 + CASE WHEN weak THEN 12 ELSE 0 END + CASE WHEN trend < 0 THEN 6 ELSE 0 END), 1) AS priority, bucket,
+                      CASE WHEN acc < 0.5 THEN 'deep_review' WHEN bucket = 'overdue' THEN 'quick_recall' ELSE 'practice_mcq' END AS mode,
+                      CASE WHEN acc < 0.5 THEN 15 WHEN bucket = 'overdue' THEN 12 WHEN bucket = 'fresh' THEN 5 ELSE 10 END AS minutes, trend < 0 AS declining FROM ret),
+    ordered AS (SELECT *, CASE bucket WHEN 'overdue' THEN 0 WHEN 'due' THEN 1 WHEN 'strengthen' THEN 2 ELSE 3 END AS bo FROM scores)"""
 
 
 @query("B9", "raw_sessions", sql=_SANE)
@@ -59,8 +60,8 @@ def _(progress):
 
 
 @query("B12", "sessions", sql=f"""
-    SELECT id, user_id, topic, CAST(CASE WHEN time_spent_seconds > 0 THEN GREATEST(1, FLOOR(time_spent_seconds / 60)) ELSE 0 END AS BIGINT) AS minutes,
-           CAST(FLOOR({_PCT.format('score', 'total_questions')}) AS BIGINT) AS performance, ROUND(confidence_after - confidence_before, 4) AS confidence_change
+    SELECT id, user_id, topic, CAST(CASE WHEN time_spent_seconds > 0 AND ROUND(time_spent_seconds / 60) = 0 THEN 1 ELSE ROUND(time_spent_seconds / 60) END AS BIGINT) AS minutes,
+           CAST(ROUND({_PCT.format('score', 'total_questions')}) AS BIGINT) AS performance, ROUND(confidence_after - confidence_before, 1) AS confidence_change
     FROM sessions""")
 def _(sessions):
     return S.presented(sessions)
@@ -143,7 +144,7 @@ def _(sessions):
     return S.topic_performance(sessions).select("user_id", "topic", "trend")
 
 
-@query("I1", "sessions", sql=f"WITH {_REV} SELECT user_id, topic, stability, retention, priority, bucket, minutes FROM scores")
+@query("I1", "sessions", sql=f"WITH {_REV} SELECT * FROM scores")
 def _(sessions):
     return S.revision_scores(S.topic_performance(sessions), AS_OF)
 
@@ -154,10 +155,10 @@ def _(sessions):
 
 
 @query("F5", "sessions", sql=f"""
-    WITH {_REV}, firsts AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY bo, priority DESC, topic) AS rn FROM ordered)
-    SELECT user_id, COUNT(*) FILTER (bucket = 'overdue') AS overdue, COUNT(*) FILTER (bucket = 'due') AS due, COUNT(*) FILTER (bucket = 'soon') AS soon, COUNT(*) FILTER (bucket = 'fresh') AS fresh,
-           MAX(CASE WHEN rn = 1 THEN topic END) AS top_topic,
-           CASE WHEN COUNT(*) FILTER (bucket = 'overdue') > 0 THEN 'revise overdue topics first' WHEN COUNT(*) FILTER (bucket = 'due') > 0 THEN 'a short revision is due' ELSE 'all topics are fresh' END AS message
-    FROM firsts GROUP BY user_id""")
+    WITH {_REV}, firsts AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY bo, priority DESC, topic) AS rn FROM ordered),
+    g AS (SELECT user_id, COUNT(*) FILTER (bucket = 'overdue') AS overdue, COUNT(*) FILTER (bucket = 'due') AS due, COUNT(*) FILTER (bucket = 'strengthen') AS strengthen, COUNT(*) FILTER (bucket = 'fresh') AS fresh,
+                 MAX(CASE WHEN rn = 1 THEN topic END) AS top_topic FROM firsts GROUP BY user_id)
+    SELECT *, CASE WHEN overdue > 0 THEN overdue || CASE WHEN overdue = 1 THEN ' topic overdue: start with ' ELSE ' topics overdue: start with ' END || top_topic
+                   WHEN due + strengthen > 0 THEN 'review ' || top_topic || ' before it fades' ELSE 'all topics are fresh' END AS message FROM g""")
 def _(sessions):
     return S.revision_summary(S.revision_scores(S.topic_performance(sessions), AS_OF))
