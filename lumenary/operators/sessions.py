@@ -131,7 +131,7 @@ def revision_scores(topics: DataFrame, as_of: str) -> DataFrame:
     stability = F.greatest(F.lit(1.0), F.least(F.lit(14.0), base))
     seconds = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("last_practiced")
     t = topics.where("attempts > 0").withColumn("acc", acc).withColumn("stab", stability)
-    t = t.withColumn("days", F.coalesce(F.greatest(F.lit(0.0), seconds / 86400.0), F.col("stab") * 3))
+    t = t.withColumn("days", F.when(F.col("last_practiced").isNull(), F.col("stab") * 3).otherwise(F.greatest(F.lit(0.0), seconds / 86400.0)))
     retention = F.pow(F.lit(0.5), F.col("days") / F.col("stab"))
     priority = (1 - retention) * 70 + (1 - F.col("acc")) * 30 + F.when(F.col("weak"), 12).otherwise(0) + F.when(F.col("trend") < 0, 6).otherwise(0)
     bucket = F.when(F.col("days") >= 1.5 * F.col("stab"), "overdue").when(F.col("days") >= 0.75 * F.col("stab"), "due").when(F.col("acc") < 0.6, "strengthen").otherwise("fresh")

@@ -10,7 +10,7 @@ AS_OF = "2024-01-31 00:00:00"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _K = "CAST(regexp_extract(props, '[0-9]+', 0) AS INT)"
 #: Tells lines apart: an order has line numbers twice.
-LINE = "(((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey % 1000)"
+LINE = "(((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + CAST(FLOOR(l_extendedprice) AS BIGINT) % 1000)"
 
 VIEWS = {
     "sessions": f"""

@@ -15,8 +15,13 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, as a zip file."""
+    """Send this package to the Python workers once per application, as a zip file.
+
+    Arrow batches are kept small, as texts are long: each task holds a few of them outside the heap.
+    """
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000)
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
