@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lumenary.llm.bpe import op2_bpe_lexicon
 from lumenary.llm.language import op8_language_bayes
 from lumenary.llm.media import op1_media_jpeg
@@ -17,5 +18,5 @@ _ALL = (
     op1_media_jpeg, op2_bpe_lexicon, op3_suffix_dedup, op4_isolation_rules, op5_credential_links,
     op6_best_fit, op7_simhash_covering, op8_language_bayes, op9_token_counts, op10_toxicity_channel,
 )
-QUERIES = {f.__name__: f for f in _ALL}
+QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 ORACLE: dict[str, str] = {}
