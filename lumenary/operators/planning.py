@@ -60,10 +60,13 @@ def unit_status(units: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def next_units(units: DataFrame, edges: DataFrame, status: DataFrame) -> DataFrame:
     """Per learner and chapter with evidence: the first unit not mastered, or the first unmet prerequisite of it."""
-    started = status.join(units.select("unit_id", "chapter"), "unit_id").select("user_id", "chapter").distinct()
+    placed = status.join(units.select("unit_id", "chapter", "unit_order"), "unit_id")
+    # mastered units without a gap from the first: their number is their place
+    rank = F.row_number().over(Window.partitionBy("user_id", "chapter").orderBy("unit_order"))
+    solid = placed.where("status = 'mastered'").withColumn("rn", rank).groupBy("user_id", "chapter").agg(F.count_if(F.col("rn") == F.col("unit_order")).alias("n"))
+    started = placed.select("user_id", "chapter").distinct().join(solid, ["user_id", "chapter"], "left")
     mastered = status.where("status = 'mastered'").select("user_id", "unit_id")
-    open_ = started.join(units.select("chapter", "unit_id", "unit_order"), "chapter").join(mastered, ["user_id", "unit_id"], "left_anti")
-    first = open_.groupBy("user_id", "chapter").agg(F.min_by("unit_id", "unit_order").alias("unit_id"))
+    first = started.withColumn("unit_order", F.coalesce("n", F.lit(0)) + 1).join(units.select("chapter", "unit_order", "unit_id"), ["chapter", "unit_order"]).select("user_id", "chapter", "unit_id")
     needs = first.join(edges, "unit_id").join(mastered.withColumnRenamed("unit_id", "prereq_id"), ["user_id", "prereq_id"], "left_anti")
     unmet = needs.groupBy("user_id", "chapter").agg(F.min("prereq_id").alias("prereq_id"))
     return first.join(unmet, ["user_id", "chapter"], "left").select("user_id", "chapter", F.coalesce("prereq_id", "unit_id").alias("next_unit"), F.col("prereq_id").isNotNull().alias("blocked"))

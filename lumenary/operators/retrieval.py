@@ -43,16 +43,15 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame, exact: bool = False) -
     Candidates share a whole term, found by the term's equality. exact scans all chunks instead,
     and so also finds terms inside longer words.
     """
-    q = queries.select("query_id", X.terms(F.col("query")).alias("terms"))
+    q = F.broadcast(queries.select("query_id", X.terms(F.col("query")).alias("terms")))
+    hits = inverted(chunks, "chunk_id", "text").join(F.broadcast(q.select("query_id", F.explode("terms").alias("term"))), "term")
+    shared = hits.groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared"))
     if exact:
-        pairs = chunks.select("chunk_id", "text").join(F.broadcast(q))
+        pairs = chunks.select("chunk_id", F.lower("text").alias("low")).join(q).join(shared, ["query_id", "chunk_id"], "left")
     else:
-        hits = inverted(chunks, "chunk_id", "text").join(F.broadcast(q.select("query_id", F.explode("terms").alias("term"))), "term")
-        pairs = hits.select("query_id", "chunk_id").distinct().join(chunks.select("chunk_id", "text"), "chunk_id").join(F.broadcast(q), "query_id")
-    low = F.lower("text")
-    counts = F.aggregate("terms", F.lit(0), lambda s, t: s + X.occurrences(low, t))
-    shared = F.size(F.array_intersect("terms", X.terms(F.col("text"))))
-    return pairs.select("query_id", "chunk_id", (2 * shared + counts).cast("long").alias("lexical")).where("lexical > 0")
+        pairs = shared.join(chunks.select("chunk_id", F.lower("text").alias("low")), "chunk_id").join(q, "query_id")
+    counts = F.aggregate("terms", F.lit(0), lambda s, t: s + X.occurrences(F.col("low"), t))
+    return pairs.select("query_id", "chunk_id", (2 * F.coalesce("shared", F.lit(0)) + counts).cast("long").alias("lexical")).where("lexical > 0")
 
 
 def fused(lexical: DataFrame, semantic: DataFrame, k: float = 60.0) -> DataFrame:
