@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ SEGMENT = 48
 #: Segments of one anchor from which its windows are dealt out one by one, by their own hashes.
 HOT = 2048
 ALONE, SHARED, MIXED, CROWDED = range(4)
+#: Bytes of a word's hash by which windows of one anchor, so of five equal words, are compared.
+WORD_BYTES = 6
 
 
 class Windows:
@@ -86,17 +89,17 @@ class Windows:
 
 
 def segments(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, anchor, segment) of every text."""
+    """(doc_id, anchor, segment) of every text; segment has 32 bits, beside the anchor's 64."""
 
     def start():
         def step(part):
             w = Windows(utf8(part), window)
             ids = part.column("doc_id").take(pa.array(w.doc))
-            return [ids, w.anchor.view(np.int64), w.segment.view(np.int64)]
+            return [ids, w.anchor.view(np.int64), (w.segment >> np.uint64(32)).astype(np.uint32).view(np.int32)]
 
         return step
 
-    return map_slices(docs, start, "doc_id long, anchor long, segment long")
+    return map_slices(docs, start, "doc_id long, anchor long, segment int")
 
 
 def shards(docs: DataFrame, window: int) -> DataFrame:
@@ -110,16 +113,22 @@ def shards(docs: DataFrame, window: int) -> DataFrame:
     return by.where("first < last").select("anchor", "first", kind.cast("long").alias("kind"))
 
 
-def contents(texts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, version, anchor, segment, at, count, words): what shards of several segments are built of.
+def contents(texts: DataFrame, window: int, distinct: bool) -> DataFrame:
+    """Segments of shards that hold several.
 
-    texts has anchors and kinds, arrays. A crowded anchor's windows come one by one, with their
-    own hash as anchor and segment.
+    distinct: (anchor, segment, doc_id, words), in each slice once with its smallest id; words
+    are hashes of WORD_BYTES. Else every place: (doc_id, version, anchor, segment, at, count).
+    A crowded anchor's windows come one by one, with their own hash as anchor and segment.
     """
 
     def start():
         def step(part):
-            w = Windows(utf8(part), window)
+            # not a filter of the plan: so the join before it is the one that the result reads, too
+            part = part.filter(pa.array([x is not None and any(h & 3 > SHARED for h in x) for x in part.column("hits").to_pylist()], pa.bool_()))
+            if not part.num_rows:
+                return None
+            raw_texts = utf8(part)
+            w = Windows(raw_texts, window)
             kind = kinds(part, w)
             mixed, crowded = np.flatnonzero(kind == MIXED), np.flatnonzero(kind == CROWDED)
             at, count = w.at[mixed], w.count[mixed]
@@ -132,27 +141,38 @@ def contents(texts: DataFrame, window: int) -> DataFrame:
                 anchor, segment = (np.concatenate([x, w.window_hash[single]]) for x in (anchor, segment))
             if not len(at):
                 return None
-            raw = w.hash.astype("<u8").tobytes()
-            words = [raw[8 * a : 8 * (a + c + window - 1)] for a, c in zip(at.tolist(), count.tolist())]
-            ids = part.column("doc_id").take(pa.array(doc))
-            return [ids, part.column("version").take(pa.array(doc)), anchor.view(np.int64), segment.view(np.int64), at - w.first[doc], count, words]
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[doc]
+            if not distinct:
+                version = np.array([text_version(t) for t in raw_texts], np.int64)
+                return [ids, version[doc], anchor.view(np.int64), segment.view(np.int64), at - w.first[doc], count]
+            order = np.lexsort((ids, segment, anchor))
+            a, g = anchor[order], segment[order]
+            order = order[np.concatenate([[True], (a[1:] != a[:-1]) | (g[1:] != g[:-1])])]
+            raw = np.ascontiguousarray(w.hash.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes()
+            words = [raw[WORD_BYTES * x : WORD_BYTES * (x + c + window - 1)] for x, c in zip(at[order].tolist(), count[order].tolist())]
+            return [anchor[order].view(np.int64), segment[order].view(np.int64), ids[order], words]
 
         return step
 
-    return map_slices(texts, start, "doc_id long, version long, anchor long, segment long, at long, count long, words binary")
+    return map_slices(texts, start, "anchor long, segment long, doc_id long, words binary" if distinct else "doc_id long, version long, anchor long, segment long, at long, count long")
+
+
+def text_version(raw: bytes) -> int:
+    """Tells texts of one id apart."""
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
 def kinds(part: pa.RecordBatch, w: Windows) -> np.ndarray:
-    """The kind of each of the slice's segments, by the anchors listed for its text."""
-    lists = part.column("anchors")
+    """The kind of each of the slice's segments, by the hits of its text: anchors with the kind in the last two bits."""
+    lists = part.column("hits")
     n = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], np.int64)
     flat = np.array([a for x in lists.to_pylist() if x for a in x], np.int64).view(np.uint64)
-    value = np.array([a for x in part.column("kinds").to_pylist() if x for a in x], np.int64)
-    # anchors are hashes: one per text and anchor, mixed with the text's place in the slice
-    key = mix(flat + np.repeat(np.arange(len(n)), n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    value = (flat & np.uint64(3)).astype(np.int64)
+    # one key per text and anchor, mixed with the text's place in the slice
+    key = mix((flat >> np.uint64(2)) + np.repeat(np.arange(len(n)), n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(key)
     key, value = key[order], value[order]
-    want = mix(w.anchor + w.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    want = mix((w.anchor >> np.uint64(2)) + w.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     if not len(key):
         return np.zeros(len(want), np.int64)
     at = np.minimum(np.searchsorted(key, want), len(key) - 1)
@@ -162,22 +182,26 @@ def kinds(part: pa.RecordBatch, w: Windows) -> np.ndarray:
 def stream_shards(parts: DataFrame, window: int) -> DataFrame:
     """(anchor, segment, first, mask): a bit for each window that a smaller id's segment has.
 
-    parts has each shard's distinct segments with first, the smallest id that has it.
+    parts has each shard's segments with ids that have them; first is the smallest. A shard has
+    at most HOT different segments, and its automaton lives as long as its rows pass.
     """
     ship(parts.sparkSession)
 
     def run(batches):
-        anchor_now, machine, waiting, first_now = None, SuffixAutomaton(), [], None
+        anchor_now, machine, waiting, first_now, seen = None, SuffixAutomaton(), [], None, set()
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for anchor, segment, first, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "first", "words"))):
+            for anchor, segment, first, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "doc_id", "words"))):
                 if anchor != anchor_now:
-                    anchor_now, machine, waiting, first_now = anchor, SuffixAutomaton(), [], None
+                    anchor_now, machine, waiting, first_now, seen = anchor, SuffixAutomaton(), [], None, set()
+                if segment in seen:
+                    continue
+                seen.add(segment)
                 if first != first_now:
                     for w in waiting:
                         machine.add(w)
                     waiting, first_now = [], first
-                words = np.frombuffer(raw, "<u8").tolist()
+                words = [raw[k : k + WORD_BYTES] for k in range(0, len(raw), WORD_BYTES)]
                 mask = 0
                 if len(machine.next) > 1:
                     for k, n in enumerate(machine.matching(words)[window - 1 :]):
@@ -189,27 +213,23 @@ def stream_shards(parts: DataFrame, window: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["anchor", "segment", "first", "mask"])
 
-    dealt = parts.select("anchor", "segment", "first", "words").repartition("anchor").sortWithinPartitions("anchor", "first", "segment")
+    dealt = parts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "segment")
     return dealt.mapInArrow(run, "anchor long, segment long, first long, mask long")
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text, version) with anchors and their kinds, and at and mask of single windows.
-
-    version tells texts of one id apart.
-    """
-    known = shards(docs.select("doc_id", "text"), window)
-    hits = segments(docs.select("doc_id", "text"), window).join(known, "anchor").where(f"kind > {SHARED} or doc_id > first").select("doc_id", "anchor", "kind")
-    by_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "kind")).alias("hits")).select("doc_id", F.col("hits.anchor").alias("anchors"), F.col("hits.kind").alias("kinds"))
+    """docs (doc_id, text) with hits, shared anchors with their kinds, and version, at and mask of single windows."""
+    plain = docs.select("doc_id", "text")
+    known = segments(plain, window).join(shards(plain, window), "anchor").where(f"kind > {SHARED} or doc_id > first")
+    by_doc = known.groupBy("doc_id").agg(F.collect_set(F.expr("anchor & ~3L | kind")).alias("hits"))
+    # all uses of texts read one shuffle of the documents
     texts = docs.join(by_doc, "doc_id", "left")
-    # the segments of shards that hold more than one, each once, with the smallest id
-    found = contents(texts.where(F.exists("kinds", lambda k: k > SHARED)), window)
-    distinct = found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"), F.first("words").alias("words"))
-    masks = stream_shards(distinct, window)
-    full = F.when(F.col("count") == 64, F.lit(-1).cast("long")).otherwise(F.expr("shiftleft(1L, cast(count as int)) - 1"))
-    marked = found.drop("words").join(masks, ["anchor", "segment"]).withColumn("mask", F.when(F.col("doc_id") > F.col("first"), full).otherwise(F.col("mask"))).where("mask <> 0")
-    spans = marked.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "mask")).alias("spans")).select("doc_id", "version", F.col("spans.at").alias("at"), F.col("spans.mask").alias("mask"))
-    return texts.join(spans, ["doc_id", "version"], "left")
+    masks = stream_shards(contents(texts, window, True), window)
+    full = F.expr("shiftleft(1L, cast(count as int)) - 1")
+    places = contents(texts, window, False)
+    marked = places.join(masks, ["anchor", "segment"]).withColumn("mask", F.when(F.col("doc_id") > F.col("first"), full).otherwise(F.col("mask"))).where("mask <> 0")
+    spans = marked.groupBy("doc_id").agg(F.collect_list(F.struct("version", "at", "mask")).alias("spans"))
+    return texts.join(spans, "doc_id", "left").select("*", *(F.col(f"spans.{c}").alias(c) for c in ("version", "at", "mask"))).drop("spans")
 
 
 def cut_text(raw: bytes, off: np.ndarray) -> bytes:
@@ -230,9 +250,9 @@ def deduplicate(docs: DataFrame, id_: str = "doc_id", text: str = "text", window
     without the removed words, otherwise unchanged (null for a null text); the digest is that
     of the kept words one space apart. Documents without an id stay whole.
     """
-    mine = ["doc_id", "text", "version", "anchors", "kinds", "at", "mask"]
+    mine = ["doc_id", "text", "version", "hits", "at", "mask"]
     other = [c for c in docs.columns if c not in (id_, text, *mine)]
-    rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"), *other)
+    rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), *other)
 
     def start():
         def step(part):
@@ -243,10 +263,11 @@ def deduplicate(docs: DataFrame, id_: str = "doc_id", text: str = "text", window
             whole = np.flatnonzero(kind == SHARED)
             np.add.at(gone, w.at[whole], 1)
             np.add.at(gone, w.at[whole] + w.count[whole] + window - 1, -1)
-            for k, (at, mask) in enumerate(zip(part.column("at").to_pylist(), part.column("mask").to_pylist())):
+            for k, (version, at, mask) in enumerate(zip(*(part.column(c).to_pylist() for c in ("version", "at", "mask")))):
                 if at:
-                    a = np.array(at, np.int64) + w.first[k]
-                    bits = np.unpackbits(np.array(mask, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    mine = np.array(version, np.int64) == text_version(raw[k])
+                    a = np.array(at, np.int64)[mine] + w.first[k]
+                    bits = np.unpackbits(np.array(mask, "<i8")[mine].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                     r, c = np.nonzero(bits)
                     np.add.at(gone, a[r] + c, 1)
                     np.add.at(gone, a[r] + c + window, -1)
@@ -268,7 +289,7 @@ def deduplicate(docs: DataFrame, id_: str = "doc_id", text: str = "text", window
 
         return step
 
-    return add_columns(removed_spans(rows, window), start, "n_words long, n_removed long, kept string, kept_sha256 string", "text").drop("version", "anchors", "kinds", "at", "mask")
+    return add_columns(removed_spans(rows, window), start, "n_words long, n_removed long, kept string, kept_sha256 string", "text").drop("version", "hits", "at", "mask")
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
