@@ -29,6 +29,6 @@ def query(name: str, *inputs: str, sql: str | None = None):
     return put
 
 
-for _part in ("learners", "ranking", "tracing", "content", "exams", "planning", "retrieval", "streams"):
+for _part in ("learners", "ranking", "tracing", "content", "exams", "planning", "retrieval", "streams", "misc"):
     if importlib.util.find_spec(f"lumenary.plans.{_part}"):
         importlib.import_module(f"lumenary.plans.{_part}")

@@ -65,6 +65,6 @@ _put("J4", j4, """
 _put("J6", j6, """
     WITH g AS (SELECT user_id, ts, CASE WHEN ts >= LAG(ts) OVER w + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
     SELECT user_id, MIN(ts) AS started_at, COUNT(*) AS events FROM s GROUP BY user_id, n""")
-_put("J7", j7, "SELECT date_trunc('day', ts) AS window_start, user_id, COUNT(*) AS events, ROUND(AVG(value), 4) AS avg_value FROM events GROUP BY 1, 2")
-_put("J8", j8, f"SELECT window_start, event_type, COUNT(*) AS events, ROUND(AVG(value), 4) AS avg_value FROM ({_SLIDE.format(4, '6 hours')}) x GROUP BY 1, 2")
+_put("J7", j7, "SELECT date_trunc('day', ts) AS window_start, user_id, COUNT(*) AS events, ROUND(SUM(value), 2) AS total_value FROM events GROUP BY 1, 2")
+_put("J8", j8, f"SELECT window_start, event_type, COUNT(*) AS events, ROUND(SUM(value), 2) AS total_value FROM ({_SLIDE.format(4, '6 hours')}) x GROUP BY 1, 2")
 _put("J9", j9, "SELECT COUNT(*) FILTER (ts < (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE) AS late, COUNT(*) AS rows FROM events")

@@ -63,10 +63,10 @@ def once(events: DataFrame, key: str = "event_id") -> DataFrame:
 
 
 def windowed(events: DataFrame, length: str, slide: str | None, *keys: str) -> DataFrame:
-    """Counts and mean values by event-time window and keys."""
+    """Counts and sums of values by event-time window and keys."""
     window = F.window("ts", length, slide) if slide else F.window("ts", length)
-    by = events.withWatermark("ts", LATE).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("events"), F.round(F.avg("value"), 4).alias("avg_value"))
-    return by.select(F.col("w.start").alias("window_start"), *keys, "events", "avg_value")
+    by = events.withWatermark("ts", LATE).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("total_value"))
+    return by.select(F.col("w.start").alias("window_start"), *keys, "events", "total_value")
 
 
 def breaches(events: DataFrame, length: str, slide: str, limit: int) -> DataFrame:
