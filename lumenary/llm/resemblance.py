@@ -12,6 +12,8 @@ from lumenary.runtime import ship
 #: Bins of a sketch, and bands of ROWS bins by which texts meet: a pair of similarity 0.8 misses
 #: all bands with a chance of 1 in 5,000.
 BINS, BANDS, ROWS = 256, 16, 4
+#: Sketches that are compared at once.
+BLOCK = 4096
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -72,28 +74,29 @@ def connect(ids: np.ndarray, codes: np.ndarray, least: float) -> list[tuple[int,
     """Links of at least that similarity which connect whatever such links connect.
 
     A text is held against the first member of each group so far, and against all members only
-    of groups it isn't in yet: within a group of mutual copies that is one comparison.
+    of groups whose first it isn't like: within a group of mutual copies that is one comparison.
     """
-    groups: list[list[int]] = []
+    group = np.arange(len(ids))  # of each text: the number of its group's first member
+    heads: list[int] = []
     out = []
     for k in range(len(ids)):
-        mine = None
-        if groups:
-            heads = similarity(codes[k], codes[[g[0] for g in groups]]) >= least
-            joined = []
-            for n, g in enumerate(groups):
-                mate = g[0] if heads[n] else None
-                if mate is None and len(g) > 1:
-                    rest = np.array(g[1:])
-                    hit = np.flatnonzero(similarity(codes[k], codes[rest]) >= least)
-                    mate = int(rest[hit[0]]) if len(hit) else None
-                if mate is not None:
-                    out.append((int(ids[mate]), int(ids[k])))
-                    joined.append(n)
-            if joined:
-                mine = [m for n in joined for m in groups[n]]
-                groups = [g for n, g in enumerate(groups) if n not in set(joined)]
-        groups.append([*(mine or []), k])
+        at = np.array(heads, np.int64)
+        like = at[similarity(codes[k], codes[at]) >= least] if heads else at
+        mates = {int(h): int(h) for h in like}
+        rest = np.flatnonzero(~np.isin(group[:k], like) & (group[:k] != np.arange(k)))
+        for a in range(0, len(rest), BLOCK):
+            part = rest[a : a + BLOCK]
+            for m in part[similarity(codes[k], codes[part]) >= least].tolist():
+                mates.setdefault(int(group[m]), m)
+        if mates:
+            first = min(mates)
+            group[k] = first
+            out += [(int(ids[m]), int(ids[k])) for m in mates.values()]
+            if len(mates) > 1:
+                group[:k][np.isin(group[:k], list(mates))] = first
+                heads = [h for h in heads if h == first or h not in mates]
+        else:
+            heads.append(k)
     return out
 
 

@@ -210,7 +210,7 @@ def resembling(docs: DataFrame, id_: str = "doc_id", text: str = "text", shingle
         return step
 
     rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = map_slices(rows, start, "doc_id long, key long, fp long, codes binary, bands longs")
+    marked = checkpointed(map_slices(rows, start, "doc_id long, key long, fp long, codes binary, bands longs"))
     classes = checkpointed(marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("codes").alias("codes"), F.first("bands").alias("bands")))
     owners = classes.groupBy("fp").agg(F.min("first").alias("owner"))
     near = close_links(owners, radius)

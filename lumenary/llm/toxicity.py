@@ -20,7 +20,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 SUBSTITUTE, DROP, KEEP = -1.0, -2.0, -0.05
 #: Letters of the language model: a to z, and 0 for all others and the ends of words.
 LETTERS = 27
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 FOLD = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 TOKEN = re.compile(r"\S+")
 SPACED_HINT = re.compile(r"\s[^\W_][ .\-_*][^\W_][ .\-_*][^\W_]|^[^\W_][ .\-_*][^\W_][ .\-_*][^\W_]")
@@ -31,7 +31,7 @@ EDGE = re.compile(r"^[^\w@$!|+€(¡]+|[^\w@$!|+€(¡]+$")
 #: Letters of the beginnings of words that are features beside whole words.
 STEMS = (5, 7)
 #: Features that a task counts before it hands on its counts.
-COUNTED = 200_000
+COUNTED = 100_000
 
 
 def letter_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
