@@ -30,7 +30,7 @@ SEGMENT = 48
 HOT = 2048
 ALONE, SHARED, MIXED, CROWDED = range(4)
 #: Bytes of a word's hash by which windows of one anchor, so of five equal words, are compared.
-WORD_BYTES = 6
+WORD_BYTES = 5
 
 
 class Windows:
@@ -94,8 +94,11 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
     def start():
         def step(part):
             w = Windows(utf8(part), window)
-            ids = part.column("doc_id").take(pa.array(w.doc))
-            return [ids, w.anchor.view(np.int64), (w.segment >> np.uint64(32)).astype(np.uint32).view(np.int32)]
+            # once for each text, anchor and segment
+            _, at = np.unique(mix(mix(w.anchor) + w.segment + w.doc.astype(np.uint64)), return_index=True)
+            at.sort()
+            ids = part.column("doc_id").take(pa.array(w.doc[at]))
+            return [ids, w.anchor[at].view(np.int64), (w.segment[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)]
 
         return step
 
