@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lumenary.llm.common import mix
-from lumenary.runtime import ship
+from lumenary.runtime import checkpointed, ship
 
 #: Bins of a sketch, and bands of ROWS bins by which texts meet: a pair of similarity 0.8 misses
 #: all bands with a chance of 1 in 5,000.
 BINS, BANDS, ROWS = 256, 16, 4
 #: Sketches that are compared at once.
 BLOCK = 4096
+#: Shingles whose places in the sets of a piece are laid out at once.
+COLUMNS = 8192
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -100,40 +105,95 @@ def connect(ids: np.ndarray, codes: np.ndarray, least: float) -> list[tuple[int,
     return out
 
 
-def band_links(sketched: DataFrame, least: float) -> DataFrame:
-    """(a, b) of sketched (first long, codes binary, bands array<long>), one row per distinct text."""
-    ship(sketched.sparkSession)
+def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Sizes of the intersections of the first left sets with all sets."""
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([[len(sets[0]), both], [both, len(sets[1])]])[:left]
+    out = np.zeros((left, len(sets)), np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1  # others are in no intersection but a set's with itself
+    kept = often[column]
+    row, column = row[kept], (np.cumsum(often) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        has = np.zeros((len(sets), min(COLUMNS, int(often.sum()) - start)), np.float32)
+        has[row[a:b], column[a:b] - start] = 1
+        out += (has[:left] @ has.T).astype(np.int64)
+    out[np.arange(left), np.arange(left)] = [len(s) for s in sets[:left]]
+    return out
+
+
+def jaccard(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Exact similarities of the first left sets to all sets."""
+    size = np.array([len(s) for s in sets])
+    both = overlaps(sets, left)
+    return both / np.maximum(size[:left, None] + size[None, :] - both, 1)
+
+
+def spanning(like: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect whatever the true places of like (the first rows against all) connect."""
+    group, out = np.arange(like.shape[1]), []
+    for k in range(like.shape[0]):
+        near = np.flatnonzero(like[k])
+        roots, first = np.unique(group[near], return_index=True)
+        for root, m in zip(roots.tolist(), near[first].tolist()):
+            if root != group[k]:
+                out.append((k, m))
+                group[group == root] = group[k]
+    return out
+
+
+def groups(batches):
+    """((band, key), left ids, ids, sets) of each (band, key, piece) of sorted rows, the left ones first."""
+    held: list[tuple[bool, int, bytes]] = []
+    last = None
+
+    def one():
+        ordered = sorted(held, key=lambda x: not x[0])
+        return last[:2], sum(x[0] for x in ordered), [x[1] for x in ordered], [np.frombuffer(x[2], np.uint64) for x in ordered]
 
-    def spread(batches):
-        for part in batches:
-            n = part.num_rows
-            if n:
-                keys = np.array(part.column("bands").to_pylist(), np.int64).reshape(n, BANDS)
-                row = pa.array(np.repeat(np.arange(n), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS), n), pa.int64()), pa.array(keys.reshape(-1)), part.column("first").take(row), part.column("codes").take(row)], names=["band", "key", "first", "codes"])
+    for part in batches:
+        for *name, left, id_, set_ in zip(*(part.column(c).to_pylist() for c in ("band", "key", "piece", "left", "id", "hashes"))):
+            if name != last:
+                if held:
+                    yield one()
+                held, last = [], name
+            held.append((left, id_, set_))
+    if held:
+        yield one()
+
+
+def met(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (band, key, piece, left, id) with their sets, each piece in one task."""
+    ship(rows.sparkSession)
+    return rows.select("band", "key", "piece", "left", "id").join(sets, "id").repartition("band", "key", "piece").sortWithinPartitions("band", "key", "piece")
+
+
+def exact_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links of exact similarity least or more which connect what the left rows of each piece have such links to."""
 
     def match(batches):
-        held: list[tuple[int, bytes]] = []
-        last = None
-
-        def links(out):
-            if len(held) > 1:
-                members = sorted(held)
-                got = connect(np.array([i for i, _ in members]), unpack([c for _, c in members]), least)
-                out[0] += [a for a, _ in got]
-                out[1] += [b for _, b in got]
-
-        for part in batches:
-            out: list[list] = [[], []]
-            for band, key, first, codes in zip(*(part.column(c).to_pylist() for c in ("band", "key", "first", "codes"))):
-                if (band, key) != last:
-                    links(out)
-                    held, last = [], (band, key)
-                held.append((first, codes))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
-        out = [[], []]
-        links(out)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
-
-    rows = sketched.where("first is not null").select("first", "codes", "bands").mapInArrow(spread, "band long, key long, first long, codes binary")
-    return rows.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(match, "a long, b long").distinct()
+        for _, left, ids, own in groups(batches):
+            if left and len(ids) > 1:
+                got = spanning(jaccard(own, left) >= least)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x[k]] for x in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return met(rows, sets).mapInArrow(match, "a long, b long").where("a <> b")
+
+
+def band_links(sketched: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """(a, b) of sketched (id long, bands array<long>), one row per distinct text: texts that
+    share a band's key and whose sets have an exact similarity of least or more.
+
+    sets(ids) gives (id, hashes binary): the distinct shingle hashes, sorted. It is asked only for
+    texts that meet another one.
+    """
+    rows = sketched.select("id", F.posexplode("bands").alias("band", "key"))
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    level = checkpointed(rows.join(sizes, ["band", "key"]))
+    known = checkpointed(sets(level.select("id").distinct()))
+    return exact_links(level.withColumns({"piece": F.lit(0).cast("long"), "left": F.lit(True)}), known, least).distinct()

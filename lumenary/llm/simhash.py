@@ -175,6 +175,11 @@ def close_links(values: DataFrame, radius: int, seed: int = 7) -> DataFrame:
     return out.distinct()
 
 
+def text_keys(raw: list[bytes]) -> np.ndarray:
+    """A hash of each text's words, A-Z in lower case."""
+    return np.array([xxhash.xxh3_64_intdigest(spaced(t.lower())) for t in raw], np.uint64).view(np.int64)
+
+
 def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp long, component_id): documents linked by fingerprints at radius or fewer bits.
 
@@ -195,29 +200,44 @@ def resembling(docs: DataFrame, id_: str = "doc_id", text: str = "text", shingle
     """(doc_id, component_id): documents linked by fingerprints within radius or by like shingle sets.
 
     At a similarity of 0.8 two fingerprints differ in about ten bits, which no affordable set of
-    covering masks reaches; such pairs come from sketches of the shingle sets. Equal texts count
-    as one from the start.
+    covering masks reaches; such pairs meet by sketches of the shingle sets and are linked by the
+    sets' exact Jaccard similarity. Equal texts count as one from the start.
     """
 
     def start():
         def step(part):
             raw = utf8(part)
             hashes = [shingle_hashes(t, shingle) for t in raw]
-            sketches = [sketch(h) for h in hashes]
-            keys = [xxhash.xxh3_64_intdigest(spaced(t.lower())) for t in raw]
-            return [part.column("doc_id"), np.array(keys, np.uint64).view(np.int64), majority(hashes).view(np.int64), [c for c, _ in sketches], pa.array([k.view(np.int64) for _, k in sketches], pa.list_(pa.int64()))]
+            bands = [sketch(h)[1].view(np.int64) for h in hashes]
+            return [part.column("doc_id"), text_keys(raw), majority(hashes).view(np.int64), pa.array(bands, pa.list_(pa.int64()))]
+
+        return step
+
+    def start_sets():
+        def step(part):
+            raw = utf8(part)
+            return [text_keys(raw), [np.unique(shingle_hashes(t, shingle)).tobytes() for t in raw]]
 
         return step
 
     rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = checkpointed(map_slices(rows, start, "doc_id long, key long, fp long, codes binary, bands longs"))
-    classes = checkpointed(marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("codes").alias("codes"), F.first("bands").alias("bands")))
+    marked = checkpointed(map_slices(rows, start, "doc_id long, key long, fp long, bands longs"))
+    classes = checkpointed(marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    texts = classes.where("first is not null").select(F.col("key").alias("id"), "first", "bands")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        asked = texts.join(ids, "id", "left_semi").select(F.col("first").alias("doc_id"))
+        own = map_slices(rows.join(asked, "doc_id", "left_semi"), start_sets, "id long, hashes binary")
+        return own.join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+    like = band_links(texts.select("id", "bands"), sets, similarity)
+    like = like.join(texts.select(F.col("id").alias("a"), F.col("first").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     owners = classes.groupBy("fp").agg(F.min("first").alias("owner"))
     near = close_links(owners, radius)
     named = owners.where("owner is not null")
     near = near.join(named.select(F.col("fp").alias("a"), F.col("owner").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("owner").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = classes.join(named, "fp").where("first <> owner").select(F.col("first").alias("a"), F.col("owner").alias("b"))
-    roots = components(near.unionByName(equal).unionByName(band_links(classes, similarity)))
+    roots = components(near.unionByName(equal).unionByName(like))
     known = classes.select("key", "first").join(roots.withColumnRenamed("node", "first"), "first", "left").select("key", F.coalesce("root", "first").alias("component_id"))
     return marked.select("doc_id", "key").join(known, "key").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -299,6 +299,44 @@ def test_resembling_texts_meet_and_others_do_not(spark, odd):
     assert simhash.resembling(odd).count() == odd.count()
 
 
+def brute_resembling(rows, least=0.8):
+    """The smallest id of each group by exact similarity of 5-word shingle sets, or fingerprints within 4 bits."""
+    ids = sorted(i for i, _ in rows)
+    hashes = {i: simhash.shingle_hashes(t.encode(), 5) for i, t in rows}
+    sets = {i: set(h.tolist()) for i, h in hashes.items()}
+    prints = dict(zip(ids, simhash.majority([hashes[i] for i in ids]).tolist()))
+    root = {i: i for i in ids}
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if root[a] != root[b] and (both >= least * (len(sets[a]) + len(sets[b]) - both) or (prints[a] ^ prints[b]).bit_count() <= 4):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def edited(rng, words, changes):
+    """words with that many single words changed, at least six apart, so each change costs five shingles."""
+    out = list(words)
+    for at in rng.choice(len(words) // 6 - 1, changes, replace=False) * 6 + 5:
+        out[at] = f"new{rng.integers(0, 1 << 40)}"
+    return " ".join(out)
+
+
+def test_resembling_decides_exactly_around_the_bar(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(60):
+        n = int(rng.integers(100, 500))
+        words = [f"w{x}" for x in rng.integers(0, 50_000, n)]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, edited(rng, words, round(n / 45) + k % 3 - 1)))  # each side of 0.8
+    want = brute_resembling(rows)
+    assert 10 < sum(i != r for i, r in want.items()) < 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.resembling(df).collect()} == want
+
+
 def test_connect_keeps_components_whole():
     rng = np.random.default_rng(4)
     sets = [rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in range(4)]
