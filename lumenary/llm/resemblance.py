@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.llm.common import mix
@@ -19,6 +20,9 @@ BINS, BANDS, ROWS = 256, 16, 4
 BLOCK = 4096
 #: Shingles whose places in the sets of a piece are laid out at once.
 COLUMNS = 8192
+#: Texts of a bucket that a task compares whole; larger buckets are held against their head and
+#: cut into pieces of about PIECE rows a side. LEVELS: how often what is unlike a head gets another.
+WHOLE, PIECE, LEVELS = 512, 256, 4
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -148,7 +152,7 @@ def spanning(like: np.ndarray) -> list[tuple[int, int]]:
 
 
 def groups(batches):
-    """((band, key), left ids, ids, sets) of each (band, key, piece) of sorted rows, the left ones first."""
+    """((band, key), left ids, ids, sets) of each (band, key, level, piece) of sorted rows, the left ones first."""
     held: list[tuple[bool, int, bytes]] = []
     last = None
 
@@ -157,7 +161,7 @@ def groups(batches):
         return last[:2], sum(x[0] for x in ordered), [x[1] for x in ordered], [np.frombuffer(x[2], np.uint64) for x in ordered]
 
     for part in batches:
-        for *name, left, id_, set_ in zip(*(part.column(c).to_pylist() for c in ("band", "key", "piece", "left", "id", "hashes"))):
+        for *name, left, id_, set_ in zip(*(part.column(c).to_pylist() for c in ("band", "key", "level", "piece", "left", "id", "hashes"))):
             if name != last:
                 if held:
                     yield one()
@@ -168,9 +172,9 @@ def groups(batches):
 
 
 def met(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (band, key, piece, left, id) with their sets, each piece in one task."""
+    """Rows (band, key, level, piece, left, id) with their sets, each piece in one task."""
     ship(rows.sparkSession)
-    return rows.select("band", "key", "piece", "left", "id").join(sets, "id").repartition("band", "key", "piece").sortWithinPartitions("band", "key", "piece")
+    return rows.select("band", "key", "level", "piece", "left", "id").join(sets, "id").repartition("band", "key", "level", "piece").sortWithinPartitions("band", "key", "level", "piece")
 
 
 def exact_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -185,15 +189,68 @@ def exact_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met(rows, sets).mapInArrow(match, "a long, b long").where("a <> b")
 
 
+def headed(level: DataFrame, sets: DataFrame) -> DataFrame:
+    """level's rows as (band, key, head, id, like): like is the exact similarity to the bucket's head.
+
+    The head is sent to each piece of its bucket, so no piece grows with the bucket.
+    """
+
+    def match(batches):
+        for (band, key), left, ids, own in groups(batches):
+            like = jaccard(own, left)[0]
+            n = len(ids) - left
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in ([band] * n, [key] * n, [ids[0]] * n, ids[left:])), pa.array(like[left:])], names=["band", "key", "head", "id", "like"])
+
+    rows = level.select("band", "key", piece("id", "n").alias("piece"), F.lit(False).alias("left"), "id", "head")
+    heads = rows.select("band", "key", "piece", F.lit(True).alias("left"), F.col("head").alias("id")).distinct()
+    return met(rows.drop("head").unionByName(heads).withColumn("level", F.lit(0)), sets).mapInArrow(match, "band long, key long, head long, id long, like double")
+
+
+def piece(id_: str, n: str) -> Column:
+    return F.pmod(F.xxhash64(id_), F.ceil(F.col(n) / PIECE))
+
+
+def blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows (band, key, piece, left, id) in which every left row meets every right row of its (band, key)."""
+    count = lambda df, n: df.groupBy("band", "key").agg(F.count("*").alias(n))
+    sizes = count(left, "nl").join(count(right, "nr"), ["band", "key"])
+    l, r = F.ceil(F.col("nl") / PIECE), F.ceil(F.col("nr") / PIECE)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    a = left.join(sizes, ["band", "key"]).select("band", "key", piece("id", "nl").alias("i"), r.alias("r"), upto(r).alias("j"), F.lit(True).alias("left"), "id")
+    b = right.join(sizes, ["band", "key"]).select("band", "key", piece("id", "nr").alias("j"), r.alias("r"), upto(l).alias("i"), F.lit(False).alias("left"), "id")
+    return a.unionByName(b).select("band", "key", (F.col("i") * F.col("r") + F.col("j")).alias("piece"), "left", "id")
+
+
 def band_links(sketched: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """(a, b) of sketched (id long, bands array<long>), one row per distinct text: texts that
-    share a band's key and whose sets have an exact similarity of least or more.
+    """(a, b) of sketched (id long, bands array<long>), one row per distinct text: links between
+    texts that share a band's key and whose sets have an exact similarity of least or more.
 
     sets(ids) gives (id, hashes binary): the distinct shingle hashes, sorted. It is asked only for
     texts that meet another one.
+
+    A bucket over WHOLE texts links all like its head to the head. What is unlike the head is a
+    bucket of its own at the next level. Between the two, Jaccard distance being a metric, a text
+    can be like one of the head's only within twice the distance of the head; those meet all of
+    the head's in blocks. So no pair is left out but those that the head connects already, and a
+    task holds about two PIECEs.
     """
     rows = sketched.select("id", F.posexplode("bands").alias("band", "key"))
-    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    level = checkpointed(rows.join(sizes, ["band", "key"]))
+    sized = lambda df: df.join(df.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1"), ["band", "key"])
+    level = checkpointed(sized(rows))
     known = checkpointed(sets(level.select("id").distinct()))
-    return exact_links(level.withColumns({"piece": F.lit(0).cast("long"), "left": F.lit(True)}), known, least).distinct()
+    meets, links = [], []
+    for k in range(LEVELS):
+        meets.append(level.where(F.col("n") <= WHOLE).select("band", "key", F.lit(0).cast("long").alias("piece"), F.lit(True).alias("left"), "id", F.lit(k).alias("level")))
+        large = level.where(F.col("n") > WHOLE)
+        if not large.head(1):
+            break
+        if k == LEVELS - 1:
+            meets.append(blocks(large, large).withColumn("level", F.lit(k)))
+            break
+        told = checkpointed(headed(large, known))
+        near, far = told.where(F.col("like") >= least), told.where(F.col("like") < least)
+        links.append(near.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
+        meets.append(blocks(far.where(F.col("like") >= 2 * least - 1 - 1e-9), near).withColumn("level", F.lit(LEVELS + k)))
+        level = checkpointed(sized(far.select("band", "key", "id")))
+    links.append(exact_links(reduce(DataFrame.unionByName, meets), known, least))
+    return reduce(DataFrame.unionByName, links).distinct()

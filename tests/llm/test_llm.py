@@ -337,6 +337,27 @@ def test_resembling_decides_exactly_around_the_bar(spark):
     assert {r.doc_id: r.component_id for r in simhash.resembling(df).collect()} == want
 
 
+def test_large_buckets_are_cut_without_losing_links(spark, monkeypatch):
+    for name, value in (("WHOLE", 24), ("PIECE", 12)):
+        monkeypatch.setattr(resemblance, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 50_000, 300)]
+    rows = [(k, edited(rng, base, int(rng.integers(0, 20)))) for k in range(150)]
+    for k in range(150, 190, 2):  # pairs that are like each other, but mostly not like the group
+        twin = edited(rng, base, int(rng.integers(8, 24))).split()
+        rows += [(k, " ".join(twin)), (k + 1, edited(rng, twin, 2))]
+    met, largest = resemblance.met, []
+
+    def counted(pieces, sets):
+        largest.extend(r.n for r in pieces.groupBy(*(c for c in ("band", "key", "level", "piece") if c in pieces.columns)).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).collect())
+        return met(pieces, sets)
+
+    monkeypatch.setattr(resemblance, "met", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.resembling(df).collect()} == brute_resembling(rows)
+    assert len(largest) > 2 and max(largest) < 60
+
+
 def test_connect_keeps_components_whole():
     rng = np.random.default_rng(4)
     sets = [rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in range(4)]
