@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenary.functions import text as X
 from lumenary.operators.sessions import latest
 
+#: Queries that are sent to all tasks at once.
+QUERIES = 10_000
+
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products; null where the lengths differ."""
@@ -23,12 +28,13 @@ def normalised(df: DataFrame, column: str) -> DataFrame:
 def vector_matches(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.25) -> DataFrame:
     """(query_id, vec_id, similarity): the k nearest compatible vectors of each query, at least `least` alike.
 
-    queries is a stated, small set of rows (checked: at most 10,000) and goes to all tasks; the
-    vectors are read once and never shuffled whole: each task keeps k a query.
+    queries go to all tasks in blocks of about QUERIES rows, each against all vectors, which are
+    read once a block and never shuffled whole: each task keeps k a query.
     """
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("over 10,000 queries: split them")
-    pairs = vectors.join(F.broadcast(queries), "model").withColumn("similarity", dot(F.col("embedding"), F.col("query"))).where(F.col("similarity") >= least)
+    n = max(1, -(-queries.count() // QUERIES))
+    parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)] if n > 1 else [queries]
+    met = reduce(DataFrame.unionByName, (vectors.join(F.broadcast(q), "model") for q in parts))
+    pairs = met.withColumn("similarity", dot(F.col("embedding"), F.col("query"))).where(F.col("similarity") >= least)
     return latest(pairs, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rn").cast("long").alias("rank"))
 
 

@@ -34,6 +34,13 @@ def _(embeddings):
     return R.vector_matches(*_vectors(embeddings), 10)
 
 
+@query("C11_all", "embeddings")
+def _(embeddings):
+    """C11 with every id divisible by 50 as a query; tested by brute force."""
+    vectors = embeddings.select("vec_id", (F.col("label") % 2).alias("model"), "embedding")
+    return R.vector_matches(vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "model", F.col("embedding").alias("query")), vectors, 10)
+
+
 @query("I6", "embeddings", sql=f"SELECT vec_id, ROUND({_DOT.format('embedding', 'embedding')} / {_DOT.format('embedding', 'embedding')}, 6) AS unit_length FROM embeddings")
 def _(embeddings):
     """Squared lengths of normalised vectors."""
@@ -46,6 +53,12 @@ def _(benchmark, chunks):
     return R.lexical_scores(_queries(benchmark), chunks)
 
 
+@query("I5_all", "benchmark", "chunks")
+def _(benchmark, chunks):
+    """I5 with all items as queries and their whole texts; tested by brute force."""
+    return R.lexical_scores(benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), chunks)
+
+
 @query("I5_exact", "benchmark", "chunks", sql=f"WITH {_LEX.format('TRUE')} SELECT * FROM lex")
 def _(benchmark, chunks):
     return R.lexical_scores(_queries(benchmark), chunks, exact=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenary.functions import text as X
 from lumenary.operators import planning, ranks, sessions, traces
 from lumenary.operators.retrieval import fused, packed, vector_matches
+from lumenary.plans.registry import QUERIES
 
 
 def test_nearest_rank_of_four_turns(spark):
@@ -79,6 +80,35 @@ def test_vectors_of_other_models_do_not_match(spark):
     assert [r.vec_id for r in vector_matches(q, v, 5).collect()] == [1]
 
 
+def test_over_10_000_vector_queries_are_all_answered(spark):
+    q = spark.range(10_050).select(F.col("id").alias("query_id"), F.lit(0).alias("model"), F.array(F.lit(1.0), F.col("id") % 2).cast("array<float>").alias("query"))
+    v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.5, 0.9])], "vec_id long, model int, embedding array<float>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in vector_matches(q, v, 5).collect()}
+    assert got == {(i, k + 1): (2 - k if i % 2 else k + 1) for i in range(10_050) for k in range(2)}
+
+
+def test_all_vector_queries_match_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").collect()
+    want = {}
+    for q in (r for r in rows if r.vec_id % 50 == 0):
+        scored = [(-sum(x * y for x, y in zip(q.embedding, r.embedding)), r.vec_id) for r in rows if r.label % 2 == q.label % 2]
+        want[q.vec_id] = [i for s, i in sorted(scored) if s <= -0.25][:10]
+    got = {i: [] for i in want}
+    for r in QUERIES["C11_all"](spark, d).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == want and len(want) > 5
+
+
+def test_all_benchmark_items_are_lexical_queries(spark):
+    d = "/root/testdata/sf0.001"
+    terms = lambda df, i: {r[0]: set(r[1]) for r in df.select(i, X.terms(F.col("text"))).collect()}
+    q, c = terms(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id"), spark.read.parquet(f"{d}/documents.parquet")
+    low = {r.doc_id: r.text.lower() for r in c.where("text is not null").collect()}
+    want = {(a, b): 2 * len(x & y) + sum(low[b].count(t) for t in x) for a, x in q.items() for b, y in terms(c.where("text is not null"), "doc_id").items() if x & y}
+    assert {(r.query_id, r.chunk_id): r.lexical for r in QUERIES["I5_all"](spark, d).collect()} == want
+
+
 def test_fusion_and_packing(spark):
     a = spark.createDataFrame([(1, 10, 5.0), (1, 11, 4.0)], "query_id long, chunk_id long, score double")
     b = spark.createDataFrame([(1, 11, 0.9)], "query_id long, chunk_id long, score double")
