@@ -138,3 +138,10 @@ def _(questions):
     """One owner group's questions of a subject, newest first, with the total."""
     mine = questions.where("user_id % 10 = 1 AND subject = '1-URGENT'").select("paper_id", "question_number")
     return mine.orderBy(F.desc("paper_id"), F.desc("question_number")).limit(200).crossJoin(mine.groupBy().agg(F.count("*").alias("total")))
+
+
+@query("F11_all", "questions")
+def _(questions):
+    """F11 over all owners."""
+    mine = questions.where("subject = '1-URGENT'").select("paper_id", "question_number")
+    return mine.orderBy(F.desc("paper_id"), F.desc("question_number")).limit(200).crossJoin(mine.groupBy().agg(F.count("*").alias("total")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenary.operators import misc as M
 from lumenary.operators import planning as P
 from lumenary.operators.sessions import latest
-from lumenary.plans.planning import _EVIDENCE, _STATUS, _evidence
+from lumenary.plans.planning import _EVIDENCE, _STATUS, _all_evidence, _evidence
 from lumenary.plans.registry import query
 
 _CONCEPTS = "concepts AS (SELECT p_partkey, p_brand AS chapter, p_size % 6 AS unit, CAST(p_partkey % 5 AS INT) AS importance, p_size % 5 + 1 AS difficulty FROM part)"
@@ -97,6 +97,12 @@ def _(units, lineitem, orders):
     return M.proficiency(P.unit_status(units, _evidence(units, lineitem, orders)))
 
 
+@query("I36_all", "units", "lineitem", "orders")
+def _(units, lineitem, orders):
+    """I36 over all learners."""
+    return M.proficiency(P.unit_status(units, _all_evidence(units, lineitem, orders)))
+
+
 @query("F7", "conversations", sql="SELECT conv_id, turn, rn AS position FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY LENGTH(text) DESC, turn DESC) AS rn FROM conversations) x WHERE rn <= 3")
 def _(conversations):
     """The three most important memories of each conversation (by length here), the newer first."""

@@ -35,7 +35,11 @@ def _edges(units):
 
 
 def _evidence(units, lineitem, orders):
-    rows = lineitem.join(orders.where("o_custkey % 10 = 3"), F.col("l_orderkey") == F.col("o_orderkey")).join(units, F.col("l_partkey") == F.col("p_partkey"))
+    return _all_evidence(units, lineitem, orders.where("o_custkey % 10 = 3"))
+
+
+def _all_evidence(units, lineitem, orders):
+    rows = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(units, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(F.col("o_custkey").alias("user_id"), "unit_id", F.col("l_linenumber").alias("attempts"), (F.col("l_quantity") * 2).alias("accuracy"))
 
 
@@ -74,11 +78,23 @@ def _(units, lineitem, orders):
     return P.unit_status(units, _evidence(units, lineitem, orders))
 
 
+@query("I34_all", "units", "lineitem", "orders")
+def _(units, lineitem, orders):
+    """I34 over all learners."""
+    return P.unit_status(units, _all_evidence(units, lineitem, orders))
+
+
 @query("C13", "units", "lineitem", "orders", sql=f"WITH {_EVIDENCE}, {_STATUS}, {_EDGES} SELECT s.user_id, s.unit_id, COUNT(*) AS unmet FROM status s JOIN edges e ON e.unit_id = s.unit_id LEFT JOIN status m ON m.user_id = s.user_id AND m.unit_id = e.prereq_id AND m.status = 'mastered' WHERE s.status <> 'mastered' AND m.unit_id IS NULL GROUP BY 1, 2")
 def _(units, lineitem, orders):
     return P.unmet_prerequisites(_edges(units), P.unit_status(units, _evidence(units, lineitem, orders)))
 
 
+@query("C13_all", "units", "lineitem", "orders")
+def _(units, lineitem, orders):
+    """C13 over all learners."""
+    return P.unmet_prerequisites(_edges(units), P.unit_status(units, _all_evidence(units, lineitem, orders)))
+
+
 @query("E12", "units", "lineitem", "orders", sql=f"""
     WITH {_EVIDENCE}, {_STATUS}, {_EDGES}, m AS (SELECT user_id, unit_id FROM status WHERE status = 'mastered'), s AS (SELECT DISTINCT user_id, chapter FROM status JOIN units USING (unit_id)),
     o AS (SELECT s.user_id, s.chapter, arg_min(u.unit_id, u.unit_order) AS unit_id FROM s JOIN units u ON u.chapter = s.chapter LEFT JOIN m ON m.user_id = s.user_id AND m.unit_id = u.unit_id WHERE m.unit_id IS NULL GROUP BY 1, 2),
@@ -88,11 +104,23 @@ def _(units, lineitem, orders):
     return P.next_units(units, _edges(units), P.unit_status(units, _evidence(units, lineitem, orders)))
 
 
+@query("E12_all", "units", "lineitem", "orders")
+def _(units, lineitem, orders):
+    """E12 over all learners."""
+    return P.next_units(units, _edges(units), P.unit_status(units, _all_evidence(units, lineitem, orders)))
+
+
 @query("D44", "units", "lineitem", "orders", sql=f"WITH {_EVIDENCE}, {_STATUS} SELECT user_id, COUNT(*) FILTER (status = 'mastered') AS mastered, COUNT(*) FILTER (status = 'practising') AS practising, COUNT(*) FILTER (status = 'needs_review') AS needs_review, COUNT(*) AS total, CAST(ROUND(100 * COUNT(*) FILTER (status = 'mastered') / COUNT(*)) AS INT) AS percentage FROM status GROUP BY user_id")
 def _(units, lineitem, orders):
     return P.portfolio(P.unit_status(units, _evidence(units, lineitem, orders)))
 
 
+@query("D44_all", "units", "lineitem", "orders")
+def _(units, lineitem, orders):
+    """D44 over all learners."""
+    return P.portfolio(P.unit_status(units, _all_evidence(units, lineitem, orders)))
+
+
 @query("E8", "units", sql="""
     WITH r AS (SELECT unit_id, chapter, ROW_NUMBER() OVER (PARTITION BY chapter ORDER BY weight DESC, unit_id) - 1 AS k, COUNT(*) OVER (PARTITION BY chapter) AS n FROM units)
     SELECT unit_id, chapter, CASE WHEN k < (CASE WHEN n <= 3 THEN 1 ELSE GREATEST(1, CEIL(n * 0.34)) END) THEN 'high' WHEN k >= n - (CASE WHEN n < 3 THEN 0 ELSE GREATEST(1, FLOOR(n * 0.25)) END) THEN 'light' ELSE 'medium' END AS band FROM r""")
@@ -139,7 +167,17 @@ def _(units):
     b AS (SELECT unit_id, ROUND(base + CASE WHEN accuracy IS NULL THEN 0.0 WHEN accuracy < 40 THEN 4.0 WHEN accuracy < 60 THEN 2.5 WHEN accuracy < 80 THEN 1.0 WHEN accuracy >= 90 THEN -1.0 ELSE 0.0 END, 4) AS focus_score, CASE WHEN accuracy IS NULL THEN 'baseline' WHEN accuracy < 40 THEN 'critical' WHEN accuracy < 60 THEN 'weak' WHEN accuracy < 80 THEN 'building' ELSE 'strong' END AS band FROM s)
     SELECT *, CASE WHEN band IN ('baseline', 'critical', 'weak') THEN 'high' WHEN band = 'building' THEN 'medium' ELSE 'stretch' END AS priority FROM b""")
 def _(units, lineitem):
-    acc = lineitem.where("l_linenumber = 1").join(units, F.col("l_partkey") == F.col("p_partkey")).groupBy("unit_id").agg((F.avg("l_quantity") * 2).alias("accuracy"))
+    return _focus(units, lineitem.where("l_linenumber = 1"))
+
+
+@query("I37_all", "units", "lineitem")
+def _(units, lineitem):
+    """I37 with all lines as evidence."""
+    return _focus(units, lineitem)
+
+
+def _focus(units, lineitem):
+    acc = lineitem.join(units, F.col("l_partkey") == F.col("p_partkey")).groupBy("unit_id").agg((F.avg("l_quantity") * 2).alias("accuracy"))
     u = units.select("unit_id", (F.col("difficulty") % 4).alias("importance_score"), (F.col("p_partkey") % 4).alias("exam_score"), (F.col("difficulty") % 5).alias("difficulty"), (F.col("p_partkey") % 9).alias("concepts"))
     return P.focus_scores(u, acc)
 

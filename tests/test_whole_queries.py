@@ -1,0 +1,17 @@
+"""Queries over all rows give what the twins of their samples give without the sample's filter."""
+
+import pytest
+from test_queries import DATA, duck, plain  # noqa: F401
+
+from lumenary.plans.registry import ORACLE, QUERIES
+
+FILTERS = dict.fromkeys(("I34", "C13", "E12", "D44", "I36"), " WHERE o_custkey % 10 = 3") | {"I37": " WHERE l_linenumber = 1", "F11": "user_id % 10 = 1 AND "}
+
+
+@pytest.mark.parametrize("name", sorted(FILTERS))
+def test_all_rows_count(spark, duck, name):  # noqa: F811
+    assert FILTERS[name] in ORACLE[name]
+    result = duck.execute(ORACLE[name].replace(FILTERS[name], ""))
+    names = [d[0] for d in result.description]
+    got = sorted(tuple(plain(r[c]) for c in names) for r in QUERIES[f"{name}_all"](spark, DATA).collect())
+    assert got and got == sorted(tuple(map(plain, r)) for r in result.fetchall())
