@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenary.functions import text as X
+from lumenary.runtime import ship
 
 
 def path_fields(path: Column) -> list[Column]:
@@ -112,16 +115,23 @@ def renamed_collisions(concepts: DataFrame) -> DataFrame:
 def paper_batches(pages: DataFrame, doc: str, budget: int) -> DataFrame:
     """(doc, page, batch): pages in order, a new batch when the next would pass the budget of characters.
 
-    The running sum starts anew with each batch, which a window can't express: a fold over the
-    document's page lengths.
+    The running sum starts anew with each batch, which a window can't express: a task folds its
+    documents' sorted rows as they stream by and carries only the sum and the batch.
     """
-    rows = pages.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("page", "n"))).alias("xs"))
-
-    def put(acc: Column, x: Column) -> Column:
-        over = (acc["sum"] > 0) & (acc["sum"] + x["n"] > budget)
-        batch = F.when(over, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(F.when(over, x["n"]).otherwise(acc["sum"] + x["n"]).alias("sum"), batch.alias("batch"), F.concat(acc["out"], F.array(F.struct(x["page"].alias("page"), batch.alias("batch")))).alias("out"))
-
-    kind = pages.schema["page"].dataType.simpleString()
-    zero = F.struct(F.lit(0).cast(pages.schema["n"].dataType).alias("sum"), F.lit(0).alias("batch"), F.array().cast(f"array<struct<page:{kind},batch:int>>").alias("out"))
-    return rows.select(doc, F.explode(F.aggregate("xs", zero, put, lambda acc: acc["out"])).alias("x")).select(doc, "x.page", "x.batch")
+    ship(pages.sparkSession)
+
+    def run(batches):
+        last, total, batch = None, 0, 0
+        for part in batches:
+            out = []
+            for name, n in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+                if (name,) != last:
+                    last, total, batch = (name,), 0, 0
+                over = None not in (total, n) and total > 0 and total + n > budget
+                batch += over
+                total = n if over else None if None in (total, n) else total + n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int32())], names=[doc, "page", "batch"])
+
+    kind = T.StructType([pages.schema[doc], pages.schema["page"], T.StructField("batch", T.IntegerType())])
+    return pages.select(doc, "page", "n").repartition(doc).sortWithinPartitions(doc, "page", "n").mapInArrow(run, kind)

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lumenary.functions import text as X
-from lumenary.operators import planning, ranks, sessions, traces
+from lumenary.operators import content, planning, ranks, sessions, traces
 from lumenary.operators.retrieval import fused, packed, vector_matches
 from lumenary.plans.registry import QUERIES
 
@@ -126,3 +126,18 @@ def test_closure_is_transitive(spark):
 def test_row_level_plans_have_no_unpartitioned_window(spark):
     df = ranks.seed_rank(spark.range(100).select(F.col("id").alias("user_id"), F.rand(1).alias("seed_score")))
     assert not [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+
+
+def test_paper_batches_stream_a_large_key(spark):
+    rows = [("hot", k, k * 37 % 400) for k in range(5000)] + [("cold", 1, 900), ("cold", 2, 1)]
+    want, last, total, batch = {}, None, 0, 0
+    for doc, page, n in rows:
+        if doc != last:
+            last, total, batch = doc, 0, 0
+        if total > 0 and total + n > 800:
+            total, batch = 0, batch + 1
+        total += n
+        want[doc, page] = batch
+    df = content.paper_batches(spark.createDataFrame(rows, "source string, page long, n long").repartition(7), "source", 800)
+    assert {(r.source, r.page): r.batch for r in df.collect()} == want
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
