@@ -6,6 +6,9 @@ a maximal run of windows of one document with one anchor. Anchors are the keys b
 texts, which are each other's references, are cut into shards. A shard's distinct segments go
 into its suffix automaton in the order of their first documents; each is streamed through it
 first, and the windows whose matching statistic reaches `window` are an earlier document's.
+
+Hashes of 64 bits only choose who meets whom. Automata compare the words themselves; texts and
+segments count as equal by a keyed digest of 128 bits.
 """
 
 from __future__ import annotations
@@ -14,51 +17,59 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.llm.automaton import SuffixAutomaton
 from lumenary.llm.common import add_columns, documents, map_slices, mix, spaced, utf8
 from lumenary.llm.wordtable import word_hashes
-from lumenary.runtime import ship
+from lumenary.runtime import checkpointed, ship
 
 WINDOW, ANCHOR = 13, 5
 #: Windows of a segment at most, so that a mask of them fits 64 bits.
 SEGMENT = 48
-#: Segments of one anchor from which its windows are dealt out one by one, by their own hashes.
+#: Distinct segments of one anchor from which its windows become shards of their own.
 HOT = 2048
-ALONE, SHARED, MIXED, CROWDED = range(4)
-#: Bytes of a word's hash by which windows of one anchor, so of five equal words, are compared.
-WORD_BYTES = 5
+#: Digests of segments that a task remembers to have sent the words of.
+SENT = 1 << 18
+#: Columns that texts carry between the steps.
+COPY, HITS, SPANS = "_copy_versions", "_shared_anchors", "_removed_spans"
+
+
+def digest(raw: bytes, size: int = 16) -> bytes:
+    return hashlib.blake2b(raw, digest_size=size, key=b"lumenary").digest()
+
+
+def text_version(raw: bytes) -> int:
+    """Tells texts of one id apart by their words."""
+    return int.from_bytes(digest(spaced(raw), 8), "little", signed=True)
 
 
 class Windows:
-    """The segments of a slice of texts: arrays over all words, windows and segments."""
+    """The segments of a slice of texts: arrays over all words and segments."""
 
     def __init__(self, raw: list[bytes], window: int):
         self.words = [spaced(t) for t in raw]
         buffer = b" ".join(self.words) + b" "
         size = np.array([len(w) for w in self.words], np.int64)
-        byte = np.frombuffer(buffer, np.uint8)
-        gap = byte == 32
+        gap = np.frombuffer(buffer, np.uint8) == 32
         start = np.flatnonzero(np.concatenate([[True], gap[:-1]]) & ~gap)
         end = np.flatnonzero(gap & np.concatenate([[False], ~gap[:-1]]))
         begin = np.cumsum(size + 1) - size - 1
         self.first = np.append(np.searchsorted(start, begin), len(start))  # word where each text begins
         self.buffer, self.start, self.end = buffer, start, end
         n = len(start)
-        self.hash = word_hashes(buffer, start, end - start)
         doc = np.repeat(np.arange(len(raw)), np.diff(self.first))
         k = min(ANCHOR, window)
         if n < window:
             self.at = self.count = self.doc = np.zeros(0, np.int64)
-            self.anchor = self.segment = np.zeros(0, np.uint64)
-            self.window_hash = np.zeros(0, np.uint64)
+            self.anchor = np.zeros(0, np.uint64)
             return
+        word = word_hashes(buffer, start, end - start)
         gram = np.zeros(n - k + 1, np.uint64)
         for j in range(k):
-            gram += self.hash[j : n - k + 1 + j] * np.uint64(2 * j * 0x9E3779B97F4A7C15 + 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+            gram += word[j : n - k + 1 + j] * np.uint64(2 * j * 0x9E3779B97F4A7C15 + 0xD6E8FEB86659FD93 & (1 << 64) - 1)
         gram = mix(gram)
         wide, low = 1, gram
         span = window - k + 1
@@ -67,10 +78,6 @@ class Windows:
             wide *= 2
         m = n - window + 1
         anchor = np.minimum(low[:m], low[span - wide : span - wide + m])
-        whole = np.zeros(m, np.uint64)
-        for j in range(window):
-            whole += self.hash[j : m + j] * np.uint64(2 * j * 0xA24BAED4963EE407 + 0x9FB21C651E98DF25 & (1 << 64) - 1)
-        whole = mix(whole)
         inside = np.flatnonzero(doc[:m] == doc[window - 1 :])
         cut = np.ones(len(inside), bool)
         if len(inside):
@@ -84,155 +91,192 @@ class Windows:
             length = np.diff(np.append(heads, len(inside)))
         self.at, self.count = inside[heads], length  # first window (by word) and number of windows
         self.doc, self.anchor = doc[self.at], anchor[self.at]
-        self.segment = mix(np.add.reduceat(mix(whole[inside]), heads) + length.astype(np.uint64)) if len(heads) else np.zeros(0, np.uint64)
-        self.window_hash = whole
 
 
-def segments(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, anchor, segment) of every text; segment has 32 bits, beside the anchor's 64."""
+def versions(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, whole binary): a digest of each text's words."""
 
     def start():
         def step(part):
-            w = Windows(utf8(part), window)
-            # once for each text, anchor and segment
-            _, at = np.unique(mix(mix(w.anchor) + w.segment + w.doc.astype(np.uint64)), return_index=True)
-            at.sort()
-            ids = part.column("doc_id").take(pa.array(w.doc[at]))
-            return [ids, w.anchor[at].view(np.int64), (w.segment[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)]
+            words = [spaced(t) for t in utf8(part)]
+            return [part.column("doc_id"), [int.from_bytes(digest(w, 8), "little", signed=True) for w in words], [digest(w) for w in words]]
 
         return step
 
-    return map_slices(docs, start, "doc_id long, anchor long, segment int")
+    return map_slices(docs, start, "doc_id long, version long, whole binary")
 
 
-def shards(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, kind, first): anchors that more than one document has, with the smallest id.
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, COPY): the versions of an id whose words are, all in all, those of a smaller id."""
+    known = checkpointed(versions(docs))
+    least = known.groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return known.join(least, "whole").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("version").alias(COPY))
 
-    kind: SHARED if one segment is all there is, MIXED if there are several, CROWDED if more
-    than HOT occurrences are.
-    """
-    by = segments(docs, window).groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("segment").alias("s"), F.max("segment").alias("t"), F.count("*").alias("n"))
-    kind = F.when(F.col("s") == F.col("t"), SHARED).when(F.col("n") > HOT, CROWDED).otherwise(MIXED)
-    return by.where("first < last").select("anchor", "first", kind.cast("long").alias("kind"))
+
+def originals(part: pa.RecordBatch, raw: list[bytes]) -> np.ndarray:
+    """The places of a slice's texts that have an id and aren't copies."""
+    ids, marked = part.column("doc_id").to_pylist(), part.column(COPY).to_pylist()
+    return np.array([i is not None and not (m and text_version(t) in m) for i, m, t in zip(ids, marked, raw)], bool)
+
+
+def anchors(texts: DataFrame, window: int) -> DataFrame:
+    """(doc_id, anchor), each once in a text."""
+
+    def start():
+        def step(part):
+            raw = utf8(part)
+            on = originals(part, raw)
+            w = Windows([t if k else b"" for t, k in zip(raw, on.tolist())], window)
+            _, at = np.unique(mix(w.anchor) + w.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
+            return [part.column("doc_id").take(pa.array(w.doc[at])), w.anchor[at].view(np.int64)]
+
+        return step
+
+    return map_slices(texts, start, "doc_id long, anchor long")
 
 
-def contents(texts: DataFrame, window: int, distinct: bool) -> DataFrame:
-    """Segments of shards that hold several.
+def shared(part: pa.RecordBatch, w: Windows) -> np.ndarray:
+    """The numbers of the slice's segments whose anchor is among its text's HITS."""
+    lists = part.column(HITS).to_pylist()
+    n = np.array([len(x) if x else 0 for x in lists], np.int64)
+    flat = np.array([a for x in lists if x for a in x], np.int64).view(np.uint64)
+    spread = np.uint64(0x9E3779B97F4A7C15)
+    have = np.unique(mix(flat) + np.repeat(np.arange(len(n)), n).astype(np.uint64) * spread)
+    return np.flatnonzero(np.isin(mix(w.anchor) + w.doc.astype(np.uint64) * spread, have))
 
-    distinct: (anchor, segment, doc_id, words), in each slice once with its smallest id; words
-    are hashes of WORD_BYTES. Else every place: (doc_id, version, anchor, segment, at, count).
-    A crowded anchor's windows come one by one, with their own hash as anchor and segment.
+
+def contents(texts: DataFrame, window: int) -> DataFrame:
+    """Segments of shared anchors: (anchor, digest, count, first, words, docs, versions, ats).
+
+    A slice's equal segments are one row with all their places; first is the smallest id of
+    them. words, one space apart, are null where the task has sent them with an id as small.
     """
 
     def start():
+        sent: dict[bytes, int] = {}
+
         def step(part):
-            # not a filter of the plan: so the join before it is the one that the result reads, too
-            part = part.filter(pa.array([x is not None and any(h & 3 > SHARED for h in x) for x in part.column("hits").to_pylist()], pa.bool_()))
-            if not part.num_rows:
+            if not pc.any(pc.is_valid(part.column(HITS))).as_py():
                 return None
-            raw_texts = utf8(part)
-            w = Windows(raw_texts, window)
-            kind = kinds(part, w)
-            mixed, crowded = np.flatnonzero(kind == MIXED), np.flatnonzero(kind == CROWDED)
-            at, count = w.at[mixed], w.count[mixed]
-            doc, anchor, segment = w.doc[mixed], w.anchor[mixed], w.segment[mixed]
-            if len(crowded):
-                n = w.count[crowded]
-                single = np.repeat(w.at[crowded] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                at, count = np.concatenate([at, single]), np.concatenate([count, np.ones(len(single), np.int64)])
-                doc = np.concatenate([doc, np.repeat(w.doc[crowded], n)])
-                anchor, segment = (np.concatenate([x, w.window_hash[single]]) for x in (anchor, segment))
-            if not len(at):
-                return None
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[doc]
-            if not distinct:
-                version = np.array([text_version(t) for t in raw_texts], np.int64)
-                return [ids, version[doc], anchor.view(np.int64), segment.view(np.int64), at - w.first[doc], count]
-            order = np.lexsort((ids, segment, anchor))
-            a, g = anchor[order], segment[order]
-            order = order[np.concatenate([[True], (a[1:] != a[:-1]) | (g[1:] != g[:-1])])]
-            raw = np.ascontiguousarray(w.hash.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes()
-            words = [raw[WORD_BYTES * x : WORD_BYTES * (x + c + window - 1)] for x, c in zip(at[order].tolist(), count[order].tolist())]
-            return [anchor[order].view(np.int64), segment[order].view(np.int64), ids[order], words]
+            raw = utf8(part)
+            w = Windows([t if x else b"" for t, x in zip(raw, part.column(HITS).to_pylist())], window)
+            on = shared(part, w)
+            ids, own = part.column("doc_id").to_pylist(), [text_version(t) for t in raw]
+            held: dict[bytes, list] = {}
+            at, count, doc = w.at[on], w.count[on], w.doc[on]
+            for a, n, d, x, y, k in zip((at - w.first[doc]).tolist(), count.tolist(), doc.tolist(), w.start[at].tolist(), w.end[at + count + window - 2].tolist(), on.tolist()):
+                words = w.buffer[x:y]
+                name = digest(words)
+                if name not in held:
+                    held[name] = [k, n, words, [], [], []]
+                row = held[name]
+                row[3].append(ids[d]), row[4].append(own[d]), row[5].append(a)
+            if len(sent) > SENT:
+                sent.clear()
+            out: list[list] = [[] for _ in range(8)]
+            anchor = w.anchor.view(np.int64)
+            for name, (k, n, words, docs, own_, ats) in held.items():
+                first = min(docs)
+                if sent.get(name, first + 1) > first:
+                    sent[name] = first
+                else:
+                    words = None
+                for c, v in zip(out, (int(anchor[k]), name, n, first, words, docs, own_, ats)):
+                    c.append(v)
+            return out
 
         return step
 
-    return map_slices(texts, start, "anchor long, segment long, doc_id long, words binary" if distinct else "doc_id long, version long, anchor long, segment long, at long, count long")
+    return map_slices(texts, start, "anchor long, digest binary, count long, first long, words binary, docs longs, versions longs, ats longs")
 
 
-def text_version(raw: bytes) -> int:
-    """Tells texts of one id apart."""
-    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
-
-
-def kinds(part: pa.RecordBatch, w: Windows) -> np.ndarray:
-    """The kind of each of the slice's segments, by the hits of its text: anchors with the kind in the last two bits."""
-    lists = part.column("hits")
-    n = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], np.int64)
-    flat = np.array([a for x in lists.to_pylist() if x for a in x], np.int64).view(np.uint64)
-    value = (flat & np.uint64(3)).astype(np.int64)
-    # one key per text and anchor, mixed with the text's place in the slice
-    key = mix((flat >> np.uint64(2)) + np.repeat(np.arange(len(n)), n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key)
-    key, value = key[order], value[order]
-    want = mix((w.anchor >> np.uint64(2)) + w.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    if not len(key):
-        return np.zeros(len(want), np.int64)
-    at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-    return np.where(key[at] == want, value[at], ALONE)
+def single_windows(rows: DataFrame, window: int) -> DataFrame:
+    """Rows of contents(), each window of theirs a segment, and its digest's beginning its anchor."""
+
+    def start():
+        def step(part):
+            out: list[list] = [[] for _ in range(8)]
+            names = ("count", "first", "words", "docs", "versions", "ats")
+            for count, first, raw, docs, own, ats in zip(*(part.column(c).to_pylist() for c in names)):
+                words = raw.split(b" ")
+                for k in range(count):
+                    piece = b" ".join(words[k : k + window])
+                    name = digest(piece)
+                    row = (int.from_bytes(name[:8], "little", signed=True), name, 1, first, piece, docs, own, [a + k for a in ats])
+                    for c, v in zip(out, row):
+                        c.append(v)
+            return out
+
+        return step
+
+    return map_slices(rows, start, "anchor long, digest binary, count long, first long, words binary, docs longs, versions longs, ats longs", "words")
+
+
+def bounded(rows: DataFrame, window: int) -> DataFrame:
+    """rows of contents(), with the windows of anchors over HOT distinct segments one by one."""
+    crowded = checkpointed(rows.where("words is not null").select("anchor", "digest").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"))
+    if not crowded.head(1):
+        return rows
+    many = rows.join(crowded, "anchor", "left_semi")
+    words = many.where("words is not null").groupBy("digest").agg(F.first("words").alias("words"))
+    return rows.join(crowded, "anchor", "left_anti").unionByName(single_windows(many.drop("words").join(words, "digest"), window))
 
 
 def stream_shards(parts: DataFrame, window: int) -> DataFrame:
-    """(anchor, segment, first, mask): a bit for each window that a smaller id's segment has.
+    """(digest, first, mask): a bit for each window of a segment that a smaller id's segment has.
 
-    parts has each shard's segments with ids that have them; first is the smallest. A shard has
-    at most HOT different segments, and its automaton lives as long as its rows pass.
+    parts: (anchor, digest, first, words). A shard has at most HOT different segments, and its
+    automaton lives as long as its rows pass. It is made when a second segment comes.
     """
     ship(parts.sparkSession)
 
     def run(batches):
         anchor_now, machine, waiting, first_now, seen = None, SuffixAutomaton(), [], None, set()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for anchor, segment, first, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "doc_id", "words"))):
+            out: list[list] = [[], [], []]
+            for anchor, name, first, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "first", "words"))):
                 if anchor != anchor_now:
                     anchor_now, machine, waiting, first_now, seen = anchor, SuffixAutomaton(), [], None, set()
-                if segment in seen:
+                if name in seen:
                     continue
-                seen.add(segment)
+                seen.add(name)
                 if first != first_now:
                     for w in waiting:
                         machine.add(w)
                     waiting, first_now = [], first
-                words = [raw[k : k + WORD_BYTES] for k in range(0, len(raw), WORD_BYTES)]
-                mask = 0
+                words, mask = raw.split(b" "), 0
                 if len(machine.next) > 1:
                     for k, n in enumerate(machine.matching(words)[window - 1 :]):
                         if n >= window:
                             mask |= 1 << k
                 waiting.append(words)
-                for c, v in zip(out, (anchor, segment, first, mask)):
+                for c, v in zip(out, (name, first, mask)):
                     c.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["anchor", "segment", "first", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64()))], names=["digest", "first", "mask"])
 
-    dealt = parts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "segment")
-    return dealt.mapInArrow(run, "anchor long, segment long, first long, mask long")
+    dealt = parts.repartition("anchor").sortWithinPartitions("anchor", "first", "digest")
+    return dealt.mapInArrow(run, "digest binary, first long, mask long")
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text) with hits, shared anchors with their kinds, and version, at and mask of single windows."""
-    plain = docs.select("doc_id", "text")
-    known = segments(plain, window).join(shards(plain, window), "anchor").where(f"kind > {SHARED} or doc_id > first")
-    by_doc = known.groupBy("doc_id").agg(F.collect_set(F.expr("anchor & ~3L | kind")).alias("hits"))
-    # all uses of texts read one shuffle of the documents
-    texts = docs.join(by_doc, "doc_id", "left")
-    masks = stream_shards(contents(texts, window, True), window)
-    full = F.expr("shiftleft(1L, cast(count as int)) - 1")
-    places = contents(texts, window, False)
-    marked = places.join(masks, ["anchor", "segment"]).withColumn("mask", F.when(F.col("doc_id") > F.col("first"), full).otherwise(F.col("mask"))).where("mask <> 0")
-    spans = marked.groupBy("doc_id").agg(F.collect_list(F.struct("version", "at", "mask")).alias("spans"))
-    return texts.join(spans, "doc_id", "left").select("*", *(F.col(f"spans.{c}").alias(c) for c in ("version", "at", "mask"))).drop("spans")
+    """docs (doc_id, text, any others) with COPY, and SPANS: structs of version, at and mask.
+
+    All uses of texts read one shuffle of the documents.
+    """
+    texts = docs.join(copies(docs.where("doc_id is not null").select("doc_id", "text")), "doc_id", "left")
+    known = anchors(texts.select("doc_id", "text", COPY), window)
+    shards = known.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
+    hits = known.join(shards, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias(HITS))
+    # a copy's own windows are all gone; only originals are held against each other
+    rows = bounded(checkpointed(contents(texts.select("doc_id", "text", COPY).join(hits, "doc_id"), window)), window)
+    masks = stream_shards(rows.where("words is not null").select("anchor", "digest", "first", "words"), window).withColumnRenamed("first", "owner")
+    marked = rows.select("digest", "count", "docs", "versions", "ats").join(masks, "digest")
+    place = F.explode(F.arrays_zip("docs", "versions", "ats")).alias("p")
+    each = marked.select("owner", "mask", F.expr("shiftleft(1L, cast(count as int)) - 1").alias("full"), place)
+    each = each.select(F.col("p.docs").alias("doc_id"), F.col("p.versions").alias("version"), F.col("p.ats").alias("at"), F.when(F.col("p.docs") > F.col("owner"), F.col("full")).otherwise(F.col("mask")).alias("mask"))
+    spans = each.where("mask <> 0").groupBy("doc_id").agg(F.collect_list(F.struct("version", "at", "mask")).alias(SPANS))
+    return texts.join(spans, "doc_id", "left")
 
 
 def cut_text(raw: bytes, off: np.ndarray) -> bytes:
@@ -249,56 +293,56 @@ def cut_text(raw: bytes, off: np.ndarray) -> bytes:
 def deduplicate(docs: DataFrame, id_: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_removed, kept and kept_sha256: what no removed window covers.
 
-    A window goes if its words also start in a document with a smaller id. kept is the text
-    without the removed words, otherwise unchanged (null for a null text); the digest is that
-    of the kept words one space apart. Documents without an id stay whole.
+    A window goes if its words also start in a document with a smaller id; of texts whose words
+    are all a smaller id's, so goes all (but for texts under a window). kept is the text without
+    the removed words, otherwise unchanged (null for a null text); the digest is that of the kept
+    words one space apart. Rows without an id stay whole; rows of one id remove nothing from each
+    other; a text of any length is one row of one task. Other columns pass, but for those with
+    the names of the four new ones.
     """
-    mine = ["doc_id", "text", "version", "hits", "at", "mask"]
-    other = [c for c in docs.columns if c not in (id_, text, *mine)]
+    new = ("n_words", "n_removed", "kept", "kept_sha256")
+    other = [F.col(f"`{c}`") for c in docs.columns if c not in (id_, text, *new, "doc_id", "text")]
     rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), *other)
 
     def start():
         def step(part):
             raw = utf8(part)
-            w = Windows(raw, window)
-            kind = kinds(part, w)
-            gone = np.zeros(len(w.start) + 1, np.int64)
-            whole = np.flatnonzero(kind == SHARED)
-            np.add.at(gone, w.at[whole], 1)
-            np.add.at(gone, w.at[whole] + w.count[whole] + window - 1, -1)
-            for k, (version, at, mask) in enumerate(zip(*(part.column(c).to_pylist() for c in ("version", "at", "mask")))):
-                if at:
-                    mine = np.array(version, np.int64) == text_version(raw[k])
-                    a = np.array(at, np.int64)[mine] + w.first[k]
-                    bits = np.unpackbits(np.array(mask, "<i8")[mine].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    r, c = np.nonzero(bits)
-                    np.add.at(gone, a[r] + c, 1)
-                    np.add.at(gone, a[r] + c + window, -1)
-            off = np.cumsum(gone)[:-1] > 0
-            n = np.diff(w.first)
-            total = np.concatenate([[0], np.cumsum(off)])
-            removed = total[w.first[1:]] - total[w.first[:-1]]
-            digest, kept = [], part.column("text")
-            texts = dict.fromkeys(np.flatnonzero(removed).tolist(), "")
-            for k, words in enumerate(w.words):
-                if removed[k]:
-                    stay = cut_text(raw[k], off[w.first[k] : w.first[k + 1]])
-                    texts[k] = stay.decode()
-                    words = spaced(stay)
-                digest.append(hashlib.sha256(words).hexdigest())
-            if texts:
-                kept = pa.array([texts.get(k, t) for k, t in enumerate(kept.to_pylist())], pa.string())
-            return [n, removed, kept, digest]
+            on = originals(part, raw)
+            words = [spaced(t) for t in raw]
+            n = [w.count(b" ") + 1 if w else 0 for w in words]
+            removed, kept, digests = [], part.column("text").to_pylist(), []
+            for k, (doc, marks, spans) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", COPY, SPANS)))):
+                off = np.zeros(n[k] + 1, np.int64)
+                if doc is not None and not on[k]:
+                    off[:-1] = n[k] >= window
+                elif spans:
+                    own = text_version(raw[k])
+                    spans = [s for s in spans if s["version"] == own]
+                    if spans:
+                        bits = np.unpackbits(np.array([s["mask"] for s in spans], "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                        r, c = np.nonzero(bits)
+                        at = np.array([s["at"] for s in spans], np.int64)[r] + c
+                        np.add.at(off, at, 1)
+                        np.add.at(off, at + window, -1)
+                        off = np.cumsum(off)
+                off = off[:-1] > 0
+                removed.append(int(off.sum()))
+                stay = words[k]
+                if removed[-1]:
+                    cut = cut_text(raw[k], off)
+                    kept[k], stay = cut.decode(), spaced(cut)
+                digests.append(hashlib.sha256(stay).hexdigest())
+            return [n, removed, pa.array(kept, pa.string()), digests]
 
         return step
 
-    return add_columns(removed_spans(rows, window), start, "n_words long, n_removed long, kept string, kept_sha256 string", "text").drop("version", "hits", "at", "mask")
+    return add_columns(removed_spans(rows, window), start, "n_words long, n_removed long, kept string, kept_sha256 string", "text").drop(COPY, SPANS)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What is left of every document without the 13-word windows of smaller ids.
 
     A null or empty text has no words; a repeated row (equal id) removes nothing from its twin;
-    other columns play no part; an empty table gives no rows.
+    other columns play no part; an empty table gives no rows; long texts are cut whole.
     """
     return deduplicate(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
