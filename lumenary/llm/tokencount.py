@@ -1,7 +1,9 @@
-"""Token counts by a deterministic transducer over text, exact for units it has not compiled."""
+"""Token counts by a deterministic transducer over text, by exact merging for what it has not compiled."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,12 +11,15 @@ from pyspark.sql import functions as F
 from lumenary.llm.common import documents, map_slices, utf8
 from lumenary.llm.pairmerge import Pairs, merge_rows
 from lumenary.llm.wordbpe import model_path
-from lumenary.llm.wordtable import WordTable, word_hashes
+from lumenary.llm.wordtable import WordTable
 
-#: States of a worker's transducer at most, and symbols of a unit that it or a matrix row takes.
+#: States of a worker's transducer from which it compiles no more, and symbols of a unit that it
+#: or a matrix row takes.
 STATES, LONGEST = 150_000, 40
-#: Bytes of a chunk: more than LONGEST symbols can have, so no chunk is inside one compiled unit.
-CHUNK = 192
+#: Bytes of a chunk, of which many are run side by side.
+CHUNK = 64
+#: The vocabulary's pieces of characters up to here are compiled from the start, others when met.
+FIRST = "\u024f"
 SPACE = "▁".encode()
 
 
@@ -41,6 +46,7 @@ class PieceCounter:
         self.table[[ord(c) for c in chars]] = list(self.symbol.values())
         self.more = np.where(self.table == n, (code >= 0x80).astype(np.uint8) + (code >= 0x800) + (code >= 0x10000), 0).astype(np.uint8)
         known = {**{c: s for c, s in self.symbol.items()}, **pieces}
+        self.pieces = [p.replace("▁", " ").encode() for p in pieces if p[0] == "▁" and max(p.replace("▁", " ")) <= FIRST]
         order = {p: r for r, p in enumerate(sorted(pieces, key=lambda p: (-self.library.get_score(pieces[p]), pieces[p])))}
         found = [(known[p[:k]], known[p[k:]], order[p], pieces[p]) for p in pieces for k in range(1, len(p)) if p[:k] in known and p[k:] in known]
         self.pairs = Pairs(*np.array(found, np.int64).T, n + 1 + len(chars))
@@ -66,22 +72,28 @@ class PieceCounter:
 
 
 class Transducer:
-    """Deterministic states over bytes; leaving a unit's state emits the unit's token count.
+    """Deterministic states over bytes, with a number of tokens on each transition.
 
-    The table grows with the units that a worker meets again, until it has STATES states; the
-    counts of others are kept by hash, and a unit new to both is merged exactly.
-    State 0 is the start of a unit; state 1 takes all units that are not compiled.
+    A state stands for a prefix of units. The transition to a longer prefix emits by how many
+    tokens the merge rules make of it more than of the shorter one (or less, if a merge joins
+    two), so the emissions along a unit add up to its count. A unit begins in state 0. State 1
+    takes what leaves the compiled prefixes; the transition into it takes back what was emitted,
+    and the unit is merged exactly. Compiled are the vocabulary's pieces and, up to STATES, units
+    that come again.
     """
 
     def __init__(self, counter: PieceCounter):
         self.counter, self.others = counter, WordTable(21)
         self.column = np.zeros(256, np.int64)  # of bytes that some transition reads; 0: none
-        self.next = np.ones((1024, 1), np.int32)
-        self.emit = np.full(1024, -1, np.int32)
+        self.next = np.ones((1 << 16, 1), np.int32)
+        self.emit = np.zeros((1 << 16, 1), np.int16)
+        self.total = np.zeros(1 << 16, np.int16)  # tokens of a state's prefix
         self.states = 2
+        if counter.cuts:
+            self.compile(counter.pieces)
 
-    def compile(self, units: list[bytes], counts: np.ndarray) -> None:
-        """Add units of at most LONGEST bytes, all at once level by level."""
+    def compile(self, units: list[bytes]) -> None:
+        """Add units of at most LONGEST bytes and their prefixes, all at once level by level."""
         if not units or self.states >= STATES:
             return
         size = np.array([len(u) for u in units])
@@ -90,55 +102,101 @@ class Transducer:
         if len(fresh):
             self.column[fresh] = self.next.shape[1] + np.arange(len(fresh))
             self.next = np.hstack([self.next, np.ones((len(self.next), len(fresh)), np.int32)])
+            self.emit = np.hstack([self.emit, np.repeat(-self.total[:, None], len(fresh), axis=1)])
         at, state = np.cumsum(size) - size, np.zeros(len(units), np.int64)
+        width = self.next.shape[1]
         for k in range(size.max()):
             rows = np.flatnonzero(size > k)
-            edge = state[rows] * self.next.shape[1] + self.column[byte[at[rows] + k]]
-            flat = self.next.reshape(-1)
-            new = np.unique(edge[flat[edge] == 1])
-            need = self.states + len(new)
-            while need > len(self.next):
-                self.next = np.vstack([self.next, np.ones_like(self.next)])
-                self.emit = np.concatenate([self.emit, np.full_like(self.emit, -1)])
-            flat = self.next.reshape(-1)
-            flat[new] = np.arange(self.states, need)
-            self.states = need
-            state[rows] = flat[edge]
-        self.emit[state] = counts
-
-    def run(self, byte: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """The state after each byte; start: where units begin.
-
-        The bytes are run in chunks side by side, each from the state of an uncompiled unit. A
-        chunk's map from the state before it to the state after it is constant: either a unit
-        begins in it, or it is longer than any compiled unit and leads to state 1. So composing
-        the maps over all earlier chunks gives the last one's constant, and only the bytes
-        before a chunk's first unit are run again, from there.
+            edge = state[rows] * width + self.column[byte[at[rows] + k]]
+            new, first = np.unique(edge[self.next.reshape(-1)[edge] == 1], return_index=True)
+            if len(new):
+                first = rows[np.flatnonzero(self.next.reshape(-1)[edge] == 1)[first]]
+                grown = np.arange(self.states, self.states + len(new))
+                self.states += len(new)
+                while self.states > len(self.next):
+                    self.next = np.vstack([self.next, np.ones_like(self.next)])
+                    self.emit, self.total = np.vstack([self.emit, np.zeros_like(self.emit)]), np.append(self.total, np.zeros_like(self.total))
+                self.total[grown] = self.counted([units[u][: k + 1] for u in first.tolist()])
+                self.emit[grown] = -self.total[grown, None]
+                self.next.reshape(-1)[new] = grown
+                self.emit.reshape(-1)[new] = self.total[grown] - self.total[new // width]
+            state[rows] = self.next.reshape(-1)[edge]
+
+    def counted(self, prefixes: list[bytes]) -> np.ndarray:
+        """Tokens of each prefix, up to its last whole character."""
+        whole = [p.decode(errors="ignore").encode() for p in prefixes]
+        out, some = np.zeros(len(whole), np.int64), [k for k, p in enumerate(whole) if p]
+        if some:
+            out[some] = self.counter.units([whole[k] for k in some])
+        return out
+
+    def advance(self, state: np.ndarray, column: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The states after size bytes from start on."""
+        out, flat, width = state.copy(), self.next.reshape(-1), self.next.shape[1]
+        k, live = 0, np.flatnonzero((size > 0) & (state != 1))
+        while len(live):
+            out[live] = flat[out[live] * width + column[start[live] + k]]
+            k += 1
+            live = live[(size[live] > k) & (out[live] != 1)]
+        return out
+
+    def entries(self, column: np.ndarray, start: np.ndarray, size: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The state before each chunk, by a parallel prefix scan over the chunks' maps of states.
+
+        A map is constant (last, 0 or more) if a unit begins in the chunk; else (-1) it is that
+        of the chunk's bytes. Neighbouring maps are composed pairwise, level by level, until one
+        is left; then each level hands the states before its pairs down to their halves.
+        """
+        n = len(start)
+        if n == 1:
+            return np.ones(1, np.int64)
+        if n % 2:
+            start, size, last = np.append(start, start[-1] + size[-1]), np.append(size, 0), np.append(last, -1)
+        left, right = slice(0, None, 2), slice(1, None, 2)
+        both = last[right].copy()
+        open_ = np.flatnonzero((both < 0) & (last[left] >= 0))
+        both[open_] = self.advance(last[left][open_], column, start[right][open_], size[right][open_])
+        out = np.empty(len(start), np.int64)
+        out[left] = self.entries(column, start[left], size[left] + size[right], both)
+        out[right] = last[left]
+        open_ = np.flatnonzero(last[left] < 0)
+        out[right][open_] = self.advance(out[left][open_], column, start[left][open_], size[left][open_])
+        return out[:n]
+
+    def run(self, byte: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, tokens emitted) after each byte; start: where units begin.
+
+        Chunks are run side by side, at first each from state 1, so right from its first unit
+        on. The bytes before that are run again from the state that the scan over all chunks'
+        maps gives.
         """
         n = len(byte)
         rows = -(-n // CHUNK)
         column = np.zeros(rows * CHUNK, np.int64)
         column[:n] = self.column[byte]
-        column, begin = column.reshape(rows, CHUNK).T.copy(), np.zeros(rows * CHUNK, bool)
+        begin = np.zeros(rows * CHUNK, bool)
         begin[:n] = start
-        begin = begin.reshape(rows, CHUNK).T.copy()
-        flat, width = self.next.reshape(-1), self.next.shape[1]
-        out = np.empty((CHUNK, rows), np.int32)
+        across, begin = column.reshape(rows, CHUNK).T.copy(), begin.reshape(rows, CHUNK).T.copy()
+        flat, emit, width = self.next.reshape(-1), self.emit.reshape(-1), self.next.shape[1]
+        states, tokens = np.empty((CHUNK, rows), np.int32), np.empty((CHUNK, rows), np.int16)
         state = np.ones(rows, np.int64)
         for k in range(CHUNK):
             state[begin[k]] = 0
-            state = flat[state * width + column[k]].astype(np.int64)
-            out[k] = state
-        before = np.concatenate([[1], out[-1, :-1]]).astype(np.int64)
-        live = np.flatnonzero(before != 1)
+            edge = state * width + across[k]
+            state = flat[edge].astype(np.int64)
+            states[k], tokens[k] = state, emit[edge]
+        last = np.where(begin.any(axis=0), states[-1], -1).astype(np.int64)
+        state = self.entries(column, np.arange(rows) * CHUNK, np.full(rows, CHUNK), last)
+        live = np.flatnonzero(state != 1)
         for k in range(CHUNK):
             live = live[~begin[k, live]]
             if not len(live):
                 break
-            before[live] = flat[before[live] * width + column[k, live]]
-            out[k, live] = before[live]
-            live = live[before[live] != 1]
-        return out.T.reshape(-1)[:n]
+            edge = state[live] * width + across[k, live]
+            state[live] = flat[edge]
+            states[k, live], tokens[k, live] = state[live], emit[edge]
+            live = live[state[live] != 1]
+        return states.T.reshape(-1)[:n], tokens.T.reshape(-1)[:n]
 
     def count(self, texts: list[bytes]) -> np.ndarray:
         """The token count of each text."""
@@ -160,35 +218,35 @@ class Transducer:
         start[begin] = True
         at = np.flatnonzero(start)
         end = np.append(at[1:], len(byte))
-        count = self.emit[self.run(byte, start)[end - 1]].astype(np.int64)
-        lack = np.flatnonzero(count < 0)
-        if len(lack):
-            key = word_hashes(raw, at[lack], (end - at)[lack])
+        states, tokens = self.run(byte, start)
+        sums = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
+        cut = np.append(begin, len(byte))
+        total[size > 0] = sums[cut[1:]] - sums[cut[:-1]]
+        left = np.flatnonzero(states[end - 1] == 1)  # the units that aren't compiled; they emitted 0 in sum
+        if len(left):
             if self.others.full:
                 self.others.clear()
-            entry = self.others.find(key)
-            new = np.flatnonzero(entry < 0)
-            if len(new):
-                names, first, back, times = np.unique(key[new], return_index=True, return_inverse=True, return_counts=True)
-                pick = lack[new[first]]
-                units = [raw[a:b] for a, b in zip(at[pick].tolist(), end[pick].tolist())]
-                counts = self.counter.units(units)
-                entry[new] = self.others.count + back
-                self.others.add(names, [int(c).to_bytes(4, "little") for c in counts])
-                often = [k for k in np.flatnonzero(times > 1).tolist() if len(units[k]) <= LONGEST]
-                self.compile([units[k] for k in often], counts[often])
-            count[lack] = self.others.pool[entry]
-        sums = np.concatenate([[0], np.cumsum(count)])
-        cut = np.searchsorted(at, np.append(begin, len(byte)))
-        total[size > 0] = sums[cut[1:]] - sums[cut[:-1]]
+            known = self.others.count
+            entry = self.others.entries(raw, at[left], (end - at)[left], lambda units: [int(c).to_bytes(4, "little") for c in self.counter.units(units)])
+            np.add.at(total, np.flatnonzero(size > 0)[np.searchsorted(begin, at[left], "right") - 1], self.others.pool[entry].astype(np.int64))
+            # units that came before, or twice in these texts
+            which, first, times = np.unique(entry, return_index=True, return_counts=True)
+            often = left[first[(which < known) | (times > 1)]]
+            self.compile([raw[a:b] for a, b in zip(at[often].tolist(), end[often].tolist()) if b - a <= LONGEST])
         return total
 
 
+@lru_cache(1)
+def transducer(tokenizer: str) -> Transducer:
+    """One transducer for all tasks of a worker; what it compiles changes no count."""
+    return Transducer(PieceCounter(tokenizer))
+
+
 def token_counts(docs: DataFrame, id_: str = "doc_id", text: str = "text", tokenizer: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each text; a null text is empty."""
 
     def start():
-        machine = Transducer(PieceCounter(tokenizer))
+        machine = transducer(tokenizer)
 
         def step(part):
             raw = utf8(part)
@@ -204,6 +262,6 @@ def op9_token_counts(spark, sf_dir: str) -> DataFrame:
     """Tokens of every document.
 
     A null or empty text has 0 tokens; a repeated row is counted again; other columns play no
-    part; an empty table gives no rows.
+    part; an empty table gives no rows; a text of any length is counted whole.
     """
     return token_counts(documents(spark, sf_dir))

@@ -4,27 +4,37 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import groupby
+from os.path import commonprefix
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.llm.common import add_columns, documents, held_out, map_slices, strings, table
+from lumenary.runtime import checkpointed
 
-#: Labelled rows that words are weighed on at most: those of least hash of the id.
+#: Labelled rows that words are weighed on at most: those of least hash of the id. Features and
+#: patterns of features are those of these rows, so the model is bounded by them too.
 SAMPLE = 30_000
-#: Words that the model has at most, and the labelled documents that one needs at least.
-VOCABULARY, LEAST = 512, 3
-#: What a sign may stand for besides itself, with the log-probability of the disguise.
+#: Labelled documents that a word needs at least, and how far it must stand out (in deviations).
+LEAST, STANDS_OUT = 3, 4.0
+#: What a sign may stand for besides itself.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i"}
-SUBSTITUTE, DROP, KEEP = -1.0, -2.0, -0.05
+#: Log-probabilities of the channel: a letter stays; stands as a sign; is repeated; a sign of no
+#: letter is put in, one that may be a letter is; a sign parts two words; a wide gap joins a word.
+KEEP, SUBSTITUTE, REPEAT, FILLER, SIGN, BREAK, WIDE = -0.05, -1.0, -1.0, -0.5, -2.0, -0.5, -4.0
+#: What a whole word of the vocabulary has over other words of the letter model.
+PRIOR = 6.0
+#: Steps after which what all paths of the decoder share is written out.
+SETTLE = 64
 #: Letters of the language model: a to z, and 0 for all others and the ends of words.
 LETTERS = 27
 REMEMBERED = 150_000
 FOLD = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-TOKEN = re.compile(r"\S+")
-SPACED_HINT = re.compile(r"\s[^\W_][ .\-_*][^\W_][ .\-_*][^\W_]|^[^\W_][ .\-_*][^\W_][ .\-_*][^\W_]")
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){2,}(?!\S)")
+#: A run of characters that stand alone, so perhaps words spaced out. The hint is a cheap first look.
+SPACED_HINT = re.compile(r"(?:^|\s)\S[ .\-_*]+\S[ .\-_*]+\S")
+SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]+[^\W_]|[ .\-_*]+[@$!|+€(¡]){2,}(?!\S)|(?<!\S)[@$!|+€(¡](?:[ .\-_*]+[^\W_]){2,}(?!\S)")
 #: A token that may be disguised: signs among letters, a thrice repeated letter, dots between.
 DISGUISED = re.compile(r"[a-z][0-9@$!|+€(¡.*_\-]+[a-z]|^[0-9@$!|+€(¡]+[a-z]{2}|[a-z]{2}[0-9@$!|+€(¡]+$|([a-z])\1\1")
 EDGE = re.compile(r"^[^\w@$!|+€(¡]+|[^\w@$!|+€(¡]+$")
@@ -55,95 +65,107 @@ def letter_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         return step
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    got = map_slices(rows, start, "run int, n long").groupBy("run").agg(F.sum("n").alias("n")).collect()
+    got = map_slices(rows, start, "run int, n long").groupBy("run").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(LETTERS**3)
-    for r in got:
-        out[r.run] = r.n
+    out[got["run"].to_numpy()] = got["n"].to_numpy()
     return out.reshape((LETTERS,) * 3)
 
 
 class Restorer:
-    """The likeliest plain word behind a disguised one."""
+    """The likeliest plain words behind disguised ones: a noisy channel over a letter model."""
 
     def __init__(self, counts: np.ndarray, words: set[str]):
         two = counts.sum(axis=2, keepdims=True)
         one = counts.sum(axis=(0, 1))
         back = (one + 1) / (one.sum() + LETTERS)
-        self.log = np.log((counts + 20 * back) / (two + 20))
-        self.words, self.memo = words, {}
-
-    def decode(self, token: str) -> str:
-        """Viterbi over the token's character lattice under the letter model.
-
-        Each character may stay, stand for a letter, or, if it is a sign or repeats its
-        neighbour, fall away. A state is the last two letters; ties go to the earlier state.
+        self.log = np.log((counts + 20 * back) / (two + 20)).tolist()
+        self.memo: dict[str, tuple[str, ...]] = {}
+        # the vocabulary as a tree: of each node its children by letter, and whether a word ends
+        self.next: list[dict[int, int]] = [{}]
+        self.ends = [False]
+        for w in sorted(words):
+            node = 0
+            for c in w:
+                node = self.next[node].setdefault(ord(c) - 96, len(self.next))
+                if node == len(self.next):
+                    self.next.append({}), self.ends.append(False)
+            self.ends[node] = True
+
+    @staticmethod
+    def arcs(c: str, k: int) -> list[tuple[str, float]]:
+        """What k equal characters c may have been, with log-probabilities; a space parts words."""
+        if "a" <= c <= "z":
+            most = min(k, 3) if k < 4 else 2
+            return [(c * j, j * KEEP + (most - j) * REPEAT) for j in range(most, 0, -1)]
+        if c == " ":
+            return [(" ", BREAK), ("", FILLER)] if k == 1 else [(" ", 0.0), ("", WIDE)]
+        if c in LEET:
+            return [(x * j, j * SUBSTITUTE + (min(k, 2) - j) * REPEAT) for x in LEET[c] for j in range(min(k, 2), 0, -1)] + [(" ", BREAK), ("", SIGN)]
+        return [(c, KEEP)] if c.isalpha() else [(" ", BREAK), ("", FILLER)]
+
+    def decode(self, text: str) -> str:
+        """Viterbi over the lattice of a text's characters, spaces, signs and repeats alike.
+
+        A state is the last two letters with the place in the vocabulary's tree (-1: in none of
+        its words). A word's end costs what the letter model says; a word of the vocabulary has
+        PRIOR back. Ties go to the earlier arc. The time is linear in the text's length.
         """
-        states = {(0, 0): (0.0, "")}
-        log = self.log
-        for k, c in enumerate(token):
-            steps = []
-            if "a" <= c <= "z":
-                steps.append((c, KEEP))
-                if k and token[k - 1] == c:
-                    steps.append(("", DROP / 2))
-            else:
-                steps += [(x, SUBSTITUTE) for x in LEET.get(c, "")]
-                steps.append(("", DROP * (1 if c in LEET else 0.25)))
+        log, tree, ends = self.log, self.next, self.ends
+        states, done = {(0, 0, 0): (0.0, "")}, []
+        for step, (c, run) in enumerate(groupby(text)):
+            arcs = self.arcs(c, sum(1 for _ in run))
             new: dict = {}
-            for (a, b), (cost, path) in states.items():
-                for x, p in steps:
-                    if x:
-                        n = ord(x) - 96
-                        key, value = (b, n), (cost + p + log[a, b, n], path + x)
+            for (a, b, node), (cost, path) in states.items():
+                for x, p in arcs:
+                    value, u, v, m = cost + p, a, b, node
+                    if x == " ":
+                        if b:
+                            value += log[a][b][0] + (PRIOR if m >= 0 and ends[m] else 0.0)
+                            u, v, m = b, 0, 0
                     else:
-                        key, value = (a, b), (cost + p, path)
-                    if key not in new or value[0] > new[key][0]:
-                        new[key] = value
+                        for y in x:
+                            n = ord(y) - 96 if "a" <= y <= "z" else 0
+                            value += log[u][v][n]
+                            u, v, m = v, n, tree[m].get(n, -1) if m >= 0 else -1
+                    key = (u, v, m)
+                    if key not in new or value > new[key][0]:
+                        new[key] = (value, path + x)
             states = new
-        # a decoded word of the vocabulary is taken over a slightly likelier other one
-        best = max(states.items(), key=lambda kv: kv[1][0] + log[kv[0][0], kv[0][1], 0] + (6.0 if kv[1][1] in self.words else 0.0))
-        return best[1][1]
-
-    def candidates(self, token: str) -> set[str]:
-        """Readings that the letter model may miss: every run as one letter or two, signs read."""
-        plain = "".join(LEET.get(c, c)[0] if not "a" <= c <= "z" else c for c in token if "a" <= c <= "z" or c in LEET)
-        once, twice = re.sub(r"(.)\1+", r"\1", plain), re.sub(r"(.)\1\1+", r"\1\1", plain)
-        bare = re.sub("[^a-z]", "", token)
-        return {plain, once, twice, bare, re.sub(r"(.)\1+", r"\1", bare)} & self.words
-
-    def word(self, token: str) -> str:
-        """The word behind a lower-cased token; its own letters where nothing is disguised."""
-        core = EDGE.sub("", token)
-        if core.isalpha() and not (len(core) < 41 and DISGUISED.search(core)):
-            return core
-        plain = core.translate(FOLD)
-        bare = re.sub("[^a-z]+$|^[^a-z]+", "", plain)
-        if bare in self.words or len(core) > 40 or not DISGUISED.search(plain):
-            return bare
-        known = self.candidates(plain)
-        return min(known) if known else self.decode(plain)
-
-    def words_of(self, text: str) -> set[str]:
-        """The distinct words of a text, restored; letters spaced out are read as one word too."""
+            if step % SETTLE == SETTLE - 1:
+                same = len(commonprefix([path for _, path in states.values()]))
+                done.append(next(iter(states.values()))[1][:same])
+                states = {k: (cost, path[same:]) for k, (cost, path) in states.items()}
+        best = max(states.items(), key=lambda kv: kv[1][0] + (log[kv[0][0]][kv[0][1]][0] + (PRIOR if kv[0][2] >= 0 and ends[kv[0][2]] else 0.0) if kv[0][1] else 0.0))
+        return "".join(done) + best[1][1]
+
+    def words(self, token: str) -> tuple[str, ...]:
+        """The words behind a lower-cased token or spaced-out run; its own where nothing is disguised."""
+        got = self.memo.get(token)
+        if got is None:
+            if len(self.memo) > REMEMBERED:
+                self.memo.clear()
+            core = EDGE.sub("", token)
+            plain = core.translate(FOLD)
+            if " " not in token and not DISGUISED.search(plain):
+                own = core if core.isalpha() else re.sub("[^a-z]+$|^[^a-z]+", "", plain)
+                got = (own,) if own else ()
+            else:
+                got = tuple(dict.fromkeys(self.decode(plain).split()))
+            self.memo[token] = got
+        return got
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """The lower-cased tokens of a text, each once, and its runs of single characters."""
         low = text.lower()
-        memo = self.memo
-        if len(memo) > REMEMBERED:
-            memo.clear()
-        tokens = low.split()
-        out = set()
-        for t in set(tokens):
-            w = memo.get(t)
-            if w is None:
-                w = memo[t] = self.word(t)
-            out.add(w)
+        out = dict.fromkeys(low.split())
         if SPACED_HINT.search(low):
-            out.update(self.word(re.sub(r"[ .\-_*]", "", m.group())) for m in SPACED.finditer(low))
-        out.discard("")
-        return out
+            out |= dict.fromkeys(run for m in SPACED.finditer(low) if re.search("[a-z]", run := m.group()))
+        return list(out)
 
     def features(self, text: str) -> set[str]:
         """A text's words, and beginnings of words: stem* if a word has it, stem** if two have."""
-        out = self.words_of(text)
+        out = {w for p in self.parts(text) for w in self.words(p)}
         long = [w for w in out if len(w) >= STEMS[0]]
         for n in STEMS:
             stems = [w[:n] for w in long if len(w) >= n]
@@ -158,29 +180,29 @@ class Scorer:
     """Sums of learned weights over a text's features, each token looked at once per worker."""
 
     def __init__(self, letters: np.ndarray, weights: dict[str, float], base: float):
-        self.restorer = Restorer(letters, {w for w in weights if w[-1] != "*"})
+        self.restorer = Restorer(letters, vocabulary_words(weights))
         self.weights, self.base, self.memo = weights, base, {}
 
-    def known(self, token: str) -> tuple:
-        """(word, its stems) if any feature of the token has a weight, else nothing."""
-        w = self.restorer.word(token)
-        stems = [w[:n] for n in STEMS if len(w) >= n and (w[:n] + "*" in self.weights or w[:n] + "**" in self.weights)]
-        return (w, *stems) if stems or w in self.weights else ()
+    def known(self, token: str) -> tuple[tuple[str, ...], ...]:
+        """(word, its stems) of each of the token's words of which a feature has a weight."""
+        out = []
+        for w in self.restorer.words(token):
+            stems = [w[:n] for n in STEMS if len(w) >= n and (w[:n] + "*" in self.weights or w[:n] + "**" in self.weights)]
+            if stems or w in self.weights:
+                out.append((w, *stems))
+        return tuple(out)
 
     def total(self, text: str) -> float:
-        low = text.lower()
         memo = self.memo
         if len(memo) > REMEMBERED:
             memo.clear()
         found = set()
-        for t in set(low.split()):
+        for t in Restorer.parts(text):
             got = memo.get(t)
             if got is None:
                 got = memo[t] = self.known(t)
             if got:
-                found.add(got)
-        if SPACED_HINT.search(low):
-            found.update(got for m in SPACED.finditer(low) if (got := self.known(re.sub(r"[ .\-_*]", "", m.group()))))
+                found.update(got)
         if not found:
             return self.base
         stems = Counter(x for _, *rest in found for x in rest)
@@ -188,6 +210,11 @@ class Scorer:
         return self.base + sum(self.weights.get(n, 0.0) for n in sorted(names))
 
 
+def vocabulary_words(features) -> set[str]:
+    """The whole words among features, where the decoder can spell them."""
+    return {w for w in features if re.fullmatch("[a-z]+", w)}
+
+
 def sample_labels(labels: DataFrame, sample: int) -> DataFrame:
     """(doc_id, toxic) of at most `sample` rows not held out, by hash of the id; toxic if any row says so."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").where(~held_out("doc_id", 5, 0))
@@ -201,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "te
     sample of labelled rows: a word or stem is a feature if it is much likelier in toxic ones.
     """
     letters = letter_counts(docs, text)
-    pick = F.broadcast(sample_labels(labels, sample))
+    pick = F.broadcast(checkpointed(sample_labels(labels, sample)))
     rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text")).join(pick, "doc_id")
 
     def counted():
@@ -214,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "te
 
         def step(part):
             for toxic, t in zip(part.column("toxic").to_pylist(), strings(part)):
-                for x in restorer.features(t):
+                for x in ("", *restorer.features(t)):  # the empty word counts the rows
                     held.setdefault(x, [0, 0])[toxic] += 1
             return hand_on() if len(held) > COUNTED else None
 
@@ -223,57 +250,65 @@ def fit(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "te
 
     def present(vocabulary: list[str]):
         def start():
-            restorer, known = Restorer(letters, {w for w in vocabulary if w[-1] != "*"}), set(vocabulary)
+            restorer, at = Restorer(letters, vocabulary_words(vocabulary)), {w: k for k, w in enumerate(vocabulary)}
 
             def step(part):
-                out: list[list] = [[], []]
-                for doc, t in zip(part.column("doc_id").to_pylist(), strings(part)):
-                    found = sorted(restorer.features(t) & known)
-                    out[0] += [doc] * len(found)
-                    out[1] += found
-                return out
+                found = [sorted(at[x] for x in restorer.features(t) if x in at) for t in strings(part)]
+                return [part.column("doc_id"), part.column("toxic"), [np.array(f, "<u4").tobytes() for f in found]]
 
             return step
 
         return start
 
-    size = {r.toxic: r.n for r in pick.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = size.get(1, 0), size.get(0, 0)
+    by = checkpointed(map_slices(rows, counted, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    size = by.where("word = ''").head()
+    bad, good = (size.t, size.c) if size else (0, 0)
     if not bad or not good:
         return letters, {}, -20.0 if not bad else 20.0
-    by = map_slices(rows, counted, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # signed chi-square of presence against the label; only words on the toxic side
+    # signed root of chi-square of presence against the label; only words on the toxic side
     rate = (F.col("t") + F.col("c")) / (bad + good)
-    chi = (F.col("t") - bad * rate) / F.sqrt(bad * rate * (1 - rate) + 0.5)
-    top = by.where(F.col("t") >= LEAST).where(chi > 4).orderBy(chi.desc(), "word").limit(VOCABULARY).collect()
-    vocabulary = sorted(r.word for r in top)
-    at = {w: k for k, w in enumerate(vocabulary)}
-    # the vocabulary's occurrences in the sample, distinct by document: bounded by both
-    hits = map_slices(rows, present(vocabulary), "doc_id long, word string").distinct().collect() if vocabulary else []
-    truth = {r.doc_id: r.toxic for r in pick.collect()}
-    ids = sorted(truth)
-    row = {d: k for k, d in enumerate(ids)}
-    x = np.zeros((len(ids), len(vocabulary) + 1), np.float32)
-    x[:, -1] = 1
-    for r in hits:
-        x[row[r.doc_id], at[r.word]] = 1
-    weight = regress(x, np.array([truth[d] for d in ids], float))
+    stands_out = (F.col("t") - bad * rate) / F.sqrt(bad * rate * (1 - rate) + 0.5)
+    # as many as the sample has; each is in LEAST toxic rows of it
+    vocabulary = sorted(by.where("word <> ''").where(F.col("t") >= LEAST).where(stands_out > STANDS_OUT).select("word").toArrow()["word"].to_pylist())
+    if not vocabulary:
+        return letters, {}, float(np.log(bad / good))
+    # a pattern is a row's features; there are no more of them than sampled documents
+    each = map_slices(rows, present(vocabulary), "doc_id long, toxic int, pattern binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("pattern").alias("pattern"))
+    patterns = each.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("toxic").alias("hit")).orderBy("pattern").toArrow()
+    weight = regress(patterns["pattern"].to_pylist(), patterns["n"].to_numpy(), patterns["hit"].to_numpy(), len(vocabulary))
     return letters, dict(zip(vocabulary, weight[:-1].tolist())), float(weight[-1])
 
 
-def regress(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Logistic regression by Newton steps; the last column, the constant, has no penalty."""
-    # equal rows count once, with a multiplicity
-    rows, back = np.unique(x, axis=0, return_inverse=True)
-    n, hit = np.bincount(back.reshape(-1)), np.bincount(back.reshape(-1), y)
-    ridge = np.full(x.shape[1], penalty)
-    ridge[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+def regress(patterns: list[bytes], n: np.ndarray, hit: np.ndarray, features: int, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Weights of logistic regression, the last one the constant, which has no penalty.
+
+    patterns: which features are present, as little-endian unsigned 32-bit numbers; of n[k] rows
+    with a pattern, hit[k] are positive. Newton steps, each solved by conjugate gradients over the
+    features that are present, so no matrix of rows by features is laid out.
+    """
+    column = np.frombuffer(b"".join(patterns), "<u4").astype(np.int64)
+    row = np.repeat(np.arange(len(patterns)), [len(p) // 4 for p in patterns])
+    ridge = np.append(np.full(features, penalty), 1e-6)
+    times = lambda v: v[-1] + np.bincount(row, v[column], len(patterns))
+    back = lambda u: np.append(np.bincount(column, u[row], features), u.sum())
+    w = np.zeros(features + 1)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        slope = rows.T @ (hit - n * p) - ridge * w
-        bend = (rows * (n * p * (1 - p))[:, None]).T @ rows + np.diag(ridge)
-        move = np.linalg.solve(bend, slope)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        bend = n * p * (1 - p)
+        left = back(hit - n * p) - ridge * w
+        scale = 1 / (back(bend) + ridge)  # the matrix's diagonal, as features are 0 or 1
+        move, pull = np.zeros_like(w), scale * left
+        size = left @ pull
+        enough = 1e-18 * max(size, 1e-30)
+        for _ in range(4 * len(w)):
+            if size <= enough:
+                break
+            bent = back(bend * times(pull)) + ridge * pull
+            share = size / (pull @ bent)
+            move, left = move + share * pull, left - share * bent
+            fresh = scale * left
+            size, before = left @ fresh, size
+            pull = fresh + size / before * pull
         w += move
         if np.abs(move).max() < 1e-6:
             break

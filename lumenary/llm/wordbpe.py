@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 
 from lumenary.llm.pairmerge import Pairs, merge_rows
-from lumenary.llm.wordtable import WordTable, word_hashes
+from lumenary.llm.wordtable import WordTable
 
 #: Words of more bytes go to the library's heap-based merge, which is linear in them.
 LONGEST = 48
@@ -135,23 +135,17 @@ class WordBpe:
                 out[r] = flat[k * width : k * width + 4 * m]
         return out
 
+    def resolved(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids, of those in the lexicon from there."""
+        ids = self.known(words) if self.known is not None else [None] * len(words)
+        miss = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(miss, self.merged([words[k] for k in miss])):
+            ids[k] = x
+        return ids
+
     def entries(self, buffer: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The table's entry for each word; what it lacks is resolved once and added."""
-        key = word_hashes(buffer, start, size)
-        entry = self.table.find(key)
-        lack = np.flatnonzero(entry < 0)
-        if len(lack):
-            new, first, back = np.unique(key[lack], return_index=True, return_inverse=True)
-            a = start[lack][first]
-            raw = [buffer[x:y] for x, y in zip(a.tolist(), (a + size[lack][first]).tolist())]
-            ids = self.known(raw) if self.known is not None else [None] * len(raw)
-            miss = [k for k, x in enumerate(ids) if x is None]
-            for k, x in zip(miss, self.merged([raw[k] for k in miss])):
-                ids[k] = x
-            before = self.table.count
-            self.table.add(new, ids)
-            entry[lack] = before + back
-        return entry
+        return self.table.entries(buffer, start, size, self.resolved)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, and where each text's begin (with the end)."""
