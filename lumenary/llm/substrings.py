@@ -17,20 +17,24 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.llm.automaton import SuffixAutomaton
-from lumenary.llm.common import add_columns, documents, map_slices, mix, spaced, utf8
+from lumenary.llm.common import add_columns, arrow_fields, documents, map_slices, mix, spaced, utf8
 from lumenary.llm.wordtable import word_hashes
 from lumenary.runtime import checkpointed, ship
 
 WINDOW, ANCHOR = 13, 5
 #: Windows of a segment at most, so that a mask of them fits 64 bits.
 SEGMENT = 48
-#: Distinct segments of one anchor from which its windows become shards of their own.
-HOT = 2048
+#: Distinct segments of one anchor over which its windows become shards of their own, and documents
+#: over which a shard gets each of its segments once, and the places come by a join.
+HOT, BUSY = 2048, 100_000
+#: How an anchor is handled, by the last bits of its place in HITS.
+PLAIN, JOINED, CROWDED = range(3)
+#: Bits that a segment's hash takes in the key of anchors().
+LOW = 16
 #: Digests of segments that a task remembers to have sent the words of.
 SENT = 1 << 18
 #: Columns that texts carry between the steps.
@@ -64,7 +68,7 @@ class Windows:
         k = min(ANCHOR, window)
         if n < window:
             self.at = self.count = self.doc = np.zeros(0, np.int64)
-            self.anchor = np.zeros(0, np.uint64)
+            self.anchor = self.segment = np.zeros(0, np.uint64)
             return
         word = word_hashes(buffer, start, end - start)
         gram = np.zeros(n - k + 1, np.uint64)
@@ -91,6 +95,9 @@ class Windows:
             length = np.diff(np.append(heads, len(inside)))
         self.at, self.count = inside[heads], length  # first window (by word) and number of windows
         self.doc, self.anchor = doc[self.at], anchor[self.at]
+        # a weak hash of the segment's words, by the sums before its begin and end
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(word + np.uint64(0x632BE59BD9B4E019)))])
+        self.segment = mix(sums[self.at + length + window - 1] - sums[self.at])
 
 
 def versions(docs: DataFrame) -> DataFrame:
@@ -119,144 +126,152 @@ def originals(part: pa.RecordBatch, raw: list[bytes]) -> np.ndarray:
     return np.array([i is not None and not (m and text_version(t) in m) for i, m, t in zip(ids, marked, raw)], bool)
 
 
-def anchors(texts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, anchor), each once in a text."""
+def anchors(docs: DataFrame, window: int) -> DataFrame:
+    """(anchor, segment, docs): in each slice once, with all its documents.
+
+    anchor has 48 bits of the anchor's hash, segment LOW bits of the segment's, by which distinct
+    segments are counted.
+    """
 
     def start():
         def step(part):
-            raw = utf8(part)
-            on = originals(part, raw)
-            w = Windows([t if k else b"" for t, k in zip(raw, on.tolist())], window)
-            _, at = np.unique(mix(w.anchor) + w.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
-            return [part.column("doc_id").take(pa.array(w.doc[at])), w.anchor[at].view(np.int64)]
+            w = Windows(utf8(part), window)
+            low = np.uint64((1 << LOW) - 1)
+            key = (w.anchor & ~low) | (w.segment & low)
+            order = np.lexsort((w.doc, key))
+            key, doc = key[order], w.doc[order]
+            if not len(key):
+                return None
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+            key, doc = key[new], doc[new]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), part.column("doc_id").take(pa.array(doc)))
+            key = key[first].view(np.int64)
+            return [key >> LOW, key & ((1 << LOW) - 1), ids]
 
         return step
 
-    return map_slices(texts, start, "doc_id long, anchor long")
+    return map_slices(docs, start, "anchor long, segment int, docs longs")
+
 
+def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, HITS): each document's anchors that another one has too, shifted by two bits for the way.
 
-def shared(part: pa.RecordBatch, w: Windows) -> np.ndarray:
-    """The numbers of the slice's segments whose anchor is among its text's HITS."""
+    One shuffle of anchors serves the counts and the documents.
+    """
+    rows = anchors(docs.where("doc_id is not null").select("doc_id", "text"), window).repartition("anchor")
+    by = rows.groupBy("anchor", "segment").agg(F.min(F.array_min("docs")).alias("least"), F.max(F.array_max("docs")).alias("most"), F.sum(F.size("docs")).alias("n"))
+    by = by.groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"), F.count("*").alias("segments"))
+    way = F.when(F.col("segments") > HOT, CROWDED).when(F.col("n") > BUSY, JOINED).otherwise(PLAIN)
+    by = by.where("least < most").select("anchor", way.cast("long").alias("way"))
+    each = rows.join(by, "anchor").select(F.explode("docs").alias("doc_id"), F.expr("shiftleft(anchor, 2) | way").alias("hit"))
+    return each.groupBy("doc_id").agg(F.collect_set("hit").alias(HITS))
+
+
+def ways(part: pa.RecordBatch, w: Windows) -> np.ndarray:
+    """How each of the slice's segments is handled, by its text's HITS; -1: no other document has its anchor."""
     lists = part.column(HITS).to_pylist()
     n = np.array([len(x) if x else 0 for x in lists], np.int64)
-    flat = np.array([a for x in lists if x for a in x], np.int64).view(np.uint64)
+    flat = np.array([a for x in lists if x for a in x], np.int64)
+    if not len(flat):
+        return np.full(len(w.anchor), -1)
     spread = np.uint64(0x9E3779B97F4A7C15)
-    have = np.unique(mix(flat) + np.repeat(np.arange(len(n)), n).astype(np.uint64) * spread)
-    return np.flatnonzero(np.isin(mix(w.anchor) + w.doc.astype(np.uint64) * spread, have))
+    # one key per text and anchor
+    have = mix((flat >> 2).view(np.uint64)) + np.repeat(np.arange(len(n)), n).astype(np.uint64) * spread
+    want = mix((w.anchor.view(np.int64) >> LOW).view(np.uint64)) + w.doc.astype(np.uint64) * spread
+    order = np.argsort(have)
+    at = np.minimum(np.searchsorted(have[order], want), len(have) - 1)
+    return np.where(have[order][at] == want, (flat & 3)[order][at], -1)
 
 
-def contents(texts: DataFrame, window: int) -> DataFrame:
-    """Segments of shared anchors: (anchor, digest, count, first, words, docs, versions, ats).
+def contents(texts: DataFrame, window: int, plain: bool) -> DataFrame:
+    """Segments of shared anchors: (anchor, digest, first, words, count, docs, versions, ats).
 
     A slice's equal segments are one row with all their places; first is the smallest id of
     them. words, one space apart, are null where the task has sent them with an id as small.
+    Of crowded anchors each window is a segment, and its digest's beginning its anchor.
     """
 
     def start():
         sent: dict[bytes, int] = {}
 
         def step(part):
-            if not pc.any(pc.is_valid(part.column(HITS))).as_py():
-                return None
             raw = utf8(part)
-            w = Windows([t if x else b"" for t, x in zip(raw, part.column(HITS).to_pylist())], window)
-            on = shared(part, w)
-            ids, own = part.column("doc_id").to_pylist(), [text_version(t) for t in raw]
+            own = originals(part, raw)
+            w = Windows([t if k else b"" for t, k in zip(raw, own.tolist())], window)
+            way = ways(part, w)
+            on = np.flatnonzero(way == PLAIN if plain else way > PLAIN)
+            at, count, doc, anchor, single = w.at[on], w.count[on], w.doc[on], w.anchor[on].view(np.int64) >> LOW, way[on] == CROWDED
+            if single.any():
+                times = np.where(single, count, 1)
+                step_ = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                at, count, doc, anchor, single = (np.repeat(x, times) for x in (at, count, doc, anchor, single))
+                at, count = at + step_, np.where(single, 1, count)
+            if not len(at):
+                return None
+            ids, version = part.column("doc_id").to_pylist(), [text_version(t) if k else 0 for t, k in zip(raw, own.tolist())]
             held: dict[bytes, list] = {}
-            at, count, doc = w.at[on], w.count[on], w.doc[on]
-            for a, n, d, x, y, k in zip((at - w.first[doc]).tolist(), count.tolist(), doc.tolist(), w.start[at].tolist(), w.end[at + count + window - 2].tolist(), on.tolist()):
+            for k, (a, n, d, x, y) in enumerate(zip((at - w.first[doc]).tolist(), count.tolist(), doc.tolist(), w.start[at].tolist(), w.end[at + count + window - 2].tolist())):
                 words = w.buffer[x:y]
                 name = digest(words)
                 if name not in held:
-                    held[name] = [k, n, words, [], [], []]
+                    held[name] = [int.from_bytes(name[:6], "little") if single[k] else int(anchor[k]), n, words, [], [], []]
                 row = held[name]
-                row[3].append(ids[d]), row[4].append(own[d]), row[5].append(a)
+                row[3].append(ids[d]), row[4].append(version[d]), row[5].append(a)
             if len(sent) > SENT:
                 sent.clear()
             out: list[list] = [[] for _ in range(8)]
-            anchor = w.anchor.view(np.int64)
-            for name, (k, n, words, docs, own_, ats) in held.items():
+            for name, (key, n, words, docs, own_, ats) in held.items():
                 first = min(docs)
                 if sent.get(name, first + 1) > first:
                     sent[name] = first
                 else:
                     words = None
-                for c, v in zip(out, (int(anchor[k]), name, n, first, words, docs, own_, ats)):
+                for c, v in zip(out, (key, name, first, words, n, docs, own_, ats)):
                     c.append(v)
             return out
 
         return step
 
-    return map_slices(texts, start, "anchor long, digest binary, count long, first long, words binary, docs longs, versions longs, ats longs")
+    return map_slices(texts, start, "anchor long, digest binary, first long, words binary, count long, docs longs, versions longs, ats longs")
 
 
-def single_windows(rows: DataFrame, window: int) -> DataFrame:
-    """Rows of contents(), each window of theirs a segment, and its digest's beginning its anchor."""
+def stream_shards(rows: DataFrame, window: int) -> DataFrame:
+    """rows of contents() with owner, the smallest id that has the segment, and mask in place of anchor, first and words.
 
-    def start():
-        def step(part):
-            out: list[list] = [[] for _ in range(8)]
-            names = ("count", "first", "words", "docs", "versions", "ats")
-            for count, first, raw, docs, own, ats in zip(*(part.column(c).to_pylist() for c in names)):
-                words = raw.split(b" ")
-                for k in range(count):
-                    piece = b" ".join(words[k : k + window])
-                    name = digest(piece)
-                    row = (int.from_bytes(name[:8], "little", signed=True), name, 1, first, piece, docs, own, [a + k for a in ats])
-                    for c, v in zip(out, row):
-                        c.append(v)
-            return out
-
-        return step
-
-    return map_slices(rows, start, "anchor long, digest binary, count long, first long, words binary, docs longs, versions longs, ats longs", "words")
-
-
-def bounded(rows: DataFrame, window: int) -> DataFrame:
-    """rows of contents(), with the windows of anchors over HOT distinct segments one by one."""
-    crowded = checkpointed(rows.where("words is not null").select("anchor", "digest").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"))
-    if not crowded.head(1):
-        return rows
-    many = rows.join(crowded, "anchor", "left_semi")
-    words = many.where("words is not null").groupBy("digest").agg(F.first("words").alias("words"))
-    return rows.join(crowded, "anchor", "left_anti").unionByName(single_windows(many.drop("words").join(words, "digest"), window))
-
-
-def stream_shards(parts: DataFrame, window: int) -> DataFrame:
-    """(digest, first, mask): a bit for each window of a segment that a smaller id's segment has.
-
-    parts: (anchor, digest, first, words). A shard has at most HOT different segments, and its
-    automaton lives as long as its rows pass. It is made when a second segment comes.
+    mask: a bit for each window of the segment that a smaller id's segment has. A shard has at
+    most HOT different segments, and its automaton lives as long as its rows pass. It is made
+    when a second segment comes. Rows without words come after one of their digest that has them.
     """
-    ship(parts.sparkSession)
+    ship(rows.sparkSession)
+    fields = arrow_fields("digest binary, owner long, mask long, count long, docs longs, versions longs, ats longs")
+    places = ("count", "docs", "versions", "ats")
 
     def run(batches):
-        anchor_now, machine, waiting, first_now, seen = None, SuffixAutomaton(), [], None, set()
+        anchor_now, machine, waiting, first_now, seen = None, SuffixAutomaton(), [], None, {}
         for batch in batches:
-            out: list[list] = [[], [], []]
+            owner, mask = [], []
             for anchor, name, first, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "first", "words"))):
                 if anchor != anchor_now:
-                    anchor_now, machine, waiting, first_now, seen = anchor, SuffixAutomaton(), [], None, set()
-                if name in seen:
-                    continue
-                seen.add(name)
-                if first != first_now:
-                    for w in waiting:
-                        machine.add(w)
-                    waiting, first_now = [], first
-                words, mask = raw.split(b" "), 0
-                if len(machine.next) > 1:
-                    for k, n in enumerate(machine.matching(words)[window - 1 :]):
-                        if n >= window:
-                            mask |= 1 << k
-                waiting.append(words)
-                for c, v in zip(out, (name, first, mask)):
-                    c.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64()))], names=["digest", "first", "mask"])
-
-    dealt = parts.repartition("anchor").sortWithinPartitions("anchor", "first", "digest")
-    return dealt.mapInArrow(run, "digest binary, first long, mask long")
+                    anchor_now, machine, waiting, first_now, seen = anchor, SuffixAutomaton(), [], None, {}
+                if name not in seen:
+                    if first != first_now:
+                        for w in waiting:
+                            machine.add(w)
+                        waiting, first_now = [], first
+                    words, bits = raw.split(b" "), 0
+                    if len(machine.next) > 1:
+                        for k, n in enumerate(machine.matching(words)[window - 1 :]):
+                            if n >= window:
+                                bits |= 1 << k
+                    waiting.append(words)
+                    seen[name] = first, bits
+                o, m = seen[name]
+                owner.append(o), mask.append(m)
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(owner, pa.int64()), pa.array(mask, pa.int64()), *(batch.column(c) for c in places)], schema=fields)
+
+    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "first", F.col("words").isNull(), "digest")
+    return dealt.mapInArrow(run, "digest binary, owner long, mask long, count long, docs array<long>, versions array<long>, ats array<long>")
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -264,16 +279,16 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     All uses of texts read one shuffle of the documents.
     """
-    texts = docs.join(copies(docs.where("doc_id is not null").select("doc_id", "text")), "doc_id", "left")
-    known = anchors(texts.select("doc_id", "text", COPY), window)
-    shards = known.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
-    hits = known.join(shards, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias(HITS))
-    # a copy's own windows are all gone; only originals are held against each other
-    rows = bounded(checkpointed(contents(texts.select("doc_id", "text", COPY).join(hits, "doc_id"), window)), window)
-    masks = stream_shards(rows.where("words is not null").select("anchor", "digest", "first", "words"), window).withColumnRenamed("first", "owner")
-    marked = rows.select("digest", "count", "docs", "versions", "ats").join(masks, "digest")
-    place = F.explode(F.arrays_zip("docs", "versions", "ats")).alias("p")
-    each = marked.select("owner", "mask", F.expr("shiftleft(1L, cast(count as int)) - 1").alias("full"), place)
+    named = docs.where("doc_id is not null").select("doc_id", "text")
+    hits = checkpointed(shared_anchors(named, window))
+    texts = docs.join(checkpointed(copies(named)), "doc_id", "left")
+    met = texts.select("doc_id", "text", COPY).join(hits, "doc_id")
+    told = stream_shards(contents(met, window, True), window).drop("digest")
+    if hits.where(F.exists(HITS, lambda h: h.bitwiseAND(3) > PLAIN)).head(1):
+        rows = contents(met, window, False)
+        masks = stream_shards(rows.where("words is not null"), window).select("digest", "owner", "mask").distinct()
+        told = told.unionByName(rows.select("digest", "count", "docs", "versions", "ats").join(masks, "digest").drop("digest"))
+    each = told.select("owner", "mask", F.expr("shiftleft(1L, cast(count as int)) - 1").alias("full"), F.explode(F.arrays_zip("docs", "versions", "ats")).alias("p"))
     each = each.select(F.col("p.docs").alias("doc_id"), F.col("p.versions").alias("version"), F.col("p.ats").alias("at"), F.when(F.col("p.docs") > F.col("owner"), F.col("full")).otherwise(F.col("mask")).alias("mask"))
     spans = each.where("mask <> 0").groupBy("doc_id").agg(F.collect_list(F.struct("version", "at", "mask")).alias(SPANS))
     return texts.join(spans, "doc_id", "left")

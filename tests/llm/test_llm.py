@@ -135,9 +135,10 @@ def brute_windows(rows, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
-def test_substring_dedup(odd, none, docs, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "busy"), [(2048, 100_000), (1, 100_000), (2048, 2)])
+def test_substring_dedup(odd, none, docs, hot, busy, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "BUSY", busy)
     for df in (odd, docs, none):
         got = substrings.deduplicate(df)
         assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute_windows(texts_of(df), 13)
