@@ -42,8 +42,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | None = "text", limit
 
 
 def arrow_fields(schema: str) -> pa.Schema:
-    """An Arrow schema from "name type, ..." with the names of ARROW."""
-    return pa.schema([(n, ARROW[t]) for n, t in (x.split() for x in schema.split(","))])
+    """An Arrow schema from "name type, ..." with the names of ARROW; type! is never null."""
+    return pa.schema([(n, ARROW[t.rstrip("!")]) for n, t in (x.split() for x in schema.split(","))])
 
 
 def map_slices(df: DataFrame, start: Callable[[], Callable], schema: str, column: str | None = "text", limit: int = SLICE_BYTES) -> DataFrame:
@@ -67,7 +67,7 @@ def map_slices(df: DataFrame, start: Callable[[], Callable], schema: str, column
         if (rest := getattr(step, "rest", None)) is not None:
             yield packed(rest())
 
-    return df.mapInArrow(run, schema.replace(" longs", " array<long>"))
+    return df.mapInArrow(run, schema.replace(" longs", " array<long>").replace("!", " not null"))
 
 
 def add_columns(df: DataFrame, start: Callable[[], Callable], schema: str, column: str) -> DataFrame:

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
+import shutil
+import tempfile
+import uuid
 
 import numpy as np
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.llm.common import documents, held_out, map_slices, mix, strings
+from lumenary.runtime import checkpointed
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
+WIDTH = len(ORDERS) * BUCKETS
+#: Languages that a task holds counts of before it hands them on, and that the driver gets at a time.
+HELD, BLOCK = 32, 8
 #: Added to every count, and the n-grams that a text's evidence is scaled to for its score.
 SMOOTH, EVIDENCE = 0.5, 60
 LETTER = re.compile(r"[^\W\d_]")
@@ -43,52 +53,57 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(of)
 
 
-def train(docs: DataFrame, id_: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 64) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities [languages, buckets]) from all rows with text and language.
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], str | None]:
+    """(languages, name of a file with their log-probabilities [languages, buckets]) from all rows with text and language.
 
-    Tasks add up a bucket's occurrences before they shuffle. The driver gets a row per language
-    and bucket: at most `most` languages (more fail) times the fixed number of buckets.
+    Tasks add up a bucket's occurrences before they shuffle. The driver gets the sums of BLOCK
+    languages at a time, a fixed number of buckets each, and sends the file to all executors,
+    where workers map it into memory, so languages may be many.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    width = len(ORDERS) * BUCKETS
 
     def start():
         held: dict[str, np.ndarray] = {}
 
-        def step(part):
-            langs = part.column("lang").to_pylist()
-            names = sorted(set(langs))
-            bucket, of = grams(strings(part))
-            label = np.array([names.index(x) for x in langs])
-            total = np.bincount(label[of] * width + bucket, minlength=len(names) * width).reshape(-1, width)
-            for x, row in zip(names, total):
-                if x in held:
-                    held[x] += row
-                elif len(held) < 4 * most:
-                    held[x] = row
-                else:
-                    raise ValueError(f"over {4 * most} languages")
-
-        def rest():
+        def hand_on():
             out: list[list] = [[], [], []]
             for x, row in held.items():
                 at = np.flatnonzero(row)
                 out[0] += [x] * len(at)
                 out[1] += at.tolist()
                 out[2] += row[at].tolist()
+            held.clear()
             return out
 
-        step.rest = rest
+        def step(part):
+            langs = part.column("lang").to_pylist()
+            texts = np.array(strings(part), object)
+            for x in sorted(set(langs)):
+                bucket, _ = grams(texts[[y == x for y in langs]].tolist())
+                got = np.bincount(bucket, minlength=WIDTH)
+                held[x] = held[x] + got if x in held else got
+            return hand_on() if len(held) > HELD else None
+
+        step.rest = hand_on
         return step
 
-    counted = map_slices(rows, start, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counted.limit(most * width + 1).toPandas()
-    if len(got) > most * width:
-        raise ValueError(f"over {most} languages")
-    names = sorted(set(got["lang"]))
-    total = np.zeros((len(names), width))
-    total[np.searchsorted(np.array(names, object), got["lang"].to_numpy(object)) if names else [], got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return names, log_probabilities(total)
+    counted = checkpointed(map_slices(rows, start, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    names = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    if not names:
+        return [], None
+    folder = tempfile.mkdtemp(prefix="lumenary-language-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, f"language-{uuid.uuid4().hex}.bin")
+    with open(path, "wb") as f:
+        for k in range(0, len(names), BLOCK):
+            block = names[k : k + BLOCK]
+            got = counted.where(F.col("lang").isin(block)).toArrow()
+            total = np.zeros((len(block), WIDTH))
+            at = {x: j for j, x in enumerate(block)}
+            total[[at[x] for x in got["lang"].to_pylist()], got["bucket"].to_numpy()] = got["n"].to_numpy()
+            f.write(log_probabilities(total).astype("<f8").tobytes())
+    docs.sparkSession.sparkContext.addFile(path)
+    return names, os.path.basename(path)
 
 
 def log_probabilities(total: np.ndarray) -> np.ndarray:
@@ -100,16 +115,17 @@ def log_probabilities(total: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, names: list[str], logs: np.ndarray, id_: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, names: list[str], file: str | None, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score): the likeliest language and its share of the evidence.
 
     A text without a letter (null, empty) is `und` with score 0, as is every text if nothing
     was learned. Ties go to the first name. All languages are equally likely beforehand.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((names, np.ascontiguousarray(logs)))
+    shared = docs.sparkSession.sparkContext.broadcast(names)
 
     def start():
-        langs, logs = shared.value
+        langs = shared.value
+        logs = np.memmap(SparkFiles.get(file), "<f8", "r").reshape(len(langs), WIDTH) if langs else None
 
         def step(part):
             texts = strings(part)
@@ -132,8 +148,9 @@ def op8_language_bayes(spark, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the three quarters not held out.
 
     A null text or one without a letter is `und`; rows without a language aren't learned from; a
-    repeated row is predicted again; other columns play no part; an empty table gives no rows.
+    repeated row is predicted again; other columns play no part; an empty table gives no rows;
+    texts count whole, however long; of equally likely languages the first by name is taken.
     """
     docs = documents(spark, sf_dir)
-    names, logs = train(docs.where(~held_out("doc_id", 4, 2)))
-    return predict(docs, names, logs).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+    names, file = train(docs.where(~held_out("doc_id", 4, 2)))
+    return predict(docs, names, file).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")

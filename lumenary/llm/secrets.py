@@ -28,9 +28,8 @@ WEAK = {
     "key": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.A),
     "endpoint": re.compile(r"\b(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|s3|jdbc:[a-z]+)://[^\s\"'<>]{4,}|\b[a-z0-9.-]+\.(?:amazonaws\.com|blob\.core\.windows\.net|googleapis\.com)\b", re.A),
 }
-#: Code points between complementary parts at most; a blank line ends a scope earlier.
-REACH = 240
-BLANK = re.compile(r"\n[ \t]*\n")
+#: What ends a scope: a blank line, or a line that begins a section.
+BORDER = re.compile(r"\n[ \t]*\n|\n(?=\[[^\]\n]+\]|---|===|#)")
 #: What completes a part: an identifier needs a key, a key one of the others, an endpoint a key.
 MATES = {"identifier": ("key", "assign", "hex"), "key": ("identifier", "access", "endpoint"), "endpoint": ("key", "assign", "hex", "access")}
 
@@ -77,30 +76,23 @@ def weak_spans(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 def linked(text: str, strong: list[tuple[int, int, str]], weak: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The weak candidates that have a complementary part within REACH in their scope.
+    """The weak candidates with a complementary part in their scope, beside, around or inside them.
 
-    An interval join by sorted starts and ends: for each candidate and complementary kind, one
-    lookup finds whether any part of that kind lies near, so no pairs are made.
+    An interval join of parts and scopes by sorted starts: for each candidate and complementary
+    kind, one lookup finds whether any part of that kind begins in the scope, so no pairs are made.
     """
-    parts: dict[str, list[tuple[int, int]]] = {}
-    for a, b, k in [*strong, *weak]:
-        parts.setdefault(k, []).append((a, b))
-    for k in parts:
-        parts[k].sort()
-    starts = {k: [a for a, _ in v] for k, v in parts.items()}
-    ends = {k: sorted(b for _, b in v) for k, v in parts.items()}
-    borders = [m.start() for m in BLANK.finditer(text)]
+    starts: dict[str, list[int]] = {}
+    for a, _, k in [*strong, *weak]:
+        starts.setdefault(k, []).append(a)
+    for k in starts:
+        starts[k].sort()
+    borders = [0, *(m.end() for m in BORDER.finditer(text)), len(text) + 1]
     out = []
     for a, b, kind in weak:
         s = bisect_right(borders, a)
-        low = max(a - REACH, borders[s - 1] if s else 0)
-        high = min(b + REACH, borders[s] if s < len(borders) else len(text))
-        for mate in MATES[kind]:
-            if mate in parts:
-                # some part starts in [b, high) or ends in (low, a]
-                if bisect_left(starts[mate], high) > bisect_left(starts[mate], b) or bisect_right(ends[mate], a) > bisect_right(ends[mate], low):
-                    out.append((a, b, kind))
-                    break
+        low, high = borders[s - 1], borders[s]
+        if any(bisect_left(starts[mate], high) > bisect_left(starts[mate], low) for mate in MATES[kind] if mate in starts):
+            out.append((a, b, kind))
     return out
 
 
@@ -148,6 +140,7 @@ def op5_credential_links(spark, sf_dir: str) -> DataFrame:
     """Secrets of every document.
 
     A null or empty text has none (spans is the empty string); a repeated row is scanned again;
-    other columns play no part; an empty table gives no rows.
+    other columns play no part; an empty table gives no rows; a text is scanned whole, however
+    long; spans that begin together come in the order of KINDS.
     """
     return scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "masked")

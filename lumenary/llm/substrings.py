@@ -126,16 +126,17 @@ def originals(part: pa.RecordBatch, raw: list[bytes]) -> np.ndarray:
     return np.array([i is not None and not (m and text_version(t) in m) for i, m, t in zip(ids, marked, raw)], bool)
 
 
-def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, segment, docs): in each slice once, with all its documents.
+def anchors(texts: DataFrame, window: int) -> DataFrame:
+    """(key, docs): the anchors of original texts, in each slice once with all their documents.
 
-    anchor has 48 bits of the anchor's hash, segment LOW bits of the segment's, by which distinct
+    key has 48 bits of the anchor's hash, then LOW bits of the segment's, by which distinct
     segments are counted.
     """
 
     def start():
         def step(part):
-            w = Windows(utf8(part), window)
+            raw = utf8(part)
+            w = Windows([t if k else b"" for t, k in zip(raw, originals(part, raw).tolist())], window)
             low = np.uint64((1 << LOW) - 1)
             key = (w.anchor & ~low) | (w.segment & low)
             order = np.lexsort((w.doc, key))
@@ -146,25 +147,25 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
             key, doc = key[new], doc[new]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), part.column("doc_id").take(pa.array(doc)))
-            key = key[first].view(np.int64)
-            return [key >> LOW, key & ((1 << LOW) - 1), ids]
+            return [key[first].view(np.int64), ids]
 
         return step
 
-    return map_slices(docs, start, "anchor long, segment int, docs longs")
+    return map_slices(texts, start, "key long!, docs longs")
 
 
-def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
+def shared_anchors(texts: DataFrame, window: int) -> DataFrame:
     """(doc_id, HITS): each document's anchors that another one has too, shifted by two bits for the way.
 
-    One shuffle of anchors serves the counts and the documents.
+    One shuffle of anchors serves the counts and the documents; both read the same columns of it.
     """
-    rows = anchors(docs.where("doc_id is not null").select("doc_id", "text"), window).repartition("anchor")
-    by = rows.groupBy("anchor", "segment").agg(F.min(F.array_min("docs")).alias("least"), F.max(F.array_max("docs")).alias("most"), F.sum(F.size("docs")).alias("n"))
+    anchor = F.shiftright("key", LOW)
+    rows = anchors(texts, window).repartition(anchor)
+    by = rows.groupBy(anchor.alias("anchor"), "key").agg(F.min(F.array_min("docs")).alias("least"), F.max(F.array_max("docs")).alias("most"), F.sum(F.size("docs")).alias("n"))
     by = by.groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"), F.count("*").alias("segments"))
     way = F.when(F.col("segments") > HOT, CROWDED).when(F.col("n") > BUSY, JOINED).otherwise(PLAIN)
     by = by.where("least < most").select("anchor", way.cast("long").alias("way"))
-    each = rows.join(by, "anchor").select(F.explode("docs").alias("doc_id"), F.expr("shiftleft(anchor, 2) | way").alias("hit"))
+    each = rows.join(by, anchor == F.col("anchor")).select(F.explode_outer("docs").alias("doc_id"), F.expr("shiftleft(anchor, 2) | way").alias("hit"))
     return each.groupBy("doc_id").agg(F.collect_set("hit").alias(HITS))
 
 
@@ -196,6 +197,10 @@ def contents(texts: DataFrame, window: int, plain: bool) -> DataFrame:
         sent: dict[bytes, int] = {}
 
         def step(part):
+            asked = np.array([bool(x) and any((h & 3 == PLAIN) == plain for h in x) for x in part.column(HITS).to_pylist()], bool)
+            if not asked.any():
+                return None
+            part = part.filter(pa.array(asked))
             raw = utf8(part)
             own = originals(part, raw)
             w = Windows([t if k else b"" for t, k in zip(raw, own.tolist())], window)
@@ -279,15 +284,13 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     All uses of texts read one shuffle of the documents.
     """
-    named = docs.where("doc_id is not null").select("doc_id", "text")
-    hits = checkpointed(shared_anchors(named, window))
-    texts = docs.join(checkpointed(copies(named)), "doc_id", "left")
-    met = texts.select("doc_id", "text", COPY).join(hits, "doc_id")
+    texts = docs.join(checkpointed(copies(docs.where("doc_id is not null").select("doc_id", "text"))), "doc_id", "left")
+    # left joins, and all columns each time: else the plan would shuffle texts once for each use
+    met = texts.join(shared_anchors(texts, window), "doc_id", "left")
     told = stream_shards(contents(met, window, True), window).drop("digest")
-    if hits.where(F.exists(HITS, lambda h: h.bitwiseAND(3) > PLAIN)).head(1):
-        rows = contents(met, window, False)
-        masks = stream_shards(rows.where("words is not null"), window).select("digest", "owner", "mask").distinct()
-        told = told.unionByName(rows.select("digest", "count", "docs", "versions", "ats").join(masks, "digest").drop("digest"))
+    rows = contents(met, window, False)
+    masks = stream_shards(rows.where("words is not null"), window).select("digest", "owner", "mask").distinct()
+    told = told.unionByName(rows.select("digest", "count", "docs", "versions", "ats").join(masks, "digest").drop("digest"))
     each = told.select("owner", "mask", F.expr("shiftleft(1L, cast(count as int)) - 1").alias("full"), F.explode(F.arrays_zip("docs", "versions", "ats")).alias("p"))
     each = each.select(F.col("p.docs").alias("doc_id"), F.col("p.versions").alias("version"), F.col("p.ats").alias("at"), F.when(F.col("p.docs") > F.col("owner"), F.col("full")).otherwise(F.col("mask")).alias("mask"))
     spans = each.where("mask <> 0").groupBy("doc_id").agg(F.collect_list(F.struct("version", "at", "mask")).alias(SPANS))

@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "te
 
         def step(part):
             for toxic, t in zip(part.column("toxic").to_pylist(), strings(part)):
-                for x in ("", *restorer.features(t)):  # the empty word counts the rows
+                for x in restorer.features(t):
                     held.setdefault(x, [0, 0])[toxic] += 1
             return hand_on() if len(held) > COUNTED else None
 
@@ -260,16 +260,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "te
 
         return start
 
-    by = checkpointed(map_slices(rows, counted, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
-    size = by.where("word = ''").head()
-    bad, good = (size.t, size.c) if size else (0, 0)
+    size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return letters, {}, -20.0 if not bad else 20.0
+    by = map_slices(rows, counted, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # signed root of chi-square of presence against the label; only words on the toxic side
     rate = (F.col("t") + F.col("c")) / (bad + good)
     stands_out = (F.col("t") - bad * rate) / F.sqrt(bad * rate * (1 - rate) + 0.5)
     # as many as the sample has; each is in LEAST toxic rows of it
-    vocabulary = sorted(by.where("word <> ''").where(F.col("t") >= LEAST).where(stands_out > STANDS_OUT).select("word").toArrow()["word"].to_pylist())
+    vocabulary = sorted(by.where(F.col("t") >= LEAST).where(stands_out > STANDS_OUT).select("word").toArrow()["word"].to_pylist())
     if not vocabulary:
         return letters, {}, float(np.log(bad / good))
     # a pattern is a row's features; there are no more of them than sampled documents
