@@ -103,6 +103,13 @@ def next_version(c: Column) -> Column:
     return F.when(n != "", F.concat(F.lit("v"), (F.nullif(n, F.lit("")).cast("int") + 1).cast("string"))).otherwise("v2")
 
 
+def next_run(now: Column, zone: str, hour: int, minute: int) -> Column:
+    """The next time after now (UTC) that clocks of the zone show hour:minute, in UTC."""
+    local = F.from_utc_timestamp(now, zone)
+    today = F.date_trunc("day", local) + F.make_dt_interval(F.lit(0), F.lit(hour), F.lit(minute))
+    return F.to_utc_timestamp(F.when(today > local, today).otherwise(today + F.expr("INTERVAL 1 DAY")), zone)
+
+
 def marks(c: Column) -> Column:
     """The first number of a text if it is over 0 and up to 100, else null."""
     x = F.nullif(F.regexp_extract(F.lower(c.cast("string")), r"\d+(?:\.\d+)?", 0), F.lit("")).cast("double")

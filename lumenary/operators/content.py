@@ -11,17 +11,6 @@ from lumenary.functions import text as X
 from lumenary.runtime import ship
 
 
-def path_fields(path: Column) -> list[Column]:
-    """board, class, subject, book, chapter number and name, and slug of a path board/class_n/subject/book/03_name.pdf."""
-    parts = F.split(path, "/")
-    at = lambda k: F.coalesce(F.try_element_at(parts, F.lit(k)), F.lit(""))
-    stem = F.regexp_replace(at(-1), r"\.[A-Za-z0-9]+$", "")
-    number = F.nullif(F.regexp_extract(stem, r"(\d{1,3})", 1), F.lit("")).cast("int")
-    name = X.titled(F.regexp_replace(stem, r"^(chapter|ch|unit)?[ _-]*\d{1,3}[ _-]*", ""))
-    grade = F.regexp_extract(F.lower(path), r"class_?(\d{1,2})", 1)
-    return [X.titled(at(1)).alias("board"), grade.alias("class_level"), X.titled(at(-3)).alias("subject"), X.titled(at(-2)).alias("book"), number.alias("chapter_number"), name.alias("chapter_name"), X.normal_key(F.concat_ws("_", grade, at(-3), stem)).alias("slug")]
-
-
 def scoped(df: DataFrame, **scope: str | None) -> DataFrame:
     """Rows whose columns hold every part that is given, in any case."""
     for column, part in scope.items():

@@ -40,14 +40,14 @@ def resolved(requests: DataFrame, *tables: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
     """(unit_id, prereq_id) of all direct and indirect prerequisites; paths double in length each round."""
-    known = checkpointed(edges.select("unit_id", "prereq_id").distinct())
-    n = known.count()
+    known = fresh = checkpointed(edges.select("unit_id", "prereq_id").distinct())
     for _ in range(rounds):
-        longer = known.alias("a").join(known.alias("b"), F.col("a.prereq_id") == F.col("b.unit_id")).select(F.col("a.unit_id").alias("unit_id"), F.col("b.prereq_id").alias("prereq_id"))
-        known = checkpointed(known.unionByName(longer).distinct())
-        n, before = known.count(), n
-        if n == before:
+        # a pair that is new now begins with one that was new in the last round
+        longer = fresh.alias("a").join(known.alias("b"), F.col("a.prereq_id") == F.col("b.unit_id")).select(F.col("a.unit_id").alias("unit_id"), F.col("b.prereq_id").alias("prereq_id"))
+        fresh = checkpointed(longer.distinct().join(known, ["unit_id", "prereq_id"], "left_anti"))
+        if not fresh.head(1):
             return known
+        known = known.unionByName(fresh)
     raise RuntimeError("prerequisites are deeper than 2 to the power of rounds")
 
 
@@ -91,6 +91,7 @@ def focus_bands(units: DataFrame) -> DataFrame:
 
 def recommended_minutes(units: DataFrame) -> DataFrame:
     """Minutes by importance, difficulty and depth, scaled by proficiency, in steps of five within the unit's bounds."""
+    # What each level adds.
     level = lambda c, table: F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.col(c))
     extra = level("importance", {"very_high": 7, "high": 4, "moderate": 2, "low": 0}) + level("hardness", {"foundation": 0, "steady": 3, "challenging": 7}) + level("exam_relevance", {"very_high": 5, "high": 3, "moderate": 1, "low": 0}) + level("depth", {"overview": 0, "working": 3, "mastery": 6})
     scaled = F.when(F.col("proficiency") == "new_to_it", extra + 4).when(F.col("proficiency") == "know_the_basics", F.bround(extra * 0.55)).otherwise(F.bround(extra * 0.32))

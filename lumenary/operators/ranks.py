@@ -24,6 +24,13 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitio
     return dealt.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own") + 1).drop("_at", "_range", "_own", "_before")
 
 
+def rank_within(df: DataFrame, key: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """df with each row's place among the rows of its key, however many those are."""
+    placed = global_rank(df, [F.col(key), *order], "_place")
+    first = placed.groupBy(key).agg(F.min("_place").alias("_first"))
+    return placed.join(first, key).withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_place", "_first")
+
+
 def alias_of(user: Column) -> Column:
     return F.concat(F.lit("Student "), F.upper(F.substring(F.sha2(user.cast("string"), 256), 1, 6)))
 
@@ -56,10 +63,10 @@ def rank_order() -> list[Column]:
 def leaderboard(progress: DataFrame, profiles: DataFrame, top: int = 20) -> DataFrame:
     """The top rows with global and class rank (null without a class)."""
     rows = leaderboard_rows(progress, profiles)
-    within = Window.partitionBy("class_level").orderBy(*rank_order())
-    classed = rows.withColumn("class_rank", F.when(F.col("class_level").isNotNull(), F.row_number().over(within)))
-    ranked = classed.orderBy(*rank_order()).limit(top)
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order()))).select("rank", "class_rank", "user_id", "name", "class_level", "xp", "streak", "total_tests")
+    ranked = rows.orderBy(*rank_order()).limit(top)
+    # the rows ahead of a top row are top rows too
+    number = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*rank_order()))
+    return ranked.withColumns({"rank": number(), "class_rank": F.when(F.col("class_level").isNotNull(), number("class_level"))}).select("rank", "class_rank", "user_id", "name", "class_level", "xp", "streak", "total_tests")
 
 
 def full_ranking(progress: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenary.functions import text as X
+from lumenary.operators.ranks import rank_within
 from lumenary.operators.sessions import latest
+from lumenary.runtime import ship
 
 #: Queries that are sent to all tasks at once.
 QUERIES = 10_000
@@ -25,44 +29,87 @@ def normalised(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.when(norm > 0, F.transform(column, lambda x: x / norm)).otherwise(F.transform(column, lambda x: x.cast("double"))))
 
 
-def vector_matches(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.25) -> DataFrame:
-    """(query_id, vec_id, similarity): the k nearest compatible vectors of each query, at least `least` alike.
+def blocks(queries: DataFrame) -> list[DataFrame]:
+    """queries in parts of about QUERIES rows, each small enough to go to all tasks."""
+    n = max(1, -(-queries.count() // QUERIES))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)] if n > 1 else [queries]
+
 
-    queries go to all tasks in blocks of about QUERIES rows, each against all vectors, which are
-    read once a block and never shuffled whole: each task keeps k a query.
+def vector_matches(queries: DataFrame, vectors: DataFrame, k: int | None, least: float = 0.25) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k nearest compatible vectors of each query, at least `least` alike.
+
+    queries go to all tasks in blocks, each against all vectors, which are read once a block and
+    never shuffled whole: each task keeps k a query. Without k all such pairs come, unranked.
     """
-    n = max(1, -(-queries.count() // QUERIES))
-    parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)] if n > 1 else [queries]
-    met = reduce(DataFrame.unionByName, (vectors.join(F.broadcast(q), "model") for q in parts))
+    met = reduce(DataFrame.unionByName, (vectors.join(F.broadcast(q), "model") for q in blocks(queries)))
     pairs = met.withColumn("similarity", dot(F.col("embedding"), F.col("query"))).where(F.col("similarity") >= least)
+    if k is None:
+        return pairs.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
     return latest(pairs, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rn").cast("long").alias("rank"))
 
 
-def inverted(chunks: DataFrame, id_: str, text: str) -> DataFrame:
-    """(term, id): each content term of each chunk once."""
-    return chunks.select(F.explode(X.terms(F.col(text))).alias("term"), id_)
+def term_hits(texts: DataFrame, id_: str, columns: list[str], terms: list[str]) -> DataFrame:
+    """(id_, place, term, n, whole): the terms in each lower-cased column (place: its number), found in one pass.
+
+    n: how often, none overlapping; whole: whether it stands there as a word by itself.
+    """
+    ship(texts.sparkSession)
+
+    def run(batches):
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for t in terms:
+            machine.add_word(t, t)
+        machine.make_automaton()
+        word = set("abcdefghijklmnopqrstuvwxyz0123456789")
+        for part in batches:
+            out: list[list] = [[], [], [], [], []]
+            ids = part.column(0).to_pylist()
+            for place in range(len(columns)):
+                for id_now, text in zip(ids, part.column(place + 1).to_pylist()):
+                    found: dict[str, list] = {}
+                    for end, t in machine.iter(text or "") if terms else ():
+                        at = end + 1 - len(t)
+                        hit = found.setdefault(t, [0, False, 0])
+                        if at >= hit[2]:
+                            hit[0], hit[2] = hit[0] + 1, end + 1
+                        if not hit[1]:
+                            hit[1] = (at == 0 or text[at - 1] not in word) and (end + 1 == len(text) or text[end + 1] not in word)
+                    for t, (n, whole, _) in found.items():
+                        for c, v in zip(out, (id_now, place, t, n, whole)):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], part.schema.field(0).type), *(pa.array(c, k) for c, k in zip(out[1:], (pa.int32(), pa.string(), pa.int32(), pa.bool_())))], names=[id_, "place", "term", "n", "whole"])
+
+    kind = T.StructType([texts.schema[id_], *T._parse_datatype_string("place int, term string, n int, whole boolean").fields])
+    return texts.select(id_, *(F.lower(c).alias(f"c{k}") for k, c in enumerate(columns))).mapInArrow(run, kind)
+
+
+def scored_terms(queries: DataFrame, texts: DataFrame, id_: str, columns: list[str]) -> DataFrame:
+    """term_hits() of the queries' terms with query_id, by blocks of queries; texts aren't shuffled."""
+    parts = []
+    for q in blocks(queries):
+        named = q.select("query_id", F.explode(X.terms(F.col("query"))).alias("term"))
+        terms = sorted(r.term for r in named.select("term").distinct().collect())
+        parts.append(term_hits(texts, id_, columns, terms).join(F.broadcast(named), "term"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def lexical_scores(queries: DataFrame, chunks: DataFrame, exact: bool = False) -> DataFrame:
     """(query_id, chunk_id, lexical): 2 for each shared term and 1 for each occurrence of a query term.
 
-    Candidates share a whole term, found by the term's equality. exact scans all chunks instead,
-    and so also finds terms inside longer words.
+    Chunks share a whole term with the query. exact takes those as well that hold terms only
+    inside longer words.
     """
-    q = F.broadcast(queries.select("query_id", X.terms(F.col("query")).alias("terms")))
-    hits = inverted(chunks, "chunk_id", "text").join(F.broadcast(q.select("query_id", F.explode("terms").alias("term"))), "term")
-    shared = hits.groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared"))
-    if exact:
-        pairs = chunks.select("chunk_id", F.lower("text").alias("low")).join(q).join(shared, ["query_id", "chunk_id"], "left")
-    else:
-        pairs = shared.join(chunks.select("chunk_id", F.lower("text").alias("low")), "chunk_id").join(q, "query_id")
-    counts = F.aggregate("terms", F.lit(0), lambda s, t: s + X.occurrences(F.col("low"), t))
-    return pairs.select("query_id", "chunk_id", (2 * F.coalesce("shared", F.lit(0)) + counts).cast("long").alias("lexical")).where("lexical > 0")
+    by = scored_terms(queries, chunks, "chunk_id", ["text"]).groupBy("query_id", "chunk_id")
+    whole = F.col("whole").cast("int")
+    got = by.agg(F.sum(2 * whole + F.col("n")).cast("long").alias("lexical"), F.sum(whole).alias("shared"))
+    return (got if exact else got.where("shared > 0")).select("query_id", "chunk_id", "lexical")
 
 
 def fused(lexical: DataFrame, semantic: DataFrame, k: float = 60.0) -> DataFrame:
-    """Reciprocal-rank fusion of two scored lists (query_id, chunk_id, score)."""
-    place = lambda df: df.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).alias("rank"))
+    """Reciprocal-rank fusion of two scored lists (query_id, chunk_id, score) of any length."""
+    place = lambda df: rank_within(df.select("query_id", "chunk_id", "score"), "query_id", [F.desc("score"), F.asc("chunk_id")]).select("query_id", "chunk_id", "rank")
     both = place(lexical).unionByName(place(semantic))
     return both.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 8).alias("fused"))
 
@@ -98,19 +145,22 @@ def paragraph_scores(docs: DataFrame, keywords: list[str], top: int) -> DataFram
     return latest(scored, ["doc_id"], [F.desc("score"), F.asc("no")], top).select("doc_id", F.col("no").cast("long").alias("no"), F.round("score", 6).alias("score"))
 
 
+# What a term adds that is found in the id, the title, the definition, the explanation, the key points.
+CONCEPT_WEIGHTS = (8, 7, 4, 3, 1)
+
+
 def keyword_concepts(queries: DataFrame, concepts: DataFrame, top: int) -> DataFrame:
-    """Concepts by weighted hits of query terms: 8 in the id, 7 in the title, 4, 3 and 1 in the texts."""
-    hit = lambda c, w: F.when(F.contains(F.lower(c), F.col("term")), w).otherwise(0)
-    q = queries.select("query_id", F.explode(X.terms(F.col("query"))).alias("term"))
-    rows = concepts.join(F.broadcast(q)).withColumn("w", hit("concept_id", 8) + hit("title", 7) + hit("definition", 4))
-    by = rows.where("w > 0").groupBy("query_id", "concept_id").agg(F.sum("w").alias("score"))
+    """Concepts by weighted hits of query terms in concept_id, title, definition, explanation and points."""
+    columns = ["concept_id", "title", "definition", "explanation", "points"]
+    weight = F.element_at(F.array(*(F.lit(w) for w in CONCEPT_WEIGHTS)), F.col("place") + 1)
+    by = scored_terms(queries, concepts, "concept_id", columns).groupBy("query_id", "concept_id").agg(F.sum(weight).alias("score"))
     return latest(by, ["query_id"], [F.desc("score"), F.asc("concept_id")], top).select("query_id", "concept_id", "score")
 
 
 def overlap_pages(queries: DataFrame, chunks: DataFrame, top: int) -> DataFrame:
     """The chunks of a query's chapter with the most distinct query terms, back in page order."""
     q = queries.select("query_id", "chapter", X.terms(F.col("query")).alias("terms"))
-    pairs = chunks.join(F.broadcast(q), "chapter").withColumn("n", F.size(F.array_intersect("terms", X.terms(F.col("text"))))).where("n > 0")
+    pairs = chunks.join(q, "chapter").withColumn("n", F.size(F.array_intersect("terms", X.terms(F.col("text"))))).where("n > 0")
     best = latest(pairs, ["query_id"], [F.desc("n"), F.asc("chunk_id")], top)
     return best.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("page_start", "chunk_id")).cast("long").alias("position"))
 

@@ -11,6 +11,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 _K = "CAST(regexp_extract(props, '[0-9]+', 0) AS INT)"
 #: Tells lines apart: an order has line numbers twice.
 LINE = "(((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + CAST(FLOOR(l_extendedprice) AS BIGINT) % 1000)"
+#: A chapter has a few hundred units at any size: those of one brand among 5,000 neighbouring parts.
+CHAPTER = "CONCAT(p_brand, '-', CAST(CAST(FLOOR(p_partkey / 5000) AS BIGINT) AS STRING))"
 
 VIEWS = {
     "sessions": f"""
@@ -53,6 +55,13 @@ VIEWS = {
         FROM events""",
     "interactions": """
         SELECT conv_id AS session_id, turn AS id, role, text AS message FROM conversations""",
+    "answers": """
+        SELECT conv_id, turn, role, text AS answer, LAG(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question,
+               CASE WHEN turn > 1 THEN FIRST_VALUE(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS context,
+               CASE (conv_id + turn) % 10 WHEN 0 THEN 'definition' WHEN 1 THEN 'comparison' WHEN 2 THEN 'numerical' WHEN 3 THEN 'exam_answer' WHEN 4 THEN 'revision'
+                    WHEN 5 THEN 'quiz' WHEN 6 THEN 'stuck' WHEN 7 THEN 'planning' WHEN 8 THEN 'conversation' ELSE 'concept' END AS format,
+               CASE (conv_id + turn) % 5 WHEN 0 THEN 'summary' WHEN 1 THEN 'explain' WHEN 2 THEN 'exam' WHEN 3 THEN 'keypoints' ELSE 'study' END AS mode
+        FROM conversations""",
     "questions": """
         SELECT l_orderkey AS paper_id, l_linenumber * 1000000 + l_partkey AS question_number, o_custkey AS user_id, o_orderpriority AS subject,
                CAST(FLOOR(l_quantity) AS INT) AS marks, l_returnflag AS question_type, l_linestatus AS difficulty, p_brand AS topic
@@ -72,11 +81,19 @@ VIEWS = {
         UNION ALL
         SELECT {LINE} * 10 + 2, {LINE}, FLOOR(l_quantity * 0.5), l_quantity
         FROM lineitem WHERE l_linenumber % 2 = 0""",
-    "units": """
-        SELECT CONCAT(p_brand, ':', CAST(p_partkey AS STRING)) AS unit_id, p_brand AS chapter, p_name AS title, p_partkey,
-               ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS unit_order, p_size AS difficulty,
-               p_retailprice AS weight
+    "units": f"""
+        SELECT CONCAT(p_brand, ':', CAST(p_partkey AS STRING)) AS unit_id, {CHAPTER} AS chapter, p_name AS title, p_partkey,
+               ROW_NUMBER() OVER (PARTITION BY p_brand, CAST(FLOOR(p_partkey / 5000) AS BIGINT) ORDER BY p_size, p_partkey) AS unit_order,
+               p_size AS difficulty, p_retailprice AS weight
         FROM part""",
+    "concept_rows": f"""
+        SELECT p_partkey, {CHAPTER} AS chapter, CASE WHEN p_partkey % 11 = 0 THEN LOWER(p_brand) ELSE CONCAT('c', CAST(p_partkey AS STRING)) END AS concept_id,
+               p_name AS title, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_type END AS definition, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS explanation,
+               CASE WHEN p_partkey % 2 = 1 THEN '' ELSE p_type END AS points, CAST(p_size AS BIGINT) AS page, p_size % 5 + 1 AS difficulty,
+               CASE p_partkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'important' ELSE 'core' END AS importance
+        FROM part""",
+    "concept_pages": f"""
+        SELECT {CHAPTER} AS chapter, CAST(p_size AS BIGINT) AS page, CASE WHEN p_size % 10 = 9 THEN 0 ELSE CAST(LENGTH(p_name) AS INT) END AS chars FROM part WHERE p_size <= 46""",
     "chunks": """
         SELECT doc_id AS chunk_id, source AS chapter, lang AS subject, text, CAST(doc_id % 50 AS INT) AS page_start,
                CAST(doc_id % 50 + doc_id % 3 AS INT) AS page_end, n_chars

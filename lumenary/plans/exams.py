@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenary.functions import text as X
 from lumenary.operators import exams as E
+from lumenary.operators.sessions import latest
 from lumenary.plans.bindings import LINE
 from lumenary.plans.registry import query
 
@@ -133,15 +134,9 @@ def _(questions):
     return E.generated_questions(questions)
 
 
-@query("F11", "questions", sql="SELECT paper_id, question_number, COUNT(*) OVER () AS total FROM questions WHERE user_id % 10 = 1 AND subject = '1-URGENT' ORDER BY paper_id DESC, question_number DESC LIMIT 200")
+@query("F11", "questions", also="F11_all", sql="SELECT user_id, paper_id, question_number, total FROM (SELECT *, COUNT(*) OVER (PARTITION BY user_id) AS total, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY paper_id DESC, question_number DESC) AS rn FROM questions WHERE subject = '1-URGENT') x WHERE rn <= 20")
 def _(questions):
-    """One owner group's questions of a subject, newest first, with the total."""
-    mine = questions.where("user_id % 10 = 1 AND subject = '1-URGENT'").select("paper_id", "question_number")
-    return mine.orderBy(F.desc("paper_id"), F.desc("question_number")).limit(200).crossJoin(mine.groupBy().agg(F.count("*").alias("total")))
-
-
-@query("F11_all", "questions")
-def _(questions):
-    """F11 over all owners."""
-    mine = questions.where("subject = '1-URGENT'").select("paper_id", "question_number")
-    return mine.orderBy(F.desc("paper_id"), F.desc("question_number")).limit(200).crossJoin(mine.groupBy().agg(F.count("*").alias("total")))
+    """Each owner's first page of questions of a subject, newest first, with the owner's total."""
+    mine = questions.where("subject = '1-URGENT'").select("user_id", "paper_id", "question_number")
+    page = latest(mine, ["user_id"], [F.desc("paper_id"), F.desc("question_number")], 20)
+    return page.join(mine.groupBy("user_id").agg(F.count("*").alias("total")), "user_id").select("user_id", "paper_id", "question_number", "total")

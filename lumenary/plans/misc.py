@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenary.operators import misc as M
 from lumenary.operators import planning as P
 from lumenary.operators.sessions import latest
-from lumenary.plans.planning import _EVIDENCE, _STATUS, _all_evidence, _evidence
+from lumenary.plans.planning import _EVIDENCE, _STATUS, _evidence
 from lumenary.plans.registry import query
 
 _CONCEPTS = "concepts AS (SELECT p_partkey, p_brand AS chapter, p_size % 6 AS unit, CAST(p_partkey % 5 AS INT) AS importance, p_size % 5 + 1 AS difficulty FROM part)"
@@ -92,17 +92,11 @@ def _(sessions):
     return M.daily_signals(sessions)
 
 
-@query("I36", "units", "lineitem", "orders", sql=f"WITH {_EVIDENCE}, {_STATUS}, a AS (SELECT user_id, SUM(accuracy * attempts) / NULLIF(SUM(attempts), 0) AS acc FROM status GROUP BY 1) SELECT user_id, ROUND(acc, 4) AS accuracy, CASE WHEN acc >= 85 THEN 'confident' WHEN acc >= 70 THEN 'know_the_basics' ELSE 'new_to_it' END AS proficiency FROM a")
+@query("I36", "units", "lineitem", "orders", also="I36_all", sql=f"WITH {_EVIDENCE}, {_STATUS}, a AS (SELECT user_id, SUM(accuracy * attempts) / NULLIF(SUM(attempts), 0) AS acc FROM status GROUP BY 1) SELECT user_id, ROUND(acc, 4) AS accuracy, CASE WHEN acc >= 85 THEN 'confident' WHEN acc >= 70 THEN 'know_the_basics' ELSE 'new_to_it' END AS proficiency FROM a")
 def _(units, lineitem, orders):
     return M.proficiency(P.unit_status(units, _evidence(units, lineitem, orders)))
 
 
-@query("I36_all", "units", "lineitem", "orders")
-def _(units, lineitem, orders):
-    """I36 over all learners."""
-    return M.proficiency(P.unit_status(units, _all_evidence(units, lineitem, orders)))
-
-
 @query("F7", "conversations", sql="SELECT conv_id, turn, rn AS position FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY LENGTH(text) DESC, turn DESC) AS rn FROM conversations) x WHERE rn <= 3")
 def _(conversations):
     """The three most important memories of each conversation (by length here), the newer first."""
@@ -115,11 +109,15 @@ def _(part):
     return part.groupBy("p_brand").agg(F.max_by("p_type", F.struct("p_size", F.length("p_type"), -(F.col("p_partkey") % 10000))).alias("best"))
 
 
-@query("H13", "part", sql="SELECT p_brand, sha256(STRING_AGG(p_partkey || ':' || p_name, ',' ORDER BY p_partkey)) AS fingerprint FROM part GROUP BY p_brand")
+@query("H13", "part", sql="SELECT p_brand, sha256(STRING_AGG(digest, '' ORDER BY block)) AS fingerprint FROM (SELECT p_brand, CAST(FLOOR(p_partkey / 1000) AS BIGINT) AS block, sha256(STRING_AGG(p_partkey || ':' || p_name, ',' ORDER BY p_partkey)) AS digest FROM part GROUP BY 1, 2) b GROUP BY p_brand")
 def _(part):
-    """Fingerprints of a group's rows in order."""
+    """Fingerprints of a group's rows in order, over those of blocks of 1,000 keys."""
+    block = F.floor(F.col("p_partkey") / 1000)
     rows = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
-    return part.groupBy("p_brand").agg(F.sha2(F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["p_partkey"].cast("string"), r["p_name"])), ","), 256).alias("fingerprint"))
+    text = F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["p_partkey"].cast("string"), r["p_name"])), ",")
+    blocks = part.groupBy("p_brand", block.alias("block")).agg(F.sha2(text, 256).alias("digest"))
+    ordered = F.array_sort(F.collect_list(F.struct("block", "digest")))
+    return blocks.groupBy("p_brand").agg(F.sha2(F.array_join(F.transform(ordered, lambda b: b["digest"]), ""), 256).alias("fingerprint"))
 
 
 @query("C17", "events", sql="SELECT regexp_extract(props, '[0-9]+', 0) AS session_key, COUNT(*) AS n, MAX(event_id) AS last_event FROM events GROUP BY 1")

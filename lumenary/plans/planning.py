@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenary.operators import planning as P
-from lumenary.plans.bindings import AS_OF
+from lumenary.plans.bindings import AS_OF, CHAPTER
 from lumenary.plans.content import _KEY
 from lumenary.plans.registry import query
 
 _ALIASES = f"aliases AS (SELECT DISTINCT {_KEY.format('n')} AS alias, unit_id FROM (SELECT unit_id, UNNEST([title, chapter || ' ' || CAST(unit_order AS STRING), unit_id]) AS n FROM units) x)"
 _EDGES = "edges AS (SELECT u.unit_id, p.unit_id AS prereq_id FROM units u JOIN units p ON u.chapter = p.chapter AND p.unit_order = CAST(FLOOR(u.unit_order / 2) AS BIGINT))"
-_EVIDENCE = "evidence AS (SELECT o_custkey AS user_id, unit_id, l_linenumber AS attempts, l_quantity * 2 AS accuracy FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN units ON l_partkey = p_partkey WHERE o_custkey % 10 = 3)"
+_EVIDENCE = "evidence AS (SELECT o_custkey AS user_id, unit_id, l_linenumber AS attempts, l_quantity * 2 AS accuracy FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN units ON l_partkey = p_partkey)"
 _STATUS = "st AS (SELECT user_id, unit_id, SUM(attempts) AS attempts, SUM(accuracy * attempts) / NULLIF(SUM(attempts), 0) AS acc FROM evidence GROUP BY 1, 2), status AS (SELECT user_id, unit_id, CAST(attempts AS BIGINT) AS attempts, ROUND(acc, 4) AS accuracy, CASE WHEN attempts = 0 THEN 'not_started' WHEN acc < 60 THEN 'needs_review' WHEN attempts >= 3 AND acc >= 80 THEN 'mastered' ELSE 'practising' END AS status FROM st)"
 _TIMED = "timed AS (SELECT *, CASE difficulty % 4 WHEN 0 THEN 'very_high' WHEN 1 THEN 'high' WHEN 2 THEN 'moderate' ELSE 'low' END AS importance, CASE difficulty % 3 WHEN 0 THEN 'foundation' WHEN 1 THEN 'steady' ELSE 'challenging' END AS hardness, CASE p_partkey % 4 WHEN 0 THEN 'very_high' WHEN 1 THEN 'high' WHEN 2 THEN 'moderate' ELSE 'low' END AS exam_relevance, CASE p_partkey % 3 WHEN 0 THEN 'overview' WHEN 1 THEN 'working' ELSE 'mastery' END AS depth, CASE p_partkey % 5 WHEN 0 THEN 'new_to_it' WHEN 1 THEN 'know_the_basics' ELSE 'confident' END AS proficiency, 10 + CAST(difficulty % 3 AS INT) * 5 AS min_minutes, 30 + CAST(difficulty % 2 AS INT) * 10 AS max_minutes FROM units)"
 _LV = lambda c, t: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.items()) + " END"
@@ -35,10 +35,6 @@ def _edges(units):
 
 
 def _evidence(units, lineitem, orders):
-    return _all_evidence(units, lineitem, orders.where("o_custkey % 10 = 3"))
-
-
-def _all_evidence(units, lineitem, orders):
     rows = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(units, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(F.col("o_custkey").alias("user_id"), "unit_id", F.col("l_linenumber").alias("attempts"), (F.col("l_quantity") * 2).alias("accuracy"))
 
@@ -48,21 +44,21 @@ def _(units):
     return P.ownership(_aliases(units))
 
 
-@query("C9", "units", "part", sql=f"WITH {_ALIASES} SELECT p_partkey, topic, unit_id FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN UPPER(p_name) ELSE p_brand || '-' || CAST(p_size AS STRING) END AS topic FROM part) e JOIN aliases ON alias = {_KEY.format('topic')}")
+@query("C9", "units", "part", sql=f"WITH {_ALIASES} SELECT p_partkey, topic, unit_id FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN UPPER(p_name) ELSE {CHAPTER} || '-' || CAST(p_size AS STRING) END AS topic FROM part) e JOIN aliases ON alias = {_KEY.format('topic')}")
 def _(units, part):
-    topic = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat_ws("-", "p_brand", F.col("p_size").cast("string")))
+    topic = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat_ws("-", F.expr(CHAPTER), F.col("p_size").cast("string")))
     return P.matched_units(part.select("p_partkey", topic.alias("topic")), _aliases(units))
 
 
 @query("C19", "units", "part", sql=f"""
-    WITH r AS (SELECT p_partkey AS request_id, {_KEY.format("CASE p_partkey % 3 WHEN 0 THEN p_brand || ':' || p_partkey WHEN 1 THEN p_name ELSE p_brand || ' ' || p_size END")} AS alias FROM part),
+    WITH r AS (SELECT p_partkey AS request_id, {_KEY.format("CASE p_partkey % 3 WHEN 0 THEN p_brand || ':' || p_partkey WHEN 1 THEN p_name ELSE CHAPTER || ' ' || p_size END".replace('CHAPTER', CHAPTER))} AS alias FROM part),
     t AS (SELECT {_KEY.format('unit_id')} AS alias, unit_id, 0 AS priority FROM units UNION ALL SELECT {_KEY.format('title')}, unit_id, 1 FROM units UNION ALL SELECT {_KEY.format("chapter || ' ' || unit_order")}, unit_id, 2 FROM units),
     b AS (SELECT request_id, priority, COUNT(DISTINCT unit_id) AS n, MIN(unit_id) AS unit_id FROM r JOIN t USING (alias) GROUP BY 1, 2), f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY priority) AS rn FROM b)
     SELECT r.request_id, CASE WHEN n = 1 THEN unit_id END AS unit_id, priority FROM r LEFT JOIN (SELECT * FROM f WHERE rn = 1) x ON x.request_id = r.request_id""")
 def _(units, part):
     from lumenary.functions.text import normal_key
 
-    name = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(":", "p_brand", F.col("p_partkey").cast("string"))).when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(":", "p_brand", F.col("p_partkey").cast("string"))).when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.concat_ws(" ", F.expr(CHAPTER), F.col("p_size").cast("string")))
     requests = part.select(F.col("p_partkey").alias("request_id"), normal_key(name).alias("alias"))
     by = lambda c: units.select(normal_key(c).alias("alias"), "unit_id").distinct()
     return P.resolved(requests, by(F.col("unit_id")), by(F.col("title")), by(F.concat_ws(" ", "chapter", F.col("unit_order").cast("string"))))
@@ -73,29 +69,17 @@ def _(units):
     return P.closure(_edges(units))
 
 
-@query("I34", "units", "lineitem", "orders", sql=f"WITH {_EVIDENCE}, {_STATUS} SELECT * FROM status")
+@query("I34", "units", "lineitem", "orders", also="I34_all", sql=f"WITH {_EVIDENCE}, {_STATUS} SELECT * FROM status")
 def _(units, lineitem, orders):
     return P.unit_status(units, _evidence(units, lineitem, orders))
 
 
-@query("I34_all", "units", "lineitem", "orders")
-def _(units, lineitem, orders):
-    """I34 over all learners."""
-    return P.unit_status(units, _all_evidence(units, lineitem, orders))
-
-
-@query("C13", "units", "lineitem", "orders", sql=f"WITH {_EVIDENCE}, {_STATUS}, {_EDGES} SELECT s.user_id, s.unit_id, COUNT(*) AS unmet FROM status s JOIN edges e ON e.unit_id = s.unit_id LEFT JOIN status m ON m.user_id = s.user_id AND m.unit_id = e.prereq_id AND m.status = 'mastered' WHERE s.status <> 'mastered' AND m.unit_id IS NULL GROUP BY 1, 2")
+@query("C13", "units", "lineitem", "orders", also="C13_all", sql=f"WITH {_EVIDENCE}, {_STATUS}, {_EDGES} SELECT s.user_id, s.unit_id, COUNT(*) AS unmet FROM status s JOIN edges e ON e.unit_id = s.unit_id LEFT JOIN status m ON m.user_id = s.user_id AND m.unit_id = e.prereq_id AND m.status = 'mastered' WHERE s.status <> 'mastered' AND m.unit_id IS NULL GROUP BY 1, 2")
 def _(units, lineitem, orders):
     return P.unmet_prerequisites(_edges(units), P.unit_status(units, _evidence(units, lineitem, orders)))
 
 
-@query("C13_all", "units", "lineitem", "orders")
-def _(units, lineitem, orders):
-    """C13 over all learners."""
-    return P.unmet_prerequisites(_edges(units), P.unit_status(units, _all_evidence(units, lineitem, orders)))
-
-
-@query("E12", "units", "lineitem", "orders", sql=f"""
+@query("E12", "units", "lineitem", "orders", also="E12_all", sql=f"""
     WITH {_EVIDENCE}, {_STATUS}, {_EDGES}, m AS (SELECT user_id, unit_id FROM status WHERE status = 'mastered'), s AS (SELECT DISTINCT user_id, chapter FROM status JOIN units USING (unit_id)),
     o AS (SELECT s.user_id, s.chapter, arg_min(u.unit_id, u.unit_order) AS unit_id FROM s JOIN units u ON u.chapter = s.chapter LEFT JOIN m ON m.user_id = s.user_id AND m.unit_id = u.unit_id WHERE m.unit_id IS NULL GROUP BY 1, 2),
     n AS (SELECT o.user_id, o.chapter, MIN(e.prereq_id) AS prereq_id FROM o JOIN edges e ON e.unit_id = o.unit_id LEFT JOIN m ON m.user_id = o.user_id AND m.unit_id = e.prereq_id WHERE m.unit_id IS NULL GROUP BY 1, 2)
@@ -104,23 +88,11 @@ def _(units, lineitem, orders):
     return P.next_units(units, _edges(units), P.unit_status(units, _evidence(units, lineitem, orders)))
 
 
-@query("E12_all", "units", "lineitem", "orders")
-def _(units, lineitem, orders):
-    """E12 over all learners."""
-    return P.next_units(units, _edges(units), P.unit_status(units, _all_evidence(units, lineitem, orders)))
-
-
-@query("D44", "units", "lineitem", "orders", sql=f"WITH {_EVIDENCE}, {_STATUS} SELECT user_id, COUNT(*) FILTER (status = 'mastered') AS mastered, COUNT(*) FILTER (status = 'practising') AS practising, COUNT(*) FILTER (status = 'needs_review') AS needs_review, COUNT(*) AS total, CAST(ROUND(100 * COUNT(*) FILTER (status = 'mastered') / COUNT(*)) AS INT) AS percentage FROM status GROUP BY user_id")
+@query("D44", "units", "lineitem", "orders", also="D44_all", sql=f"WITH {_EVIDENCE}, {_STATUS} SELECT user_id, COUNT(*) FILTER (status = 'mastered') AS mastered, COUNT(*) FILTER (status = 'practising') AS practising, COUNT(*) FILTER (status = 'needs_review') AS needs_review, COUNT(*) AS total, CAST(ROUND(100 * COUNT(*) FILTER (status = 'mastered') / COUNT(*)) AS INT) AS percentage FROM status GROUP BY user_id")
 def _(units, lineitem, orders):
     return P.portfolio(P.unit_status(units, _evidence(units, lineitem, orders)))
 
 
-@query("D44_all", "units", "lineitem", "orders")
-def _(units, lineitem, orders):
-    """D44 over all learners."""
-    return P.portfolio(P.unit_status(units, _all_evidence(units, lineitem, orders)))
-
-
 @query("E8", "units", sql="""
     WITH r AS (SELECT unit_id, chapter, ROW_NUMBER() OVER (PARTITION BY chapter ORDER BY weight DESC, unit_id) - 1 AS k, COUNT(*) OVER (PARTITION BY chapter) AS n FROM units)
     SELECT unit_id, chapter, CASE WHEN k < (CASE WHEN n <= 3 THEN 1 ELSE GREATEST(1, CEIL(n * 0.34)) END) THEN 'high' WHEN k >= n - (CASE WHEN n < 3 THEN 0 ELSE GREATEST(1, FLOOR(n * 0.25)) END) THEN 'light' ELSE 'medium' END AS band FROM r""")
@@ -161,22 +133,12 @@ def _(units):
     return P.representatives(units.drop("area").join(P.balanced_groups(units).drop("chapter"), "unit_id"))
 
 
-@query("I37", "units", "lineitem", sql="""
-    WITH a AS (SELECT unit_id, AVG(l_quantity) * 2 AS accuracy FROM lineitem JOIN units ON l_partkey = p_partkey WHERE l_linenumber = 1 GROUP BY 1),
+@query("I37", "units", "lineitem", also="I37_all", sql="""
+    WITH a AS (SELECT unit_id, AVG(l_quantity) * 2 AS accuracy FROM lineitem JOIN units ON l_partkey = p_partkey GROUP BY 1),
     s AS (SELECT u.unit_id, accuracy, difficulty % 4 * 1.6 + p_partkey % 4 * 1.2 + difficulty % 5 * 0.45 + LEAST(1.5, (p_partkey % 9) * 0.25) AS base FROM units u LEFT JOIN a USING (unit_id)),
     b AS (SELECT unit_id, ROUND(base + CASE WHEN accuracy IS NULL THEN 0.0 WHEN accuracy < 40 THEN 4.0 WHEN accuracy < 60 THEN 2.5 WHEN accuracy < 80 THEN 1.0 WHEN accuracy >= 90 THEN -1.0 ELSE 0.0 END, 4) AS focus_score, CASE WHEN accuracy IS NULL THEN 'baseline' WHEN accuracy < 40 THEN 'critical' WHEN accuracy < 60 THEN 'weak' WHEN accuracy < 80 THEN 'building' ELSE 'strong' END AS band FROM s)
     SELECT *, CASE WHEN band IN ('baseline', 'critical', 'weak') THEN 'high' WHEN band = 'building' THEN 'medium' ELSE 'stretch' END AS priority FROM b""")
 def _(units, lineitem):
-    return _focus(units, lineitem.where("l_linenumber = 1"))
-
-
-@query("I37_all", "units", "lineitem")
-def _(units, lineitem):
-    """I37 with all lines as evidence."""
-    return _focus(units, lineitem)
-
-
-def _focus(units, lineitem):
     acc = lineitem.join(units, F.col("l_partkey") == F.col("p_partkey")).groupBy("unit_id").agg((F.avg("l_quantity") * 2).alias("accuracy"))
     u = units.select("unit_id", (F.col("difficulty") % 4).alias("importance_score"), (F.col("p_partkey") % 4).alias("exam_score"), (F.col("difficulty") % 5).alias("difficulty"), (F.col("p_partkey") % 9).alias("concepts"))
     return P.focus_scores(u, acc)

@@ -13,22 +13,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, *inputs: str, sql: str | None = None):
-    """Register a function of the named inputs' DataFrames as a query; sql: its DuckDB twin."""
+def query(name: str, *inputs: str, sql: str | None = None, also: str | None = None):
+    """Register a function of the named inputs' DataFrames as a query; sql: its DuckDB twin; also: a second name."""
 
     def put(f: Callable[..., DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(*(source(spark, sf_dir, i) for i in inputs))
 
         run.__name__, run.__doc__ = name, f.__doc__
-        QUERIES[name] = run
-        if sql:
-            ORACLE[name] = with_views(sql)
+        for n in (name, also) if also else (name,):
+            QUERIES[n] = run
+            if sql:
+                ORACLE[n] = with_views(sql)
         return f
 
     return put
 
 
-for _part in ("learners", "ranking", "tracing", "content", "exams", "planning", "retrieval", "streams", "misc"):
+for _part in ("learners", "ranking", "tracing", "content", "exams", "planning", "retrieval", "streams", "misc", "answers", "payloads", "concepts", "mastery", "ingestion"):
     if importlib.util.find_spec(f"lumenary.plans.{_part}"):
         importlib.import_module(f"lumenary.plans.{_part}")

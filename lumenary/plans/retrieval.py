@@ -10,10 +10,10 @@ from lumenary.plans.registry import query
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 _VEC = f"""
-    q AS (SELECT vec_id AS query_id, label % 2 AS model, embedding AS query FROM embeddings WHERE vec_id < 5),
+    q AS (SELECT vec_id AS query_id, label % 2 AS model, embedding AS query FROM embeddings WHERE vec_id % 50 = 0),
     s AS (SELECT query_id, e.vec_id, {_DOT.format('embedding', 'query')} AS similarity FROM embeddings e JOIN q ON e.label % 2 = q.model),
     near AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rn FROM s WHERE similarity >= 0.25)"""
-_Q = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark WHERE item_id < 8"
+_Q = "SELECT item_id AS query_id, text AS query FROM benchmark"
 _LEX = f"""
     q AS ({_Q}), qt AS (SELECT query_id, {_TERMS.format('query')} AS terms FROM q), ct AS (SELECT chunk_id, LOWER(text) AS low, {_TERMS.format('text')} AS terms FROM chunks),
     p AS (SELECT query_id, chunk_id, LEN(list_intersect(qt.terms, ct.terms)) AS shared, list_sum(list_transform(qt.terms, lambda t: CAST((LENGTH(low) - LENGTH(REPLACE(low, t, ''))) / LENGTH(t) AS INT))) AS occ FROM qt, ct),
@@ -21,26 +21,19 @@ _LEX = f"""
 
 
 def _queries(benchmark):
-    return benchmark.where("item_id < 8").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
+    return benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _vectors(embeddings):
-    q = embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), (F.col("label") % 2).alias("model"), F.col("embedding").alias("query"))
+    q = embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), (F.col("label") % 2).alias("model"), F.col("embedding").alias("query"))
     return q, embeddings.select("vec_id", (F.col("label") % 2).alias("model"), "embedding")
 
 
-@query("C11", "embeddings", sql=f"WITH {_VEC} SELECT query_id, vec_id, ROUND(similarity, 6) AS similarity, rn AS rank FROM near WHERE rn <= 10")
+@query("C11", "embeddings", also="C11_all", sql=f"WITH {_VEC} SELECT query_id, vec_id, ROUND(similarity, 6) AS similarity, rn AS rank FROM near WHERE rn <= 10")
 def _(embeddings):
     return R.vector_matches(*_vectors(embeddings), 10)
 
 
-@query("C11_all", "embeddings")
-def _(embeddings):
-    """C11 with every id divisible by 50 as a query; tested by brute force."""
-    vectors = embeddings.select("vec_id", (F.col("label") % 2).alias("model"), "embedding")
-    return R.vector_matches(vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "model", F.col("embedding").alias("query")), vectors, 10)
-
-
 @query("I6", "embeddings", sql=f"SELECT vec_id, ROUND({_DOT.format('embedding', 'embedding')} / {_DOT.format('embedding', 'embedding')}, 6) AS unit_length FROM embeddings")
 def _(embeddings):
     """Squared lengths of normalised vectors."""
@@ -48,48 +41,46 @@ def _(embeddings):
     return n.select("vec_id", F.round(R.dot(F.col("embedding"), F.col("embedding")), 6).alias("unit_length"))
 
 
-@query("I5", "benchmark", "chunks", sql=f"WITH {_LEX.format('shared > 0')} SELECT * FROM lex")
+@query("I5", "benchmark", "chunks", also="I5_all", sql=f"WITH {_LEX.format('shared > 0')} SELECT * FROM lex")
 def _(benchmark, chunks):
     return R.lexical_scores(_queries(benchmark), chunks)
 
 
-@query("I5_all", "benchmark", "chunks")
-def _(benchmark, chunks):
-    """I5 with all items as queries and their whole texts; tested by brute force."""
-    return R.lexical_scores(benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), chunks)
-
-
 @query("I5_exact", "benchmark", "chunks", sql=f"WITH {_LEX.format('TRUE')} SELECT * FROM lex")
 def _(benchmark, chunks):
     return R.lexical_scores(_queries(benchmark), chunks, exact=True)
 
 
-_FUSED = f"""{_LEX.format('shared > 0')}, sem AS (SELECT query_id, chunk_id, n_chars * (query_id + 1) % 97 AS score FROM chunks, q WHERE n_chars * (query_id + 1) % 97 > 80),
+# item k asks with vector k as well, and chunk k is stored with vector k if there is one
+_FUSED = f"""{_LEX.format('shared > 0')}, qv AS (SELECT item_id AS query_id, label % 2 AS model, embedding AS query FROM benchmark JOIN embeddings ON vec_id = item_id),
+    sv AS (SELECT query_id, vec_id AS chunk_id, {_DOT.format('embedding', 'qv.query')} AS similarity FROM embeddings e JOIN qv ON e.label % 2 = qv.model),
+    sem AS (SELECT query_id, chunk_id, ROUND(similarity, 6) AS score FROM sv WHERE similarity >= 0.25 AND chunk_id IN (SELECT chunk_id FROM chunks)),
     r AS (SELECT query_id, chunk_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY lexical DESC, chunk_id) AS k FROM lex UNION ALL SELECT query_id, chunk_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) FROM sem),
     fu AS (SELECT query_id, chunk_id, ROUND(SUM(1 / (60.0 + k)), 8) AS fused FROM r GROUP BY 1, 2)"""
 
 
-def _fused(benchmark, chunks):
+def _fused(benchmark, chunks, embeddings):
     q = _queries(benchmark)
-    score = F.col("n_chars") * (F.col("query_id") + 1) % 97
-    semantic = chunks.select("chunk_id", "n_chars").join(F.broadcast(q.select("query_id"))).select("query_id", "chunk_id", score.alias("score")).where("score > 80")
-    return R.fused(R.lexical_scores(q, chunks).withColumnRenamed("lexical", "score"), semantic)
+    _, vectors = _vectors(embeddings)
+    asked = q.select("query_id").join(vectors.select(F.col("vec_id").alias("query_id"), "model", F.col("embedding").alias("query")), "query_id")
+    near = R.vector_matches(asked, vectors, None).select("query_id", F.col("vec_id").alias("chunk_id"), F.col("similarity").alias("score"))
+    return R.fused(R.lexical_scores(q, chunks).withColumnRenamed("lexical", "score"), near.join(chunks.select("chunk_id"), "chunk_id", "left_semi"))
 
 
-@query("I7", "benchmark", "chunks", sql=f"WITH {_FUSED} SELECT * FROM fu")
-def _(benchmark, chunks):
-    """Hybrid retrieval; the second list stands for a semantic one."""
-    return _fused(benchmark, chunks)
+@query("I7", "benchmark", "chunks", "embeddings", sql=f"WITH {_FUSED} SELECT * FROM fu")
+def _(benchmark, chunks, embeddings):
+    """Hybrid retrieval: terms and vectors, fused by reciprocal ranks."""
+    return _fused(benchmark, chunks, embeddings)
 
 
-@query("E10", "benchmark", "chunks", sql=f"""
+@query("E10", "benchmark", "chunks", "embeddings", sql=f"""
     WITH RECURSIVE {_FUSED}, t AS (SELECT query_id, chunk_id, CAST(n_chars AS BIGINT) AS n, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rn FROM fu JOIN chunks USING (chunk_id)),
     f AS (SELECT query_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS total, 0 AS k, CAST(NULL AS BIGINT) AS chunk_id, CAST(NULL AS BIGINT) AS chars FROM q
           UNION ALL SELECT f.query_id, t.rn, CASE WHEN f.k >= 5 OR f.total + t.n > 9000 AND f.k > 0 THEN f.total WHEN f.total + t.n > 9000 THEN 9000 ELSE f.total + t.n END, CASE WHEN f.k >= 5 OR f.total + t.n > 9000 AND f.k > 0 THEN f.k ELSE f.k + 1 END,
                  CASE WHEN f.k >= 5 OR f.total + t.n > 9000 AND f.k > 0 THEN NULL ELSE t.chunk_id END, LEAST(t.n, 9000) FROM f JOIN t ON t.query_id = f.query_id AND t.rn = f.rn + 1 AND t.rn <= 10)
     SELECT query_id, k - 1 AS position, chunk_id, chars FROM f WHERE chunk_id IS NOT NULL""")
-def _(benchmark, chunks):
-    ranked = _fused(benchmark, chunks).join(chunks.select("chunk_id", F.col("n_chars").alias("n")), "chunk_id")
+def _(benchmark, chunks, embeddings):
+    ranked = _fused(benchmark, chunks, embeddings).join(chunks.select("chunk_id", F.col("n_chars").alias("n")), "chunk_id")
     return R.packed(ranked, 5, 9000)
 
 
@@ -103,22 +94,24 @@ def _(documents):
     return R.paragraph_scores(documents, ["the", "de"], 3)
 
 
-@query("I10", "benchmark", "part", sql=f"""
-    WITH q AS (SELECT query_id, UNNEST({_TERMS.format('query')}) AS term FROM (SELECT p_partkey AS query_id, p_name || ' ' || p_type AS query FROM part WHERE p_partkey <= 5) x),
-    w AS (SELECT query_id, p_partkey AS concept_id, CASE WHEN contains(CAST(p_partkey AS STRING), term) THEN 8 ELSE 0 END + CASE WHEN contains(LOWER(p_name), term) THEN 7 ELSE 0 END + CASE WHEN contains(LOWER(p_type), term) THEN 4 ELSE 0 END AS w FROM part, q),
-    s AS (SELECT query_id, CAST(concept_id AS STRING) AS concept_id, CAST(SUM(w) AS BIGINT) AS score FROM w WHERE w > 0 GROUP BY 1, 2)
+@query("I10", "part", sql=f"""
+    WITH q AS (SELECT query_id, UNNEST({_TERMS.format('query')}) AS term FROM (SELECT p_partkey AS query_id, p_name || ' ' || p_type AS query FROM part WHERE p_partkey % 50 = 0) x),
+    c AS (SELECT CAST(p_partkey AS STRING) AS concept_id, LOWER(p_name) AS a, LOWER(p_type) AS b, LOWER(p_brand || ' ' || p_type) AS c, LOWER(p_name || ' of ' || p_size) AS d FROM part),
+    w AS (SELECT query_id, concept_id, CASE WHEN contains(concept_id, term) THEN 8 ELSE 0 END + CASE WHEN contains(a, term) THEN 7 ELSE 0 END + CASE WHEN contains(b, term) THEN 4 ELSE 0 END + CASE WHEN contains(c, term) THEN 3 ELSE 0 END + CASE WHEN contains(d, term) THEN 1 ELSE 0 END AS w FROM c, q),
+    s AS (SELECT query_id, concept_id, CAST(SUM(w) AS BIGINT) AS score FROM w WHERE w > 0 GROUP BY 1, 2)
     SELECT query_id, concept_id, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, concept_id) AS rn FROM s) x WHERE rn <= 20""")
-def _(benchmark, part):
-    queries = part.where("p_partkey <= 5").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("query"))
-    return R.keyword_concepts(queries, part.select(F.col("p_partkey").cast("string").alias("concept_id"), F.col("p_name").alias("title"), F.col("p_type").alias("definition")), 20)
+def _(part):
+    queries = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("query"))
+    explained, points = F.concat_ws(" ", "p_brand", "p_type").alias("explanation"), F.concat_ws(" of ", "p_name", F.col("p_size").cast("string")).alias("points")
+    return R.keyword_concepts(queries, part.select(F.col("p_partkey").cast("string").alias("concept_id"), F.col("p_name").alias("title"), F.col("p_type").alias("definition"), explained, points), 20)
 
 
 @query("F10", "benchmark", "chunks", sql=f"""
-    WITH q AS (SELECT query_id, 'src' || CAST(query_id AS STRING) AS chapter, {_TERMS.format('query')} AS terms FROM ({_Q}) x),
+    WITH q AS (SELECT query_id, 'src' || CAST(query_id % 20 AS STRING) AS chapter, {_TERMS.format('query')} AS terms FROM ({_Q}) x),
     p AS (SELECT query_id, chunk_id, page_start, LEN(list_intersect(q.terms, {_TERMS.format('text')})) AS n FROM chunks JOIN q USING (chapter)), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS rn FROM p WHERE n > 0)
     SELECT query_id, chunk_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY page_start, chunk_id) AS position FROM r WHERE rn <= 4""")
 def _(benchmark, chunks):
-    return R.overlap_pages(_queries(benchmark).withColumn("chapter", F.concat(F.lit("src"), F.col("query_id").cast("string"))), chunks, 4)
+    return R.overlap_pages(_queries(benchmark).withColumn("chapter", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))), chunks, 4)
 
 
 @query("I14", "conversations", sql="SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\\b(quiz|test me|mcq)\\b') THEN 'quiz' WHEN regexp_matches(t, '\\b(why|how)\\b') THEN 'explain' WHEN contains(t, '?') THEN 'question' WHEN LENGTH(t) < 20 THEN 'short' ELSE 'statement' END AS intent FROM (SELECT *, LOWER(text) AS t FROM conversations) x")

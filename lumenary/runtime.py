@@ -35,13 +35,23 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder; its lineage ends there.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
 
-    The folder is the cluster's (spark.checkpoint.dir). Only where none is set, as in
-    tests, a new folder of this machine is used.
+    Only a local master, as in tests, may have none; it gets a new folder of this machine.
     """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="lumenary-shared-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder; its lineage ends there."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenary-checkpoint-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lumenary.runtime import ship
+from lumenary.runtime import shared_root, ship
 
 LATE = "10 minutes"
 
@@ -25,8 +24,7 @@ def read(spark: SparkSession, sf_dir: str, table: str = "events", files: int = 1
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a query's offsets, state and results, in the cluster's shared place."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenary-stream-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
