@@ -83,6 +83,11 @@ def occurrences(text: Column, term: Column) -> Column:
     return F.when(F.length(term) > 0, (F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).otherwise(0).cast("int")
 
 
+def message_tokens(c: Column, images: Column) -> Column:
+    """A quarter of the characters, rounded up, and 800 for each image."""
+    return (F.ceil(F.length(F.coalesce(c, F.lit(""))) / 4) + 800 * F.coalesce(images, F.lit(0))).cast("int")
+
+
 def page_numbers(items: Column) -> Column:
     """The first whole number of each item of an array of texts, positive ones, distinct and sorted."""
     found = F.transform(items, lambda x: F.try_to_number(F.nullif(F.regexp_extract(x, r"\d{1,9}", 0), F.lit("")), F.lit("999999999")).cast("int"))
@@ -177,10 +182,20 @@ def repaired(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, "‘’“”–— ", "''\"\"-- "), "[ \t]+", " "))
 
 
+# How lines begin that are no titles.
+NO_TITLE = ("chapter", "unit", "page", "ncert", "the ", "it ", "a ", "an ", "in ", "this ", "these ", "those ", "when ", "as ", "after ", "every", "chemical", "chemistry deals", "scientists")
+
+
 def inferred_title(c: Column) -> Column:
-    """The first line of 3 to 90 characters, mostly letters, that doesn't end a sentence."""
-    good = F.filter(F.split(c, "\n"), lambda x: (F.length(F.trim(x)) >= 3) & (F.length(F.trim(x)) <= 90) & (F.regexp_count(x, F.lit("[A-Za-z]")) * 2 > F.length(x)) & ~x.rlike(r"[.!?]\s*$"))
-    return F.when(F.size(good) > 0, F.trim(good[0]))
+    """The line after UNIT n among the first 20, else the first of 12 that reads like a title; empty if none does."""
+    lines = F.slice(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\R"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != ""), 1, 20)
+    letters = lambda x: F.regexp_count(x, F.lit(r"[\p{L}\s]")) / F.length(x)
+    words = lambda x: F.size(F.split(x, r"\s+"))
+    after = lambda x: (words(x) <= 14) & (F.length(x) <= 140) & (letters(x) > 0.75) & ~x.contains("\ufffd") & ~x.rlike("[.,;:]$")
+    plain = lambda x: (words(x) <= 12) & (F.length(x) <= 100) & x.rlike(r"^\p{Lu}") & ~x.contains(".") & ~x.contains("\ufffd") & ~x.rlike("[,;:]$") & ~F.lower(x).rlike("^(" + "|".join(NO_TITLE) + ")") & (letters(x) > 0.9)
+    follows = F.filter(F.transform(lines, lambda x, k: F.when(F.coalesce(F.get(lines, k - 1), F.lit("")).rlike(r"^(?i)unit\s+\d{1,3}$") & after(x), x)), lambda x: x.isNotNull())
+    good = F.filter(F.slice(lines, 1, 12), plain)
+    return F.when(F.size(follows) > 0, titled(F.get(follows, F.lit(0)))).when(F.size(good) > 0, titled(F.get(good, F.lit(0)))).otherwise("")
 
 
 def formulas(c: Column, most: int = 12) -> Column:

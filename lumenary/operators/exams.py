@@ -39,9 +39,19 @@ def paper_totals(questions: DataFrame, short: tuple[str, ...]) -> DataFrame:
 
 
 def merged_patterns(questions: DataFrame) -> DataFrame:
-    """All papers as one pattern by rollup: key-wise sums of each distribution."""
+    """All papers as one pattern: sums of each distribution by key, the most common style of papers, their mean confidence.
+
+    A paper's style is its most common type (ties: the first by name), its confidence the share of
+    its questions with a difficulty and marks over 5.
+    """
     kinds = questions.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in (("marks", "marks"), ("type", "question_type"), ("difficulty", "difficulty"))))).alias("x"))
-    return kinds.groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
+    sums = kinds.groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
+    typed = questions.groupBy("paper_id", "question_type").agg(F.count("*").alias("n"), F.count_if(F.col("difficulty").isNotNull() & (F.col("marks") > 5)).alias("sure"))
+    papers = typed.groupBy("paper_id").agg(F.min_by("question_type", F.struct(-F.col("n"), "question_type")).alias("style"), (F.sum("sure") / F.sum("n")).alias("confidence"))
+    styles = papers.groupBy("style").agg(F.count("*").alias("n"))
+    style = styles.orderBy(F.desc("n"), "style").limit(1).select(F.lit("style").alias("kind"), F.col("style").alias("value"), "n")
+    sure = papers.groupBy().agg(F.lit("confidence").alias("kind"), F.round(F.avg("confidence"), 4).cast("decimal(9,4)").cast("string").alias("value"), F.count("*").alias("n"))
+    return sums.unionByName(style).unionByName(sure)
 
 
 def cross_repeated(questions: DataFrame, top: int = 25) -> DataFrame:
@@ -145,8 +155,10 @@ def graded_mcqs(answers: DataFrame, key: DataFrame) -> DataFrame:
     return g.select("user_id", "unit_id", "answered", "correct", F.round(acc, 4).alias("accuracy"), F.when(acc >= 80, "mastered").when(acc < 60, "revisit prerequisites").otherwise("practise").alias("outcome"))
 
 
-def inventory(questions: DataFrame) -> DataFrame:
-    return questions.groupBy().agg(F.count_distinct("paper_id").alias("papers"), F.count("*").alias("questions"), F.array_join(F.array_sort(F.collect_set("subject")), ",").alias("subjects"))
+def inventory(questions: DataFrame, latest_: int = 10) -> DataFrame:
+    """How many papers and questions, of which subjects, and the latest papers."""
+    newest = questions.select("paper_id").distinct().orderBy(F.desc("paper_id")).limit(latest_).groupBy().agg(F.array_join(F.reverse(F.array_sort(F.collect_list("paper_id"))).cast("array<string>"), ",").alias("latest"))
+    return questions.groupBy().agg(F.count_distinct("paper_id").alias("papers"), F.count("*").alias("questions"), F.array_join(F.array_sort(F.collect_set("subject")), ",").alias("subjects")).crossJoin(newest)
 
 
 def generated_questions(questions: DataFrame, topics: int = 6) -> DataFrame:

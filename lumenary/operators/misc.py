@@ -13,8 +13,10 @@ TURN = "struct<turn:long,calls:array<struct<provider:string,status:string,latenc
 
 def audit_rows(actions: DataFrame, n: int) -> DataFrame:
     """Actions with clipped fields and lower-case e-mail, the latest n."""
-    clip = lambda c, k: F.substring(F.col(c), 1, k).alias(c)
-    rows = actions.select("id", "created_at", clip("action", 8), F.lower("email").alias("email"), clip("detail", 40))
+    # The most characters of each field.
+    most = {"email": 120, "action": 80, "target": 220, "method": 40, "detail": 500}
+    clip = lambda c: F.substring(F.lower(c) if c == "email" else F.col(c), 1, most[c]).alias(c)
+    rows = actions.select("id", "created_at", *(clip(c) for c in most))
     return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
 
 
@@ -72,17 +74,39 @@ def valid_options(options: Column) -> Column:
     return (F.size(options) == 4) & (F.size(F.array_distinct(texts)) == 4) & ~F.exists(texts, lambda t: (t == "") | (t == "option unavailable"))
 
 
-def grounded_facts(docs: DataFrame, most: int = 18) -> DataFrame:
-    """Distinct sentences of 18 to 260 characters and five words or more that aren't questions, in order."""
-    s = docs.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+|\n+")).alias("no", "fact"))
-    s = s.withColumn("fact", X.squeezed(F.col("fact"))).where((F.length("fact") >= 18) & (F.length("fact") <= 260) & ~F.col("fact").endswith("?") & (F.size(F.split("fact", " ")) >= 5))
-    once = s.groupBy("doc_id", F.lower("fact").alias("k")).agg(F.min("no").alias("no"))
-    return latest(once, ["doc_id"], [F.asc("no")], most).groupBy("doc_id").agg(F.count("*").alias("facts"), F.max("no").cast("long").alias("last_no"))
+# How lines begin that state nothing.
+NO_FACT = ("why ", "how ", "what ", "which ", "when ", "where ", "who ", "meaning ", "source:", "section content:", "common mistakes:", "key points:", "examples:", "formulas:")
+
+
+def clean_fact(c: Column) -> Column:
+    """A line without list marks, bold heads and the words definition or explanation in front."""
+    t = F.regexp_replace(X.squeezed(c), r"^[#>\-\d\.\)\s]+", "")
+    t = F.regexp_replace(F.trim(t), r"^\*\*([^*]+):?\*\*\s*:?\s*", "$1: ")
+    return F.regexp_replace(F.regexp_replace(t, "^(?i)(definition|explanation):\\s*", ""), "^[ -]+|[ -]+$", "")
+
+
+def is_fact(t: Column) -> Column:
+    """18 to 260 characters and five words or more that neither ask nor head anything."""
+    words, low = F.size(F.regexp_extract_all(t, F.lit("[A-Za-z0-9]+"), F.lit(0))), F.lower(t)
+    heads = F.lit(False)
+    for x in NO_FACT:
+        heads = heads | low.startswith(x)
+    return F.length(t).between(18, 260) & (words >= 5) & ~t.rlike("[?:]$") & ~t.rlike("^['\"]") & ~t.rlike(r"^[A-Z]\.\s+") & ~heads & ~(F.concat(F.lit(" "), low, F.lit(" ")).contains(" meaning ") & (words < 8))
+
+
+def grounded_facts(docs: DataFrame, most: int = 18, enough: int = 8) -> DataFrame:
+    """(doc_id, facts, text): each text's distinct facts in order, of lines; of sentences too where lines give fewer than enough."""
+    parts = lambda phase, pattern: docs.select("doc_id", F.lit(phase).alias("phase"), F.posexplode(F.split("text", pattern)).alias("no", "fact"))
+    rows = parts(0, r"[\r\n]+").unionByName(parts(1, r"(?<=[.!?])\s+")).withColumn("fact", clean_fact(F.col("fact"))).where(is_fact(F.col("fact")))
+    once = rows.groupBy("doc_id", F.lower("fact").alias("k")).agg(F.min(F.struct("phase", "no", "fact")).alias("x")).select("doc_id", "x.*")
+    lines = once.groupBy("doc_id").agg(F.count_if(F.col("phase") == 0).alias("n"))
+    kept = latest(once.join(lines, "doc_id").where((F.col("phase") == 0) | (F.col("n") < enough)), ["doc_id"], [F.asc("phase"), F.asc("no")], most)
+    return kept.groupBy("doc_id").agg(F.count("*").alias("facts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "fact"))), lambda x: x["fact"]), "|").alias("text"))
 
 
 def evaluation(predicted: DataFrame) -> DataFrame:
-    """Pass rate of labelled routing and the share of grounded turns."""
-    return predicted.groupBy("expected").agg(F.count("*").alias("cases"), F.round(F.avg((F.col("predicted") == F.col("expected")).cast("int")), 6).alias("pass_rate"))
+    """Pass rate of labelled routing, and the shares of turns that are grounded and that call a tool."""
+    return predicted.groupBy("expected").agg(F.count("*").alias("cases"), F.round(F.avg((F.col("predicted") == F.col("expected")).cast("int")), 6).alias("pass_rate"), F.round(F.avg("grounded"), 6).alias("grounded_rate"), F.round(F.avg(F.col("tool").cast("int")), 6).alias("tool_rate"))
 
 
 def exposure(events: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -90,12 +114,18 @@ def exposure(events: DataFrame, aliases: DataFrame) -> DataFrame:
     return events.withColumn("alias", X.normal_key(F.col("topic"))).join(aliases, "alias").groupBy("user_id", "unit_id").agg(F.count("*").alias("events"))
 
 
-def daily_signals(sessions: DataFrame) -> DataFrame:
-    """Each day's accuracy, focus and xp of a learner against all time, with the risk."""
-    day = sessions.groupBy("user_id", "date").agg(F.round(F.avg("accuracy_rate"), 4).alias("accuracy"), F.round(F.avg("focus_score"), 4).alias("focus"), F.sum("xp_earned").alias("xp"))
-    life = sessions.groupBy("user_id").agg(F.round(F.avg("accuracy_rate"), 4).alias("lifetime"))
+def daily_signals(sessions: DataFrame, most: int = 5) -> DataFrame:
+    """Each day's accuracy and focus in exams (all time's where there was none), xp, risk, weak and strong topics and what to do."""
+    exam = F.col("session_type") == "exam"
+    mean = lambda c, name, on=None: F.round(F.avg(F.col(c) if on is None else F.when(on, F.col(c))), 4).alias(name)
+    day = sessions.groupBy("user_id", "date").agg(mean("accuracy_rate", "day_accuracy", exam), mean("focus_score", "day_focus", exam), F.sum("xp_earned").alias("xp"))
+    life = sessions.groupBy("user_id").agg(mean("accuracy_rate", "lifetime"), mean("focus_score", "lifetime_focus"))
+    topics = sessions.groupBy("user_id", "topic").agg(F.avg("accuracy_rate").alias("a")).withColumn("k", F.round("a", 6))
+    picked = lambda order, on: F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.when(on, F.struct(order.alias("o"), F.col("topic").alias("t"))))), 1, most), lambda x: x["t"]), ",")
+    known = topics.groupBy("user_id").agg(picked(F.col("k"), F.col("a") < 60).alias("weak"), picked(-F.col("k"), F.col("a") >= 60).alias("strong"))
+    rows = day.join(life, "user_id").join(known, "user_id").select("user_id", "date", F.coalesce("day_accuracy", "lifetime").alias("accuracy"), F.coalesce("day_focus", "lifetime_focus").alias("focus"), "xp", "lifetime", "weak", "strong")
     risk = F.when(F.col("accuracy") < 45, "high").when(F.col("accuracy") < 65, "medium").otherwise("low")
-    return day.join(life, "user_id").withColumn("risk", risk)
+    return rows.withColumns({"risk": risk, "recommendation": F.when(F.col("accuracy") < 45, "review basics").when(F.col("weak") != "", "practise weak topics").otherwise("raise difficulty")})
 
 
 def proficiency(status: DataFrame) -> DataFrame:

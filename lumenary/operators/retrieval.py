@@ -166,7 +166,24 @@ def overlap_pages(queries: DataFrame, chunks: DataFrame, top: int) -> DataFrame:
 
 
 def intents(messages: DataFrame) -> DataFrame:
-    """An intent for each message by the first rule that holds."""
+    """An intent for each message by the first rule that holds, whether it needs sources, and whether it goes on with the last."""
     t = F.lower("text")
-    rule = F.when(t.rlike(r"\b(quiz|test me|mcq)\b"), "quiz").when(t.rlike(r"\b(why|how)\b"), "explain").when(t.contains("?"), "question").when(F.length(t) < 20, "short").otherwise("statement")
-    return messages.withColumn("intent", rule)
+    quiz, asks = t.rlike(r"\b(quiz|test me|mcq)\b"), t.rlike(r"\b(why|how)\b")
+    rule = F.when(quiz, "quiz").when(asks, "explain").when(t.contains("?"), "question").when(F.length(t) < 20, "short").otherwise("statement")
+    policy = F.when(quiz, "practice").when(t.contains("?") | asks, "required").when(F.length(t) < 20, "none").otherwise("optional")
+    follows = (F.col("turn") > 1) & ((F.length(t) < 20) | t.rlike(r"\b(it|this|that|again|more)\b"))
+    return messages.withColumns({"intent": rule, "retrieval_policy": policy, "is_follow_up": follows})
+
+
+def lesson_memory(turns: DataFrame, last: int = 6, corrected: int = 4) -> DataFrame:
+    """Per conversation: its last turns, the latest question and its topic, and the last turns that say not or no."""
+    wrong = F.contains(F.lower("text"), F.lit(" not ")) | F.contains(F.lower("text"), F.lit(" no "))
+    rows = turns.withColumn("wrong", wrong)
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("turn")))
+    rows = rows.withColumns({"rn": place("conv_id"), "mn": place("conv_id", "wrong")})
+    user = F.when(F.col("role") == "user", F.col("turn"))
+    kept = F.array_sort(F.collect_list(F.when(F.col("wrong") & (F.col("mn") <= corrected), F.col("turn"))))
+    return rows.groupBy("conv_id").agg(
+        F.count_if(F.col("rn") <= last).alias("window_turns"), F.min(F.when(F.col("rn") <= last, F.col("turn"))).alias("from_turn"), F.max(user).alias("open_doubt"),
+        F.regexp_extract(F.lower(F.max_by("text", user)), "[a-z]{5,}", 0).alias("topic"), F.array_join(kept.cast("array<string>"), ",").alias("misconceptions"),
+    )

@@ -72,12 +72,15 @@ def quality(traces: DataFrame, sample: int = 500) -> DataFrame:
 
 def console(traces: DataFrame, as_of: str) -> DataFrame:
     """Counters of the last day: low and verified quality, slow and failed turns, rows by kind."""
-    t = window(traces, as_of, 48)
+    t = window(traces, as_of, 24)
     n = lambda c, name: F.count_if(c).alias(name)
-    kind = lambda k: F.col("trace_type") == k
+    kind, state = (lambda k: F.col("trace_type") == k), (lambda k: F.col("status") == k)
+    turn, bad = kind("turn"), state("failed")
     return t.groupBy().agg(
-        n(kind("turn"), "turns"), n(kind("model"), "models"), n(kind("tool"), "tools"), n(kind("dispatch"), "dispatches"), n(kind("turn") & (F.col("quality") < 0.65), "low_quality"),
-        n(kind("turn") & (F.col("quality") >= 0.82), "verified"), n(F.col("latency_ms") >= 4000, "slow"), n(F.col("status") == "failed", "failed"), n(F.col("status").like("%view%"), "review"), F.count_distinct("user_id").alias("users"),
+        F.count("*").alias("rows"), n(turn, "turns"), n(kind("model"), "models"), n(kind("tool"), "tools"), n(kind("dispatch"), "dispatches"), n(turn & (F.col("quality") < 0.65), "low_quality"), n(turn & (F.col("quality") >= 0.82), "verified"),
+        n(turn & (F.col("grounded") == 0), "ungrounded"), n(F.col("latency_ms") >= 7000, "slow"), n(turn & (F.col("latency_ms") >= 4000), "slow_turns"), n(bad, "failed"), n(bad & turn, "failed_turns"), n(bad & kind("model"), "failed_models"),
+        n(bad & kind("tool"), "failed_tools"), n(state("success"), "succeeded"), n(state("skipped"), "skipped"), n(F.col("status").like("%view%"), "review"), n(F.col("agent").like("%1"), "first_agent"), n(F.col("model").like("m%") & kind("model"), "named_models"),
+        n(F.col("estimated_input_tokens") > 400, "large_inputs"), n(F.col("estimated_output_tokens") == 0, "empty_outputs"), n(F.col("estimated_cost_usd") > 0, "paid"), F.count_distinct("user_id").alias("users"), F.count_distinct("agent").alias("agents"), F.count_distinct("turn_id").alias("runs"),
     )
 
 
@@ -145,9 +148,11 @@ def recommendations(traces: DataFrame) -> DataFrame:
 
 
 def collaboration(traces: DataFrame) -> DataFrame:
-    """Messages and hand-offs: tool and dispatch rows, and the pairs of agents within a turn."""
+    """Messages and hand-offs by agent, and of each hand-off the pair as seen from both parties."""
     kinds = traces.where("trace_type IN ('tool', 'dispatch')").select(F.when(F.col("trace_type") == "tool", "message").otherwise("handoff").alias("kind"), "agent", "provider")
-    return kinds.groupBy("kind", "agent", "provider").agg(F.count("*").alias("n"))
+    seen = lambda side, a, b: F.struct(F.lit(side).alias("side"), F.col(a).alias("party"), F.col(b).alias("other"))
+    sides = F.when(F.col("kind") == "message", F.array(seen("from", "agent", "provider"))).otherwise(F.array(seen("from", "agent", "provider"), seen("to", "provider", "agent")))
+    return kinds.select("kind", F.explode(sides).alias("x")).groupBy("kind", "x.side", "x.party", "x.other").agg(F.count("*").alias("n"))
 
 
 def records(traces: DataFrame, events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenary.functions import text as X
 from lumenary.operators import content as C
+from lumenary.operators.payloads import clamped, whole_number
 from lumenary.plans.registry import query
 
 _KEY = "regexp_replace(regexp_replace(LOWER({0}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
@@ -82,22 +83,24 @@ def _(chunks):
     return C.report(chunks)
 
 
-@query("D26", "chunks", sql="""
+@query("D26", "chunks", "embeddings", sql="""
     WITH p AS (SELECT DISTINCT chapter, page_start AS page FROM chunks WHERE chunk_id % 2 = 0), c AS (SELECT chapter, UNNEST(list_distinct([page_start, page_end])) AS page, chunk_id FROM chunks),
     v AS (SELECT c.chapter, COUNT(p.page) AS verified, COUNT(*) AS cited FROM c LEFT JOIN p ON p.chapter = c.chapter AND p.page = c.page GROUP BY c.chapter)
-    SELECT chapter, verified, cited, ROUND(100.0 * verified / NULLIF(cited, 0), 4) AS coverage, verified * 100 >= cited * 60 AS ready FROM v""")
-def _(chunks):
+    SELECT v.chapter, verified, cited, ROUND(100.0 * verified / NULLIF(cited, 0), 4) AS coverage, embedded, verified * 100 >= cited * 60 AS ready FROM v JOIN (SELECT chapter, ROUND(100.0 * COUNT(vec_id) / COUNT(*), 4) AS embedded FROM chunks LEFT JOIN embeddings ON vec_id = chunk_id GROUP BY 1) e ON e.chapter = v.chapter""")
+def _(chunks, embeddings):
     """Verified citations of each chapter and its readiness at 60 %."""
     concepts = chunks.select(F.col("chunk_id").alias("concept_id"), "chapter", F.array("page_start", "page_end").alias("source_pages"))
     by = C.citations(concepts, chunks.where("chunk_id % 2 = 0").select("chapter", F.col("page_start").alias("page")))
     v = by.join(concepts.select("concept_id", "chapter"), "concept_id").groupBy("chapter").agg(F.sum("verified").alias("verified"), F.sum(F.col("verified") + F.col("missing")).alias("cited"))
-    return v.select("chapter", "verified", "cited", F.round(100.0 * F.col("verified") / F.nullif("cited", F.lit(0)), 4).alias("coverage"), (F.col("verified") * 100 >= F.col("cited") * 60).alias("ready"))
+    stored = chunks.select("chapter", "chunk_id").join(embeddings.select(F.col("vec_id").alias("chunk_id"), F.lit(1).alias("has")), "chunk_id", "left").groupBy("chapter").agg(F.round(100.0 * F.count("has") / F.count("*"), 4).alias("embedded"))
+    return v.join(stored, "chapter").select("chapter", "verified", "cited", F.round(100.0 * F.col("verified") / F.nullif("cited", F.lit(0)), 4).alias("coverage"), "embedded", (F.col("verified") * 100 >= F.col("cited") * 60).alias("ready"))
 
 
-@query("D50", "pages", sql="SELECT split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) AS folder, COUNT(*) AS files, SUM(LENGTH(html)) AS chars FROM pages GROUP BY 1")
+@query("D50", "pages", sql="SELECT split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) AS folder, COUNT(*) AS files, SUM(LENGTH(html)) AS chars, ROUND(100.0 * COUNT(*) FILTER (LENGTH(TRIM(regexp_replace(html, '<[^>]*>', '', 'g'))) >= 200) / COUNT(*), 4) AS extracted FROM pages GROUP BY 1")
 def _(pages):
-    """Files and characters by top folder (host) of their address."""
-    return pages.groupBy(F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/")[0].alias("folder")).agg(F.count("*").alias("files"), F.sum(F.length("html")).alias("chars"))
+    """Files, characters and the share with 200 characters of text by top folder (host) of their address."""
+    read = F.length(F.trim(F.regexp_replace("html", "<[^>]*>", ""))) >= 200
+    return pages.groupBy(F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/")[0].alias("folder")).agg(F.count("*").alias("files"), F.sum(F.length("html")).alias("chars"), F.round(100.0 * F.count_if(read) / F.count("*"), 4).alias("extracted"))
 
 
 @query("D52", "chunks", sql="SELECT subject, COUNT(*) AS chapters, STRING_AGG(chapter || '=' || n, ',' ORDER BY chapter) AS contents FROM (SELECT subject, chapter, COUNT(*) AS n FROM chunks GROUP BY 1, 2) x GROUP BY subject")
@@ -177,16 +180,17 @@ def _(documents):
 
 
 @query("H1", "documents", sql="""
-    SELECT doc_id, CASE WHEN LENGTH(s) > 54 THEN RTRIM(SUBSTR(s, 1, 51)) || '...' ELSE s END AS clip FROM (SELECT doc_id, TRIM(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM documents) x""")
+    SELECT doc_id, CASE WHEN LENGTH(s) > 54 THEN RTRIM(SUBSTR(s, 1, 51)) || '...' ELSE s END AS clip, CASE WHEN LENGTH(s) > 96 THEN RTRIM(SUBSTR(s, 1, 93)) || '...' ELSE s END AS heading, CASE WHEN LENGTH(s) > 220 THEN RTRIM(SUBSTR(s, 1, 217)) || '...' ELSE s END AS summary FROM (SELECT doc_id, TRIM(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM documents) x""")
 def _(documents):
-    """White space squeezed, then clipped to a title's length."""
-    return documents.select("doc_id", X.clipped(X.squeezed(F.col("text")), 54).alias("clip"))
+    """White space squeezed, then clipped to the lengths of a title, a heading and a summary."""
+    s = X.squeezed(F.col("text"))
+    return documents.select("doc_id", X.clipped(s, 54).alias("clip"), X.clipped(s, 96).alias("heading"), X.clipped(s, 220).alias("summary"))
 
 
-@query("H2", "documents", sql="SELECT doc_id, GREATEST(1, CAST(ROUND(LENGTH(text) / 4) AS INT)) AS tokens, GREATEST(1, CAST(CEIL(LENGTH(text) / 4) AS INT)) AS tokens_up FROM documents")
+@query("H2", "documents", sql="SELECT doc_id, GREATEST(1, CAST(ROUND(LENGTH(text) / 4) AS INT)) AS tokens, GREATEST(1, CAST(CEIL(LENGTH(text) / 4) AS INT)) AS tokens_up, CAST(CEIL(LENGTH(COALESCE(text, '')) / 4) AS INT) + 800 * CAST(doc_id % 3 AS INT) AS message_tokens FROM documents")
 def _(documents):
     """Token estimates."""
-    return documents.select("doc_id", X.token_estimate(F.col("text")).alias("tokens"), F.greatest(F.lit(1), F.ceil(F.length("text") / 4).cast("int")).alias("tokens_up"))
+    return documents.select("doc_id", X.token_estimate(F.col("text")).alias("tokens"), F.greatest(F.lit(1), F.ceil(F.length("text") / 4).cast("int")).alias("tokens_up"), X.message_tokens(F.col("text"), F.col("doc_id") % 3).alias("message_tokens"))
 
 
 @query("H3", "traces", sql="""
@@ -214,10 +218,13 @@ def _(part):
     return part.select("p_partkey", X.difficulty(F.concat(F.lit("Level "), F.col("p_size").cast("string"))).alias("level"))
 
 
-@query("H7", "part", sql="SELECT p_partkey, CASE WHEN p_retailprice > 0 AND p_retailprice <= 100 THEN p_retailprice END AS marks FROM part")
+@query("H7", "part", sql="SELECT p_partkey, CASE WHEN p_retailprice > 0 AND p_retailprice <= 100 THEN p_retailprice END AS marks, CASE WHEN p_partkey % 5 = 0 THEN 0.5 WHEN p_partkey % 5 = 1 THEN 0.5 ELSE LEAST(1.0, GREATEST(0.0, (p_size - 10) / 20.0)) END AS confidence, CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_size END AS whole FROM part")
 def _(part):
-    """Marks, null out of bounds."""
-    return part.select("p_partkey", X.marks(F.col("p_retailprice")).alias("marks"))
+    """Marks, null out of bounds; numbers in bounds with a default for text and NaN; whole numbers out of text."""
+    k, size = F.col("p_partkey") % 5, F.col("p_size")
+    share = F.when(k == 0, "unknown").when(k == 1, "NaN").otherwise(((size - 10) / 20.0).cast("decimal(9,4)").cast("string"))
+    whole = F.when(k == 0, "none").when(k == 1, F.concat(F.lit("about "), size, F.lit(" pages"))).otherwise(F.concat(size, F.lit(".0")))
+    return part.select("p_partkey", X.marks(F.col("p_retailprice")).alias("marks"), clamped(share, 0.0, 1.0, 0.5).alias("confidence"), whole_number(whole, -1).alias("whole"))
 
 
 @query("H9", "part", sql="SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'v' || (p_size + 1) ELSE 'v2' END AS version FROM part")
@@ -283,17 +290,19 @@ def _(documents):
 
 @query("I21", "documents")
 def _(documents):
-    """Titles by their first title-like line, and section titles."""
+    """Titles by the line after UNIT n or the first title-like one, and section titles; held against a plain version in tests."""
     return documents.select("doc_id", X.inferred_title(F.col("text")).alias("title"), X.section_title(F.col("text")).alias("section"))
 
 
 @query("I23", "documents", sql="""
-    WITH RECURSIVE d AS (SELECT source, doc_id AS page, n_chars AS n, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
-    f AS (SELECT source, page, rn, n AS total, 0 AS batch FROM d WHERE rn = 1
-          UNION ALL SELECT d.source, d.page, d.rn, CASE WHEN f.total > 0 AND f.total + d.n > 12000 THEN d.n ELSE f.total + d.n END, CASE WHEN f.total > 0 AND f.total + d.n > 12000 THEN f.batch + 1 ELSE f.batch END FROM f JOIN d ON d.source = f.source AND d.rn = f.rn + 1)
-    SELECT source, page, batch FROM f""")
+    WITH RECURSIVE d AS (SELECT source || '-' || CAST(CAST(FLOOR(doc_id / 500) AS BIGINT) AS STRING) AS paper, doc_id AS page, n_chars AS n, ROW_NUMBER() OVER (PARTITION BY source, FLOOR(doc_id / 500) ORDER BY doc_id) AS rn FROM documents),
+    f AS (SELECT paper, page, rn, n AS total, 0 AS batch FROM d WHERE rn = 1
+          UNION ALL SELECT d.paper, d.page, d.rn, CASE WHEN f.total > 0 AND f.total + d.n > 12000 THEN d.n ELSE f.total + d.n END, CASE WHEN f.total > 0 AND f.total + d.n > 12000 THEN f.batch + 1 ELSE f.batch END FROM f JOIN d ON d.paper = f.paper AND d.rn = f.rn + 1)
+    SELECT paper, page, batch FROM f""")
 def _(documents):
-    return C.paper_batches(documents.select("source", F.col("doc_id").alias("page"), F.col("n_chars").alias("n")), "source", 12000)
+    """Batches of each paper's pages; a paper is what a source has among 500 neighbouring ids, so it is bounded."""
+    paper = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 500).cast("string")).alias("paper")
+    return C.paper_batches(documents.select(paper, F.col("doc_id").alias("page"), F.col("n_chars").alias("n")), "paper", 12000)
 
 
 @query("I51", "documents", sql="SELECT doc_id, contains(LOWER(text), 'idiot') OR contains(LOWER(text), 'worthless') AS risk FROM documents")

@@ -31,7 +31,9 @@ def _(questions):
 
 
 @query("D31", "questions", sql="""
-    SELECT 'marks' AS kind, CAST(marks AS STRING) AS value, COUNT(*) AS n FROM questions GROUP BY marks UNION ALL SELECT 'type', question_type, COUNT(*) FROM questions GROUP BY question_type UNION ALL SELECT 'difficulty', difficulty, COUNT(*) FROM questions GROUP BY difficulty""")
+    SELECT 'marks' AS kind, CAST(marks AS STRING) AS value, COUNT(*) AS n FROM questions GROUP BY marks UNION ALL SELECT 'type', question_type, COUNT(*) FROM questions GROUP BY question_type UNION ALL SELECT 'difficulty', difficulty, COUNT(*) FROM questions GROUP BY difficulty
+    UNION ALL SELECT * FROM (SELECT 'style', style, COUNT(*) AS n FROM (SELECT paper_id, question_type AS style, ROW_NUMBER() OVER (PARTITION BY paper_id ORDER BY COUNT(*) DESC, question_type) AS rn FROM questions GROUP BY 1, 2) x WHERE rn = 1 GROUP BY style ORDER BY n DESC, style LIMIT 1) s
+    UNION ALL SELECT 'confidence', CAST(CAST(ROUND(AVG(c), 4) AS DECIMAL(9, 4)) AS STRING), COUNT(*) FROM (SELECT paper_id, AVG(CASE WHEN difficulty IS NOT NULL AND marks > 5 THEN 1.0 ELSE 0.0 END) AS c FROM questions GROUP BY 1) y""")
 def _(questions):
     return E.merged_patterns(questions)
 
@@ -56,7 +58,7 @@ def _(questions):
     return E.mode(questions, "subject", "topic", F.struct("paper_id", "question_number"))
 
 
-@query("D34", "questions", sql="SELECT COUNT(DISTINCT paper_id) AS papers, COUNT(*) AS questions, STRING_AGG(DISTINCT subject, ',' ORDER BY subject) AS subjects FROM questions")
+@query("D34", "questions", sql="SELECT COUNT(DISTINCT paper_id) AS papers, COUNT(*) AS questions, STRING_AGG(DISTINCT subject, ',' ORDER BY subject) AS subjects, (SELECT STRING_AGG(paper_id, ',' ORDER BY paper_id DESC) FROM (SELECT DISTINCT paper_id FROM questions ORDER BY 1 DESC LIMIT 10) x) AS latest FROM questions")
 def _(questions):
     return E.inventory(questions)
 

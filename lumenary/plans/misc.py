@@ -17,9 +17,17 @@ def _concepts(part):
     return part.select("p_partkey", F.col("p_brand").alias("chapter"), (F.col("p_size") % 6).alias("unit"), (F.col("p_partkey") % 5).cast("int").alias("importance"), (F.col("p_size") % 5 + 1).alias("difficulty"))
 
 
-@query("A17", "events", sql="SELECT event_id AS id, ts AS created_at, SUBSTR(event_type || ' by admin', 1, 8) AS action, LOWER('U' || user_id || '@X.ORG') AS email, SUBSTR(props, 1, 40) AS detail FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+_LONG = "{0} || ' of user ' || user_id || ' with ' || props || ' at ' || event_id || '; '"
+
+
+@query("A17", "events", sql=f"""
+    SELECT event_id AS id, ts AS created_at, SUBSTR(LOWER('U' || user_id || '@' || REPEAT('X', CAST(event_id % 200 AS INT)) || '.ORG'), 1, 120) AS email, SUBSTR(REPEAT(event_type || ' by admin ', 7), 1, 80) AS action, SUBSTR(REPEAT({_LONG.format('event_type')}, 5), 1, 220) AS target,
+           SUBSTR(REPEAT(event_type, CAST(event_id % 9 + 1 AS INT)), 1, 40) AS method, SUBSTR(REPEAT({_LONG.format('event_type')}, 12), 1, 500) AS detail FROM events ORDER BY ts DESC, event_id DESC LIMIT 100""")
 def _(events):
-    return M.audit_rows(events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.concat("event_type", F.lit(" by admin")).alias("action"), F.concat(F.lit("U"), "user_id", F.lit("@X.ORG")).alias("email"), F.col("props").alias("detail")), 100)
+    long = F.concat("event_type", F.lit(" of user "), "user_id", F.lit(" with "), "props", F.lit(" at "), "event_id", F.lit("; "))
+    k = F.col("event_id")
+    email = F.concat(F.lit("U"), "user_id", F.lit("@"), F.repeat(F.lit("X"), (k % 200).cast("int")), F.lit(".ORG"))
+    return M.audit_rows(events.select(k.alias("id"), F.col("ts").alias("created_at"), email.alias("email"), F.repeat(F.concat("event_type", F.lit(" by admin ")), 7).alias("action"), F.repeat(long, 5).alias("target"), F.repeat(F.col("event_type"), (k % 9 + 1).cast("int")).alias("method"), F.repeat(long, 12).alias("detail")), 100)
 
 
 @query("A12", "traces", sql="""
@@ -80,14 +88,18 @@ def _(documents):
     return M.grounded_facts(documents)
 
 
-@query("D49", "traces", sql="SELECT expected, COUNT(*) AS cases, ROUND(AVG(CASE WHEN predicted = expected THEN 1 ELSE 0 END), 6) AS pass_rate FROM (SELECT trace_type AS expected, CASE WHEN latency_ms % 3 = 0 THEN 'turn' ELSE trace_type END AS predicted FROM traces) x GROUP BY expected")
+@query("D49", "traces", sql="SELECT expected, COUNT(*) AS cases, ROUND(AVG(CASE WHEN predicted = expected THEN 1 ELSE 0 END), 6) AS pass_rate, ROUND(AVG(grounded), 6) AS grounded_rate, ROUND(AVG(CASE WHEN tool THEN 1 ELSE 0 END), 6) AS tool_rate FROM (SELECT trace_type AS expected, CASE WHEN latency_ms % 3 = 0 THEN 'turn' ELSE trace_type END AS predicted, grounded, estimated_output_tokens > 50 AS tool FROM traces) x GROUP BY expected")
 def _(traces):
-    return M.evaluation(traces.select(F.col("trace_type").alias("expected"), F.when(F.col("latency_ms") % 3 == 0, "turn").otherwise(F.col("trace_type")).alias("predicted")))
+    return M.evaluation(traces.select(F.col("trace_type").alias("expected"), F.when(F.col("latency_ms") % 3 == 0, "turn").otherwise(F.col("trace_type")).alias("predicted"), "grounded", (F.col("estimated_output_tokens") > 50).alias("tool")))
 
 
 @query("D36", "sessions", sql="""
-    WITH d AS (SELECT user_id, date, ROUND(AVG(accuracy_rate), 4) AS accuracy, ROUND(AVG(focus_score), 4) AS focus, SUM(xp_earned) AS xp FROM sessions GROUP BY 1, 2), l AS (SELECT user_id, ROUND(AVG(accuracy_rate), 4) AS lifetime FROM sessions GROUP BY 1)
-    SELECT d.*, lifetime, CASE WHEN accuracy < 45 THEN 'high' WHEN accuracy < 65 THEN 'medium' ELSE 'low' END AS risk FROM d JOIN l USING (user_id)""")
+    WITH d AS (SELECT user_id, date, ROUND(AVG(accuracy_rate) FILTER (session_type = 'exam'), 4) AS day_accuracy, ROUND(AVG(focus_score) FILTER (session_type = 'exam'), 4) AS day_focus, SUM(xp_earned) AS xp FROM sessions GROUP BY 1, 2),
+    l AS (SELECT user_id, ROUND(AVG(accuracy_rate), 4) AS lifetime, ROUND(AVG(focus_score), 4) AS lifetime_focus FROM sessions GROUP BY 1), t AS (SELECT user_id, topic, AVG(accuracy_rate) AS a FROM sessions GROUP BY 1, 2),
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ROUND(a, 6), topic) AS low, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ROUND(a, 6) DESC, topic) AS high FROM t),
+    w AS (SELECT user_id, COALESCE(STRING_AGG(topic, ',' ORDER BY low) FILTER (low <= 5 AND a < 60), '') AS weak, COALESCE(STRING_AGG(topic, ',' ORDER BY high) FILTER (high <= 5 AND a >= 60), '') AS strong FROM r GROUP BY 1),
+    f AS (SELECT d.user_id, date, COALESCE(day_accuracy, lifetime) AS accuracy, COALESCE(day_focus, lifetime_focus) AS focus, xp, lifetime, weak, strong FROM d JOIN l USING (user_id) JOIN w USING (user_id))
+    SELECT *, CASE WHEN accuracy < 45 THEN 'high' WHEN accuracy < 65 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN accuracy < 45 THEN 'review basics' WHEN weak <> '' THEN 'practise weak topics' ELSE 'raise difficulty' END AS recommendation FROM f""")
 def _(sessions):
     return M.daily_signals(sessions)
 

@@ -114,37 +114,39 @@ def _(benchmark, chunks):
     return R.overlap_pages(_queries(benchmark).withColumn("chapter", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))), chunks, 4)
 
 
-@query("I14", "conversations", sql="SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\\b(quiz|test me|mcq)\\b') THEN 'quiz' WHEN regexp_matches(t, '\\b(why|how)\\b') THEN 'explain' WHEN contains(t, '?') THEN 'question' WHEN LENGTH(t) < 20 THEN 'short' ELSE 'statement' END AS intent FROM (SELECT *, LOWER(text) AS t FROM conversations) x")
+@query("I14", "conversations", sql="""
+    SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\\b(quiz|test me|mcq)\\b') THEN 'quiz' WHEN regexp_matches(t, '\\b(why|how)\\b') THEN 'explain' WHEN contains(t, '?') THEN 'question' WHEN LENGTH(t) < 20 THEN 'short' ELSE 'statement' END AS intent,
+    CASE WHEN regexp_matches(t, '\\b(quiz|test me|mcq)\\b') THEN 'practice' WHEN contains(t, '?') OR regexp_matches(t, '\\b(why|how)\\b') THEN 'required' WHEN LENGTH(t) < 20 THEN 'none' ELSE 'optional' END AS retrieval_policy, turn > 1 AND (LENGTH(t) < 20 OR regexp_matches(t, '\\b(it|this|that|again|more)\\b')) AS is_follow_up FROM (SELECT *, LOWER(text) AS t FROM conversations) x""")
 def _(conversations):
-    return R.intents(conversations).select("conv_id", "turn", "intent")
+    return R.intents(conversations).select("conv_id", "turn", "intent", "retrieval_policy", "is_follow_up")
 
 
 @query("D43", "conversations", sql="""
-    WITH f AS (SELECT conv_id, TRIM(regexp_replace(arg_min(text, turn) FILTER (role = 'user'), '\\s+', ' ', 'g')) AS s, COUNT(*) AS messages, MAX(turn) AS last_turn, STRING_AGG(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id)
-    SELECT conv_id, CASE WHEN LENGTH(s) > 54 THEN RTRIM(SUBSTR(s, 1, 51)) || '...' ELSE s END AS title, messages, last_turn, roles FROM f""")
+    WITH f AS (SELECT conv_id, TRIM(regexp_replace(arg_min(text, turn) FILTER (role = 'user'), '\\s+', ' ', 'g')) AS s, COUNT(*) AS messages, MAX(turn) AS last_turn, STRING_AGG(role, ',' ORDER BY turn) AS roles, arg_max(contains(text, '?'), turn) AS asks, arg_max(LENGTH(text) > 300, turn) AS long FROM conversations GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN LENGTH(s) > 54 THEN RTRIM(SUBSTR(s, 1, 51)) || '...' ELSE s END AS title, messages, last_turn, roles, asks, long FROM f""")
 def _(conversations):
-    """Conversations: title, messages, last turn and roles in order."""
+    """Conversations: title, messages, last turn, roles in order, and the flags that the last turn sets."""
     from lumenary.functions.text import clipped, squeezed
 
     first = F.min_by("text", F.when(F.col("role") == "user", F.col("turn")))
-    by = conversations.groupBy("conv_id").agg(first.alias("s"), F.count("*").alias("messages"), F.max("turn").alias("last_turn"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"))
-    return by.select("conv_id", clipped(squeezed(F.col("s")), 54).alias("title"), "messages", "last_turn", "roles")
+    by = conversations.groupBy("conv_id").agg(first.alias("s"), F.count("*").alias("messages"), F.max("turn").alias("last_turn"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"), F.max_by(F.contains("text", F.lit("?")), "turn").alias("asks"), F.max_by(F.length("text") > 300, "turn").alias("long"))
+    return by.select("conv_id", clipped(squeezed(F.col("s")), 54).alias("title"), "messages", "last_turn", "roles", "asks", "long")
 
 
-@query("I45", "conversations", sql="SELECT conv_id, COUNT(*) FILTER (rn <= 6) AS window_turns, MIN(turn) FILTER (rn <= 6) AS from_turn, MAX(CASE WHEN role = 'user' THEN turn END) AS open_doubt FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) x GROUP BY conv_id")
+@query("I45", "conversations", sql="""
+    WITH r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn, ROW_NUMBER() OVER (PARTITION BY conv_id, contains(LOWER(text), ' not ') OR contains(LOWER(text), ' no ') ORDER BY turn DESC) AS mn, contains(LOWER(text), ' not ') OR contains(LOWER(text), ' no ') AS wrong FROM conversations)
+    SELECT conv_id, COUNT(*) FILTER (rn <= 6) AS window_turns, MIN(turn) FILTER (rn <= 6) AS from_turn, MAX(CASE WHEN role = 'user' THEN turn END) AS open_doubt, regexp_extract(LOWER(arg_max(text, turn) FILTER (role = 'user')), '[a-z]{5,}', 0) AS topic,
+           COALESCE(STRING_AGG(CAST(turn AS STRING), ',' ORDER BY turn) FILTER (wrong AND mn <= 4), '') AS misconceptions FROM r GROUP BY conv_id""")
 def _(conversations):
-    """The last six turns of each lesson and its latest question."""
-    from pyspark.sql import Window
+    """The last six turns of each lesson, its latest question and topic, and the last four turns that correct something."""
+    return R.lesson_memory(conversations)
 
-    rn = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return conversations.withColumn("rn", rn).groupBy("conv_id").agg(F.count_if(F.col("rn") <= 6).alias("window_turns"), F.min(F.when(F.col("rn") <= 6, F.col("turn"))).alias("from_turn"), F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("open_doubt"))
 
-
-@query("I49", "embeddings", sql="SELECT label, COUNT(*) AS missing FROM embeddings WHERE vec_id % 7 = 0 GROUP BY label")
-def _(embeddings):
-    """Rows whose vector is null or empty, by label."""
-    holed = embeddings.withColumn("embedding", F.when(F.col("vec_id") % 14 == 0, F.lit(None)).when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 0)).otherwise(F.col("embedding")))
-    return holed.where(F.coalesce(F.size("embedding"), F.lit(-1)) <= 0).groupBy("label").agg(F.count("*").alias("missing"))
+@query("I49", "chunks", "embeddings", sql="SELECT chapter, COUNT(*) AS missing, MIN(chunk_id) AS first_chunk FROM chunks LEFT JOIN embeddings ON vec_id = chunk_id WHERE embedding IS NULL OR LEN(embedding) = 0 GROUP BY chapter")
+def _(chunks, embeddings):
+    """Chunks that still need a vector (none stored, or an empty one), by chapter."""
+    have = embeddings.where(F.size("embedding") > 0).select(F.col("vec_id").alias("chunk_id"))
+    return chunks.join(have, "chunk_id", "left_anti").groupBy("chapter").agg(F.count("*").alias("missing"), F.min("chunk_id").alias("first_chunk"))
 
 
 @query("D47", "embeddings", sql="SELECT label % 2 AS model, LEN(embedding) AS dims, COUNT(*) AS vectors, label % 2 = 0 AND LEN(embedding) = 64 AS compatible FROM embeddings GROUP BY 1, 2, 4")

@@ -62,10 +62,8 @@ def _(s, t, p):
 
 
 @query("D16", "traces", sql=f"""
-    SELECT COUNT(*) FILTER (trace_type = 'turn') AS turns, COUNT(*) FILTER (trace_type = 'model') AS models, COUNT(*) FILTER (trace_type = 'tool') AS tools, COUNT(*) FILTER (trace_type = 'dispatch') AS dispatches,
-           COUNT(*) FILTER (trace_type = 'turn' AND quality < 0.65) AS low_quality, COUNT(*) FILTER (trace_type = 'turn' AND quality >= 0.82) AS verified, COUNT(*) FILTER (latency_ms >= 4000) AS slow,
-           COUNT(*) FILTER (status = 'failed') AS failed, COUNT(*) FILTER (status LIKE '%view%') AS review, COUNT(DISTINCT user_id) AS users
-    FROM traces WHERE created_at > {_END} - INTERVAL 48 HOUR AND created_at <= {_END}""")
+    SELECT COUNT(*) AS rows, COUNT(*) FILTER (trace_type = 'turn') AS turns, COUNT(*) FILTER (trace_type = 'model') AS models, COUNT(*) FILTER (trace_type = 'tool') AS tools, COUNT(*) FILTER (trace_type = 'dispatch') AS dispatches, COUNT(*) FILTER (trace_type = 'turn' AND quality < 0.65) AS low_quality, COUNT(*) FILTER (trace_type = 'turn' AND quality >= 0.82) AS verified, COUNT(*) FILTER (trace_type = 'turn' AND grounded = 0) AS ungrounded, COUNT(*) FILTER (latency_ms >= 7000) AS slow, COUNT(*) FILTER (trace_type = 'turn' AND latency_ms >= 4000) AS slow_turns, COUNT(*) FILTER (status = 'failed') AS failed, COUNT(*) FILTER (status = 'failed' AND trace_type = 'turn') AS failed_turns, COUNT(*) FILTER (status = 'failed' AND trace_type = 'model') AS failed_models, COUNT(*) FILTER (status = 'failed' AND trace_type = 'tool') AS failed_tools, COUNT(*) FILTER (status = 'success') AS succeeded, COUNT(*) FILTER (status = 'skipped') AS skipped, COUNT(*) FILTER (status LIKE '%view%') AS review, COUNT(*) FILTER (agent LIKE '%1') AS first_agent, COUNT(*) FILTER (model LIKE 'm%' AND trace_type = 'model') AS named_models, COUNT(*) FILTER (estimated_input_tokens > 400) AS large_inputs, COUNT(*) FILTER (estimated_output_tokens = 0) AS empty_outputs, COUNT(*) FILTER (estimated_cost_usd > 0) AS paid, COUNT(DISTINCT user_id) AS users, COUNT(DISTINCT agent) AS agents, COUNT(DISTINCT turn_id) AS runs
+    FROM traces WHERE created_at > {_END} - INTERVAL 24 HOUR AND created_at <= {_END}""")
 def _(t):
     return T.console(t, AS_OF)
 
@@ -125,7 +123,9 @@ def _(t):
     return T.recommendations(t)
 
 
-@query("D24", "traces", sql="SELECT CASE WHEN trace_type = 'tool' THEN 'message' ELSE 'handoff' END AS kind, agent, provider, COUNT(*) AS n FROM traces WHERE trace_type IN ('tool', 'dispatch') GROUP BY 1, 2, 3")
+@query("D24", "traces", sql="""
+    SELECT CASE WHEN trace_type = 'tool' THEN 'message' ELSE 'handoff' END AS kind, 'from' AS side, agent AS party, provider AS other, COUNT(*) AS n FROM traces WHERE trace_type IN ('tool', 'dispatch') GROUP BY 1, 2, 3, 4
+    UNION ALL SELECT 'handoff', 'to', provider, agent, COUNT(*) FROM traces WHERE trace_type = 'dispatch' GROUP BY 3, 4""")
 def _(t):
     return T.collaboration(t)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,29 +31,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a stream gives for the data there is now, by an idempotent sink.
 
-    append goes to a Parquet sink, which writes each batch once. Other modes replace the
-    result of a batch under its number, so a batch that runs again changes nothing; the result
-    is the last batch's (complete) or each key's last row (update, by the caller).
+    append goes to a Parquet sink, which writes each batch once. update replaces the result of a
+    batch under its number (_batch), so a batch that runs again changes nothing; the caller takes
+    each key's last row.
     """
     spark = stream.sparkSession
     folder = shared_folder(spark, name)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").option("path", f"{folder}/rows").start()
-        query.awaitTermination()
+        writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
 
-    query = writer.foreachBatch(put).start()
-    query.awaitTermination()
-    out = spark.read.parquet(f"{folder}/rows").drop("batch")
-    if mode == "complete":
-        last = out.agg(F.max("_batch")).first()[0]
-        out = out.where(F.col("_batch") == F.lit(last))
-        return out.drop("_batch")
-    return out
+    writer.foreachBatch(put).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
 def once(events: DataFrame, key: str = "event_id") -> DataFrame:
@@ -107,10 +101,41 @@ def latest_state(rows: DataFrame) -> DataFrame:
     return rows.groupBy("agent").agg(F.max_by(F.struct(*columns), "_batch").alias("x")).select("agent", "x.*")
 
 
-def late_rows(events: DataFrame, delay: str = LATE) -> Callable[[DataFrame], DataFrame]:
-    """How many of a batch's rows are older than its newest by more than the delay."""
-    def count(batch: DataFrame) -> DataFrame:
-        newest = batch.groupBy().agg(F.max("ts").alias("newest"))
-        return batch.join(F.broadcast(newest)).groupBy().agg(F.count_if(F.col("ts") < F.col("newest") - F.expr(f"INTERVAL {delay}")).alias("late"), F.count("*").alias("rows"))
+def run_twice(stream: DataFrame, more: DataFrame, name: str, plan: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[dict]]:
+    """(rows, progress) of plan over a stream and, once that is drained, over the rows of more as well.
+
+    more comes through a folder beside the stream, which the query reads from the start and finds
+    empty until it runs again from its own offsets and state. Rows go to a Parquet sink in append mode.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/more")
+    both = plan(stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{folder}/more")))
+    told = []
+    for step in range(2):
+        if step:
+            more.select(stream.columns).write.mode("append").parquet(f"{folder}/more")
+        query = both.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).format("parquet").option("path", f"{folder}/rows").start()
+        query.awaitTermination()
+        told += [json.loads(p.json) for p in query.recentProgress]
+    return spark.read.schema(both.schema).parquet(f"{folder}/rows"), told
+
+
+def closed(stream: DataFrame, name: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The windows of a drained stream, each written once when the watermark passes it.
+
+    A last row of a far time, whose own window never ends, lets the watermark pass all others.
+    """
+    kinds = {f.name: f.dataType for f in stream.schema}
+    end = stream.sparkSession.range(1).select(*((F.lit("9000-01-01 00:00:00") if n == "ts" else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()))
+    return run_twice(stream, end, name, plan)[0]
+
+
+def late_rows(stream: DataFrame, again: DataFrame, name: str, delay: str = LATE) -> DataFrame:
+    """(late, rows): of a stream and rows that are sent again after it, how many came behind the watermark, and all."""
+    def plan(rows: DataFrame) -> DataFrame:
+        return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"]).select("event_id")
 
-    return count(events)
+    _, told = run_twice(stream, again, name, plan)
+    late = sum(op.get("numRowsDroppedByWatermark", 0) for p in told for op in p.get("stateOperators", ()))
+    return stream.sparkSession.createDataFrame([(late, sum(p["numInputRows"] for p in told))], "late long, rows long")
