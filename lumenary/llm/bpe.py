@@ -127,7 +127,8 @@ def op2_bpe_lexicon(spark, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests.
 
     A null or empty text has no ids and decodes to the empty text; a repeated row is encoded
-    again; other columns play no part; an empty table gives no rows.
+    again; other columns play no part; an empty table gives no rows; a text of any length is
+    encoded whole.
     """
     docs = documents(spark, sf_dir)
     return decode(encode(docs, lexicon=compile_lexicon(docs)), digest=True)

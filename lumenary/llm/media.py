@@ -64,7 +64,7 @@ def describe(media: DataFrame, column: str = "media", digest: bool = False) -> D
                 else:
                     grids = [next(thumbs) for _ in frames]
                     width, height = frames[0][1].width, sum(f.height for _, f in frames)
-                    seen = f"{jpeg.thumb_hash(grids[0]):016x}"
+                    seen = joint([f"{jpeg.thumb_hash(g):016x}" for g in grids])
                     if digest:
                         payload = b"".join(g.tobytes()[: samples(f)] for g, (_, f) in zip(grids, frames))
                         row = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media_), hashlib.sha256(media_).hexdigest(), f"{width}x{height}:{seen}"]
@@ -80,6 +80,11 @@ def describe(media: DataFrame, column: str = "media", digest: bool = False) -> D
     return map_slices(media.select(*keep, F.col(column)), start, schema, column, 1 << 21)
 
 
+def joint(hashes: list[str]) -> str:
+    """The hash of a stream's only image, or one of the hashes of all."""
+    return hashes[0] if len(hashes) == 1 else hashlib.sha256("".join(hashes).encode()).hexdigest()[:16]
+
+
 def samples(frame: jpeg.Frame) -> int | None:
     """How many of the thumbnail's samples an image says it holds; None: all."""
     return next((int(c[8:]) for c in frame.comments if c.startswith(b"samples=")), None)
@@ -89,6 +94,6 @@ def op1_media_jpeg(spark, sf_dir: str) -> DataFrame:
     """Every document as a JPEG column, read back: digests of payload and media, and the feature.
 
     A null or empty text is one unit of bytes 255; a repeated row is stored again; other
-    columns play no part; an empty table gives no rows.
+    columns play no part; an empty table gives no rows; a long text is as many images as it needs.
     """
     return describe(encode_texts(documents(spark, sf_dir)), digest=True)

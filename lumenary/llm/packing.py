@@ -15,6 +15,8 @@ from lumenary.runtime import checkpointed
 
 #: Parts that the pieces of one size are ranked in, so that no task ranks all of them.
 RANK_PARTS = 64
+#: Pieces of one size that a part has on average at most; the parts are as many as that needs.
+RANK_ROWS = 200_000
 
 
 def pieces(docs: DataFrame, id_: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", capacity: int = 2048, end: int = 0) -> DataFrame:
@@ -141,6 +143,7 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
     spark = items.sparkSession
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = sorted(plan(counts, capacity))
+    parts = max(RANK_PARTS, -(-max(counts.values(), default=0) // RANK_ROWS))
     table = spark.sparkContext.broadcast(np.array(runs, np.int64).reshape(-1, 5))
     names = items.columns
     kinds = dict(items.dtypes)
@@ -157,14 +160,15 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
 
         return step
 
-    return map_slices(ranked(items), start, schema, column=None)
+    return map_slices(ranked(items, parts), start, schema, column=None)
 
 
 def op6_best_fit(spark, sf_dir: str) -> DataFrame:
     """Every document's pieces and the place of each in sequences of at most 2048 tokens.
 
     A null or empty text is one piece, the end id alone; a repeated row is packed again, with
-    a place of its own; other columns play no part; an empty table gives no rows.
+    a place of its own; other columns play no part; an empty table gives no rows; only texts over
+    2048 tokens are cut; pieces of one size are placed in the order of a hash of their document.
     """
     cut = checkpointed(with_copies(pieces(documents(spark, sf_dir))))
     return pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -24,8 +24,8 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 #: Log-probabilities of the channel: a letter stays; stands as a sign; is repeated; a sign of no
 #: letter is put in, one that may be a letter is; a sign parts two words; a wide gap joins a word.
 KEEP, SUBSTITUTE, REPEAT, FILLER, SIGN, BREAK, WIDE = -0.05, -1.0, -1.0, -0.5, -2.0, -0.5, -4.0
-#: What a whole word of the vocabulary has over other words of the letter model.
-PRIOR = 6.0
+#: Log-probability of a word of the vocabulary, where the letter model gives it less.
+WORD = -8.0
 #: Steps after which what all paths of the decoder share is written out.
 SETTLE = 64
 #: Letters of the language model: a to z, and 0 for all others and the ends of words.
@@ -106,37 +106,46 @@ class Restorer:
     def decode(self, text: str) -> str:
         """Viterbi over the lattice of a text's characters, spaces, signs and repeats alike.
 
-        A state is the last two letters with the place in the vocabulary's tree (-1: in none of
-        its words). A word's end costs what the letter model says; a word of the vocabulary has
-        PRIOR back. Ties go to the earlier arc. The time is linear in the text's length.
+        A state is the last two letters of the word so far with its place in the vocabulary's tree
+        (-1: in none of its words). A word costs what the letter model says from its first letter
+        to its end; a word of the vocabulary costs WORD at most. Ties go to the earlier arc. The
+        time is linear in the text's length.
         """
         log, tree, ends = self.log, self.next, self.ends
-        states, done = {(0, 0, 0): (0.0, "")}, []
+
+        def end(u: int, v: int, node: int, letters: float) -> float:
+            """What a word's end adds, if its letters cost so much."""
+            last = log[u][v][0]
+            return max(last, WORD - letters) if node >= 0 and ends[node] else last
+
+        # of each state: the path's cost, that of its open word's letters, and what it spells
+        states, done = {(0, 0, 0): (0.0, 0.0, "")}, []
         for step, (c, run) in enumerate(groupby(text)):
             arcs = self.arcs(c, sum(1 for _ in run))
             new: dict = {}
-            for (a, b, node), (cost, path) in states.items():
+            for (a, b, node), (cost, word, path) in states.items():
                 for x, p in arcs:
-                    value, u, v, m = cost + p, a, b, node
+                    value, letters, u, v, m = cost + p, word, a, b, node
                     if x == " ":
                         if b:
-                            value += log[a][b][0] + (PRIOR if m >= 0 and ends[m] else 0.0)
-                            u, v, m = b, 0, 0
+                            value += end(u, v, m, letters)
+                            letters, u, v, m = 0.0, 0, 0, 0
                     else:
                         for y in x:
                             n = ord(y) - 96 if "a" <= y <= "z" else 0
                             value += log[u][v][n]
+                            letters += log[u][v][n]
                             u, v, m = v, n, tree[m].get(n, -1) if m >= 0 else -1
                     key = (u, v, m)
                     if key not in new or value > new[key][0]:
-                        new[key] = (value, path + x)
+                        new[key] = (value, letters, path + x)
             states = new
             if step % SETTLE == SETTLE - 1:
-                same = len(commonprefix([path for _, path in states.values()]))
-                done.append(next(iter(states.values()))[1][:same])
-                states = {k: (cost, path[same:]) for k, (cost, path) in states.items()}
-        best = max(states.items(), key=lambda kv: kv[1][0] + (log[kv[0][0]][kv[0][1]][0] + (PRIOR if kv[0][2] >= 0 and ends[kv[0][2]] else 0.0) if kv[0][1] else 0.0))
-        return "".join(done) + best[1][1]
+                same = len(commonprefix([path for _, _, path in states.values()]))
+                done.append(next(iter(states.values()))[2][:same])
+                states = {k: (cost, word, path[same:]) for k, (cost, word, path) in states.items()}
+        best = max(states.items(), key=lambda kv: kv[1][0] + (end(*kv[0], kv[1][1]) if kv[0][1] else 0.0))
+        return "".join(done) + best[1][2]
 
     def words(self, token: str) -> tuple[str, ...]:
         """The words behind a lower-cased token or spaced-out run; its own where nothing is disguised."""
@@ -337,7 +346,8 @@ def op10_toxicity_channel(spark, sf_dir: str) -> DataFrame:
 
     A null or empty text has the score of a text without a known word; ids without a label are
     scored alike; a repeated row is scored again; other columns play no part; without labels of
-    both kinds all scores are near the one there is (0 without any); an empty table gives no rows.
+    both kinds all scores are near the one there is (0 without any); an empty table gives no rows;
+    a text of any length counts whole; of equally likely readings the one of earlier arcs is taken.
     """
     docs = documents(spark, sf_dir)
     scored = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))

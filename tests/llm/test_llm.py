@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenary.llm import bpe, components, jpeg, language, lexicon, media, packing, resemblance, rules, secrets, simhash, substrings, tokencount, toxicity
+from lumenary.llm import bpe, components, jpeg, language, lexicon, media, packing, resemblance, rules, secrets, simhash, substrings, tokencount, toxicity, wordtable
 from lumenary.llm.automaton import SuffixAutomaton
 from lumenary.llm.wordbpe import WordBpe
 
@@ -112,6 +112,45 @@ def test_contractions_are_split_like_the_library():
         assert own.encode([t])[0].tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+#: Two words that one hash of the word table has.
+TWINS = ("jvtcakkmaaaaadaa", "bwxrosjmxzzhgyxy")
+
+
+def test_words_of_one_hash_stay_apart(spark, none):
+    import sentencepiece
+
+    buffer, at = "".join(TWINS).encode(), np.array([0, 16])
+    assert len(set(wordtable.word_hashes(buffer, at, np.array([16, 16])).tolist())) == 1
+    lib, piece = library(), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [" ".join(TWINS), " ".join(TWINS[::-1]), f"{TWINS[1]} {TWINS[1]} {TWINS[0]}"]
+    own = WordBpe("word_bpe_49k.json")
+    for _ in range(2):  # the second time from the table
+        ids, cut = own.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    machine = tokencount.Transducer(tokencount.PieceCounter("piece_bpe_32k.model"))
+    for _ in range(3):
+        assert machine.count([t.encode() for t in texts]).tolist() == [len(piece.encode(t)) for t in texts]
+    words = [f"w{k}" for k in range(12)]
+    df = spark.createDataFrame([(1, " ".join([*words, TWINS[0]])), (2, " ".join([*words, TWINS[1]]))], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.deduplicate(df).collect()] == [0, 0]
+    cut = packing.pieces(df).collect()
+    assert len({r.ids_crc32 for r in cut}) == 2
+
+
+def test_table_tells_all_words_apart(monkeypatch):
+    """With a hash of few values nearly all words meet another one."""
+    plain = wordtable.word_hashes
+    monkeypatch.setattr(wordtable, "word_hashes", lambda *x: plain(*x) >> np.uint64(61) << np.uint64(61))
+    rng, table, seen = np.random.default_rng(1), wordtable.WordTable(12), []
+    for _ in range(4):
+        words = [bytes(rng.integers(97, 100, rng.integers(1, 300 if k % 40 == 0 else 20)).astype(np.uint8)) for k in range(200)]
+        size = np.array([len(w) for w in words])
+        entry = table.entries(b"".join(words), np.cumsum(size) - size, size, lambda new: (seen.extend(new), [w.ljust(4 * -(-len(w) // 4), b" ") for w in new])[1])
+        ids, at = table.gather(entry)
+        assert [ids[a:b].astype("<u4").tobytes().rstrip(b" ") for a, b in zip(at, at[1:])] == words
+    assert len(seen) == len(set(seen))
+
+
 def test_lexicon_holds_its_words_and_no_others(tmp_path):
     words = sorted({b"a", b"ab", b"tap", b"taps", b"top", b"tops", b"stop"})
     ids = [np.arange(k, 2 * k, dtype="<u4").tobytes() for k in range(1, len(words) + 1)]
@@ -188,6 +227,21 @@ def test_isolation_forest_keeps_good_rows_and_finds_odd_ones(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
+def test_forest_scores_are_mean_depths():
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(300, 4))
+    forest = rules.IsolationForest(rows, trees=7, size=32)
+    for row, got in zip(rows[:40], forest.score(rows[:40])):
+        depths = []
+        for t in range(7):
+            node = 0
+            for _ in range(forest.depth):
+                node = 2 * node + 1 + int(row[forest.feature[t, node]] >= forest.split[t, node])
+            depths.append(forest.path[t, node])
+        assert abs(got - 2 ** (-np.mean(depths) / rules.IsolationForest.usual(32))) < 1e-12
+    assert forest.score(np.array([[9.0, 9, 9, 9]]))[0] > np.quantile(forest.score(rows), 0.95)
+
+
 def test_rules_without_labels_reject_nothing_more(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = rules.judge(rules.counts(odd), *rules.fit(rules.counts(odd), labels)).collect()
@@ -408,6 +462,95 @@ def test_token_counts_are_the_librarys(odd, none, docs):
         assert got == sorted((str(i), len(t.encode()), len(lib.encode(t)), len(lib.encode(t)) > 4096) for i, t in texts_of(df))
 
 
+def test_chunk_maps_compose_to_the_states_of_one_pass():
+    """The scan over chunks gives what a byte-by-byte walk does, for units longer than chunks as well."""
+    machine = tokencount.Transducer(tokencount.PieceCounter("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    for length in (1, 63, 64, 65, 5000):
+        byte = rng.choice(np.frombuffer(b"  theandinga", np.uint8), length)
+        start = np.zeros(length, bool)
+        start[rng.random(length) < (0.3 if length % 2 else 0.005)] = True
+        states, tokens = machine.run(byte, start)
+        state, want, emitted = 1, [], []
+        for b, s in zip(byte, start):
+            state = 0 if s else state
+            edge = (state, machine.column[b])
+            emitted.append(int(machine.emit[edge]))
+            state = int(machine.next[edge])
+            want.append(state)
+        assert states.tolist() == want and tokens.tolist() == emitted
+
+
+def test_transitions_emit_what_merging_counts():
+    counter = tokencount.PieceCounter("piece_bpe_32k.model")
+    machine = tokencount.Transducer(counter)
+    for unit in (" the", " international", " of", " Über", " walking"):
+        state, total = 0, 0
+        for b in unit.encode():
+            edge = (state, machine.column[b])
+            total += int(machine.emit[edge])
+            state = int(machine.next[edge])
+        assert state == 1 and total == 0 or total == counter.units([unit.encode()])[0]
+    assert machine.states > 20_000
+
+
+def every_reading(restorer, text):
+    """The best score and reading of all ways through the lattice, by trying each."""
+    import itertools
+
+    runs = [(c, len(list(g))) for c, g in itertools.groupby(text)]
+    best = None
+    for way in itertools.product(*(restorer.arcs(c, k) for c, k in runs)):
+        score, path = sum(p for _, p in way), "".join(x for x, _ in way)
+        a = b = 0
+        word, letters = "", 0.0
+        for c in path + " ":
+            if c == " ":
+                if word:
+                    whole = letters + restorer.log[a][b][0]
+                    score += max(whole, toxicity.WORD) if word in restorer.plain else whole
+                    a, b, word, letters = 0, 0, "", 0.0
+            else:
+                n = ord(c) - 96 if "a" <= c <= "z" else 0
+                letters += restorer.log[a][b][n]
+                a, b, word = b, n, word + c
+        if best is None or score > best[0] + 1e-9:
+            best = (score, " ".join(path.split()))
+    return best
+
+
+def test_decoder_finds_the_best_of_all_readings():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 50, (27, 27, 27)).astype(float)
+    restorer = toxicity.Restorer(counts, {"moron", "scum", "i", "a"})
+    restorer.plain = {"moron", "scum", "i", "a"}
+    for text in ("5cum", "sc.u.m", "scummm", "m0r0n!", "a m o r o n", "$cu@", "x9..y", "a  b", "1|1"):
+        got, want = restorer.decode(text), every_reading(restorer, text)
+        assert " ".join(got.split()) == want[1], text
+
+
+def test_disguised_words_come_back(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    restorer = toxicity.Restorer(toxicity.letter_counts(docs), {"moron", "scum", "stupid", "idiot"})
+    for text, want in (("a m o r o n", "moron"), ("5c" + "." * 40 + "um", "scum"), ("sc.u.m", "scum"), ("5cum", "scum"), ("scummm", "scum"), ("st" + "u" * 60 + "pid", "stupid"), ("i d 1 o t  s c u m", "idiot"), ("$tup1d!!", "stupid")):
+        parts = {w for p in toxicity.Restorer.parts(text) for w in restorer.words(p)}
+        assert want in parts, (text, parts)
+    assert "scum" in {w for p in toxicity.Restorer.parts("i d 1 o t  s c u m") for w in restorer.words(p)}
+    long = restorer.decode("x.y" * 30_000)
+    assert len(long) > 20_000  # linear in the length
+
+
+def test_weights_are_those_of_plain_regression():
+    rng = np.random.default_rng(8)
+    x = rng.random((400, 12)) < 0.2
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ rng.normal(size=12) - 1)))).astype(float)
+    got = toxicity.regress([np.flatnonzero(r).astype("<u4").tobytes() for r in x], np.ones(400, int), y, 12)
+    z = np.hstack([x, np.ones((400, 1))]).astype(float)
+    p = 1 / (1 + np.exp(-z @ got))
+    assert np.abs(z.T @ (y - p) - np.append(np.full(12, 1.0), 1e-6) * got).max() < 1e-6
+
+
 def test_toxicity_on_held_out_rows_and_disguises(spark):
     d = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -430,6 +573,55 @@ def test_toxicity_without_labels(spark, odd, none):
     assert toxicity.score(none, toxicity.fit(none, empty)).count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    """Any columns pass, clashing names too; nulls, empties and repeated rows have their stated results."""
+    for df in (odd, none, odd.select("doc_id", "text")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, DATA)
+            rows = out.collect()
+            assert out.columns == df.columns and out.schema == df.schema, name
+            assert len(rows) <= df.count()
+            if "score" in df.columns and name == "secret_scan":
+                assert {r.score for r in rows if r.source} <= {"clash"}
+        assert corpus_pipeline.pack_sequences(spark, df, DATA).count() >= df.count()
+    kept = corpus_pipeline.drop_near_duplicates(spark, odd, DATA).collect()
+    ids = [r.doc_id for r in kept if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and sum(r.doc_id is None for r in kept) == 1
+    assert sorted(i for i in ids if i <= 2) == [0]  # texts without a word are one group
+
+
+def plain_groups(rows, bar=0.8):
+    """Smallest id of each document's group: SimHash within 4 bits or shingle sets alike."""
+    sets, prints = [], []
+    for _, t in rows:
+        w = t.encode().lower().split()  # of bytes only A-Z change
+        grams = [b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+        h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        sets.append(set(h))
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    root = list(range(len(rows)))
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if bin(prints[i] ^ prints[j]).count("1") <= 4 or both and both / len(sets[i] | sets[j]) >= bar:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return {i: least[find(k)] for k, (i, _) in enumerate(rows)}
+
+
+def test_near_duplicate_stage_is_brute_force(spark, docs):
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    want = {i for i, c in plain_groups(rows).items() if i == c}
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()}
+    assert got == want and len(got) < len(rows)
+
+
 def test_pipeline_stages_keep_the_columns_and_clean_rows(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
