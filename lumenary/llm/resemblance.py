@@ -16,6 +16,8 @@ from lumenary.runtime import checkpointed, ship
 #: Bins of a sketch, and bands of ROWS bins by which texts meet: a pair of similarity 0.8 misses
 #: all bands with a chance of 1 in 5,000.
 BINS, BANDS, ROWS = 256, 16, 4
+#: Bytes of a shingle's hash in a set that is sent to others.
+SET_BYTES = 6
 #: Sketches that are compared at once.
 BLOCK = 4096
 #: Shingles whose places in the sets of a piece are laid out at once.
@@ -109,6 +111,18 @@ def connect(ids: np.ndarray, codes: np.ndarray, least: float) -> list[tuple[int,
     return out
 
 
+def packed_set(hashes: np.ndarray) -> bytes:
+    """The distinct shingle hashes, sorted, SET_BYTES of each: sets of two texts are compared by so many."""
+    low = np.unique(hashes & np.uint64((1 << 8 * SET_BYTES) - 1))
+    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes()
+
+
+def unpacked_set(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
+    out[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
+    return out.view("<u8").reshape(-1)
+
+
 def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
     """Sizes of the intersections of the first left sets with all sets."""
     if len(sets) == 2:
@@ -158,7 +172,7 @@ def groups(batches):
 
     def one():
         ordered = sorted(held, key=lambda x: not x[0])
-        return last[:2], sum(x[0] for x in ordered), [x[1] for x in ordered], [np.frombuffer(x[2], np.uint64) for x in ordered]
+        return last[:2], sum(x[0] for x in ordered), [x[1] for x in ordered], [unpacked_set(x[2]) for x in ordered]
 
     for part in batches:
         for *name, left, id_, set_ in zip(*(part.column(c).to_pylist() for c in ("band", "key", "level", "piece", "left", "id", "hashes"))):
@@ -225,8 +239,8 @@ def band_links(sketched: DataFrame, sets: Callable[[DataFrame], DataFrame], leas
     """(a, b) of sketched (id long, bands array<long>), one row per distinct text: links between
     texts that share a band's key and whose sets have an exact similarity of least or more.
 
-    sets(ids) gives (id, hashes binary): the distinct shingle hashes, sorted. It is asked only for
-    texts that meet another one.
+    sets(ids) gives (id, hashes binary), as packed_set() does. It is asked only for texts that meet
+    another one.
 
     A bucket over WHOLE texts links all like its head to the head. What is unlike the head is a
     bucket of its own at the next level. Between the two, Jaccard distance being a metric, a text

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenary.llm.common import documents, map_slices, spaced, utf8
 from lumenary.llm.components import components
-from lumenary.llm.resemblance import band_links, sketch
+from lumenary.llm.resemblance import band_links, packed_set, sketch
 from lumenary.runtime import checkpointed, ship
 
 BITS, SEED = 64, 42
@@ -216,7 +216,7 @@ def resembling(docs: DataFrame, id_: str = "doc_id", text: str = "text", shingle
     def start_sets():
         def step(part):
             raw = utf8(part)
-            return [text_keys(raw), [np.unique(shingle_hashes(t, shingle)).tobytes() for t in raw]]
+            return [text_keys(raw), [packed_set(shingle_hashes(t, shingle)) for t in raw]]
 
         return step
 
