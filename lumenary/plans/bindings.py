@@ -34,6 +34,9 @@ VIEWS = {
         SELECT user_id, COUNT(*) AS total_tests, SUM(10) AS total_questions, SUM({_K} % 11) AS total_correct,
                SUM(({_K} % 11) * 10) AS xp, CAST(user_id % 9 AS INT) AS streak, MAX(CAST(ts AS DATE)) AS last_active_date
         FROM events GROUP BY user_id""",
+    "newcomers": f"""
+        SELECT user_id, SUM(({_K} % 11) * 10) AS xp FROM events GROUP BY user_id
+        UNION ALL SELECT c_custkey, CAST(c_custkey * 7 % 400 AS BIGINT) FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL) AND c_nationkey < 5""",
     "profiles": """
         SELECT c_custkey AS user_id, c_name AS display_name, c_mktsegment AS class_level,
                LOWER(c_name) AS email, c_custkey % 7 <> 0 AS onboarding_completed

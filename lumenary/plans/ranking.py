@@ -22,7 +22,7 @@ _SCORES = """
 _PAIRS = f"""{_SCORES},
     r AS (SELECT user_id, ROW_NUMBER() OVER (ORDER BY seed_score DESC, user_id) AS p FROM scores),
     o AS (SELECT COALESCE(MAX(p) % 2, 0) AS odd, arg_max(user_id, p) AS last_user FROM r),
-    f AS (SELECT user_id, ROW_NUMBER() OVER (ORDER BY xp DESC, user_id) - odd AS p, last_user FROM progress, o WHERE user_id NOT IN (SELECT user_id FROM scores)),
+    f AS (SELECT user_id, ROW_NUMBER() OVER (ORDER BY xp DESC, user_id) - odd AS p, last_user FROM newcomers, o WHERE user_id NOT IN (SELECT user_id FROM scores)),
     taken AS (SELECT user_id, last_user AS rival_user_id, 'fallback' AS match_basis FROM f WHERE p = 0),
     back AS (SELECT rival_user_id AS user_id, user_id AS rival_user_id, match_basis FROM taken),
     seeds AS (SELECT a.user_id, b.user_id AS rival_user_id, CASE WHEN b.user_id IS NULL THEN 'unmatched' ELSE 'seed' END AS match_basis FROM r a LEFT JOIN r b ON CAST(FLOOR((a.p - 1) / 2) AS INT) = CAST(FLOOR((b.p - 1) / 2) AS INT) AND a.p <> b.p WHERE a.user_id NOT IN (SELECT user_id FROM back)),
@@ -40,8 +40,9 @@ _DUELS = f"""
     duels AS (SELECT *, CASE WHEN my_xp > rival_xp THEN 'won' WHEN my_xp < rival_xp THEN 'lost' ELSE 'tied' END AS outcome, CASE WHEN my_xp > rival_xp THEN 150 WHEN my_xp < rival_xp THEN 0 ELSE 50 END AS reward FROM d0)"""
 
 
-def _pairs(sessions, progress):
-    return R.pairings(R.monthly_scores(sessions, progress, AS_OF), progress.select("user_id", "xp"))
+def _pairs(sessions, progress, newcomers):
+    """Pairs of learners with exams, and of those without (customers of some nations who have no session yet among them)."""
+    return R.pairings(R.monthly_scores(sessions, progress, AS_OF), newcomers)
 
 
 @query("E1", "progress", "profiles", sql=f"""
@@ -95,9 +96,9 @@ def _(sessions, progress):
     return R.seed_rank(R.monthly_scores(sessions, progress, AS_OF)).select("user_id", "seed_score", "rank")
 
 
-@query("E3", "sessions", "progress", sql=f"WITH {_PAIRS} SELECT * FROM pairs")
-def _(sessions, progress):
-    return _pairs(sessions, progress)
+@query("E3", "sessions", "progress", "newcomers", sql=f"WITH {_PAIRS} SELECT * FROM pairs")
+def _(sessions, progress, newcomers):
+    return _pairs(sessions, progress, newcomers)
 
 
 @query("D7", "sessions", sql=f"WITH {_WEEKS} SELECT * FROM weeks")
@@ -105,15 +106,15 @@ def _(sessions):
     return R.weekly(sessions)
 
 
-@query("C10", "sessions", "progress", sql=f"WITH {_PAIRS}, {_WEEKS}, {_DUELS} SELECT * FROM duels")
-def _(sessions, progress):
-    return R.duels(_pairs(sessions, progress), R.weekly(sessions), WEEK)
+@query("C10", "sessions", "progress", "newcomers", sql=f"WITH {_PAIRS}, {_WEEKS}, {_DUELS} SELECT * FROM duels")
+def _(sessions, progress, newcomers):
+    return R.duels(_pairs(sessions, progress, newcomers), R.weekly(sessions), WEEK)
 
 
-@query("C6", "sessions", "progress", sql=f"WITH {_SCORES} SELECT user_id, xp FROM progress WHERE user_id NOT IN (SELECT user_id FROM scores)")
-def _(sessions, progress):
+@query("C6", "sessions", "progress", "newcomers", sql=f"WITH {_SCORES} SELECT user_id, xp FROM newcomers WHERE user_id NOT IN (SELECT user_id FROM scores)")
+def _(sessions, progress, newcomers):
     """Newcomers: learners that aren't ranked."""
-    return progress.select("user_id", "xp").join(R.monthly_scores(sessions, progress, AS_OF), "user_id", "left_anti")
+    return newcomers.join(R.monthly_scores(sessions, progress, AS_OF), "user_id", "left_anti")
 
 
 @query("D8", "sessions", sql="""
@@ -125,12 +126,12 @@ def _(sessions):
     return R.missions(sessions, AS_OF)
 
 
-@query("D53", "sessions", "progress", sql=f"""
+@query("D53", "sessions", "progress", "newcomers", sql=f"""
     WITH {_PAIRS}, {_WEEKS}, {_DUELS}, tot AS (SELECT user_id, SUM(xp_earned) AS total_xp FROM sessions GROUP BY user_id)
     SELECT d.*, COALESCE(w.sessions, 0) AS sessions, COALESCE(w.accuracy, 0) AS accuracy, COALESCE(w.active_days, 0) AS active_days, COALESCE(total_xp, 0) AS total_xp, CAST(FLOOR(COALESCE(total_xp, 0) / 100) + 1 AS BIGINT) AS level
     FROM duels d LEFT JOIN (SELECT * FROM weeks WHERE week_start = DATE '{WEEK}') w USING (user_id) LEFT JOIN tot USING (user_id)""")
-def _(sessions, progress):
-    return R.challenge(sessions, _pairs(sessions, progress), WEEK)
+def _(sessions, progress, newcomers):
+    return R.challenge(sessions, _pairs(sessions, progress, newcomers), WEEK)
 
 
 @query("D9", "progress", "sessions", sql="SELECT COUNT(*) AS learners, SUM(total_tests) AS tests, SUM(xp) AS xp, MAX(streak) AS best_streak, (SELECT COUNT(*) FROM sessions WHERE date >= DATE '2024-01-24') AS week_sessions FROM progress")

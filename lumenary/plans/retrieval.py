@@ -74,7 +74,7 @@ def _(benchmark, chunks, embeddings):
 
 
 @query("E10", "benchmark", "chunks", "embeddings", sql=f"""
-    WITH RECURSIVE {_FUSED}, t AS (SELECT query_id, chunk_id, CAST(n_chars AS BIGINT) AS n, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rn FROM fu JOIN chunks USING (chunk_id)),
+    WITH RECURSIVE {_FUSED}, t AS MATERIALIZED (SELECT query_id, chunk_id, CAST(n_chars AS BIGINT) AS n, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rn FROM fu JOIN chunks USING (chunk_id)),
     f AS (SELECT query_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS total, 0 AS k, CAST(NULL AS BIGINT) AS chunk_id, CAST(NULL AS BIGINT) AS chars FROM q
           UNION ALL SELECT f.query_id, t.rn, CASE WHEN f.k >= 5 OR f.total + t.n > 9000 AND f.k > 0 THEN f.total WHEN f.total + t.n > 9000 THEN 9000 ELSE f.total + t.n END, CASE WHEN f.k >= 5 OR f.total + t.n > 9000 AND f.k > 0 THEN f.k ELSE f.k + 1 END,
                  CASE WHEN f.k >= 5 OR f.total + t.n > 9000 AND f.k > 0 THEN NULL ELSE t.chunk_id END, LEAST(t.n, 9000) FROM f JOIN t ON t.query_id = f.query_id AND t.rn = f.rn + 1 AND t.rn <= 10)
