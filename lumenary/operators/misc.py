@@ -61,11 +61,29 @@ def focus_signals(concepts: DataFrame) -> DataFrame:
     return concepts.groupBy("unit").agg(F.max("importance").alias("importance"), F.round(F.avg("difficulty"), 4).alias("difficulty"), F.count("*").alias("concepts"), F.round(F.sum(F.col("difficulty") * F.col("importance")) / F.sum("importance"), 4).alias("weighted"))
 
 
-def growth(turns: DataFrame) -> DataFrame:
-    """Quality less deductions, and the readiness band."""
-    score = F.col("quality") - F.when(F.col("quality") < 0.72, 0.08).otherwise(0) - F.when(F.col("grounded") == 0, 0.12).otherwise(0) - F.when(F.col("repaired"), 0.08).otherwise(0) - F.when(F.col("model_errors") > 0, 0.04).otherwise(0) - F.when(F.col("tool_errors") > 0, 0.04).otherwise(0)
-    s = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
-    return turns.select("id", s.alias("growth"), F.when(s >= 0.85, "excellent").when(s >= 0.72, "stable").when(s >= 0.55, "watch").otherwise("repair").alias("readiness"))
+def growth(turns: DataFrame, most: int = 5) -> DataFrame:
+    """Quality less deductions, the readiness band, and what to improve: at most five things, or that nothing is."""
+    named = (("clarity", F.col("quality") < 0.72, 0.08), ("sources", F.col("grounded") == 0, 0.12), ("repair", F.col("repaired"), 0.08), ("model_fallback", F.col("model_errors") > 0, 0.04), ("tool_failures", F.col("tool_errors") > 0, 0.04), ("simplify", F.col("support_style") == "simplify_and_check", 0.0))
+    score = F.col("quality")
+    for _, on, less in named:
+        score = score - F.when(on, less).otherwise(0)
+    s = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score, 6))), 3)
+    things = F.array_compact(F.array(*(F.when(on, F.lit(n)) for n, on, _ in named)))
+    advice = F.when(F.size(things) == 0, F.array(F.lit("baseline"))).otherwise(F.slice(things, 1, most))
+    return turns.select("id", s.alias("growth"), F.when(s >= 0.85, "excellent").when(s >= 0.72, "stable").when(s >= 0.55, "watch").otherwise("repair").alias("readiness"), F.array_join(advice, ",").alias("recommendations"))
+
+
+def parsed_mcqs(texts: DataFrame, id_: str) -> DataFrame:
+    """(id_, no, question, options, correct, explanation) of running text (id_, text) with Q1. ... A. ... D. ... Answer: X Explanation: ...
+
+    A question without four options that differ, an answer's letter or an explanation goes.
+    """
+    q = texts.select(id_, F.explode(F.split("text", r"(?=\bQ\d+[.)]\s)")).alias("t")).where(F.col("t").rlike(r"^Q\d+[.)]\s"))
+    t = X.squeezed(F.col("t"))
+    form = r"^Q(\d+)[.)] (.*?) A[.)] (.*?) B[.)] (.*?) C[.)] (.*?) D[.)] (.*?) Answer: ?\(?([A-Da-d])\b.*? Explanation: (.+)$"
+    part = lambda k: F.trim(F.regexp_extract(t, form, k))
+    rows = q.select(id_, part(1).alias("no"), part(2).alias("question"), F.array(*(part(k) for k in range(3, 7))).alias("options"), F.upper(part(7)).alias("correct"), part(8).alias("explanation"))
+    return rows.where((F.col("no") != "") & (F.col("question") != "") & valid_options(F.col("options"))).withColumn("no", F.col("no").cast("int"))
 
 
 def valid_options(options: Column) -> Column:

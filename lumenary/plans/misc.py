@@ -67,11 +67,26 @@ def _(part):
 
 
 @query("I26", "traces", sql="""
-    WITH s AS (SELECT id, quality - CASE WHEN quality < 0.72 THEN 0.08 ELSE 0 END - CASE WHEN grounded = 0 THEN 0.12 ELSE 0 END - CASE WHEN status = 'review' THEN 0.08 ELSE 0 END - CASE WHEN status = 'failed' THEN 0.04 ELSE 0 END - CASE WHEN latency_ms > 3000 THEN 0.04 ELSE 0 END AS g FROM traces),
-    r AS (SELECT id, ROUND(GREATEST(0.0, LEAST(1.0, g)), 6) AS growth FROM s)
-    SELECT *, CASE WHEN growth >= 0.85 THEN 'excellent' WHEN growth >= 0.72 THEN 'stable' WHEN growth >= 0.55 THEN 'watch' ELSE 'repair' END AS readiness FROM r""")
+    WITH s AS (SELECT *, quality - CASE WHEN quality < 0.72 THEN 0.08 ELSE 0 END - CASE WHEN grounded = 0 THEN 0.12 ELSE 0 END - CASE WHEN status = 'review' THEN 0.08 ELSE 0 END - CASE WHEN status = 'failed' THEN 0.04 ELSE 0 END - CASE WHEN latency_ms > 3000 THEN 0.04 ELSE 0 END AS g FROM traces),
+    r AS (SELECT *, ROUND(GREATEST(0.0, LEAST(1.0, ROUND(g, 6))), 3) AS growth, list_filter([CASE WHEN quality < 0.72 THEN 'clarity' END, CASE WHEN grounded = 0 THEN 'sources' END, CASE WHEN status = 'review' THEN 'repair' END, CASE WHEN status = 'failed' THEN 'model_fallback' END, CASE WHEN latency_ms > 3000 THEN 'tool_failures' END, CASE WHEN user_id % 4 = 0 THEN 'simplify' END], lambda x: x IS NOT NULL) AS things FROM s)
+    SELECT id, growth, CASE WHEN growth >= 0.85 THEN 'excellent' WHEN growth >= 0.72 THEN 'stable' WHEN growth >= 0.55 THEN 'watch' ELSE 'repair' END AS readiness, CASE WHEN LEN(things) = 0 THEN 'baseline' ELSE array_to_string(things[1:5], ',') END AS recommendations FROM r""")
 def _(traces):
-    return M.growth(traces.select("id", "quality", "grounded", (F.col("status") == "review").alias("repaired"), (F.col("status") == "failed").cast("int").alias("model_errors"), (F.col("latency_ms") > 3000).cast("int").alias("tool_errors")))
+    style = F.when(F.col("user_id") % 4 == 0, "simplify_and_check").otherwise("steady")
+    return M.growth(traces.select("id", "quality", "grounded", (F.col("status") == "review").alias("repaired"), (F.col("status") == "failed").cast("int").alias("model_errors"), (F.col("latency_ms") > 3000).cast("int").alias("tool_errors"), style.alias("support_style")))
+
+
+@query("I28_parsed", "part", sql="""
+    SELECT p_partkey, 1 AS no, 'What is ' || p_name || '?' AS question, p_type || '|' || p_brand || '|x' || p_size || '|none' AS options, SUBSTR('ABCD', CAST(p_partkey % 4 + 1 AS INT), 1) AS correct, 'It is in the notes.' AS explanation FROM part WHERE p_size % 5 <> 0
+    UNION ALL SELECT p_partkey, 2, 'Which size?', p_size || '|' || (p_size + 1) || '|' || (p_size + 2) || '|' || (p_size + 3), 'A', 'By count.' FROM part""")
+def _(part):
+    """Questions of running text; those with equal options, and what comes before the first, go."""
+    third = F.when(F.col("p_size") % 5 == 0, F.upper("p_type")).otherwise(F.concat(F.lit("x"), "p_size"))
+    letter = F.substring(F.lit("abcd"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1))
+    k = lambda n: (F.col("p_size") + n).cast("string")
+    one = F.concat(F.lit("Some words. Q1. What is "), "p_name", F.lit("?\n A. "), "p_type", F.lit("\n B) "), "p_brand", F.lit(" C. "), third, F.lit(" D. none\nAnswer: ("), letter, F.lit(") Explanation: It is in  the notes. "))
+    two = F.concat(F.lit("Q2) Which size? A. "), k(0), F.lit(" B. "), k(1), F.lit(" C. "), k(2), F.lit(" D. "), k(3), F.lit(" Answer: A Explanation: By count.\nQ3. Broken? A. 1 B. 2"))
+    rows = M.parsed_mcqs(part.select("p_partkey", F.concat(one, two).alias("text")), "p_partkey")
+    return rows.select("p_partkey", "no", "question", F.array_join("options", "|").alias("options"), "correct", "explanation")
 
 
 @query("I28", "part", sql="SELECT p_partkey, p_size % 4 <> 0 AND p_partkey % 3 <> 0 AS valid FROM part")

@@ -30,6 +30,6 @@ def query(name: str, *inputs: str, sql: str | None = None, also: str | None = No
     return put
 
 
-for _part in ("learners", "ranking", "tracing", "content", "exams", "planning", "retrieval", "streams", "misc", "answers", "payloads", "concepts", "mastery", "ingestion", "grounding"):
+for _part in ("learners", "ranking", "tracing", "content", "exams", "planning", "retrieval", "streams", "misc", "answers", "payloads", "concepts", "mastery", "ingestion", "grounding", "lessons"):
     if importlib.util.find_spec(f"lumenary.plans.{_part}"):
         importlib.import_module(f"lumenary.plans.{_part}")
