@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 from lumenary.llm.common import mix
 from lumenary.runtime import checkpointed, ship
 
-#: Bins of a sketch, and bands of ROWS bins by which texts meet: a pair of similarity 0.8 misses
-#: all bands with a chance of 1 in 5,000.
+#: Bins of least hashes, and bands of ROWS bins by which texts meet: a pair of similarity 0.8
+#: misses all bands with a chance of 1 in 5,000.
 BINS, BANDS, ROWS = 256, 16, 4
 #: Bytes of a shingle's hash in a set that is sent to others.
 SET_BYTES = 6
-#: Sketches that are compared at once.
-BLOCK = 4096
 #: Shingles whose places in the sets of a piece are laid out at once.
 COLUMNS = 8192
 #: Texts of a bucket that a task compares whole; larger buckets are held against their head and
@@ -38,15 +36,14 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """(codes, band keys) of a shingle set.
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of BANDS bands of a shingle set's least hashes by bin.
 
-    Codes: four bits for each bin, 0 for an empty one. For the keys an empty bin takes the
-    nearest filled one to its right, marked by the distance, so that short texts meet as well.
+    An empty bin takes the nearest filled one to its right, marked by the distance, so that short
+    texts meet as well.
     """
     low = minima(hashes)
     filled = low != ~np.uint64(0)
-    code = np.where(filled, (mix(low) >> np.uint64(40)).astype(np.int64) % 15 + 1, 0).astype(np.uint8)
     dense = low
     if filled.any() and not filled.all():
         at = np.flatnonzero(filled)
@@ -58,57 +55,7 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
     key = np.zeros(BANDS, np.uint64)
     for k in range(ROWS):
         key = mix(key + used[:, k])
-    return (code[0::2] | code[1::2] << 4).tobytes(), key
-
-
-def unpack(codes: list[bytes]) -> np.ndarray:
-    half = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), BINS // 2)
-    out = np.empty((len(codes), BINS), np.uint8)
-    out[:, 0::2], out[:, 1::2] = half & 15, half >> 4
-    return out
-
-
-def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of one sketch to many.
-
-    Over the bins that either fills, the share with one code, less what equal codes of
-    different minima add by chance.
-    """
-    both = (one > 0) & (many > 0)
-    same = (both & (many == one)).sum(axis=1)
-    some = np.maximum(((one > 0) | (many > 0)).sum(axis=1), 1)
-    chance = both.sum(axis=1) / some / 15
-    return (same / some - chance) / np.maximum(1 - chance, 1e-9)
-
-
-def connect(ids: np.ndarray, codes: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links of at least that similarity which connect whatever such links connect.
-
-    A text is held against the first member of each group so far, and against all members only
-    of groups whose first it isn't like: within a group of mutual copies that is one comparison.
-    """
-    group = np.arange(len(ids))  # of each text: the number of its group's first member
-    heads: list[int] = []
-    out = []
-    for k in range(len(ids)):
-        at = np.array(heads, np.int64)
-        like = at[similarity(codes[k], codes[at]) >= least] if heads else at
-        mates = {int(h): int(h) for h in like}
-        rest = np.flatnonzero(~np.isin(group[:k], like) & (group[:k] != np.arange(k)))
-        for a in range(0, len(rest), BLOCK):
-            part = rest[a : a + BLOCK]
-            for m in part[similarity(codes[k], codes[part]) >= least].tolist():
-                mates.setdefault(int(group[m]), m)
-        if mates:
-            first = min(mates)
-            group[k] = first
-            out += [(int(ids[m]), int(ids[k])) for m in mates.values()]
-            if len(mates) > 1:
-                group[:k][np.isin(group[:k], list(mates))] = first
-                heads = [h for h in heads if h == first or h not in mates]
-        else:
-            heads.append(k)
-    return out
+    return key
 
 
 def packed_set(hashes: np.ndarray) -> bytes:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenary.llm.common import documents, map_slices, spaced, utf8
 from lumenary.llm.components import components
-from lumenary.llm.resemblance import band_links, packed_set, sketch
+from lumenary.llm.resemblance import band_keys, band_links, packed_set
 from lumenary.runtime import checkpointed, ship
 
 BITS, SEED = 64, 42
@@ -208,7 +208,7 @@ def resembling(docs: DataFrame, id_: str = "doc_id", text: str = "text", shingle
         def step(part):
             raw = utf8(part)
             hashes = [shingle_hashes(t, shingle) for t in raw]
-            bands = [sketch(h)[1].view(np.int64) for h in hashes]
+            bands = [band_keys(h).view(np.int64) for h in hashes]
             return [part.column("doc_id"), text_keys(raw), majority(hashes).view(np.int64), pa.array(bands, pa.list_(pa.int64()))]
 
         return step

@@ -431,17 +431,6 @@ def test_large_buckets_are_cut_without_losing_links(spark, monkeypatch):
     assert len(largest) > 2 and max(largest) < 60
 
 
-def test_connect_keeps_components_whole():
-    rng = np.random.default_rng(4)
-    sets = [rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in range(4)]
-    many = [np.concatenate([s[: 300 - k], rng.integers(0, 1 << 63, k, dtype=np.uint64)]) for s in sets for k in (0, 5, 12, 9)]
-    codes = resemblance.unpack([resemblance.sketch(h)[0] for h in many])
-    root = list(range(16))
-    for a, b in resemblance.connect(np.arange(16), codes, 0.8):
-        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
-    assert root == [4 * (k // 4) for k in range(16)]
-
-
 def test_language_is_known_on_held_out_rows(spark, odd, none):
     d = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
