@@ -325,6 +325,6 @@ def _(documents):
     SELECT source, COUNT(*) AS files, SUM(strlen(text)) AS bytes, SUM(LENGTH(text)) AS chars, ANY_VALUE(chunks) AS chunks, ANY_VALUE(short_chunks) AS short_chunks FROM documents JOIN q USING (source) GROUP BY source""")
 def _(documents):
     """A source's files, bytes, characters, paragraphs and short paragraphs."""
-    paras = F.filter(F.transform(F.split("text", r"\n\s*\n+"), F.trim), lambda p: p != "")
+    paras = F.filter(F.transform(F.split("text", r"\n\s*\n+"), lambda p: F.trim(p)), lambda p: p != "")
     d = documents.select("source", F.octet_length("text").alias("bytes"), F.length("text").alias("chars"), F.size(paras).alias("chunks"), F.size(F.filter(paras, lambda p: F.length(p) < 40)).alias("short"))
     return d.groupBy("source").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sum("chars").alias("chars"), F.sum("chunks").alias("chunks"), F.sum("short").alias("short_chunks"))

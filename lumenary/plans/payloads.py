@@ -54,3 +54,14 @@ def _(questions):
     )
     out = P.clean_questions(questions.select("paper_id", F.col("question_number").alias("id"), F.lit(0).alias("position"), F.to_json(raw).alias("item")))
     return out.select("paper_id", "id", "question_text", "question_number", "marks", "question_type", "difficulty", "concept_tags", "confidence")
+
+
+@query("H8", "part", sql="""
+    SELECT p_partkey, SUBSTR(TRIM(regexp_replace('  ' || p_name || chr(10) || p_type || '  ', '\\s+', ' ', 'g')), 1, 20) AS text,
+           CASE p_partkey % 4 WHEN 0 THEN TRIM(SUBSTR(p_name, 1, 12)) || '|' || TRIM(SUBSTR(p_type, 1, 12)) WHEN 1 THEN TRIM(SUBSTR(p_type, 1, 12)) || '|' || p_brand WHEN 2 THEN p_brand ELSE '' END AS items FROM part""")
+def _(part):
+    """Texts made clean, and lists out of lists, objects and single values."""
+    k, brand = F.col("p_partkey") % 4, F.col("p_brand")
+    raw = F.when(k == 0, F.to_json(F.array("p_name", F.lit("  "), F.col("p_type")))).when(k == 1, F.to_json(F.array(F.struct(F.col("p_type").alias("point")), F.struct(brand.alias("point"))))).when(k == 2, brand)
+    text = F.concat(F.lit("  "), "p_name", F.lit("\n"), "p_type", F.lit("  "))
+    return part.select("p_partkey", P.clean_text(text, 20).alias("text"), F.array_join(F.transform(P.text_list(raw, 5, 12), lambda x: F.trim(x)), "|").alias("items"))
