@@ -72,7 +72,7 @@ def concept_memory(signals: DataFrame) -> DataFrame:
     def put(acc: Column, x: Column) -> Column:
         n = acc["n"] + 1
         prior = F.when(acc["mean"] == 0, x["confidence"]).otherwise(acc["mean"])
-        return F.struct(n.alias("n"), F.round((prior * (n - 1) + x["confidence"]) / n, 1).alias("mean"))
+        return F.struct(n.alias("n"), (F.floor((prior * (n - 1) + x["confidence"]) / n * 10 + 0.5) / 10).alias("mean"))
 
     mean, last = F.aggregate("xs", start, put, lambda a: a["mean"]), F.element_at("xs", -1)["needs_support"]
     first = F.when(last, 0.68).otherwise(0.56)

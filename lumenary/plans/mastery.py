@@ -61,8 +61,8 @@ def _(units, lineitem, orders):
 
 
 @query("D37", "sessions", sql="""
-    WITH g AS (SELECT user_id, topic, COUNT(*) AS observations, COUNT(*) FILTER (score < 3) AS support_count, LIST(accuracy_rate ORDER BY completed_at, id) AS xs, arg_max(score < 3, id) AS last FROM sessions GROUP BY 1, 2),
-    f AS (SELECT *, list_reduce(list_transform(xs, lambda x, i: {'n': i, 'x': x}), lambda a, b: {'n': b.n, 'x': ROUND(((CASE WHEN a.x = 0 THEN b.x ELSE a.x END) * (b.n - 1) + b.x) / b.n, 1)}).x AS mean FROM g)
+    WITH g AS (SELECT user_id, topic, COUNT(*) AS observations, COUNT(*) FILTER (score < 3) AS support_count, LIST(accuracy_rate ORDER BY completed_at, id) AS xs, (LIST(score < 3 ORDER BY completed_at, id))[-1] AS last FROM sessions GROUP BY 1, 2),
+    f AS (SELECT *, list_reduce(list_transform(xs, lambda x, i: {'n': i, 'x': x}), lambda a, b: {'n': b.n, 'x': FLOOR(((CASE WHEN a.x = 0 THEN b.x ELSE a.x END) * (b.n - 1) + b.x) / b.n * 10 + 0.5) / 10}).x AS mean FROM g)
     SELECT user_id, topic, observations, support_count, mean AS average_confidence, CASE WHEN last THEN 'concept_watch' ELSE 'concept_learning' END AS memory_type,
            ROUND(CASE WHEN observations = 1 THEN CASE WHEN last THEN 0.68 ELSE 0.56 END ELSE LEAST(1.0, 0.55 + support_count * 0.08 + observations * 0.02) END, 4) AS importance, ROUND(LEAST(1.0, GREATEST(0.35, mean / 100)), 4) AS confidence FROM f""")
 def _(sessions):
