@@ -15,7 +15,9 @@ from lumenary.runtime import ship
 
 #: Bytes of text that a Python function works on at once (a longer text comes alone).
 SLICE_BYTES = 2 << 20
-ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "longs": pa.list_(pa.int64())}
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "longs": pa.list_(pa.int64()), "stretches": pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))}
+#: Names of ARROW that Spark knows by another.
+SQL = {" longs": " array<long>", " stretches": " array<struct<start:long,length:long,period:long>>", "!": " not null"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +69,9 @@ def map_slices(df: DataFrame, start: Callable[[], Callable], schema: str, column
         if (rest := getattr(step, "rest", None)) is not None:
             yield packed(rest())
 
-    return df.mapInArrow(run, schema.replace(" longs", " array<long>").replace("!", " not null"))
+    for own, name in SQL.items():
+        schema = schema.replace(own, name)
+    return df.mapInArrow(run, schema)
 
 
 def add_columns(df: DataFrame, start: Callable[[], Callable], schema: str, column: str) -> DataFrame:
