@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
-from lumenary.llm import pieces, queries, repeats
+from lumenary.llm import phrases, pieces, queries, repeats
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, runs string, ids string"
@@ -152,3 +155,68 @@ def test_query_of_pieces_has_decimal_digests(spark, docs):
         ids = own.encode(r.text or "", add_eos=True)
         sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
         assert (r.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(own.decode(ids))) in got
+
+
+def plain_collocations(rows, least=10, inside=50, first=2000):
+    """By the definition, with all counts in memory."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    f = defaultdict(Counter)
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\x0A-\x0D]", (text or "").translate(lower)):
+            w = re.findall("[^\x20\x09]+", piece)
+            for k in (1, 2, 3):
+                f["und" if lang is None else lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, c in f.items():
+        n, found = sum(m for p, m in c.items() if len(p) == 1), []
+        for p, a in c.items():
+            if len(p) > 1 and a >= least:
+                s, k = min((1_000_000 * a * a // (c[p[:k]] * c[p[k:]]), k) for k in range(1, len(p)))
+                found.append((p, a, c[p[:k]], c[p[k:]], s))
+        longer = [(q, a) for q, a, *_ in found if len(q) == 3]
+        most = Counter()
+        for q, a in longer:
+            for part in (q[:2], q[1:]):
+                most[part] = max(most[part], a)
+        found = [x for x in found if len(x[0]) == 3 or not most[x[0]] or 100 * most[x[0]] < inside * x[1]]
+        found.sort(key=lambda x: (-x[4], -x[1], " ".join(x[0]).encode()))
+        out += [(lang, k, " ".join(p), a, left, right, n, s) for k, (p, a, left, right, s) in enumerate(found[:first], 1)]
+    return sorted(out)
+
+
+def found(df, **options):
+    return sorted(tuple(r) for r in phrases.collocations(df, **options).collect())
+
+
+def test_phrases_are_brute_force_and_the_twins(spark, odd, none, docs, monkeypatch):
+    rows = [(r.lang, r.text) for r in docs.collect()]
+    want = plain_collocations(rows)
+    assert len(want) > 100 and found(docs) == want
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    assert sorted(duck.execute(phrases.OP13_SQL).fetchall()) == want
+    assert found(none) == []
+    rows = [(r.lang, r.text) for r in odd.collect()]
+    assert found(odd, least=2, first=50) == plain_collocations(rows, 2, 50, 50)
+    monkeypatch.setattr(phrases, "PART", 7), monkeypatch.setattr(phrases, "HELD", 40), monkeypatch.setattr(phrases, "BATCH", 3), monkeypatch.setattr(phrases, "COUNTED", 5)
+    small = odd.where("length(text) < 4000 or text is null")
+    assert found(small, least=2, first=50) == plain_collocations([(r.lang, r.text) for r in small.collect()], 2, 50, 50)
+
+
+def test_phrases_of_two_words_with_one_key_take_another_seed(spark, monkeypatch):
+    own = phrases.key_of
+    monkeypatch.setattr(phrases, "key_of", lambda lang, word, seed: len(word) + 1 if seed == 0 else own(lang, word, seed))
+    df = spark.createDataFrame([("en", "ab cd. ab cd. cd ab"), (None, "ab cd ab cd")], "lang string, text string")
+    assert found(df, least=2) == plain_collocations([("en", "ab cd. ab cd. cd ab"), (None, "ab cd ab cd")], 2)
+
+
+def test_scores_are_exact_past_64_bits(spark):
+    a, left, right = 3_000_000_000_001, 3_100_000_000_007, 3_200_000_000_011
+    got = spark.createDataFrame([(a, left, right)], "a long, l long, r long").select(phrases.score("a", "l", "r")).head()[0]
+    assert got == 1_000_000 * a * a // (left * right)
+
+
+def test_counts_of_the_graph_are_the_vocabularys(docs):
+    some = docs.select("lang", "text")
+    words = {r.k1: r.n for r in phrases.graph(some, 0, 1).where("k2 = 0").collect()}
+    assert words == {r.k: r.n for r in phrases.vocabulary(some, 0).collect()}
