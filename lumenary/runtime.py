@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -49,6 +50,17 @@ def shared_root(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="lumenary-shared-")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one for intermediate tables; it goes when the application ends."""
+    folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder; its lineage ends there."""
     sc = df.sparkSession.sparkContext
