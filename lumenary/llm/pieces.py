@@ -5,8 +5,8 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
-from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -70,14 +70,14 @@ class PieceModel:
         self.byte = byte
         #: Ids of a symbol, last one first: itself, or its bytes if it is a character that only occurs inside pieces.
         self.ids = {s: [s] if s < n else self.in_bytes(t)[::-1] for s, t in text.items()}
-        #: A unit's pieces end where the automaton says; what merging doesn't make of its own characters never occurs.
+        #: Pieces of two characters or more that merging makes of their own characters; others never occur.
         self.automaton = ahocorasick.Automaton()
-        for s in self.reachable(text):
-            self.automaton.add_word(text[s], (s, len(text[s])))
+        for s, t in text.items():
+            if len(t) > 1 and self.merged(self.chars[s]) == [s]:
+                self.automaton.add_word(t, (s, len(t)))
         self.automaton.make_automaton()
         self.length = {s: len(t) for s, t in text.items()}
-        self.unknown = re.compile(f"[^{re.escape(''.join(counter.symbol))}]+")
-        self.gap = next(c for c in map(chr, range(10, 0x110000)) if c not in counter.symbol)
+        self.single = counter.symbol
         self.compatible = Compatible(self)
         self.known: dict[str, bytes] = {}
         plain = [b"" if self.library.is_control(i) else self.library.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
@@ -89,54 +89,62 @@ class PieceModel:
     def in_bytes(self, text: str) -> list[int]:
         return [self.byte[b] for b in text.encode()]
 
-    def reachable(self, text: dict[int, str]) -> list[int]:
-        """The symbols that merging makes of their own characters."""
-        return [s for s, t in text.items() if len(t) == 1 or self.merged(self.chars[s]) == [s]]
-
     def merged(self, symbols: list[int]) -> list[int]:
         """What is left after merging the best pair (the leftmost of equal rank) until none merges."""
-        out, rule, width = list(symbols), self.rule, self.symbols
-        while len(out) > 1:
-            rank, k = min((rule.get(a * width + b, (NONE,))[0], k) for k, (a, b) in enumerate(zip(out, out[1:])))
-            if rank == NONE:
-                break
-            out[k : k + 2] = [rule[out[k] * width + out[k + 1]][1]]
+        out, width, nothing = list(symbols), self.symbols, (NONE, 0)
+        of = lambda k: self.rule.get(out[k] * width + out[k + 1], nothing)
+        rules = [of(k) for k in range(len(out) - 1)]
+        while rules and (best := min(rules)) is not nothing:
+            k = rules.index(best)
+            out[k : k + 2] = [best[1]]
+            del rules[k]
+            if k:
+                rules[k - 1] = of(k - 1)
+            if k < len(rules):
+                rules[k] = of(k)
         return out
 
     def table(self, text: str) -> list[int]:
         """The last symbol of the encoding of each prefix of text; text[:0] has the start.
 
         Of the matches that end at a place one is compatible with the last symbol of the prefix before
-        it. A character that no rule knows merges with nothing: after it all starts anew.
+        it; where no longer one is, it is the single character. A character that no rule knows merges
+        with nothing: after it all starts anew.
         """
-        last = [-1] * (len(text) + 1)
-        last[0] = self.start
-        for m in self.unknown.finditer(text):
-            last[m.start() + 1 : m.end() + 1] = [self.start] * (m.end() - m.start())
-        compatible = self.compatible
+        last = [self.start, *map(self.single.get, text, repeat(self.start))]
+        compatible, done = self.compatible, -1
         for at, (symbol, size) in self.automaton.iter(text):
-            if last[at + 1] < 0 and compatible[last[at + 1 - size] << SHIFT | symbol]:
-                last[at + 1] = symbol
+            if at != done and compatible[last[at + 1 - size] << SHIFT | symbol]:
+                last[at + 1], done = symbol, at
         return last
 
     def learn(self, units: list[str]) -> None:
-        """Put the ids of units into known: one table for all, a gap after each; ids are recovered from each end backwards."""
-        text, stop = self.gap.join(units), 0
-        last, length, ids = self.table(text), self.length, self.ids
-        for unit in units:
-            begin, stop = stop, stop + len(unit)
-            out: list[int] = []
-            i = stop
-            while i > begin:
-                s = last[i]
-                if s == self.start:
-                    out += self.in_bytes(text[i - 1])[::-1]
-                    i -= 1
+        """Put the ids of units into known: one table for all, a gap between them; ids are recovered backwards from its end."""
+        whole = "".join(units)
+        gap = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in self.single and c not in whole)
+        text = gap.join(units)
+        last, length, ids, normal = self.table(text), self.length, self.ids, len(self.plain)
+        out: list[int] = []
+        cuts = [0]
+        i = len(text)
+        while i:
+            s = last[i]
+            if s == self.start:
+                i -= 1
+                if text[i] == gap:
+                    cuts.append(len(out))
+                else:
+                    out += self.in_bytes(text[i])[::-1]
+            else:
+                i -= length[s]
+                if s < normal:
+                    out.append(s)
                 else:
                     out += ids[s]
-                    i -= length[s]
-            self.known[unit] = array("I", out[::-1]).tobytes()
-            stop += 1
+        raw, n = np.array(out[::-1], "<u4").tobytes(), len(out)
+        cuts.append(n)
+        for unit, a, b in zip(reversed(units), cuts, cuts[1:]):
+            self.known[unit] = raw[4 * (n - b) : 4 * (n - a)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, without an end id."""
