@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenary.llm.common import documents, map_slices, slices, utf8
-from lumenary.runtime import scratch, ship
+from lumenary.llm.common import documents, mix, slices, utf8
+from lumenary.runtime import checkpointed, scratch, ship
 
-#: Words that a task turns into edges before it hands them on (with those of one part of a text fewer than
-#: 2 ** 21, so three of their numbers fit a key of 63 bits), words of such a part, rows of a batch.
-HELD, PART, BATCH = 1 << 20, 1 << 19, 1 << 17
-#: Distinct words that a task counts before it hands on its counts.
-COUNTED = 1 << 18
+#: Words that a task turns into edges before it hands them on, and of one part of a text (HELD + PART < 2 ** 21, so
+#: three numbers of words fit a key of 63 bits); rows of a batch.
+HELD, PART, BATCH = 1_500_000, 500_000, 1 << 16
 #: In place of a word: the piece ends before it.
 END = 0
+#: Kinds of the graph's rows: two words with one key, a language, a word, a node (two words), an edge (three).
+CLASH, LANGUAGE, WORD, NODE, EDGE = -1, 0, 1, 2, 3
+#: Documents (about) that show which words and nodes to split, the least share of edges of one, the parts of a word's and of a node's edges.
+SHOWN, SHARE, SPLIT_WORD, SPLIT_NODE = 2_000, 20_000, 256, 4096
 
 _CUT = b"\xff"  # stands in no UTF-8 text
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _CUT * 10)
-_EDGES = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "k3", "n")])
+_EDGES = pa.schema([*((c, pa.int64()) for c in ("k1", "k2", "k3", "n")), ("h", pa.int32()), ("w", pa.binary())])
+_GRAPH = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("k1", "k2", "k3", "n", "top")), ("lang", pa.string()), ("word", pa.string())])
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -31,121 +33,197 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_TABLE).replace(_CUT, b" \xff ").split()
 
 
-def key_of(lang: str, word: bytes, seed: int) -> int:
+def key_of(name: bytes, seed: int) -> int:
     """A signed 64-bit key of a language's word, never END."""
-    own = lang.encode()
-    return int(np.uint64(xxhash.xxh64_intdigest(b"%d:%s%s" % (len(own), own, word), seed) or 1).view(np.int64))
+    return int(np.uint64(xxhash.xxh64_intdigest(name, seed) or 1).view(np.int64))
 
 
 class Numbers(dict):
     """One language's words to the numbers that all languages of a task share; -1 for a cut."""
 
-    def __init__(self, lang: str, keys: list[int], seed: int):
+    def __init__(self, lang: str, names: list[bytes]):
         super().__init__({_CUT: -1})
-        self.lang, self.keys, self.seed = lang, keys, seed
+        self.lang, self.names = lang.encode() + _CUT, names
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.keys)
-        self.keys.append(key_of(self.lang, word, self.seed))
+        self[word] = n = len(self.names)
+        self.names.append(self.lang + word)
         return n
 
 
-def vocabulary(docs: DataFrame, seed: int) -> DataFrame:
-    """(k, lang, word, n, clash) for each word: its key, its occurrences, whether another word has the key."""
-
-    def start():
-        held: dict[str, Counter] = {}
+def packed_edges(flat: list[int], again: list[int]) -> np.ndarray:
+    """A key for the edge that each word begins: three numbers plus one, 0 after a piece's end (-1)."""
+    x = np.array([*flat, -1, -1], np.int64)
+    a, b, c = x[:-2], x[1:-1], x[2:]
+    c = np.where(b < 0, -1, c)
+    on = a >= 0
+    on[again] = False
+    return a[on] + 1 << 42 | b[on] + 1 << 21 | c[on] + 1
 
-        def hand_on():
-            rows = [(key_of(lang, w, seed), lang, w.decode(), n) for lang, c in held.items() for w, n in c.items()]
-            held.clear()
-            return [list(x) for x in zip(*rows)] if rows else [[], [], [], []]
 
-        def step(part):
-            for lang, raw in zip(part.column("lang").to_pylist(), utf8(part)):
-                c = held.setdefault(lang, Counter())
-                c.update(words_of(raw))
-                del c[_CUT]
-            return hand_on() if sum(map(len, held.values())) > COUNTED else None
+def node_code(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    return (mix(k1.view(np.uint64)) ^ k2.view(np.uint64)).view(np.int64)
 
-        step.rest = hand_on
-        return step
 
-    found = map_slices(docs, start, "k long, lang string, word string, n long")
-    word = F.struct("lang", "word")
-    one = found.groupBy("k").agg(F.min(word).alias("w"), F.max(word).alias("other"), F.sum("n").alias("n"))
-    return one.select("k", "w.lang", "w.word", "n", (F.col("w") != F.col("other")).alias("clash"))
+def found_in(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    if not len(some):
+        return np.zeros(len(x), bool)
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
 
 
-def edges(docs: DataFrame, seed: int) -> DataFrame:
-    """(k1, k2, k3, n): how often three words follow each other within a piece.
+def edges(docs: DataFrame, seed: int, hot: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(k1, k2, k3, n, h, w): how often three words follow each other within a piece, added up by each task.
 
     An edge goes from the node (k1, k2) to the node (k2, k3). Each occurrence of a word begins one
-    edge: near a piece's end k3, or k2 and k3, are END. Tasks add up before the shuffle.
+    edge: near a piece's end k3, or k2 and k3, are END. The edge of a word alone carries its language and
+    text in w; languages have rows of their own from END. Edges of a hot word are in several parts h by their
+    node, those of a hot node by their last word; h is 0 for all others.
     """
     ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(np.sort(x) for x in hot)) if hot else None
 
     def run(batches):
-        keys: list[int] = []
+        names: list[bytes] = []
         numbers: dict[str, Numbers] = {}
         flat: list[int] = []
         again: list[int] = []  # places of words that the next part of a text begins with
+        lengths: dict[str, int] = {}
 
         def hand_on():
-            packed, n = np.unique(packed_edges(flat, again), return_counts=True)
-            key, mask = np.array([END, *keys], np.int64), (1 << 21) - 1
-            for a in range(0, len(packed), BATCH):
-                p = packed[a : a + BATCH]
-                cols = [key[p >> 42], key[p >> 21 & mask], key[p & mask], n[a : a + BATCH].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_EDGES)
-            keys.clear(), numbers.clear(), flat.clear(), again.clear()
+            own = np.arange(1, len(names) + 1, dtype=np.int64) << 42  # a word by itself, for its text
+            packed, n = np.unique(np.concatenate([packed_edges(flat, again), own]), return_counts=True)
+            key, mask = np.array([END, *(key_of(w, seed) for w in names)], np.int64), (1 << 21) - 1
+            a, b, c = packed >> 42, packed >> 21 & mask, packed & mask
+            alone = packed & (1 << 42) - 1 == 0
+            n = n - alone
+            h = np.zeros(len(packed), np.int32)
+            if sent:
+                words, nodes = sent.value
+                rows = np.flatnonzero(found_in(key, words)[a])
+                h[rows] = 1 + mix(key[b[rows]].view(np.uint64)) % SPLIT_WORD
+                rows = rows[found_in(node_code(key[a[rows]], key[b[rows]]), nodes)]
+                h[rows] = 1 + SPLIT_WORD + mix(key[c[rows]].view(np.uint64)) % SPLIT_NODE
+            for at in range(0, len(packed), BATCH):
+                x = slice(at, at + BATCH)
+                w = [names[k - 1] if one else None for k, one in zip(a[x].tolist(), alone[x].tolist())]
+                yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (key[a[x]], key[b[x]], key[c[x]], n[x].astype(np.int64), h[x])), pa.array(w, pa.binary())], schema=_EDGES)
+            rows = [(END, key_of(lang.encode(), seed), END, m, m % SPLIT_WORD, lang.encode()) for lang, m in lengths.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), _EDGES)], schema=_EDGES)
+            names.clear(), numbers.clear(), flat.clear(), again.clear(), lengths.clear()
 
         for part in slices(batches):
             for lang, raw in zip(part.column("lang").to_pylist(), utf8(part)):
                 words = words_of(raw)
                 for a in range(0, len(words), PART):
                     if (own := numbers.get(lang)) is None:
-                        own = numbers[lang] = Numbers(lang, keys, seed)
-                    flat += map(own.__getitem__, words[a : a + PART + 2])
+                        own = numbers[lang] = Numbers(lang, names)
+                    some = words[a : a + PART + 2]
+                    flat += map(own.__getitem__, some)
+                    lengths[lang] = lengths.get(lang, 0) + len(some[:PART]) - some[:PART].count(_CUT)
                     again += range(len(flat) - min(2, max(0, len(words) - a - PART)), len(flat))
                     flat.append(-1)
                     if len(flat) > HELD:
                         yield from hand_on()
-        if flat:
+        if lengths:
             yield from hand_on()
 
-    found = docs.mapInArrow(run, "k1 long not null, k2 long not null, k3 long not null, n long not null")
-    return found.groupBy("k1", "k2", "k3").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "k1 long not null, k2 long not null, k3 long not null, n long not null, h int not null, w binary")
 
 
-def packed_edges(flat: list[int], again: list[int]) -> np.ndarray:
-    """A key for the edge that each word begins: three numbers plus one, 0 after a piece's end (-1)."""
-    x = np.array([*flat, -1, -1], np.int64)
-    a, b, c = x[:-2], x[1:-1], x[2:]
-    c = np.where(b < 0, -1, c)
-    on = a >= 0
-    on[again] = False
-    return a[on] + 1 << 42 | b[on] + 1 << 21 | c[on] + 1
+class Fold:
+    """Sums (or greatest values) of runs of equal keys in sorted batches; the last run stays open for the next batch."""
+
+    def __init__(self, *by: np.ufunc):
+        self.by, self.open = by, None
+
+    def add(self, keys: list[np.ndarray], values: list[np.ndarray], last: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The runs that are over."""
+        if self.open:
+            keys = [np.concatenate(x) for x in zip(self.open[0], keys)]
+            values = [np.concatenate(x) for x in zip(self.open[1], values)]
+        if len(keys[0]):
+            first = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+            keys, values = [k[first] for k in keys], [f.reduceat(v, first) for f, v in zip(self.by, values)]
+        if last or not len(keys[0]):
+            self.open = None
+            return keys, values
+        self.open = [k[-1:] for k in keys], [v[-1:] for v in values]
+        return [k[:-1] for k in keys], [v[:-1] for v in values]
 
 
-def graph(docs: DataFrame, seed: int, least: int) -> DataFrame:
-    """(k1, k2, k3, n, top): counts of phrases of one to three words that occur least times.
+def graph(docs: DataFrame, seed: int, least: int, hot: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Rows (kind, k1, k2, k3, n, top, lang, word) of the phrases of one to three words that occur least times.
 
-    Counted are the longest edges only. A node's count is its outgoing flow and its ends at
-    a piece's end; a word's is that of the nodes it begins, again with its ends. top is a node's (or a word's) largest edge. All
-    come from one shuffle of edges and one of nodes, which the plan uses again.
+    Only the longest edges are counted and shuffled, once, by their first word. A node's count is its
+    outgoing flow with what ends at a piece's end; a word's is that of the nodes it begins, with the same
+    correction. top is a node's largest edge: one that is its whole flow makes the node a link of a unary path.
+    A task reads its edges in order and holds one open edge, node and word. Hot words and nodes come in parts.
+    """
+
+    def run(batches):
+        edge, node, word = Fold(np.add, np.maximum), Fold(np.add, np.maximum, np.maximum), Fold(np.add, np.maximum)
+        texts: dict[int, bytes] = {}
+        languages: dict[int, str] = {}
+        clashes: list[int] = []
+
+        def rows(kind, keys, values, lang=None, name=None):
+            n = len(keys[0])
+            full = [*keys, *(np.zeros(n, np.int64) for _ in range(3 - len(keys)))]
+            cols = [pa.array(np.full(n, kind), pa.int32()), *(pa.array(x) for x in (*full, *values))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(lang or [None] * n, pa.string()), pa.array(name or [None] * n, pa.string())], schema=_GRAPH)
+
+        def read(parts, last):
+            k1, k2, k3, n, h = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in range(5)) if parts else (np.zeros(0, np.int64),) * 5
+            for p in parts:
+                named = p.filter(pc.is_valid(p.column(5)))
+                for a, b, w in zip(*(named.column(c).to_pylist() for c in (0, 1, 5))):
+                    if a == END:
+                        languages[b] = w.decode()
+                    elif texts.setdefault(a, w) != w:
+                        clashes.append(a)
+            (k1, k2, k3), (n, h) = edge.add([k1, k2, k3], [n, h], last)
+            of = k1 == END
+            yield rows(LANGUAGE, [k1[of], k2[of]], [n[of], n[of]], [languages[k] for k in k2[of].tolist()])
+            k1, k2, k3, n, h = (x[~of] for x in (k1, k2, k3, n, h))
+            on = (n >= least) & (k3 != END)
+            yield rows(EDGE, [k1[on], k2[on], k3[on]], [n[on], n[on]])
+            (k1, k2), (n, top, h) = node.add([k1, k2], [n, np.where(k3 != END, n, 0), h], last)
+            on = ((n >= least) | (h > SPLIT_WORD)) & (k2 != END)
+            yield rows(NODE, [k1[on], k2[on]], [n[on], top[on]])
+            (k1,), (n, h) = word.add([k1], [n, h], last)
+            on = (n >= least) | (h > 0)
+            own = [texts.get(k, _CUT).split(_CUT) for k in k1[on].tolist()]
+            yield rows(WORD, [k1[on]], [n[on], n[on]], [x.decode() or None for x, _ in own], [x.decode() or None for _, x in own])
+            for k in k1.tolist():
+                texts.pop(k, None)
+            if last and clashes:
+                yield rows(CLASH, [np.array(clashes)], [np.array(clashes)] * 2)
+
+        held, size = [], 0
+        for part in batches:
+            held.append(part)
+            size += part.num_rows
+            if size >= BATCH:
+                yield from read(held, False)
+                held, size = [], 0
+        yield from read(held, True)
+
+    dealt = edges(docs, seed, hot).repartition("k1", "h").sortWithinPartitions("k1", "k2", "k3")
+    return dealt.mapInArrow(run, "kind int, k1 long, k2 long, k3 long, n long, top long, lang string, word string")
+
+
+def hot_keys(docs: DataFrame, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and codes of nodes that hold over a SHARE-th of the edges of some documents: at most SHARE of each.
+
+    They only tell how edges are dealt to tasks; no count depends on them.
     """
-    e = edges(docs, seed)
-    nodes = e.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max(F.when(F.col("k3") != END, F.col("n"))).alias("top"))
-    words = nodes.groupBy("k1").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-    end, none = F.lit(END).cast("long"), F.lit(None).cast("long")
-    # the tests name n and all sides read top, so that none is cut before the shuffles that they share
-    often = lambda df, last: df.where(F.when(F.col(last) != END, F.col("n")) >= least)
-    return (
-        often(e, "k3").select("k1", "k2", "k3", "n", none.alias("top"))
-        .unionByName(often(nodes, "k2").select("k1", "k2", end.alias("k3"), "n", "top"))
-        .unionByName(often(words, "k1").select("k1", end.alias("k2"), end.alias("k3"), "n", "top"))
-    )
+    e = edges(docs.sample(min(1.0, SHOWN / max(1, docs.count())), 1), seed).where(F.col("k1") != END)
+    e = checkpointed(e.groupBy("k1", "k2").agg(F.count("*").alias("n")))
+    total = e.agg(F.sum("n")).head()[0] or 0
+    often = lambda df: df.where((F.col("n") * SHARE > total) & (F.col("n") > 1)).collect()
+    words = np.array([r.k1 for r in often(e.groupBy("k1").agg(F.sum("n").alias("n")))], np.int64)
+    nodes = [(r.k1, r.k2) for r in often(e)]
+    return words, node_code(*(np.array(x, np.int64) for x in zip(*nodes))) if nodes else np.zeros(0, np.int64)
 
 
 def score(a: str, left: str, right: str):
@@ -159,24 +237,23 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
 
     A phrase's score is the lowest over its cuts of 1000000 a a / (l r), floored. A phrase of two words goes if one of
     three words that has it inside has at least `inside` percent of its occurrences. Words without a
-    language are `und`. A node whose whole flow is one edge is such a case, and isn't kept: it is compacted
-    into that edge (a unary path), whose count is its own.
+    language are `und`. A node whose whole flow is one edge is such a case: it is compacted into that
+    edge (a link of a unary path), whose count is its own.
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     folder, seed = scratch(spark, "phrases"), 0
     while True:  # until no two words share a key: the first seed, but for one time in millions
-        vocabulary(docs, seed).write.parquet(f"{folder}/words-{seed}")
-        known = spark.read.parquet(f"{folder}/words-{seed}")
-        if known.where("clash").isEmpty():
+        graph(docs, seed, least, hot_keys(docs, seed)).write.parquet(f"{folder}/graph-{seed}")
+        rows = spark.read.parquet(f"{folder}/graph-{seed}")
+        if rows.where(F.col("kind") == CLASH).isEmpty():
             break
         seed += 1
-    graph(docs, seed, least).write.parquet(f"{folder}/graph")
-    counts = spark.read.parquet(f"{folder}/graph")
-    words = counts.where(F.col("k2") == END).select("k1", F.col("n").alias("f")).join(known.select(F.col("k").alias("k1"), "lang", "word"), "k1")
-    pair = counts.where((F.col("k3") == END) & (F.col("k2") != END)).select("k1", "k2", F.col("n").alias("a"), "top")
+    of = lambda kind: rows.where(F.col("kind") == kind)
+    words = of(WORD).groupBy("k1").agg(F.sum("n").alias("f"), F.max("lang").alias("lang"), F.max("word").alias("word")).where(F.col("f") >= least)
+    pair = of(NODE).groupBy("k1", "k2").agg(F.sum("n").alias("a"), F.max("top").alias("top")).where(F.col("a") >= least)
     pair = pair.join(words.withColumnsRenamed({"f": "l", "word": "w1"}), "k1").join(words.select(F.col("k1").alias("k2"), F.col("f").alias("r"), F.col("word").alias("w2")), "k2")
-    triple = counts.where(F.col("k3") != END).select("k1", "k2", "k3", F.col("n").alias("a"))
+    triple = of(EDGE).select("k1", "k2", "k3", F.col("n").alias("a"))
 
     entering = triple.groupBy(F.col("k2").alias("k1"), F.col("k3").alias("k2")).agg(F.max("a").alias("most"))
     longest = F.greatest(F.when(F.col("top") >= least, F.col("top")), F.col("most"))
@@ -192,7 +269,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
 
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = two.unionByName(three).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= first)
-    total = known.groupBy("lang").agg(F.sum("n").alias("n"))
+    total = of(LANGUAGE).groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -198,25 +198,40 @@ def test_phrases_are_brute_force_and_the_twins(spark, odd, none, docs, monkeypat
     assert found(none) == []
     rows = [(r.lang, r.text) for r in odd.collect()]
     assert found(odd, least=2, first=50) == plain_collocations(rows, 2, 50, 50)
-    monkeypatch.setattr(phrases, "PART", 7), monkeypatch.setattr(phrases, "HELD", 40), monkeypatch.setattr(phrases, "BATCH", 3), monkeypatch.setattr(phrases, "COUNTED", 5)
+    for name, value in (("PART", 7), ("HELD", 40), ("BATCH", 3), ("SHARE", 30), ("SPLIT_WORD", 3), ("SPLIT_NODE", 2)):
+        monkeypatch.setattr(phrases, name, value)
     small = odd.where("length(text) < 4000 or text is null")
     assert found(small, least=2, first=50) == plain_collocations([(r.lang, r.text) for r in small.collect()], 2, 50, 50)
 
 
-def test_phrases_of_two_words_with_one_key_take_another_seed(spark, monkeypatch):
+def test_two_words_with_one_key_take_another_seed(spark, monkeypatch):
     own = phrases.key_of
-    monkeypatch.setattr(phrases, "key_of", lambda lang, word, seed: len(word) + 1 if seed == 0 else own(lang, word, seed))
+    monkeypatch.setattr(phrases, "key_of", lambda name, seed: len(name) + 1 if seed == 0 else own(name, seed))
     df = spark.createDataFrame([("en", "ab cd. ab cd. cd ab"), (None, "ab cd ab cd")], "lang string, text string")
     assert found(df, least=2) == plain_collocations([("en", "ab cd. ab cd. cd ab"), (None, "ab cd ab cd")], 2)
 
 
+def test_hot_words_and_nodes_are_split(spark, monkeypatch):
+    """A pair in all lines with a new word after it: its edges go to many tasks, and no count changes."""
+    rows = [("en", " ".join(f"hot pair n{k}x{j}." for j in range(30))) for k in range(60)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    words, nodes = phrases.hot_keys(df, 0)
+    assert phrases.key_of(b"en\xffhot", 0) in words and len(nodes) >= 1
+    parts = phrases.edges(df, 0, (words, nodes)).where(f"k1 = {phrases.key_of(b'en' + b'\xff' + b'hot', 0)} and k3 <> 0").select("h").distinct().count()
+    assert parts > 500
+    assert found(df) == plain_collocations(rows)
+
+
 def test_scores_are_exact_past_64_bits(spark):
     a, left, right = 3_000_000_000_001, 3_100_000_000_007, 3_200_000_000_011
     got = spark.createDataFrame([(a, left, right)], "a long, l long, r long").select(phrases.score("a", "l", "r")).head()[0]
     assert got == 1_000_000 * a * a // (left * right)
 
 
-def test_counts_of_the_graph_are_the_vocabularys(docs):
-    some = docs.select("lang", "text")
-    words = {r.k1: r.n for r in phrases.graph(some, 0, 1).where("k2 = 0").collect()}
-    assert words == {r.k: r.n for r in phrases.vocabulary(some, 0).collect()}
+def test_flows_are_word_counts(docs):
+    """A word's flow and ends are its occurrences, and a language's row has all of them."""
+    got = {(r.lang, r.word): r.n for r in phrases.graph(docs.selectExpr("coalesce(lang, 'und') as lang", "text"), 0, 1).where("kind = 1").collect()}
+    want = Counter()
+    for r in docs.collect():
+        want.update((r.lang or "und", w.decode()) for w in phrases.words_of((r.text or "").encode()) if w != b"\xff")
+    assert got == dict(want)
