@@ -65,28 +65,6 @@ def report(chunks: DataFrame) -> DataFrame:
     return sets.groupingSets([["chapter"], ["subject"], []], "chapter", "subject").agg(F.count("*").alias("chunks"), F.sum("n").alias("chars"), F.sum("tokens").alias("tokens"), F.sum("short").alias("short_chunks"))
 
 
-def manifest(chunks: DataFrame) -> DataFrame:
-    """Per chapter: items, and a digest over its items' digests in order; the same for any row order."""
-    item = F.sha2(F.concat_ws("\x1f", F.col("chunk_id").cast("string"), "text"), 256)
-    rows = chunks.select("chapter", item.alias("item"))
-    # hundreds of thousands of digests would be one array: blocks by the first hex digits come first
-    blocks = rows.groupBy("chapter", F.substring("item", 1, 2).alias("block")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ""), 256).alias("digest"))
-    return blocks.groupBy("chapter").agg(F.sum("n").alias("items"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda b: b["digest"]), ""), 256).alias("digest"))
-
-
-def to_restore(new: DataFrame, live: DataFrame) -> DataFrame:
-    """Chapters whose digest or count isn't live yet, with the next version."""
-    changed = new.join(live.select("chapter", "digest", "items"), ["chapter", "digest", "items"], "left_anti")
-    return changed.join(live.select("chapter", "version"), "chapter", "left").select("chapter", "items", F.when(F.col("version").isNull(), "v1").otherwise(X.next_version(F.col("version"))).alias("version"))
-
-
-def readiness(manifests: DataFrame, expected: DataFrame) -> DataFrame:
-    """Published against expected items of each chapter."""
-    both = expected.join(manifests.select("chapter", "items"), "chapter", "full_outer")
-    state = F.when(F.col("items").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").when(F.col("items") == F.col("expected"), "ready").otherwise("differs")
-    return both.select("chapter", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("expected", F.lit(0)).alias("expected"), state.alias("state"))
-
-
 def catalog(chunks: DataFrame) -> DataFrame:
     """Subject and chapter counts nested as text: chapter=n in order."""
     by = chunks.groupBy("subject", "chapter").agg(F.count("*").alias("n"))

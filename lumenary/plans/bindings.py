@@ -36,7 +36,7 @@ VIEWS = {
         FROM events GROUP BY user_id""",
     "newcomers": f"""
         SELECT user_id, SUM(({_K} % 11) * 10) AS xp FROM events GROUP BY user_id
-        UNION ALL SELECT c_custkey, CAST(c_custkey * 7 % 400 AS BIGINT) FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL) AND c_nationkey < 5""",
+        UNION ALL SELECT c_custkey, CAST(c_custkey * 7 % 400 AS BIGINT) FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)""",
     "profiles": """
         SELECT c_custkey AS user_id, c_name AS display_name, c_mktsegment AS class_level,
                LOWER(c_name) AS email, c_custkey % 7 <> 0 AS onboarding_completed
@@ -97,6 +97,18 @@ VIEWS = {
         FROM part""",
     "concept_pages": f"""
         SELECT {CHAPTER} AS chapter, CAST(p_size AS BIGINT) AS page, CASE WHEN p_size % 10 = 9 THEN 0 ELSE CAST(LENGTH(p_name) AS INT) END AS chars FROM part WHERE p_size <= 46""",
+    # vectors, concepts and pages of documents' sources; some sources lack a layer or a vector
+    "release_rows": """
+        SELECT source AS chapter, 'chunk' AS layer, doc_id AS key, text AS payload FROM documents
+        UNION ALL SELECT source, 'vector', doc_id, CONCAT('v', CAST(label AS STRING)) FROM documents JOIN embeddings ON vec_id = doc_id % 100 WHERE NOT (source = 'src4' AND doc_id % 9 = 0)
+        UNION ALL SELECT CONCAT('src', CAST(p_partkey % 20 AS STRING)), 'concept', p_partkey, p_name FROM part WHERE p_partkey % 20 <> 7
+        UNION ALL SELECT CONCAT('src', CAST(page_id % 20 AS STRING)), 'page', page_id, html FROM pages WHERE page_id % 20 <> 9""",
+    "live_rows": """
+        SELECT chapter, layer, key, CASE WHEN chapter = 'src6' AND key % 11 = 0 THEN CONCAT(payload, 'x') ELSE payload END AS payload FROM (
+            SELECT source AS chapter, 'chunk' AS layer, doc_id AS key, text AS payload FROM documents
+            UNION ALL SELECT CONCAT('src', CAST(p_partkey % 20 AS STRING)), 'concept', p_partkey, p_name FROM part
+            UNION ALL SELECT 'src2', 'concept', p_partkey + 1000000, p_name FROM part WHERE p_partkey % 50 = 0) x
+        WHERE chapter <> 'src3' AND NOT (chapter = 'src5' AND key % 7 = 0)""",
     "chunks": """
         SELECT doc_id AS chunk_id, source AS chapter, lang AS subject, text, CAST(doc_id % 50 AS INT) AS page_start,
                CAST(doc_id % 50 + doc_id % 3 AS INT) AS page_end, n_chars

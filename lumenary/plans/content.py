@@ -12,7 +12,6 @@ from lumenary.plans.registry import query
 _KEY = "regexp_replace(regexp_replace(LOWER({0}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 _TERMS = "list_sort(list_distinct(list_filter(regexp_extract_all(LOWER({0}), '[a-z0-9]+'), lambda w: LEN(w) > 2 AND w NOT IN (" + _STOP + "))))"
-_ITEMS = "items AS (SELECT chapter, sha256(CAST(chunk_id AS STRING) || chr(31) || text) AS item FROM chunks), blocks AS (SELECT chapter, SUBSTR(item, 1, 2) AS block, COUNT(*) AS n, sha256(STRING_AGG(item, '' ORDER BY item)) AS digest FROM items GROUP BY 1, 2), manifest AS (SELECT chapter, CAST(SUM(n) AS BIGINT) AS items, sha256(STRING_AGG(digest, '' ORDER BY block)) AS digest FROM blocks GROUP BY chapter)"
 
 
 @query("B1", "part", sql=f"SELECT p_partkey, {_KEY.format('p_name')} AS k FROM part")
@@ -114,21 +113,6 @@ def _(documents):
     return documents.select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("A8", "chunks", sql=f"WITH {_ITEMS} SELECT * FROM manifest")
-def _(chunks):
-    return C.manifest(chunks)
-
-
-@query("A9", "chunks", sql=f"""
-    WITH {_ITEMS}, old AS (SELECT chapter, sha256(STRING_AGG(digest, '' ORDER BY block)) AS digest, CAST(SUM(n) AS BIGINT) AS items FROM (SELECT chapter, SUBSTR(item, 1, 2) AS block, COUNT(*) AS n, sha256(STRING_AGG(item, '' ORDER BY item)) AS digest
-        FROM (SELECT chapter, sha256(CAST(chunk_id AS STRING) || chr(31) || text) AS item FROM chunks WHERE chapter <> 'src3' AND NOT (chapter = 'src5' AND chunk_id % 7 = 0)) i GROUP BY 1, 2) b GROUP BY chapter)
-    SELECT m.chapter, m.items, CASE WHEN o.chapter IS NULL THEN 'v1' ELSE 'v5' END AS version FROM manifest m LEFT JOIN old o USING (chapter) WHERE o.digest IS DISTINCT FROM m.digest OR o.items IS DISTINCT FROM m.items""")
-def _(chunks):
-    """Chapters to restore over a live release that lacks one and has another in part."""
-    live = C.manifest(chunks.where("chapter <> 'src3' AND NOT (chapter = 'src5' AND chunk_id % 7 = 0)")).withColumn("version", F.lit("v4"))
-    return C.to_restore(C.manifest(chunks), live)
-
-
 @query("A10", "chunks", sql="SELECT chapter, COUNT(*) AS chunks, COUNT(*) FILTER (LENGTH(text) > 0) AS filled FROM chunks GROUP BY chapter")
 def _(chunks):
     """Inventory without writing."""
@@ -142,14 +126,6 @@ def _(chunks):
     return rows.join(rows.where("chunk_id % 3 = 0").select("chapter", "digest"), ["chapter", "digest"], "left_anti").select("chunk_id")
 
 
-@query("D45", "chunks", sql=f"""
-    WITH {_ITEMS}, e AS (SELECT chapter, CAST(items + CASE WHEN chapter = 'src2' THEN 1 ELSE 0 END AS BIGINT) AS expected FROM manifest WHERE chapter <> 'src4')
-    SELECT chapter, COALESCE(items, 0) AS items, COALESCE(expected, 0) AS expected, CASE WHEN items IS NULL THEN 'missing' WHEN expected IS NULL THEN 'unexpected' WHEN items = expected THEN 'ready' ELSE 'differs' END AS state FROM manifest FULL JOIN e USING (chapter)""")
-def _(chunks):
-    m = C.manifest(chunks)
-    return C.readiness(m, m.where("chapter <> 'src4'").select("chapter", (F.col("items") + F.when(F.col("chapter") == "src2", 1).otherwise(0)).alias("expected")))
-
-
 @query("E15", "documents", sql="""
     WITH m AS (SELECT source, quantile_cont(n_chars, 0.5) AS median FROM documents WHERE n_chars > 0 GROUP BY source)
     SELECT doc_id, n_chars >= 8000 AND n_chars > 4 * median AS abnormal, ROUND(LEAST(1.0, n_chars / 900) * CASE WHEN n_chars >= 8000 AND n_chars > 4 * median THEN 0.15 ELSE 1.0 END, 6) AS quality FROM documents JOIN m USING (source)""")

@@ -136,17 +136,6 @@ def _(part):
     return part.groupBy("p_brand").agg(F.max_by("p_type", F.struct("p_size", F.length("p_type"), -(F.col("p_partkey") % 10000))).alias("best"))
 
 
-@query("H13", "part", sql="SELECT p_brand, sha256(STRING_AGG(digest, '' ORDER BY block)) AS fingerprint FROM (SELECT p_brand, CAST(FLOOR(p_partkey / 1000) AS BIGINT) AS block, sha256(STRING_AGG(p_partkey || ':' || p_name, ',' ORDER BY p_partkey)) AS digest FROM part GROUP BY 1, 2) b GROUP BY p_brand")
-def _(part):
-    """Fingerprints of a group's rows in order, over those of blocks of 1,000 keys."""
-    block = F.floor(F.col("p_partkey") / 1000)
-    rows = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
-    text = F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["p_partkey"].cast("string"), r["p_name"])), ",")
-    blocks = part.groupBy("p_brand", block.alias("block")).agg(F.sha2(text, 256).alias("digest"))
-    ordered = F.array_sort(F.collect_list(F.struct("block", "digest")))
-    return blocks.groupBy("p_brand").agg(F.sha2(F.array_join(F.transform(ordered, lambda b: b["digest"]), ""), 256).alias("fingerprint"))
-
-
 @query("C17", "events", sql="SELECT regexp_extract(props, '[0-9]+', 0) AS session_key, COUNT(*) AS n, MAX(event_id) AS last_event FROM events GROUP BY 1")
 def _(events):
     """Events grouped by a key inside their JSON."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +29,4 @@ def query(name: str, *inputs: str, sql: str | None = None, also: str | None = No
     return put
 
 
-for _part in ("learners", "ranking", "tracing", "content", "exams", "planning", "retrieval", "streams", "misc", "answers", "payloads", "concepts", "mastery", "ingestion", "grounding", "lessons"):
-    if importlib.util.find_spec(f"lumenary.plans.{_part}"):
-        importlib.import_module(f"lumenary.plans.{_part}")
+from lumenary.plans import answers, concepts, content, exams, grounding, ingestion, learners, lessons, mastery, misc, payloads, planning, ranking, releases, retrieval, streams, tracing  # noqa: E402, F401
