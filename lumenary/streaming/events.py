@@ -1,19 +1,21 @@
-"""Event streams: deduplication, windows, sessions and agent state, with ten minutes of lateness."""
+"""Event streams: a ledger of versions, windows, sessions, request limits and agent state, with ten minutes of lateness."""
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lumenary.runtime import shared_root, ship
+from lumenary.runtime import scratch, ship
 
 LATE = "10 minutes"
+#: A time in microseconds that no watermark passes.
+FOREVER = 250_000_000_000_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str = "events", files: int = 1) -> DataFrame:
@@ -23,11 +25,6 @@ def read(spark: SparkSession, sf_dir: str, table: str = "events", files: int = 1
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a query's offsets, state and results, in the cluster's shared place."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a stream gives for the data there is now, by an idempotent sink.
 
@@ -36,7 +33,7 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     each key's last row.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark, name)
+    folder = scratch(spark, name)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
@@ -72,33 +69,142 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return by.select("user_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("closes_at"), "events")
 
 
-def agent_states(events: DataFrame, agents: int = 6, last: int = 50) -> DataFrame:
-    """Per agent the counters, last event and mean of the last values, updated with each batch.
+def recorded(stream: DataFrame, folder: str, source: str, version: str = "event_id", span: int = 1_000_000) -> DataFrame:
+    """The rows of a ledger in folder after the stream's rows are put in, each positive version once, for good.
 
-    State is a few numbers and at most `last` values a key.
+    A batch takes its own repeats out and, by an anti-join, what the ledger has from any other batch, however
+    long ago and of whatever run; only the spans of versions that the batch has are read. A batch is
+    written under its source and number, so one that runs again replaces itself. Rows with a version of
+    0 or less, or none, have no identity: all stay. source names the stream's offsets: a run from new offsets needs another.
     """
-    ship(events.sparkSession)
-    out = "agent long, seen long, errors long, last_event long, last_type string, recent_value double"
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, errors, last_event, last_type, recent = state.get if state.exists else (0, 0, -1, "", [])
-        recent = list(recent)
-        rows = pd.concat(list(parts)).sort_values("event_id")
-        seen, errors = seen + len(rows), errors + int((rows["event_type"] == "error").sum())
-        if rows["event_id"].iloc[-1] > last_event:
-            last_event, last_type = int(rows["event_id"].iloc[-1]), rows["event_type"].iloc[-1]
-        recent = [*recent, *rows["value"].tolist()][-last:]
-        state.update((seen, errors, last_event, last_type, recent))
-        yield pd.DataFrame([[key[0], seen, errors, last_event, last_type, round(sum(recent) / len(recent), 4)]], columns=[c.split()[0] for c in out.split(", ")])
-
-    keyed = events.withColumn("agent", F.col("user_id") % agents)
-    return keyed.groupBy("agent").applyInPandasWithState(step, out, "seen long, errors long, last_event long, last_type string, recent array<double>", "update", GroupStateTimeout.NoTimeout)
-
+    spark, ledger = stream.sparkSession, f"{folder}/ledger"
 
-def latest_state(rows: DataFrame) -> DataFrame:
-    """The last row of each agent over all batches."""
-    columns = [c for c in rows.columns if c not in ("agent", "_batch")]
-    return rows.groupBy("agent").agg(F.max_by(F.struct(*columns), "_batch").alias("x")).select("agent", "x.*")
+    def put(rows: DataFrame, batch: int) -> None:
+        known = F.col(version) > 0
+        rows = rows.withColumn("span", F.coalesce(F.floor(F.col(version) / span), F.lit(-1)))
+        fresh = rows.where(known).dropDuplicates([version])
+        at = fresh.agg(F.min("span"), F.max("span")).head()
+        own = f"source={source}/batch={batch}"
+        if at[0] is not None and files.exists(path(ledger)):
+            old = spark.read.option("basePath", ledger).parquet(ledger).where(F.col("span").between(at[0], at[1]) & ~((F.col("source") == source) & (F.col("batch") == batch)))
+            fresh = fresh.join(old.select(version), version, "left_anti").select(rows.columns)
+        both = fresh.unionByName(rows.where(~F.coalesce(known, F.lit(False))))
+        both.write.mode("overwrite").partitionBy("span").parquet(f"{ledger}/{own}")
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream.writeStream.option("checkpointLocation", f"{folder}/offsets-{source}").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.option("basePath", ledger).parquet(ledger).drop("span", "source", "batch")
+
+
+def in_order(events: DataFrame, key: str, columns: list[str], fold: Callable, out: str) -> DataFrame:
+    """Rows of out that fold() gives for each key's events in the order of (ts, event_id), once the watermark has passed them.
+
+    fold(key, state, rows, until) gets what it returned before (None at first), the key's next rows as tuples
+    (microseconds, event_id, *columns) and the watermark; it returns (state, rows out, the time up to
+    which the state matters or None). State is that and the rows that may still be overtaken; a timer at
+    the next of them or at that time calls it again, and a key without either is forgotten.
+    """
+    ship(events.sparkSession)
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, waiting = json.loads(state.get[0]) if state.exists else (None, [])
+        for part in parts:
+            waiting += [[int(x) if isinstance(x, np.integer) else x for x in row] for row in part.itertuples(index=False, name=None)]
+        waiting.sort()
+        mark = state.getCurrentWatermarkMs() * 1000
+        n = next((k for k, row in enumerate(waiting) if row[0] > mark), len(waiting))
+        kept, rows, until = fold(keys[0], kept, waiting[:n], mark)
+        waiting = waiting[n:]
+        times = [x for x in (waiting[0][0] if waiting else None, until) if x is not None]
+        if times:
+            state.update((json.dumps((kept, waiting)),))
+            state.setTimeoutTimestamp(max(min(times), mark) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=names)
+
+    rows = events.withWatermark("ts", LATE).select("ts", F.unix_micros("ts").alias("t"), "event_id", key, *columns)
+    rows = rows.groupBy(key).applyInPandasWithState(_only(step, ["t", "event_id", *columns]), out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows
+
+
+def _only(step: Callable, columns: list[str]) -> Callable:
+    return lambda keys, parts, state: step(keys, (p[columns] for p in parts), state)
+
+
+def limited(events: DataFrame, key: str, limit: int, seconds: int = 60) -> DataFrame:
+    """(key, event_id, allowed, retry_after): a verdict on every request, in the order of time.
+
+    A key may make `limit` requests in any `seconds`; one that is denied doesn't count, and learns in how many whole
+    seconds (1 at least) the oldest that counts is over. State is at most `limit` times a key and goes when they are over.
+    """
+    span = seconds * 1_000_000
+
+    def fold(name, taken, rows, until):
+        taken, out = taken or [], []
+        for t, event, *_ in rows:
+            while taken and taken[0] <= t - span:
+                taken.pop(0)
+            allowed = len(taken) < limit
+            if allowed:
+                taken.append(t)
+            out.append((name, event, allowed, None if allowed else max(1, (span - (t - taken[0])) // 1_000_000)))
+        last = taken[-1] + span if taken else None
+        return taken, out, last if last and last > until else None
+
+    return in_order(events, key, [], fold, f"{key} long, event_id long, allowed boolean, retry_after long")
+
+
+def agent_health(events: DataFrame, key: str, last: int = 50, idle: int = 1800) -> DataFrame:
+    """(key, step, status, health, requests, successes, errors, lapses, latency_ms): each agent's state after each batch.
+
+    events have kind (start, complete, error, critical, state or anything else), latency and state. A start runs,
+    a completion makes it idle and healthy and enters its latency, if over 0, into the mean of the last
+    ones; an error warns, the fifth or a critical one is critical, and a critical one fails. An agent that
+    runs without an event for `idle` seconds turns idle by a timer and warns: it lapsed. step grows with every change.
+    """
+    span = idle * 1_000_000
+
+    def fold(name, state, rows, until):
+        s = state or {"status": "idle", "health": "healthy", "requests": 0, "successes": 0, "errors": 0, "lapses": 0, "recent": [], "at": None, "step": 0}
+        before = s["step"]
+
+        def lapse(now):
+            if s["status"] == "running" and now - s["at"] >= span:
+                s.update(status="idle", health="warning", lapses=s["lapses"] + 1, step=s["step"] + 1)
+
+        for t, _, kind, latency, other in rows:
+            lapse(t)
+            s["at"], s["step"] = t, s["step"] + 1
+            if kind == "start":
+                s.update(status="running", requests=s["requests"] + 1)
+            elif kind == "complete":
+                s.update(status="idle", health="healthy", successes=s["successes"] + 1)
+                if latency and latency > 0:
+                    s["recent"] = [*s["recent"], latency][-last:]
+            elif kind in ("error", "critical"):
+                s["errors"] += 1
+                s["health"] = "critical" if kind == "critical" or s["errors"] >= 5 else "warning"
+                if kind == "critical":
+                    s["status"] = "failed"
+            elif kind == "state" and other:
+                s["status"] = other
+        if s["at"] is not None:
+            lapse(until)
+        mean = round(sum(s["recent"]) / len(s["recent"]), 1) if s["recent"] else 0.0
+        out = [(name, s["step"], s["status"], s["health"], s["requests"], s["successes"], s["errors"], s["lapses"], mean)] if s["step"] > before else []
+        # an agent's counters stay for good: there are as many as agents
+        return s, out, s["at"] + span if s["status"] == "running" else FOREVER
+
+    return in_order(events, key, ["kind", "latency", "state"], fold, f"{key} long, step long, status string, health string, requests long, successes long, errors long, lapses long, latency_ms double")
+
+
+def latest_state(rows: DataFrame, key: str, step: str) -> DataFrame:
+    """The row of each key's greatest step."""
+    columns = [c for c in rows.columns if c not in (key, step)]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), step).alias("x")).select(key, "x.*")
 
 
 def run_twice(stream: DataFrame, more: DataFrame, name: str, plan: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[dict]]:
@@ -108,7 +214,7 @@ def run_twice(stream: DataFrame, more: DataFrame, name: str, plan: Callable[[Dat
     empty until it runs again from its own offsets and state. Rows go to a Parquet sink in append mode.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark, name)
+    folder = scratch(spark, name)
     spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/more")
     both = plan(stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{folder}/more")))
     told = []
@@ -124,10 +230,11 @@ def run_twice(stream: DataFrame, more: DataFrame, name: str, plan: Callable[[Dat
 def closed(stream: DataFrame, name: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The windows of a drained stream, each written once when the watermark passes it.
 
-    A last row of a far time, whose own window never ends, lets the watermark pass all others.
+    A last row of a far time, whose own window never ends, lets the watermark pass all others. That ends
+    the stream: rows that came to its offsets later would all be late, so it is for tables that are complete.
     """
     kinds = {f.name: f.dataType for f in stream.schema}
-    end = stream.sparkSession.range(1).select(*((F.lit("9000-01-01 00:00:00") if n == "ts" else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()))
+    end = stream.sparkSession.range(1).select(*((F.lit("2250-01-01 00:00:00") if n == "ts" else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()))
     return run_twice(stream, end, name, plan)[0]
 
 
