@@ -163,13 +163,36 @@ def section_title(c: Column) -> Column:
     return F.when((F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")) <= 9) & ~line.endswith("."), line).otherwise("")
 
 
+# Common words of prose; a text in capitals that has next to none of them is written in a font's cipher.
+PROSE = (
+    "a", "able", "about", "after", "also", "an", "and", "are", "as", "at", "be", "been", "between", "by", "can", "carbon", "chemical", "chemistry",
+    "compound", "compounds", "for", "from", "has", "have", "in", "into", "is", "it", "learn", "may", "of", "on", "or", "organic", "other",
+    "reaction", "reactions", "structure", "structures", "that", "the", "their", "these", "this", "to", "understand", "unit", "was", "which",
+    "will", "with", "write", "you",
+)
+# The least words, share of capitals and number of odd signs of such a text, its most common words; shares that need a look.
+CIPHER_WORDS, CIPHER_CAPITALS, CIPHER_SIGNS, CIPHER_COMMON, CONTROLS, SLASHES = 40, 0.82, 5, 0.025, 0.03, 0.025
+
+
 def extraction_sanity(c: Column) -> Column:
-    """Signs of a broken extraction: shares of control signs and backslashes, unread glyphs, the verdict."""
+    """Signs of a broken extraction: shares of control signs and backslashes, prose that reads like a cipher, unread glyphs, verdicts.
+
+    corrupt: a cipher or unread glyphs. needs_review: unread glyphs, or many control signs or
+    backslashes, which formulas may have.
+    """
     solid = F.greatest(F.lit(1), F.length(F.regexp_replace(c, r"\s", "")))
-    controls = F.regexp_count(c, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")) / solid
-    slashes = F.regexp_count(c, F.lit(r"\\")) / solid
-    glyphs = F.regexp_count(c, F.lit(r"/unif[0-9A-Fa-f]+")) + F.regexp_count(c, F.lit(r"(?i)\(cid:\d+\)")) + F.regexp_count(c, F.lit(r"[\x{E000}-\x{F8FF}]"))
-    return F.struct(F.round(controls, 5).alias("control_ratio"), F.round(slashes, 5).alias("backslash_ratio"), glyphs.alias("unread_glyphs"), (glyphs > 0).alias("corrupt"), ((controls >= 0.03) | (slashes >= 0.025) | (glyphs > 0)).alias("needs_review"))
+    n = lambda pattern: F.regexp_count(c, F.lit(pattern))
+    controls, slashes = n(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), n(r"\\")
+    words = F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0))
+    common = F.size(F.filter(words, lambda w: F.lower(w).isin(*PROSE)))
+    capitals = n(r"\p{Lu}") / F.greatest(F.lit(1), n(r"\p{L}"))
+    cipher = (F.size(words) >= CIPHER_WORDS) & (capitals >= CIPHER_CAPITALS) & (common / F.greatest(F.lit(1), F.size(words)) < CIPHER_COMMON) & ((controls >= CIPHER_SIGNS) | (slashes >= CIPHER_SIGNS))
+    aliases, cids, private = n(r"/unif[0-9A-Fa-f]+"), n(r"(?i)\(cid:\d+\)"), n(r"[\x{E000}-\x{F8FF}]")
+    glyphs = aliases + cids + private
+    return F.struct(
+        F.round(controls / solid, 5).alias("control_ratio"), F.round(slashes / solid, 5).alias("backslash_ratio"), cipher.alias("cipher_like"), aliases.alias("aliases"), cids.alias("cids"), private.alias("private_use"),
+        (cipher | (glyphs > 0)).alias("corrupt"), ((controls / solid >= CONTROLS) | (slashes / solid >= SLASHES) | (glyphs > 0)).alias("needs_review"),
+    )
 
 
 def extraction_quality(c: Column) -> Column:

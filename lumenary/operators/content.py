@@ -79,8 +79,47 @@ def renamed_collisions(concepts: DataFrame) -> DataFrame:
     return kept.withColumn("rn", first).select(F.when(F.col("rn") == 1, F.col("concept_id")).otherwise(F.concat_ws("_", "concept_id", F.substring("digest", 1, 10))).alias("final_id"), "concept_id", "seq")
 
 
+_WHITE = " \t\n\r\x0b\x0c"
+
+
+def halves(text: str, most: int) -> list[str]:
+    """The text in parts of at most `most` characters, in order, by cutting a longer one in two again and again.
+
+    A cut is at the last blank or line feed of the middle half, or in the middle where there is none;
+    white space around a part goes, and nothing else.
+    """
+    out, left = [], [text.strip(_WHITE)]
+    while left:
+        now = left.pop()
+        if len(now) <= most or len(now) < 2:
+            out += [now] if now else []
+            continue
+        middle = len(now) // 2
+        low, high = max(1, middle // 2), min(len(now) - 1, middle + middle // 2)
+        at = max(now.rfind(" ", low, high), now.rfind("\n", low, high))
+        at = middle if at < 0 else at
+        left += [now[at:].strip(_WHITE), now[:at].strip(_WHITE)]
+    return out
+
+
+def split_texts(pages: DataFrame, most: int) -> DataFrame:
+    """pages with part (from 0) and text cut to parts of at most `most` characters; an empty or null text has none."""
+    ship(pages.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            parts = [halves(t or "", most) for t in batch.column("text").to_pylist()]
+            at = pa.array([k for k, p in enumerate(parts) for _ in p], pa.int64())
+            rest = [batch.column(c).take(at) for c in names]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([k for p in parts for k in range(len(p))], pa.int64()), pa.array([x for p in parts for x in p], pa.string())], names=[*names, "part", "text"])
+
+    names = [c for c in pages.columns if c not in ("text", "part")]
+    kind = T.StructType([*(pages.schema[c] for c in names), T.StructField("part", T.LongType()), T.StructField("text", T.StringType())])
+    return pages.select(*names, "text").mapInArrow(run, kind)
+
+
 def paper_batches(pages: DataFrame, doc: str, budget: int) -> DataFrame:
-    """(doc, page, batch): pages in order, a new batch when the next would pass the budget of characters.
+    """pages (doc, page, part, n and others) with batch: in order, a new one when the next would pass the budget of characters.
 
     The running sum starts anew with each batch, which a window can't express: a task folds its
     documents' sorted rows as they stream by and carries only the sum and the batch.
@@ -91,14 +130,14 @@ def paper_batches(pages: DataFrame, doc: str, budget: int) -> DataFrame:
         last, total, batch = None, 0, 0
         for part in batches:
             out = []
-            for name, n in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+            for name, n in zip(part.column(doc).to_pylist(), part.column("n").to_pylist()):
                 if (name,) != last:
                     last, total, batch = (name,), 0, 0
                 over = None not in (total, n) and total > 0 and total + n > budget
                 batch += over
                 total = n if over else None if None in (total, n) else total + n
                 out.append(batch)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int32())], names=[doc, "page", "batch"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int32())], names=[*part.schema.names, "batch"])
 
-    kind = T.StructType([pages.schema[doc], pages.schema["page"], T.StructField("batch", T.IntegerType())])
-    return pages.select(doc, "page", "n").repartition(doc).sortWithinPartitions(doc, "page", "n").mapInArrow(run, kind)
+    kind = T.StructType([*pages.schema.fields, T.StructField("batch", T.IntegerType())])
+    return pages.repartition(doc).sortWithinPartitions(doc, "page", "part", "n").mapInArrow(run, kind)

@@ -9,49 +9,84 @@ from lumenary.functions import text as X
 from lumenary.operators.sessions import latest, percent
 
 
-def map_text(counts: DataFrame, keys: list[str], value: str, count: str, name: str) -> DataFrame:
-    """value=count in order of value, as one text per key; values are few by nature."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(value).cast("string").alias("v"), F.col(count).alias("n"))))
-    return counts.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda p: F.concat_ws("=", p["v"], p["n"].cast("string"))), ",").alias(name))
+KINDS = ("marks", "question_type", "difficulty", "topic")
+DISTRIBUTIONS = {"marks": "marks", "question_type": "types", "difficulty": "difficulties", "topic": "topics"}
 
 
-def ranked_values(df: DataFrame, keys: list[str], value: str, order: str, top: int, name: str, least: int = 1) -> DataFrame:
-    """The most common values of each key, ties by which came first, joined by commas."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    best = latest(counts.where(F.col("n") >= least), keys, [F.desc("n"), F.asc("first")], top)
-    return best.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", value))), lambda x: x[value].cast("string")), ",").alias(name))
+def paper_analyses(questions: DataFrame, short: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per paper (and keys, which it has one value of): totals and a map of counts for each distribution, topics in the order they came.
+
+    Marks in all are null unless all are known. One shuffle by paper serves the counts of values and the
+    paper that they make.
+    """
+    by = ["paper_id", *keys]
+    q = questions.select(*by, "question_number", "marks", "question_type", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), (F.lower(k) if k == "topic" else F.col(k).cast("string")).alias("value")) for k in KINDS))).alias("x")).repartition("paper_id")
+    counts = q.groupBy(*by, "x.kind", "x.value").agg(F.count("*").alias("n"), F.min("question_number").alias("first"), F.count("marks").alias("known"), F.sum("marks").alias("sum"), F.count_if(F.col("question_type").isin(*short)).alias("short"))
+    one = lambda c: F.sum(F.when(F.col("kind") == "question_type", F.col(c)))
+    entries = lambda k: F.array_sort(F.collect_list(F.when((F.col("kind") == k) & F.col("value").isNotNull(), F.struct("first", "value", "n"))))
+    maps = [F.map_from_entries(F.transform(entries(k), lambda e: F.struct(e["value"], e["n"]))).alias(DISTRIBUTIONS[k]) for k in KINDS]
+    total = F.when(one("known") == one("n"), F.round(one("sum"), 2)).cast("double").alias("total_marks")
+    return counts.groupBy(*by).agg(one("n").alias("total_questions"), total, one("short").alias("short_answer"), (one("n") - one("short")).alias("long_answer"), *maps)
+
+
+def common(counts: Column, top: int, least: int = 1) -> Column:
+    """The keys of a map with the greatest counts (least or more), ties in the map's order."""
+    entries = F.transform(F.map_entries(counts), lambda e, k: F.struct((-e["value"]).alias("n"), k.alias("k"), e["key"].alias("key")))
+    return F.transform(F.slice(F.array_sort(F.filter(entries, lambda e: e["n"] <= -least)), 1, top), lambda e: e["key"])
+
+
+def told(counts: Column) -> Column:
+    """A map as key=count in order of its keys."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
 
 
 def paper_totals(questions: DataFrame, short: tuple[str, ...]) -> DataFrame:
     """Per paper: questions, marks (null unless all are known), short and long answers, distributions, repeated topics."""
-    q = questions
-    base = q.groupBy("paper_id").agg(
-        F.count("*").alias("total_questions"), F.when(F.count("marks") == F.count("*"), F.round(F.sum("marks"), 2)).cast("double").alias("total_marks"),
-        F.count_if(F.col("question_type").isin(*short)).alias("short_answer"), F.count_if(~F.col("question_type").isin(*short)).alias("long_answer"),
-    )
-    types = map_text(q.groupBy("paper_id", "question_type").agg(F.count("*").alias("n")), ["paper_id"], "question_type", "n", "types")
-    levels = map_text(q.groupBy("paper_id", "difficulty").agg(F.count("*").alias("n")), ["paper_id"], "difficulty", "n", "difficulties")
-    lower = q.withColumn("topic", F.lower("topic"))
-    repeated = ranked_values(lower, ["paper_id"], "topic", "question_number", 20, "repeated", 2)
-    frequent = ranked_values(lower, ["paper_id"], "topic", "question_number", 6, "frequent")
-    out = base.join(types, "paper_id", "left").join(levels, "paper_id", "left").join(repeated, "paper_id", "left").join(frequent, "paper_id", "left")
-    return out.withColumn("repeated", F.coalesce("repeated", F.lit("")))
+    p, text = paper_analyses(questions, short), lambda c: F.array_join(c, ",")
+    topics = F.col("topics")
+    return p.select("paper_id", "total_questions", "total_marks", "short_answer", "long_answer", told(F.col("types")).alias("types"), told(F.col("difficulties")).alias("difficulties"), text(common(topics, 20, 2)).alias("repeated"), text(common(topics, 6)).alias("frequent"))
 
 
-def merged_patterns(questions: DataFrame) -> DataFrame:
-    """All papers as one pattern: sums of each distribution by key, the most common style of papers, their mean confidence.
+def summed_maps(df: DataFrame, keys: list[str], columns: list[str], order: str) -> DataFrame:
+    """(keys, column, key, n, first): sums of the maps in columns key by key, and where a key came first by order and its place in a map.
 
-    A paper's style is its most common type (ties: the first by name), its confidence the share of
-    its questions with a difficulty and marks over 5.
+    The maps are taken apart and tasks add up what they have before the shuffle, so no map of all rows is ever built.
     """
-    kinds = questions.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in (("marks", "marks"), ("type", "question_type"), ("difficulty", "difficulty"))))).alias("x"))
-    sums = kinds.groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
-    typed = questions.groupBy("paper_id", "question_type").agg(F.count("*").alias("n"), F.count_if(F.col("difficulty").isNotNull() & (F.col("marks") > 5)).alias("sure"))
-    papers = typed.groupBy("paper_id").agg(F.min_by("question_type", F.struct(-F.col("n"), "question_type")).alias("style"), (F.sum("sure") / F.sum("n")).alias("confidence"))
-    styles = papers.groupBy("style").agg(F.count("*").alias("n"))
-    style = styles.orderBy(F.desc("n"), "style").limit(1).select(F.lit("style").alias("kind"), F.col("style").alias("value"), "n")
-    sure = papers.groupBy().agg(F.lit("confidence").alias("kind"), F.round(F.avg("confidence"), 4).cast("decimal(9,4)").cast("string").alias("value"), F.count("*").alias("n"))
-    return sums.unionByName(style).unionByName(sure)
+    parts = [df.select(*keys, F.lit(c).alias("column"), F.col(order).alias("_o"), F.posexplode(c).alias("pos", "key", "value")) for c in columns]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy(*keys, "column", "key").agg(F.sum("value").alias("n"), F.min(F.struct("_o", "pos")).alias("first"))
+
+
+def merged_analyses(analyses: DataFrame, keys: list[str], repeated: int = 25, fallback: int = 15, frequent: int = 8) -> DataFrame:
+    """Analyses of papers as one row per keys (or one in all): totals, summed distributions, topics, style, confidence.
+
+    analyses: paper_id, total_questions, total_marks, the maps marks, types, difficulties and topics, repeated (an array), style,
+    confidence. repeated: the most common topics that come more than once, or else what papers themselves repeat;
+    ties by what came first. Marks in all are null unless all papers' are known.
+    """
+    one = F.lit(1) if not keys else None
+    rows = analyses.withColumn("_all", one) if not keys else analyses
+    by = keys or ["_all"]
+    rows = rows.withColumn("told", F.map_from_entries(F.transform(F.array_distinct(F.transform("repeated", lambda x: F.lower(x))), lambda x: F.struct(x, F.lit(1).cast("long")))))
+    sums = summed_maps(rows, by, ["marks", "types", "difficulties", "topics", "told"], "paper_id")
+    place = F.row_number().over(Window.partitionBy(*by, "column").orderBy(F.desc("n"), "first"))
+    # distributions have few keys; of topics only the first ones of each list are kept
+    kept = sums.withColumn("rn", place).where(~F.col("column").isin("topics", "told") | (F.col("rn") <= max(repeated, fallback, frequent)))
+    pick = lambda c: F.array_sort(F.collect_list(F.when(F.col("column") == c, F.struct("rn", "key", "n"))))
+    spread = lambda c: told(F.map_from_entries(F.transform(pick(c), lambda e: F.struct(e["key"], e["n"]))))
+    names = lambda c, k: F.array_join(F.transform(F.slice(c, 1, k), lambda e: e["key"]), ",")
+    again = F.filter(pick("topics"), lambda e: e["n"] > 1)
+    lists = kept.groupBy(*by).agg(
+        spread("marks").alias("marks"), spread("types").alias("types"), spread("difficulties").alias("difficulties"),
+        F.when(F.size(again) > 0, names(again, repeated)).otherwise(names(pick("told"), fallback)).alias("repeated"), names(pick("topics"), frequent).alias("frequent"),
+    )
+    totals = rows.groupBy(*by).agg(F.count("*").alias("papers"), F.sum("total_questions").alias("total_questions"), F.when(F.count("total_marks") == F.count("*"), F.round(F.sum("total_marks"), 2)).alias("total_marks"), F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 3).alias("confidence"))
+    styles = rows.where(F.coalesce("style", F.lit("")) != "").groupBy(*by, F.lower("style").alias("style")).agg(F.count("*").alias("n"), F.min("paper_id").alias("first"))
+    style = styles.groupBy(*by).agg(F.min_by("style", F.struct(-F.col("n"), "first")).alias("style"))
+    out = totals.join(lists, by, "left").join(style, by, "left").withColumn("style", F.coalesce("style", F.lit("mixed")))
+    return out.drop("_all")
 
 
 def cross_repeated(questions: DataFrame, top: int = 25) -> DataFrame:
@@ -60,13 +95,6 @@ def cross_repeated(questions: DataFrame, top: int = 25) -> DataFrame:
     return by.orderBy(F.desc("n"), "first").limit(top).select("topic", "n")
 
 
-def grouped_patterns(questions: DataFrame, top: int = 6) -> DataFrame:
-    """Per subject: papers, questions, marks and the six most frequent topics."""
-    q = questions.withColumn("subject", F.coalesce(F.nullif(F.trim("subject"), F.lit("")), F.lit("Unspecified subject")))
-    base = q.groupBy("subject").agg(F.count_distinct("paper_id").alias("papers"), F.count("*").alias("questions"), F.sum("marks").alias("marks"))
-    return base.join(ranked_values(q.withColumn("ord", F.struct("paper_id", "question_number")), ["subject"], "topic", "ord", top, "topics"), "subject")
-
-
 def mode(df: DataFrame, key: str, value: str, order: Column) -> DataFrame:
     """The most common value that isn't empty, ties by which came first."""
     counts = df.where(F.coalesce(F.col(value), F.lit("")) != "").withColumn("_o", order).groupBy(key, value).agg(F.count("*").alias("n"), F.min("_o").alias("first"))

@@ -40,9 +40,29 @@ def jsonl(lines: DataFrame, schema: str, defaults: dict[str, str], allowed: dict
     return parsed
 
 
-def replaced(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
-    """Children with those of every parent in new replaced."""
-    return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
+def replace_children(new: DataFrame, folder: str, parent: str, commit: str, parents: DataFrame | None = None) -> DataFrame:
+    """The table in folder after the children of every parent in new (or in parents) are replaced by those of new.
+
+    The rows are staged first; a dynamic partition overwrite then replaces the parents' partitions and no
+    others, partitions of parents without new rows go, and a marker ends the commit. A commit that has its
+    marker does nothing; one that was lost half-way is run again from its staged rows.
+    """
+    spark = new.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    table, staged, marker = (f"{folder}/{x}" for x in ("table", f"staged/{commit}", f"commits/{commit}"))
+    if not files.exists(path(f"{marker}/_SUCCESS")):
+        if not files.exists(path(f"{staged}/_SUCCESS")):
+            new.write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(new.schema).parquet(staged)
+        rows.repartition(parent).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(parent).parquet(table)
+        if parents is not None:
+            gone = parents.select(parent).distinct().join(rows.select(parent), parent, "left_anti")
+            for r in gone.toLocalIterator():
+                files.delete(path(f"{table}/{parent}={spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(r[0]))}"), True)
+        rows.groupBy(parent).agg(F.count("*").alias("children")).write.mode("overwrite").parquet(marker)
+        files.delete(path(staged), True)
+    return spark.read.schema(new.schema).parquet(table)
 
 
 def derived_units(concepts: DataFrame) -> DataFrame:

@@ -249,13 +249,23 @@ def _(documents):
     return X.with_chunks(documents.select("doc_id", "text"), "text", X.word_chunks(F.col("text"))).select("doc_id", "chunk_no", F.length("chunk").alias("n"), F.sha2("chunk", 256).alias("chunk_sha256"))
 
 
-@query("I19", "documents", sql="""
-    WITH x AS (SELECT doc_id, LENGTH(text) AS n, GREATEST(1, LENGTH(regexp_replace(text, '\\s', '', 'g'))) AS solid, LEN(regexp_extract_all(text, '\\\\')) AS slashes, LEN(regexp_extract_all(text, '\\(cid:\\d+\\)')) + LEN(regexp_extract_all(text, '/unif[0-9A-Fa-f]+')) AS glyphs FROM documents)
-    SELECT doc_id, ROUND(slashes / solid, 5) AS backslash_ratio, glyphs > 0 AS corrupt, ROUND(LEAST(1.0, n / 900) * CASE WHEN glyphs > 0 THEN 0.15 ELSE 1.0 END, 3) AS quality FROM x""")
+# some texts in capitals with backslashes or control signs, some with glyphs of private use
+_BROKEN = """CASE WHEN doc_id % 37 = 0 THEN REPLACE(REPLACE(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'E', chr(92)), ' T', CONCAT(' ', chr(1)))
+    WHEN doc_id % 41 = 0 THEN REPLACE(text, ' of ', CONCAT(' ', '\ue001', ' ')) WHEN doc_id % 43 = 0 THEN CONCAT(text, ' (CID:7) /unif02B') ELSE text END"""
+_PROSE = ", ".join(f"'{w}'" for w in X.PROSE)
+
+
+@query("I19", "documents", sql=f"""
+    WITH x AS (SELECT doc_id, {_BROKEN} AS t FROM documents),
+    y AS (SELECT doc_id, LENGTH(t) AS n, GREATEST(1, LENGTH(regexp_replace(t, '\\s', '', 'g'))) AS solid, LEN(regexp_extract_all(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) AS controls, LEN(regexp_extract_all(t, '\\\\')) AS slashes, regexp_extract_all(t, '[A-Za-z]+') AS words,
+          LEN(regexp_extract_all(t, '\\p{{Lu}}')) / GREATEST(1, LEN(regexp_extract_all(t, '\\p{{L}}'))) AS capitals, LEN(regexp_extract_all(t, '/unif[0-9A-Fa-f]+')) AS aliases, LEN(regexp_extract_all(t, '(?i)\\(cid:\\d+\\)')) AS cids, LEN(regexp_extract_all(t, '[\\x{{E000}}-\\x{{F8FF}}]')) AS private_use FROM x),
+    z AS (SELECT *, LEN(words) >= 40 AND capitals >= 0.82 AND LEN(list_filter(words, lambda w: LOWER(w) IN ({_PROSE}))) / GREATEST(1, LEN(words)) < 0.025 AND (controls >= 5 OR slashes >= 5) AS cipher_like, aliases + cids + private_use AS glyphs FROM y)
+    SELECT doc_id, ROUND(controls / solid, 5) AS control_ratio, ROUND(slashes / solid, 5) AS backslash_ratio, cipher_like, aliases, cids, private_use, cipher_like OR glyphs > 0 AS corrupt, controls / solid >= 0.03 OR slashes / solid >= 0.025 OR glyphs > 0 AS needs_review,
+           ROUND(LEAST(1.0, n / 900) * CASE WHEN cipher_like OR glyphs > 0 THEN 0.15 ELSE 1.0 END, 3) AS quality FROM z""")
 def _(documents):
     """Extraction sanity and quality of each text."""
-    s = X.extraction_sanity(F.col("text"))
-    return documents.select("doc_id", s["backslash_ratio"].alias("backslash_ratio"), s["corrupt"].alias("corrupt"), X.extraction_quality(F.col("text")).alias("quality"))
+    rows = documents.select("doc_id", F.expr(_BROKEN.replace("chr(92)", "char(92)").replace("chr(1)", "char(1)")).alias("t"))
+    return rows.select("doc_id", X.extraction_sanity(F.col("t")).alias("s"), X.extraction_quality(F.col("t")).alias("quality")).select("doc_id", "s.*", "quality")
 
 
 @query("I20", "documents", sql="SELECT doc_id, sha256(TRIM(regexp_replace(translate(text, '‘’“”–—', '''''\"\"--'), '[ \\t]+', ' ', 'g'))) AS clean_sha256 FROM documents")
@@ -271,14 +281,19 @@ def _(documents):
 
 
 @query("I23", "documents", sql="""
-    WITH RECURSIVE d AS (SELECT source || '-' || CAST(CAST(FLOOR(doc_id / 500) AS BIGINT) AS STRING) AS paper, doc_id AS page, n_chars AS n, ROW_NUMBER() OVER (PARTITION BY source, FLOOR(doc_id / 500) ORDER BY doc_id) AS rn FROM documents),
-    f AS (SELECT paper, page, rn, n AS total, 0 AS batch FROM d WHERE rn = 1
-          UNION ALL SELECT d.paper, d.page, d.rn, CASE WHEN f.total > 0 AND f.total + d.n > 12000 THEN d.n ELSE f.total + d.n END, CASE WHEN f.total > 0 AND f.total + d.n > 12000 THEN f.batch + 1 ELSE f.batch END FROM f JOIN d ON d.paper = f.paper AND d.rn = f.rn + 1)
-    SELECT paper, page, batch FROM f""")
+    WITH RECURSIVE p AS (SELECT doc_id AS page, '' AS place, regexp_replace(text, '^[ \\t\\n\\r\\v\\f]+|[ \\t\\n\\r\\v\\f]+$', '', 'g') AS v FROM documents
+        UNION ALL SELECT page, place || side, regexp_replace(CASE side WHEN '0' THEN SUBSTR(v, 1, c) ELSE SUBSTR(v, c + 1) END, '^[ \\t\\n\\r\\v\\f]+|[ \\t\\n\\r\\v\\f]+$', '', 'g') FROM (
+            SELECT page, place, v, CASE WHEN regexp_matches(s, '[ \\n]') THEN low + LENGTH(regexp_extract(s, '(?s)^(.*)[ \\n]', 1)) ELSE mid END AS c FROM (
+                SELECT *, SUBSTR(v, low + 1, LEAST(LENGTH(v) - 1, mid + mid // 2) - low) AS s FROM (SELECT *, GREATEST(1, mid // 2) AS low FROM (SELECT *, LENGTH(v) // 2 AS mid FROM p WHERE LENGTH(v) > 4000) x) y) z) d, (VALUES ('0'), ('1')) AS sides(side)),
+    d AS (SELECT source || '-' || CAST(CAST(FLOOR(page / 500) AS BIGINT) AS STRING) AS paper, page, ROW_NUMBER() OVER (PARTITION BY page ORDER BY place) - 1 AS part, LENGTH(v) AS n, sha256(v) AS text_sha256, ROW_NUMBER() OVER (PARTITION BY source, FLOOR(page / 500) ORDER BY page, place) AS rn FROM p JOIN documents ON doc_id = page WHERE LENGTH(v) BETWEEN 1 AND 4000),
+    f AS (SELECT paper, page, part, n, text_sha256, rn, n AS total, 0 AS batch FROM d WHERE rn = 1
+          UNION ALL SELECT d.paper, d.page, d.part, d.n, d.text_sha256, d.rn, CASE WHEN f.total > 0 AND f.total + d.n > 12000 THEN d.n ELSE f.total + d.n END, CASE WHEN f.total > 0 AND f.total + d.n > 12000 THEN f.batch + 1 ELSE f.batch END FROM f JOIN d ON d.paper = f.paper AND d.rn = f.rn + 1)
+    SELECT paper, page, part, n, batch, text_sha256 FROM f""")
 def _(documents):
-    """Batches of each paper's pages; a paper is what a source has among 500 neighbouring ids, so it is bounded."""
+    """Batches of each paper's pages, oversized ones split; a paper is what a source has among 500 neighbouring ids, so it is bounded."""
     paper = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 500).cast("string")).alias("paper")
-    return C.paper_batches(documents.select(paper, F.col("doc_id").alias("page"), F.col("n_chars").alias("n")), "paper", 12000)
+    parts = C.split_texts(documents.select(paper, F.col("doc_id").alias("page"), "text"), 4000)
+    return C.paper_batches(parts.select("paper", "page", "part", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("text_sha256")), "paper", 12000)
 
 
 @query("I51", "documents", sql="SELECT doc_id, contains(LOWER(text), 'idiot') OR contains(LOWER(text), 'worthless') AS risk FROM documents")

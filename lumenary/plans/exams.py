@@ -30,12 +30,34 @@ def _(questions):
     return E.paper_totals(questions, _SHORT)
 
 
-@query("D31", "questions", sql="""
-    SELECT 'marks' AS kind, CAST(marks AS STRING) AS value, COUNT(*) AS n FROM questions GROUP BY marks UNION ALL SELECT 'type', question_type, COUNT(*) FROM questions GROUP BY question_type UNION ALL SELECT 'difficulty', difficulty, COUNT(*) FROM questions GROUP BY difficulty
-    UNION ALL SELECT * FROM (SELECT 'style', style, COUNT(*) AS n FROM (SELECT paper_id, question_type AS style, ROW_NUMBER() OVER (PARTITION BY paper_id ORDER BY COUNT(*) DESC, question_type) AS rn FROM questions GROUP BY 1, 2) x WHERE rn = 1 GROUP BY style ORDER BY n DESC, style LIMIT 1) s
-    UNION ALL SELECT 'confidence', CAST(CAST(ROUND(AVG(c), 4) AS DECIMAL(9, 4)) AS STRING), COUNT(*) FROM (SELECT paper_id, AVG(CASE WHEN difficulty IS NOT NULL AND marks > 5 THEN 1.0 ELSE 0.0 END) AS c FROM questions GROUP BY 1) y""")
+# per paper: its most common type as its style, its share of questions of over 5 marks as its confidence; all topics of a subject's papers
+_PAPERS = """
+    qs AS (SELECT paper_id, {key} AS k, question_number, marks, question_type, difficulty, LOWER(topic) AS topic FROM questions),
+    pt AS (SELECT paper_id, k, topic, COUNT(*) AS n, MIN(question_number) AS o FROM qs GROUP BY 1, 2, 3), pp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY paper_id ORDER BY o, topic) - 1 AS pos FROM pt),
+    tp AS (SELECT k, topic, SUM(n) AS n, ROW_NUMBER() OVER (PARTITION BY k ORDER BY SUM(n) DESC, MIN(paper_id * 1000 + pos)) AS rn FROM pp GROUP BY 1, 2),
+    st AS (SELECT paper_id, k, question_type AS style, ROW_NUMBER() OVER (PARTITION BY paper_id ORDER BY COUNT(*) DESC, question_type) AS rn FROM qs GROUP BY 1, 2, 3),
+    ss AS (SELECT k, LOWER(style) AS style, ROW_NUMBER() OVER (PARTITION BY k ORDER BY COUNT(*) DESC, MIN(paper_id)) AS rn FROM st WHERE rn = 1 GROUP BY 1, 2),
+    pc AS (SELECT paper_id, k, SUM(CASE WHEN marks > 5 THEN 1 ELSE 0 END) / COUNT(*) AS c, COUNT(*) AS n, SUM(marks) AS m FROM qs GROUP BY 1, 2),
+    tot AS (SELECT k, COUNT(*) AS papers, CAST(SUM(n) AS BIGINT) AS total_questions, CAST(SUM(m) AS DOUBLE) AS total_marks, ROUND(AVG(c), 3) AS confidence FROM pc GROUP BY 1),
+    l1 AS (SELECT k, STRING_AGG(v || '=' || n, ',' ORDER BY v) AS marks FROM (SELECT k, CAST(marks AS STRING) AS v, COUNT(*) AS n FROM qs GROUP BY 1, 2) x GROUP BY 1),
+    l2 AS (SELECT k, STRING_AGG(v || '=' || n, ',' ORDER BY v) AS types FROM (SELECT k, question_type AS v, COUNT(*) AS n FROM qs GROUP BY 1, 2) x GROUP BY 1),
+    l3 AS (SELECT k, STRING_AGG(v || '=' || n, ',' ORDER BY v) AS difficulties FROM (SELECT k, difficulty AS v, COUNT(*) AS n FROM qs GROUP BY 1, 2) x GROUP BY 1),
+    l4 AS (SELECT k, COALESCE(STRING_AGG(CASE WHEN n > 1 AND rn <= 25 THEN topic END, ',' ORDER BY rn), '') AS repeated, STRING_AGG(CASE WHEN rn <= {top} THEN topic END, ',' ORDER BY rn) AS frequent FROM tp GROUP BY 1),
+    merged AS (SELECT tot.*, marks, types, difficulties, repeated, frequent, style FROM tot JOIN l1 USING (k) JOIN l2 USING (k) JOIN l3 USING (k) JOIN l4 USING (k) JOIN ss ON ss.k = tot.k AND ss.rn = 1)"""
+
+
+def _analyses(questions, *keys):
+    p = E.paper_analyses(questions, _SHORT, keys)
+    style = F.map_entries("types")
+    most = F.array_sort(F.transform(style, lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("key"))))[0]["key"]
+    sure = F.aggregate(F.filter(F.map_entries("marks"), lambda e: e["key"].cast("int") > 5), F.lit(0).cast("long"), lambda a, e: a + e["value"]) / F.col("total_questions")
+    return p.withColumns({"style": most, "confidence": sure, "repeated": E.common(F.col("topics"), 20, 2)})
+
+
+@query("D31", "questions", sql=f"WITH {_PAPERS.format(key=1, top=8)} SELECT papers, total_questions, total_marks, confidence, marks, types, difficulties, repeated, frequent, style FROM merged")
 def _(questions):
-    return E.merged_patterns(questions)
+    """All papers as one pattern."""
+    return E.merged_analyses(_analyses(questions), [])
 
 
 @query("D31_repeated", "questions", sql="""
@@ -44,12 +66,11 @@ def _(questions):
     return E.cross_repeated(questions)
 
 
-@query("D32", "questions", sql="""
-    WITH b AS (SELECT subject, COUNT(DISTINCT paper_id) AS papers, COUNT(*) AS questions, SUM(marks) AS marks FROM questions GROUP BY subject),
-    f AS (SELECT subject, topic, ROW_NUMBER() OVER (PARTITION BY subject ORDER BY COUNT(*) DESC, MIN(paper_id * 100000000 + question_number)) AS rn FROM questions GROUP BY subject, topic)
-    SELECT b.*, topics FROM b JOIN (SELECT subject, STRING_AGG(topic, ',' ORDER BY rn) AS topics FROM f WHERE rn <= 6 GROUP BY subject) t USING (subject)""")
+@query("D32", "questions", sql=f"WITH {_PAPERS.format(key='subject', top=6)} SELECT k AS subject, papers, total_questions, total_marks, confidence, marks, types, difficulties, repeated, frequent, style FROM merged")
 def _(questions):
-    return E.grouped_patterns(questions)
+    """Each subject's papers as one pattern, with the six most frequent topics."""
+    subject = F.coalesce(F.nullif(F.trim("subject"), F.lit("")), F.lit("Unspecified subject"))
+    return E.merged_analyses(_analyses(questions.withColumn("subject", subject), "subject"), ["subject"], frequent=6)
 
 
 @query("D33", "questions", sql="""

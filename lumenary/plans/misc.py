@@ -9,6 +9,7 @@ from lumenary.operators import planning as P
 from lumenary.operators.sessions import latest
 from lumenary.plans.planning import _EVIDENCE, _STATUS, _evidence
 from lumenary.plans.registry import query
+from lumenary.runtime import scratch
 
 _CONCEPTS = "concepts AS (SELECT p_partkey, p_brand AS chapter, p_size % 6 AS unit, CAST(p_partkey % 5 AS INT) AS importance, p_size % 5 + 1 AS difficulty FROM part)"
 
@@ -47,10 +48,16 @@ def _(part):
     return M.jsonl(part.select(line.alias("value")), "id long, route string", {"route": "tutor"}, {"route": ["tutor", "coach"]})
 
 
-@query("A13", "chunks", sql="SELECT chunk_id, chapter, n_chars FROM chunks WHERE chapter <> 'src1' UNION ALL SELECT chunk_id, chapter, 0 FROM chunks WHERE chapter = 'src1' AND chunk_id % 3 = 0")
+@query("A13", "chunks", sql="SELECT chunk_id, chapter, n_chars FROM chunks WHERE chapter NOT IN ('src1', 'src2') UNION ALL SELECT chunk_id, chapter, 0 FROM chunks WHERE chapter = 'src1' AND chunk_id % 3 = 0")
 def _(chunks):
-    rows = chunks.select("chunk_id", "chapter", "n_chars")
-    return M.replaced(rows, rows.where("chapter = 'src1' AND chunk_id % 3 = 0").withColumn("n_chars", F.lit(0).cast("long")), "chapter")
+    """A table of chunks by chapter is written, then a third of one chapter's and none of another's replace theirs, twice in vain."""
+    folder = scratch(chunks.sparkSession, "children")
+    rows = chunks.select("chunk_id", "n_chars", "chapter")
+    M.replace_children(rows, folder, "chapter", "first")
+    new = rows.where("chapter = 'src1' AND chunk_id % 3 = 0").withColumn("n_chars", F.lit(0).cast(rows.schema["n_chars"].dataType))
+    for _ in range(2):
+        now = M.replace_children(new, folder, "chapter", "second", rows.where("chapter IN ('src1', 'src2')"))
+    return now
 
 
 @query("D54", "part", sql=f"""

@@ -138,6 +138,7 @@ def test_paper_batches_stream_a_large_key(spark):
             total, batch = 0, batch + 1
         total += n
         want[doc, page] = batch
-    df = content.paper_batches(spark.createDataFrame(rows, "source string, page long, n long").repartition(7), "source", 800)
+    pages = spark.createDataFrame(rows, "source string, page long, n long").withColumn("part", F.lit(0)).repartition(7)
+    df = content.paper_batches(pages, "source", 800)
     assert {(r.source, r.page): r.batch for r in df.collect()} == want
     assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
