@@ -10,32 +10,67 @@ from lumenary.plans.registry import query
 _Q = lambda x: "'" + x.replace("'", "''") + "'"
 
 
-@query("I40", "concept_rows", sql="""
-    WITH p AS (SELECT p_partkey AS concept_id, UNNEST(string_split(points, ' ')) AS label, generate_subscripts(string_split(points, ' '), 1) AS position FROM concept_rows WHERE points <> '')
-    SELECT p_partkey AS concept_id, 'core' AS kind, 0 AS position, title AS label, '' AS edge FROM concept_rows UNION ALL SELECT concept_id, 'property', position, label, 'includes' FROM p WHERE position <= 7
-    UNION ALL SELECT p_partkey, 'related', k, 'c' || (p_partkey + k), 'relates to' FROM concept_rows, (SELECT UNNEST([1, 2, 3]) AS k) x UNION ALL SELECT p_partkey, 'prerequisite', k, 'c' || (p_partkey - k), 'supports' FROM concept_rows, (SELECT UNNEST([1, 2]) AS k) x WHERE p_partkey > k""")
+_LABEL = "CASE WHEN contains(LOWER({0}), ' is ') THEN split_part({0}, ' is ', 1) WHEN contains(LOWER({0}), ' are ') THEN split_part({0}, ' are ', 1) ELSE array_to_string(string_split({0}, ' ')[1:4], ' ') END"
+_CUT = lambda c, other: f"COALESCE(NULLIF(TRIM(SUBSTR({_LABEL.format(c)}, 1, 34)), ''), {other})"
+
+
+@query("I40", "concept_rows", sql=f"""
+    WITH c AS (SELECT *, 'c' || p_partkey AS id, CASE WHEN points = '' THEN [] ELSE string_split(points, ' ') END AS pts, CASE WHEN p_partkey % 4 < 2 THEN CASE WHEN points = '' THEN [] ELSE string_split(points, ' ') END ELSE [] END AS props, p_partkey % 3 = 1 AS wrong FROM concept_rows),
+    pt AS (SELECT *, UNNEST(pts) AS x, generate_subscripts(pts, 1) AS k FROM c), pr AS (SELECT *, UNNEST(props) AS x, generate_subscripts(props, 1) AS k FROM c),
+    cards AS (SELECT id, 'definition' AS kind, 0 AS o, 'What is ' || title || '?' AS label, definition AS text FROM c WHERE definition <> '' UNION ALL SELECT id, 'key point', k, {_CUT('x', "'Key idea ' || k")}, x FROM pt WHERE k <= 6
+        UNION ALL SELECT id, 'example', 10, 'An example of ' || title, explanation FROM c WHERE explanation <> '' UNION ALL SELECT id, 'core', 20, 'Core idea of ' || title, explanation FROM c WHERE definition = '' AND pts = [] AND explanation = ''),
+    f AS (SELECT id, 'rate = ' || title || ' per ' || p_partkey AS x, title FROM c WHERE p_partkey % 5 = 0)
+    SELECT id AS concept_id, 'map' AS artifact, 'core' AS kind, 0 AS position, title AS label, CASE WHEN definition <> '' THEN definition ELSE explanation END AS text, '' AS note FROM c
+    UNION ALL SELECT id, 'map', 'property', k, x, x, 'includes' FROM pr WHERE k <= 7 UNION ALL SELECT id, 'map', 'property', k, {_CUT('x', "'Point ' || k")}, x, 'includes' FROM pt WHERE props = [] AND k <= 5
+    UNION ALL SELECT c.id, 'map', 'related', k, COALESCE(o.title, 'C' || (c.p_partkey + k)), '', 'connects' FROM c CROSS JOIN (SELECT UNNEST([1, 2, 3]) AS k) x LEFT JOIN c o ON o.p_partkey = c.p_partkey + k
+    UNION ALL SELECT c.id, 'map', 'prerequisite', k, COALESCE(o.title, 'C' || (c.p_partkey - k)), '', 'supports' FROM c CROSS JOIN (SELECT UNNEST([1, 2]) AS k) x LEFT JOIN c o ON o.p_partkey = c.p_partkey - k WHERE c.p_partkey > k
+    UNION ALL SELECT * FROM (SELECT id, 'card', kind, ROW_NUMBER() OVER (PARTITION BY id ORDER BY o) AS position, label, text, '' FROM cards) y WHERE position <= 8
+    UNION ALL SELECT id, 'formula', 'formula', 1, 'rate', x, array_to_string(list_filter(list_distinct_ordered, lambda w: w NOT IN ('rate', 'per')), ',') FROM (SELECT id, x, string_split(title, ' ') AS list_distinct_ordered FROM f) z
+    UNION ALL SELECT id, 'mistake', 'mistake', 1, 'Mixing ' || title, CASE WHEN p_partkey % 2 = 0 THEN 'Keep ' || title ELSE 'Compare it with the key points.' END, 'medium' FROM c WHERE wrong""")
 def _(concept_rows):
-    """Maps of all concepts, capped."""
-    k = F.col("p_partkey")
+    """Maps, cards, formulas and mistakes of all concepts."""
+    k, nothing = F.col("p_partkey"), F.array().cast("array<string>")
     ids = lambda step, n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("c"), (k + step * i).cast("string")))
     before = F.filter(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(k > i, F.concat(F.lit("c"), (k - i).cast("string")))), lambda x: x.isNotNull())
-    return L.concept_maps(concept_rows.select(k.alias("concept_id"), "title", F.split("points", " ").alias("properties"), ids(1, 5).alias("related"), before.alias("prerequisites")))
+    points = F.when(F.col("points") == "", nothing).otherwise(F.split("points", " "))
+    formula = F.when(k % 5 == 0, F.array(F.concat(F.lit("rate = "), "title", F.lit(" per "), k.cast("string"))))
+    mistake = F.struct(F.concat(F.lit("Mixing "), "title").alias("mistake"), F.when(k % 2 == 0, F.concat(F.lit("Keep "), "title")).alias("correction"), F.lit("").alias("frequency"))
+    return L.artifacts(concept_rows.select(F.concat(F.lit("c"), k.cast("string")).alias("concept_id"), "title", "definition", "explanation", points.alias("points"), F.when(k % 4 < 2, points).alias("properties"), ids(1, 5).alias("related"), before.alias("prerequisites"), F.array("explanation").alias("examples"), formula.alias("formulas"), F.when(k % 3 == 1, F.array(mistake)).alias("mistakes")))
 
 
-_ROLE = "CASE " + " ".join(f"WHEN regexp_matches(LOWER(sentence), {_Q(p)}) THEN '{n}'" for n, p in L.ROLES) + " WHEN no = 0 THEN 'definition' ELSE 'explanation' END"
+_ROLE = "CASE " + " ".join(f"WHEN regexp_matches(LOWER(x), {_Q(p)}) THEN '{n}'" for n, p in L.ROLES)
+_TEXT = "CONCAT(text, CASE WHEN doc_id % 2 = 0 THEN ' Example: Given 3 m in 2 s, speed = 1.5 only. Use solution must hold. Example: Find x. So x = 2.' WHEN doc_id % 3 = 0 THEN ' Then y = 4. It is SI unit free.' ELSE '' END)"
+_FORMAT = "CASE doc_id % 5 WHEN 0 THEN 'conceptual' WHEN 1 THEN 'principle' WHEN 2 THEN 'formula' WHEN 3 THEN 'calculation' ELSE 'classification' END"
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
 
 @query("I41", "documents", sql=f"""
-    WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'essential' WHEN 1 THEN 'foundation' ELSE 'extension' END AS level, string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') AS ss FROM documents),
-    s AS (SELECT doc_id, level, generate_subscripts(ss, 1) - 1 AS no, TRIM(regexp_replace(UNNEST(ss), '\\s+', ' ', 'g')) AS sentence FROM d), o AS (SELECT doc_id, level, LOWER(sentence) AS k, MIN(no) AS no, arg_min(sentence, no) AS sentence FROM s WHERE sentence <> '' GROUP BY 1, 2, 3), r AS (SELECT *, {_ROLE} AS kind FROM o)
-    SELECT doc_id, COUNT(*) AS shown, COUNT(*) FILTER (kind = 'conditions') AS conditions, COUNT(*) FILTER (kind = 'definition') AS definitions, sha256(STRING_AGG(kind || ':' || sentence, '|' ORDER BY no)) AS blocks_sha256 FROM r
-    WHERE kind IN ('definition', 'law', 'formula', 'conditions', 'misconception') OR level = 'essential' OR level = 'foundation' AND kind <> 'example' GROUP BY doc_id""")
+    WITH t0 AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'essential' WHEN 1 THEN 'foundation' ELSE 'extension' END AS level, {_STRIP.format(_TEXT)} AS text, CASE doc_id % 5 WHEN 0 THEN 'concept' WHEN 1 THEN 'law' WHEN 2 THEN 'formula' WHEN 3 THEN 'numerical' ELSE 'classification' END AS form FROM documents),
+    t1 AS (SELECT *, regexp_matches(text, {_Q(L.WORKS)}) AND regexp_matches(text, {_Q(L.HAS)}) AS works FROM t0 WHERE text <> ''), t2 AS (SELECT *, form = 'formula' OR form = 'numerical' AND works AS whole FROM t1),
+    t AS (SELECT *, CASE WHEN whole AND regexp_matches(text, {_Q(L.BEGINS)}) AND NOT regexp_matches(text, {_Q('^' + L.BEGINS)}) THEN 'spans' WHEN whole THEN CASE WHEN works THEN 'worked' ELSE 'formula' END WHEN form = 'numerical' AND regexp_matches(text, {_Q(L.CALCULATES)}) THEN 'calculations' WHEN form = 'classification' THEN 'classification' ELSE 'prose' END AS mode FROM t2),
+    p0 AS (SELECT *, string_split(CASE WHEN mode = 'spans' THEN regexp_replace(text, {_Q(L.BEGINS)}, chr(1) || '\\1', 'g') ELSE text END, chr(1)) AS ps FROM t),
+    p1 AS (SELECT doc_id, level, form, mode, UNNEST(ps) AS text, generate_subscripts(ps, 1) - 1 AS part FROM p0),
+    p AS (SELECT doc_id, level, form, part, text, CASE WHEN mode <> 'spans' THEN mode WHEN part = 0 THEN 'prose' ELSE 'span' END AS mode FROM p1),
+    a0 AS (SELECT *, list_filter(CASE WHEN mode IN ('prose', 'classification') THEN string_split_regex(text, '\\n\\s*\\n') ELSE [text] END, lambda x: TRIM(x) <> '') AS ps FROM p WHERE mode NOT IN ('worked', 'formula')),
+    a AS (SELECT doc_id, level, form, mode, part, UNNEST(ps) AS text, generate_subscripts(ps, 1) - 1 AS para FROM a0),
+    s0 AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, {_Q('([.!?])\s+(' + L.NEXT + ')')}, '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS ss FROM a),
+    s AS (SELECT doc_id, level, form, mode, part, para, UNNEST(ss) AS x, generate_subscripts(ss, 1) - 1 AS no FROM s0),
+    r AS (SELECT doc_id, level, part, para, no, x, CASE WHEN mode = 'span' THEN CASE WHEN regexp_matches(x, {_Q(L.GENERAL)}) THEN 'conditions' END WHEN mode = 'classification' THEN 'classification' WHEN mode = 'calculations' AND regexp_matches(x, {_Q(L.CALCULATES)}) THEN 'worked_example'
+          ELSE {_ROLE} WHEN mode = 'calculations' OR para = 0 AND no = 0 THEN CASE WHEN form = 'law' THEN 'law' ELSE 'definition' END ELSE 'explanation' END END AS kind FROM s
+          UNION ALL SELECT doc_id, level, part, 0, -1, {_STRIP.format('text')}, CASE WHEN mode = 'formula' THEN 'formula' ELSE 'worked_example' END FROM p WHERE mode IN ('worked', 'formula', 'span')),
+    g AS (SELECT *, COALESCE(kind = 'explanation' AND LAG(kind) OVER w = 'explanation' AND LAG(part) OVER w = part AND LAG(para) OVER w = para, FALSE) AS goes_on FROM r WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY part, para, no)),
+    h AS (SELECT *, SUM(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY part, para, no) - 1 AS block FROM g),
+    b AS (SELECT doc_id, level, block, MAX(kind) AS kind, STRING_AGG(x, ' ' ORDER BY part, para, no) AS text FROM h GROUP BY 1, 2, 3),
+    o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, regexp_replace(text, '\\s+', ' ', 'g') ORDER BY block) AS rn FROM b),
+    k AS (SELECT * FROM o WHERE rn = 1 AND (kind IN ({', '.join(_Q(x) for x in L.PROTECTED)}) OR level = 'essential' OR level = 'foundation' AND kind NOT IN ('example', 'connection')))
+    SELECT doc_id, COUNT(*) AS shown, COUNT(*) FILTER (kind = 'worked_example') AS worked, COUNT(*) FILTER (kind = 'conditions') AS conditions, COUNT(*) FILTER (kind = 'law') AS laws, sha256(STRING_AGG(kind || ':' || text, '|' ORDER BY block)) AS blocks_sha256 FROM k GROUP BY doc_id""")
 def _(documents):
-    """Roles of the sentences that a learner new to it sees in a concise style."""
+    """The blocks that a learner new to it sees in a concise style."""
     level = F.when(F.col("doc_id") % 3 == 0, "essential").when(F.col("doc_id") % 3 == 1, "foundation").otherwise("extension")
-    rows = L.teaching_blocks(documents.select("doc_id", "text", level.alias("level")), "doc_id", "new_to_it", "concise")
-    ordered = F.array_sort(F.collect_list(F.struct("no", "kind", "sentence")))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("shown"), F.count_if(F.col("kind") == "conditions").alias("conditions"), F.count_if(F.col("kind") == "definition").alias("definitions"), F.sha2(F.array_join(F.transform(ordered, lambda x: F.concat(x["kind"], F.lit(":"), x["sentence"])), "|"), 256).alias("blocks_sha256"))
+    rows = L.teaching_blocks(documents.select("doc_id", F.expr(_TEXT).alias("text"), level.alias("level"), F.expr(_FORMAT).alias("format")), "doc_id", "new_to_it", "concise")
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    ordered = F.array_sort(F.collect_list(F.struct("no", "kind", "text")))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("shown"), n("worked_example").alias("worked"), n("conditions").alias("conditions"), n("law").alias("laws"), F.sha2(F.array_join(F.transform(ordered, lambda x: F.concat(x["kind"], F.lit(":"), x["text"])), "|"), 256).alias("blocks_sha256"))
 
 
 _LEAD = "CASE turn % 5 WHEN 0 THEN 'What is it: ' WHEN 1 THEN 'Compare these: ' WHEN 2 THEN 'Predict it: ' ELSE '' END || text"
