@@ -21,8 +21,10 @@ def scoped(df: DataFrame, **scope: str | None) -> DataFrame:
 
 def soft_topic(df: DataFrame, key: str, match: Column) -> DataFrame:
     """Rows of a key that match, or all of its rows if none does."""
-    some = F.max(match.cast("int")).over(Window.partitionBy(key))
-    return df.withColumn("_match", match).withColumn("_some", some).where(F.col("_match") | (F.col("_some") == 0)).drop("_match", "_some")
+    rows = df.withColumn("_match", F.coalesce(match, F.lit(False)))
+    some = rows.where("_match").select(F.col(key).alias("_key")).distinct()
+    # keys with a match are counted by tasks first, so that a hot key is one row of the other side
+    return rows.join(some, F.col(key).eqNullSafe(F.col("_key")), "left").where(F.col("_match") | F.col("_key").isNull()).select(df.columns)
 
 
 def searched(df: DataFrame, term: str, *columns: str) -> DataFrame:
@@ -58,11 +60,26 @@ def abnormal_pages(pages: DataFrame, doc: str, length: str) -> DataFrame:
     return pages.join(median, doc, "left").withColumn("abnormal", F.coalesce(odd, F.lit(False))).withColumn("quality", F.round(quality, 6)).drop("median")
 
 
-def report(chunks: DataFrame) -> DataFrame:
-    """Characters, tokens, chunks and short chunks by chapter, by subject and in all."""
+#: Bytes of a vector's number.
+NUMBER = 4
+
+
+def report(chunks: DataFrame, chapters: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Per chapter, status, class and subject, and in all: chapters, chunks, characters, tokens, vectors, bytes, concepts, their share with issues.
+
+    chunks: (chapter, text, dims: a vector's length or null). chapters: (chapter, status, class_level, subject).
+    concepts: (chapter, issues: a number). Bytes are those of the text and of vectors.
+    """
     n = F.length("text")
-    sets = chunks.withColumn("n", n).withColumn("tokens", F.greatest(F.lit(1), F.round(n / 4).cast("int"))).withColumn("short", (n < 40).cast("int"))
-    return sets.groupingSets([["chapter"], ["subject"], []], "chapter", "subject").agg(F.count("*").alias("chunks"), F.sum("n").alias("chars"), F.sum("tokens").alias("tokens"), F.sum("short").alias("short_chunks"))
+    c = chunks.groupBy("chapter").agg(F.count("*").alias("chunks"), F.sum(n).alias("chars"), F.sum(F.greatest(F.lit(1), F.round(n / 4).cast("int"))).alias("tokens"), F.count_if(n < 40).alias("short_chunks"), F.count("dims").alias("embedded"), F.coalesce(F.sum("dims") * NUMBER, F.lit(0)).alias("vector_bytes"))
+    k = concepts.groupBy("chapter").agg(F.count("*").alias("concepts"), F.count_if(F.col("issues") > 0).alias("with_issues"))
+    rows = chapters.join(c, "chapter", "left").join(k, "chapter", "left").na.fill(0)
+    total = lambda x: F.sum(x).alias(x)
+    by = rows.groupingSets([["chapter"], ["status"], ["class_level"], ["subject"], []], "chapter", "status", "class_level", "subject").agg(
+        F.count("*").alias("chapters"), *map(total, ("chunks", "chars", "tokens", "short_chunks", "embedded", "vector_bytes", "concepts", "with_issues"))
+    )
+    share = F.when(F.col("concepts") > 0, F.round(F.col("with_issues") / F.col("concepts"), 4)).otherwise(0.0)
+    return by.withColumns({"memory_bytes": F.col("chars") + F.col("vector_bytes"), "error_rate": share})
 
 
 def catalog(chunks: DataFrame) -> DataFrame:
@@ -75,8 +92,9 @@ def renamed_collisions(concepts: DataFrame) -> DataFrame:
     """Exact repeats of an id and its content go; another content under one id is renamed id_<hash>."""
     payload = F.sha2("content", 256)
     kept = concepts.withColumn("digest", payload).groupBy("concept_id", "digest").agg(F.min("seq").alias("seq"))
-    first = F.row_number().over(Window.partitionBy("concept_id").orderBy("seq"))
-    return kept.withColumn("rn", first).select(F.when(F.col("rn") == 1, F.col("concept_id")).otherwise(F.concat_ws("_", "concept_id", F.substring("digest", 1, 10))).alias("final_id"), "concept_id", "seq")
+    # of an id, the content that came first keeps it; a minimum needs no id's contents in one place
+    first = kept.groupBy("concept_id").agg(F.min(F.struct("seq", "digest")).alias("first"))
+    return kept.join(first, "concept_id").select(F.when(F.col("first.digest") == F.col("digest"), F.col("concept_id")).otherwise(F.concat_ws("_", "concept_id", F.substring("digest", 1, 10))).alias("final_id"), "concept_id", "seq")
 
 
 _WHITE = " \t\n\r\x0b\x0c"

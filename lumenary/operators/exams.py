@@ -172,15 +172,22 @@ def derived_signals(evaluations: DataFrame) -> DataFrame:
     return evaluations.select("attempt_id", F.explode(all_).alias("weakness_type"))
 
 
-def graded_mcqs(answers: DataFrame, key: DataFrame) -> DataFrame:
-    """Per learner and unit: correct answers, accuracy, mastery or a branch to prerequisites under 60.
+def graded_mcqs(answers: DataFrame, key: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per learner and unit: correct answers, accuracy, mastery, or a branch to a prerequisite under 60.
 
-    A receipt counts once, in whatever order its copies arrive.
+    A receipt counts once, in whatever order its copies arrive. edges (unit_id, prereq_id) are all prerequisites, direct ones
+    or their closure; a unit without any is practised whatever the accuracy. branch_to is the first by name of those on which the learner has not 80 either, or the first of all.
     """
     once = answers.groupBy("interaction_id").agg(F.min(F.struct("user_id", "unit_id", "question_id", "choice")).alias("x")).select("x.*")
     g = once.join(key, "question_id").groupBy("user_id", "unit_id").agg(F.count("*").alias("answered"), F.count_if(F.col("choice") == F.col("answer")).alias("correct"))
     acc = percent(F.col("correct"), F.col("answered"))
-    return g.select("user_id", "unit_id", "answered", "correct", F.round(acc, 4).alias("accuracy"), F.when(acc >= 80, "mastered").when(acc < 60, "revisit prerequisites").otherwise("practise").alias("outcome"))
+    g = g.withColumn("acc", acc)
+    gaps = g.where("acc < 60").select("user_id", "unit_id").join(edges, "unit_id")
+    done = g.where("acc >= 80").select("user_id", F.col("unit_id").alias("prereq_id"), F.lit(True).alias("done"))
+    branch = gaps.join(done, ["user_id", "prereq_id"], "left").groupBy("user_id", "unit_id").agg(F.coalesce(F.min(F.when(F.col("done").isNull(), F.col("prereq_id"))), F.min("prereq_id")).alias("branch_to"))
+    rows = g.join(branch, ["user_id", "unit_id"], "left")
+    outcome = F.when(F.col("acc") >= 80, "mastered").when(F.col("branch_to").isNotNull(), "prerequisite_gap").otherwise("practise")
+    return rows.select("user_id", "unit_id", "answered", "correct", F.round("acc", 4).alias("accuracy"), outcome.alias("outcome"), "branch_to")
 
 
 def inventory(questions: DataFrame, latest_: int = 10) -> DataFrame:
@@ -189,6 +196,26 @@ def inventory(questions: DataFrame, latest_: int = 10) -> DataFrame:
     return questions.groupBy().agg(F.count_distinct("paper_id").alias("papers"), F.count("*").alias("questions"), F.array_join(F.array_sort(F.collect_set("subject")), ",").alias("subjects")).crossJoin(newest)
 
 
+# Questions on a topic out of its material, and their marks.
+FACT_QUESTIONS = (
+    ("Define {} and state its central idea.", 3),
+    ("State three important points about {}.", 3),
+    ("Explain this statement from the selected material: {fact}", 3),
+    ("Write a detailed note on {} using the important properties, examples, or applications in the selected material.", 5),
+    ("Explain {} in detail and connect the major points given in the selected study material.", 5),
+)
+
+
+def fact_questions(facts: DataFrame, topic: Column) -> DataFrame:
+    """(doc_id, position, question, marks): five questions on each document that has facts (doc_id, text: facts joined by |), one on its second or only fact."""
+    all_ = F.split("text", r"\|")
+    fact = F.get(all_, F.least(F.lit(1), F.size(all_) - 1))
+    asked = F.posexplode(F.array(*(F.struct(F.lit(q).alias("q"), F.lit(m).cast("long").alias("marks")) for q, m in FACT_QUESTIONS)))
+    rows = facts.where("facts > 0").select("doc_id", topic.alias("topic"), fact.alias("fact"), asked.alias("k", "x"))
+    text = F.replace(F.replace(F.col("x.q"), F.lit("{fact}"), F.col("fact")), F.lit("{}"), F.col("topic"))
+    return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("position"), text.alias("question"), "x.marks")
+
+
 def generated_questions(questions: DataFrame, topics: int = 6) -> DataFrame:
     """Probable questions per subject out of its most frequent topics, four templates in turn."""
     templates = F.array(F.lit("Define {} with an example."), F.lit("Explain {} step by step."), F.lit("Compare the main cases of {}."), F.lit("Solve a problem on {}."))

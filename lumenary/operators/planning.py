@@ -151,9 +151,15 @@ def representatives(units: DataFrame, top: int = 4) -> DataFrame:
 
 
 def mastery_routes(signals: DataFrame, as_of: str) -> DataFrame:
-    """Per learner and topic: simplify, raise difficulty, go on, with the date of the next revision."""
-    by = signals.groupBy("user_id", "topic").agg(F.count("*").alias("observations"), F.count_if("needs_support").alias("support_count"), F.avg("confidence").alias("conf"), F.max("seen").alias("last_seen"))
-    route = F.when(F.col("support_count") >= 2, "simplify_and_reinforce").when((F.col("observations") >= 3) & (F.col("conf") >= 78), "increase_difficulty").otherwise("steady_progression")
+    """Per learner and topic: simplify, raise difficulty, go on, or start, with the date of the next revision and the learner's weakest topic.
+
+    A topic without an observation (needs_support null) is at its baseline. The weakest topic has the most
+    observations that need support, the first by name of equal ones.
+    """
+    by = signals.groupBy("user_id", "topic").agg(F.count("needs_support").alias("observations"), F.count_if("needs_support").alias("support_count"), F.avg("confidence").alias("conf"), F.max("seen").alias("last_seen"))
+    route = F.when(F.col("support_count") >= 2, "simplify_and_reinforce").when((F.col("observations") >= 3) & (F.col("conf") >= 78), "increase_difficulty").when(F.col("observations") > 0, "steady_progression").otherwise("baseline")
+    weak = by.groupBy("user_id").agg(F.min_by("topic", F.struct(-F.col("support_count"), "topic")).alias("weak_topic"))
+    by = by.join(weak, "user_id")
     days = F.when(route == "simplify_and_reinforce", 1).when(route == "increase_difficulty", 7).otherwise(3)
     due = F.date_add(F.to_date("last_seen"), days)
-    return by.select("user_id", "topic", "observations", "support_count", F.round("conf", 4).alias("average_confidence"), route.alias("route"), due.alias("due_on"), (due <= F.lit(as_of).cast("date")).alias("revision_due"))
+    return by.select("user_id", "topic", "observations", "support_count", F.round("conf", 4).alias("average_confidence"), route.alias("route"), "weak_topic", due.alias("due_on"), (due <= F.lit(as_of).cast("date")).alias("revision_due"))

@@ -96,31 +96,32 @@ class Best:
         return self.parts[0]
 
 
-def term_blocks(queries: DataFrame) -> list[tuple[list, list[list[str]], list]]:
-    """queries (query_id, query, topic) as blocks (ids, terms, topic keys) of about BLOCK_BYTES of text each."""
-    asked = queries.select("query_id", X.terms(F.concat_ws(" ", "topic", "query")).alias("terms"), X.normal_key(F.col("topic")).alias("topic"))
+def term_blocks(queries: DataFrame) -> list[tuple[list, list[list[str]], list, list]]:
+    """queries (query_id, query, topic, scope if any) as blocks (ids, terms, topic keys, scopes) of about BLOCK_BYTES of text each."""
+    scope = F.col("scope") if "scope" in queries.columns else F.lit(None).cast("string").alias("scope")
+    asked = queries.select("query_id", X.terms(F.concat_ws(" ", "topic", "query")).alias("terms"), X.normal_key(F.col("topic")).alias("topic"), scope)
     total = asked.agg(F.sum(F.length(F.concat_ws(" ", "terms")) + 40)).head()[0] or 0
     n = -(-total // BLOCK_BYTES)
     out = []
     for b in range(n):
         got = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).toArrow()
-        out.append(tuple(got[c].to_pylist() for c in ("query_id", "terms", "topic")))
+        out.append(tuple(got[c].to_pylist() for c in ("query_id", "terms", "topic", "scope")))
     return out
 
 
-def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: int, weights: Callable, keys: str | None = None, words: bool = False) -> DataFrame:
+def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: int, weights: Callable, keys: str | None = None, words: bool = False, scoped: bool = False) -> DataFrame:
     """(query_id, kind, id, score, exact, rank): the m best rows (kind, id, columns) of each query (query_id, query, topic).
 
     A row's score is the sum over columns and the query's terms of weights(kind, column's number,
     occurrences without overlap, whether one stands as a word), 0 adds nothing; words: only rows that
-    have a term as a word. With keys,
+    have a term as a word; scoped: only rows of the query's scope. With keys,
     a column of arrays, a row that has the query's topic among them is exact: EXACT more, whatever else
     it has. A kind of ADDED gets that more if it has any score or is exact. Blocks of queries go to all
     tasks; texts are read once a block and never shuffled: a task keeps m rows a query.
     """
     spark = rows.sparkSession
     ship(spark)
-    low = rows.select("kind", "id", *(F.lower(c).alias(f"c{k}") for k, c in enumerate(columns)), (F.col(keys) if keys else F.array().cast("array<string>")).alias("keys"))
+    low = rows.select("kind", "id", *(F.lower(c).alias(f"c{k}") for k, c in enumerate(columns)), (F.col(keys) if keys else F.array().cast("array<string>")).alias("keys"), (F.col("scope") if scoped else F.lit(None).cast("string").alias("scope")))
     kind = T.StructType([queries.schema["query_id"], T.StructField("kind", T.StringType()), rows.schema["id"], *T._parse_datatype_string("score double, exact boolean").fields])
     places, parts = len(columns), []
     for block in term_blocks(queries):
@@ -129,7 +130,9 @@ def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: in
         def run(batches, shared=shared):
             import ahocorasick
 
-            ids, terms, topics = shared.value
+            ids, terms, topics, scopes = shared.value
+            within = {s: np.array([x == s for x in scopes]) for s in set(scopes)} if scoped else {}
+            nowhere = np.zeros(len(ids), bool)
             asking: dict[str, list[int]] = {}
             about: dict[str, list[int]] = {}
             for q, (own, topic) in enumerate(zip(terms, topics)):
@@ -144,8 +147,13 @@ def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: in
             best, letters, types = Best(len(ids), m), set("abcdefghijklmnopqrstuvwxyz0123456789"), None
             for part in batches:
                 types = [part.schema.field(c).type for c in ("kind", "id")]
+                fields = [f.name for f in types[1]] if pa.types.is_struct(types[1]) else []
                 cols = [part.column(c).to_pylist() for c in range(2, 2 + places)]
-                for r, (kind_now, id_now, named) in enumerate(zip(*(part.column(c).to_pylist() for c in ("kind", "id", "keys")))):
+                for r, (kind_now, id_now, named, scope) in enumerate(zip(*(part.column(c).to_pylist() for c in ("kind", "id", "keys", "scope")))):
+                    if scoped and scope not in within:
+                        continue
+                    if isinstance(id_now, dict):
+                        id_now = tuple(id_now.values())
                     hit: list[np.ndarray] = []
                     gain: list[float] = []
                     seen: list[bool] = []
@@ -173,6 +181,8 @@ def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: in
                     score = np.bincount(hits, np.repeat(gain, each), minlength=len(ids))
                     if words:
                         score[np.bincount(hits, np.repeat(seen, each), minlength=len(ids)) == 0] = 0
+                    if scoped:
+                        score[~within.get(scope, nowhere)] = 0
                     is_exact = np.zeros(len(ids), bool)
                     is_exact[exact] = True
                     some = np.flatnonzero((score > 0) | is_exact)
@@ -183,7 +193,7 @@ def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: in
                     at = slice(a, a + 10_000)
                     own = [best.rows[k] for k in row[at].tolist()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[q] for q in query[at].tolist()]), pa.array([k for k, _ in own], types[0]), pa.array([i for _, i in own], types[1]), pa.array(score[at]), pa.array(exact[at])], names=["query_id", "kind", "id", "score", "exact"]
+                        [pa.array([ids[q] for q in query[at].tolist()]), pa.array([k for k, _ in own], types[0]), pa.array([dict(zip(fields, i)) for _, i in own] if fields else [i for _, i in own], types[1]), pa.array(score[at]), pa.array(exact[at])], names=["query_id", "kind", "id", "score", "exact"]
                     )
 
         parts.append(low.mapInArrow(run, kind))
@@ -245,16 +255,20 @@ def packed(ranked: DataFrame, limit: int, most: int) -> DataFrame:
     return rows.select("query_id", F.posexplode(F.aggregate("xs", zero, put, lambda a: a["out"])).alias("position", "x")).select("query_id", "position", "x.kind", "x.id", "x.chars")
 
 
-def paragraph_scores(docs: DataFrame, keywords: list[str], top: int) -> DataFrame:
-    """The best paragraphs of each document: occurrences, ten times their density, marks of headings and formulas."""
+def paragraph_scores(docs: DataFrame, keywords: list[str], top: int, fallback: int = 3) -> DataFrame:
+    """The best paragraphs of each document: occurrences, ten times their density, marks of headings and formulas; the first ones where none scores."""
     p = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "p")).where(F.trim("p") != "")
     low = F.lower("p")
     freq = sum((X.occurrences(low, F.lit(k)) for k in keywords), F.lit(0))
     words = F.greatest(F.size(F.filter(F.split(F.trim(low), r"\s+"), lambda w: w != "")), F.lit(1))
     mark = F.when(F.col("p").rlike(r"##|\*\*|Definition|General Formula"), 0.5).otherwise(0.0)
     formula = F.when(F.col("p").rlike("[₂₃₄ₙ⁺⁻]"), 0.3).otherwise(0.0)
-    scored = p.select("doc_id", "no", (freq + freq / words * 10 + mark + formula).alias("score")).where("score > 0")
-    return latest(scored, ["doc_id"], [F.desc("score"), F.asc("no")], top).select("doc_id", F.col("no").cast("long").alias("no"), F.round("score", 6).alias("score"))
+    scored = p.select("doc_id", "no", (freq + freq / words * 10 + mark + formula).alias("score"))
+    # a paragraph without a score is behind all others, so it comes only where no other does
+    best = latest(scored, ["doc_id"], [F.desc("score"), F.asc("no")], max(top, fallback))
+    most = Window.partitionBy("doc_id")
+    best = best.withColumn("most", F.max("score").over(most)).where((F.col("score") > 0) & (F.col("rn") <= top) | (F.col("most") <= 0) & (F.col("rn") <= fallback))
+    return best.select("doc_id", F.col("no").cast("long").alias("no"), F.round("score", 6).alias("score"))
 
 
 # What a term adds that is found in the id, the title, the definition, the explanation, the key points.
@@ -271,10 +285,11 @@ def keyword_concepts(queries: DataFrame, concepts: DataFrame, top: int) -> DataF
 
 def overlap_pages(queries: DataFrame, chunks: DataFrame, top: int) -> DataFrame:
     """The chunks of a query's chapter with the most distinct query terms, back in page order."""
-    q = queries.select("query_id", "chapter", X.terms(F.col("query")).alias("terms"))
-    pairs = chunks.join(q, "chapter").withColumn("n", F.size(F.array_intersect("terms", X.terms(F.col("text"))))).where("n > 0")
-    best = latest(pairs, ["query_id"], [F.desc("n"), F.asc("chunk_id")], top)
-    return best.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("page_start", "chunk_id")).cast("long").alias("position"))
+    rows = chunks.select(F.lit("chunk").alias("kind"), F.struct(F.col("chunk_id"), F.col("page_start")).alias("id"), "text", F.col("chapter").alias("scope"))
+    asked = queries.select("query_id", "query", F.lit(None).cast("string").alias("topic"), F.col("chapter").alias("scope"))
+    best = best_by_terms(asked, rows, ["text"], top, lambda kind, place, n, whole: int(whole), scoped=True)
+    order = Window.partitionBy("query_id").orderBy("id.page_start", "id.chunk_id")
+    return best.select("query_id", "id.chunk_id", F.row_number().over(order).cast("long").alias("position"))
 
 
 def intents(messages: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenary.operators.sessions import latest
+
 COMPLETED, FAILED, REVIEW = ("success", "completed"), ("failed", "error"), ("review", "needs_review")
 
 
@@ -84,7 +86,7 @@ def console(traces: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def intelligence(traces: DataFrame, as_of: str, hours: int = 48) -> DataFrame:
+def intelligence(traces: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     """Per agent: this period, the one before, and how quality and latency moved."""
     end = F.lit(as_of).cast("timestamp")
     age = (F.unix_timestamp(end) - F.unix_timestamp("created_at")) / 3600
@@ -181,13 +183,12 @@ def run_summary(traces: DataFrame) -> DataFrame:
 
 def agent_status(events: DataFrame, last: int = 50) -> DataFrame:
     """Per agent: counters, last event, success rate (100 without any), mean latency of the last ones."""
-    order = Window.partitionBy("agent_id").orderBy(F.desc("event_version"))
-    e = events.withColumn("rn", F.row_number().over(order))
     bad = F.col("severity").isin("error", "critical")
-    return e.groupBy("agent_id").agg(
+    recent = latest(events.select("agent_id", "event_version", "latency_ms"), ["agent_id"], [F.desc("event_version")], last).groupBy("agent_id").agg(F.round(F.avg("latency_ms"), 4).alias("recent_latency"))
+    return events.groupBy("agent_id").agg(
         F.count("*").alias("events"), F.count_if(bad).alias("errors"), F.max_by("event_type", "event_version").alias("last_event"), F.when(F.max_by(bad, "event_version"), "failed").otherwise("idle").alias("status"),
-        F.round(F.coalesce(100.0 * F.count_if(~bad) / F.nullif(F.count("*"), F.lit(0)), F.lit(100.0)), 4).alias("success_rate"), F.round(F.avg(F.when(F.col("rn") <= last, F.col("latency_ms"))), 4).alias("recent_latency"),
-    )
+        F.round(F.coalesce(100.0 * F.count_if(~bad) / F.nullif(F.count("*"), F.lit(0)), F.lit(100.0)), 4).alias("success_rate"),
+    ).join(recent, "agent_id")
 
 
 def live_status(traces: DataFrame, as_of: str) -> DataFrame:
@@ -218,18 +219,34 @@ def feed(events: DataFrame, since: int, limit: int = 500) -> DataFrame:
 
 
 def overview(sessions: DataFrame, traces: DataFrame, interactions_users: DataFrame, as_of: str) -> DataFrame:
-    """Distinct users of three tables, those active in the last two days, and totals."""
+    """Distinct users of three tables, those active on the day, sessions and else traces of the last hour, and totals."""
     users = sessions.select("user_id").union(traces.select("user_id")).union(interactions_users.select("user_id")).distinct().groupBy().agg(F.count("*").alias("users"))
-    day = F.date_sub(F.lit(as_of).cast("date"), 2)
-    active = sessions.where(F.col("date") >= day).groupBy().agg(F.count_distinct("user_id").alias("active_users"), F.count("*").alias("recent_sessions"))
-    ops = traces.groupBy().agg(F.count_if(F.col("trace_type") == "turn").alias("turns"), F.count_if(F.col("status") == "failed").alias("failed"))
-    fallback = F.coalesce(F.nullif("recent_sessions", F.lit(0)), F.col("turns"))
-    return users.crossJoin(active).crossJoin(ops).withColumn("active_sessions", fallback)
+    end = F.lit(as_of).cast("timestamp")
+    today = F.to_date(end)
+    busy = sessions.where(F.col("date") == today).select("user_id").union(traces.where((F.col("created_at") >= F.date_trunc("day", end)) & (F.col("created_at") <= end)).select("user_id"))
+    active = busy.groupBy().agg(F.count_distinct("user_id").alias("active_users"))
+    hour = lambda c: (F.col(c) > end - F.expr("INTERVAL 1 HOUR")) & (F.col(c) <= end)
+    recent = sessions.where(hour("completed_at")).groupBy().agg(F.count_distinct("id").alias("recent_sessions"))
+    ops = traces.groupBy().agg(F.count_if(F.col("trace_type") == "turn").alias("turns"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_distinct(F.when(hour("created_at"), F.col("turn_id"))).alias("recent_turns"))
+    fallback = F.coalesce(F.nullif("recent_sessions", F.lit(0)), F.col("recent_turns"))
+    return users.crossJoin(active).crossJoin(recent).crossJoin(ops).withColumn("active_sessions", fallback).drop("recent_turns")
+
+
+# States that are shown as they are, failures, the forms of references and names that may be shown.
+STATES = ("success", "completed", "done", "failed", "error", "timeout", "timed_out", "needs_review", "fallback", "running", "active", "queued", "waiting", "skipped", "cancelled", "requested", "accepted")
+FAILED, TIMED_OUT = ("failed", "error", "timeout", "timed_out"), ("timeout", "timed_out")
+REFERENCE, PROVIDER, MODEL = "^(run|turn)_[a-f0-9]{12}$", "^[a-zA-Z0-9_.-]{1,80}$", "^[a-zA-Z0-9_./:-]{1,120}$"
 
 
 def masked(traces: DataFrame) -> DataFrame:
-    """Only what may be shown: a known state, a masked reference, names of plain characters, an error class."""
-    return traces.select("id", state(F.col("status")).alias("state"), F.concat(F.lit("turn-"), F.lpad(F.col("turn_id").cast("string"), 6, "*")).alias("ref"), F.when(F.col("model").rlike("^[a-z0-9._-]{1,40}$"), F.col("model")).otherwise("hidden").alias("model"), F.when(F.col("status") == "failed", "execution").otherwise("none").alias("error_class"))
+    """(id, state, ref, provider, model, latency_ms, error_class): only what may be shown.
+
+    A state that isn't known is unknown; a reference or name of another form than the platform's is null, as is a latency of 0 or less.
+    """
+    shown = lambda c, form: F.when(F.col(c).rlike(form), F.col(c))
+    known = F.when(F.col("status").isin(*STATES), F.col("status")).otherwise("unknown")
+    wrong = F.when(F.col("status").isin(*TIMED_OUT), "timeout").when(F.col("status").isin(*FAILED), "execution")
+    return traces.select("id", known.alias("state"), shown("ref", REFERENCE).alias("ref"), shown("provider", PROVIDER).alias("provider"), shown("model", MODEL).alias("model"), F.when(F.col("latency_ms") > 0, F.col("latency_ms")).alias("latency_ms"), wrong.alias("error_class"))
 
 
 def matched_agents(traces: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenary.operators import concepts as C
+from lumenary.plans.content import _KEY
 from lumenary.plans.registry import query
 
 _PAGES = "CASE WHEN p_partkey % 13 = 0 THEN [] WHEN p_partkey % 3 = 0 THEN [page] ELSE [page, page + 1] END"
@@ -41,10 +42,21 @@ _COVERED = f"""{_V}, h AS (SELECT chapter, COUNT(DISTINCT page) AS page_count, C
     sh AS (SELECT *, CASE WHEN extracted > 0 AND concepts > 0 THEN covered / extracted ELSE 0.0 END AS share FROM g)"""
 
 
-@query("I18", "concept_rows", "concept_pages", sql=f"WITH {_COVERED} SELECT chapter, page_count, extracted, covered, concepts, blocking, ROUND(share, 3) AS coverage_score, concepts > 0 AND blocking = 0 AND share >= 0.6 AS ready FROM sh")
+@query("I18", "concept_rows", "concept_pages", sql=f"WITH {_COVERED} SELECT chapter, page_count, extracted, covered, concepts, blocking + bad_ids AS blocking, bad_ids, ROUND(share, 3) AS coverage_score, concepts > 0 AND blocking + bad_ids = 0 AND share >= 0.6 AS ready FROM (SELECT sh.*, CAST(COALESCE(bad, 0) AS BIGINT) AS bad_ids FROM sh LEFT JOIN (SELECT chapter, SUM(n - 1) AS bad FROM (SELECT chapter, {_KEY.format('concept_id')} AS k, COUNT(*) AS n FROM concept_rows GROUP BY 1, 2) x GROUP BY 1) y USING (chapter)) z")
 def _(concept_rows, concept_pages):
     """Each chapter's coverage and whether it may be approved."""
-    return C.coverage(_checked(concept_rows, concept_pages), concept_pages)
+    return C.coverage(_checked(concept_rows, concept_pages), concept_pages, concept_rows)
+
+
+@query("I18_vectors", "documents", "embeddings", sql="""
+    WITH v AS (SELECT source AS chapter, CASE vec_id % 31 WHEN 0 THEN list_transform(embedding, lambda x: x * 2) WHEN 1 THEN embedding[1:60] WHEN 2 THEN [] ELSE embedding END AS e FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+    w AS (SELECT chapter, CASE WHEN e IS NULL OR LEN(e) = 0 THEN 'missing' WHEN LEN(e) <> 64 THEN 'dimensions' WHEN NOT SQRT(list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE) * x))) BETWEEN 0.99 AND 1.01 THEN 'not_normalised' END AS reason FROM v)
+    SELECT chapter, reason, COUNT(*) AS n FROM w WHERE reason IS NOT NULL GROUP BY 1, 2""")
+def _(documents, embeddings):
+    """Vectors that keep a chapter from release; some are made wrong."""
+    e = F.col("embedding")
+    wrong = F.when(F.col("vec_id") % 31 == 0, F.transform(e, lambda x: x * 2)).when(F.col("vec_id") % 31 == 1, F.slice(e, 1, 60)).when(F.col("vec_id") % 31 == 2, F.slice(e, 1, 0)).otherwise(e)
+    return C.vector_faults(documents.join(embeddings, F.col("vec_id") == F.col("doc_id"), "left").select(F.col("source").alias("chapter"), wrong.alias("embedding")), 64)
 
 
 @query("B18", "concept_rows", "concept_pages", sql=f"""

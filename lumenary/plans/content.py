@@ -75,11 +75,21 @@ def _(chunks):
     return C.citations(concepts, chunks.where("chunk_id % 2 = 0").select("chapter", F.col("page_start").alias("page")))
 
 
-@query("D25", "chunks", sql="""
-    SELECT chapter, subject, COUNT(*) AS chunks, SUM(LENGTH(text)) AS chars, SUM(GREATEST(1, CAST(ROUND(LENGTH(text) / 4) AS INT))) AS tokens, SUM(CASE WHEN LENGTH(text) < 40 THEN 1 ELSE 0 END) AS short_chunks
-    FROM chunks GROUP BY GROUPING SETS ((chapter), (subject), ())""")
-def _(chunks):
-    return C.report(chunks)
+_CHAPTERS = "SELECT chapter, CASE LENGTH(chapter) % 2 WHEN 0 THEN 'published' ELSE 'indexed' END AS status, CONCAT('class ', RIGHT(chapter, 1)) AS class_level, MIN(subject) AS subject FROM chunks GROUP BY chapter"
+
+
+@query("D25", "chunks", "embeddings", "labels", sql=f"""
+    WITH ch AS ({_CHAPTERS}), c AS (SELECT chapter, COUNT(*) AS chunks, CAST(SUM(LENGTH(text)) AS BIGINT) AS chars, CAST(SUM(GREATEST(1, CAST(ROUND(LENGTH(text) / 4) AS INT))) AS BIGINT) AS tokens, COUNT(*) FILTER (LENGTH(text) < 40) AS short_chunks, COUNT(vec_id) AS embedded, CAST(COALESCE(SUM(LEN(embedding)) * 4, 0) AS BIGINT) AS vector_bytes FROM chunks LEFT JOIN embeddings ON vec_id = chunk_id GROUP BY 1),
+    k AS (SELECT source AS chapter, COUNT(*) AS concepts, COUNT(*) FILTER (1 - quality + toxic > 0) AS with_issues FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+    r AS (SELECT ch.*, c.* EXCLUDE (chapter), COALESCE(concepts, 0) AS concepts, COALESCE(with_issues, 0) AS with_issues FROM ch JOIN c USING (chapter) LEFT JOIN k USING (chapter))
+    SELECT chapter, status, class_level, subject, COUNT(*) AS chapters, SUM(chunks) AS chunks, SUM(chars) AS chars, SUM(tokens) AS tokens, SUM(short_chunks) AS short_chunks, SUM(embedded) AS embedded, SUM(vector_bytes) AS vector_bytes, SUM(concepts) AS concepts, SUM(with_issues) AS with_issues, SUM(chars) + SUM(vector_bytes) AS memory_bytes, CASE WHEN SUM(concepts) > 0 THEN ROUND(SUM(with_issues) / SUM(concepts), 4) ELSE 0 END AS error_rate
+    FROM r GROUP BY GROUPING SETS ((chapter), (status), (class_level), (subject), ())""")
+def _(chunks, embeddings, labels):
+    """The content report: chapters, states, classes, subjects and all; labelled texts stand for concepts."""
+    sized = chunks.join(embeddings.select(F.col("vec_id").alias("chunk_id"), F.size("embedding").alias("dims")), "chunk_id", "left")
+    chapters = chunks.sparkSession.sql(_CHAPTERS.replace("FROM chunks", "FROM {chunks}"), chunks=chunks)
+    concepts = labels.join(chunks.select(F.col("chunk_id").alias("doc_id"), "chapter"), "doc_id").select("chapter", (1 - F.col("quality") + F.col("toxic")).alias("issues"))
+    return C.report(sized, chapters, concepts)
 
 
 @query("D26", "chunks", "embeddings", sql="""

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from lumenary.functions import text as X
 from lumenary.operators import exams as E
 from lumenary.operators.sessions import latest
+from lumenary.operators import planning as P
+from lumenary.operators.misc import grounded_facts
 from lumenary.plans.bindings import LINE
+from lumenary.plans.planning import _EDGES, _edges
 from lumenary.plans.registry import query
 
 _SHORT = ("N", "A")
@@ -140,14 +143,25 @@ def _(lineitem):
     return E.derived_signals(lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("attempt_id"), (F.floor(q).cast("int") % 3).alias("missing_points"), (F.col("l_linenumber") % 4).alias("incorrect_points"), (F.col("l_discount") > 0.08).cast("int").alias("weak_areas"), (F.col("l_tax") * 10).alias("exam_presentation"), (1 - F.col("l_discount") * 6).alias("step_logic"), F.floor(q * 0.4).alias("marks_awarded"), q.alias("marks_total")))
 
 
-@query("I38", "lineitem", "orders", "part", sql=f"""
-    WITH a AS (SELECT {LINE} AS interaction_id, o_custkey AS user_id, p_brand AS unit_id, p_partkey AS question_id, l_linenumber % 4 AS choice FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
-    g AS (SELECT user_id, unit_id, COUNT(*) AS answered, COUNT(*) FILTER (choice = question_id % 4) AS correct FROM a GROUP BY 1, 2)
-    SELECT *, ROUND(100.0 * correct / answered, 4) AS accuracy, CASE WHEN 100.0 * correct / answered >= 80 THEN 'mastered' WHEN 100.0 * correct / answered < 60 THEN 'revisit prerequisites' ELSE 'practise' END AS outcome FROM g""")
-def _(lineitem, orders, part):
-    """Batch grading; every receipt is sent twice and counts once."""
-    a = lineitem.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(part, F.col("p_partkey") == F.col("l_partkey")).select(F.expr(LINE).alias("interaction_id"), F.col("o_custkey").alias("user_id"), F.col("p_brand").alias("unit_id"), F.col("p_partkey").alias("question_id"), (F.col("l_linenumber") % 4).cast("long").alias("choice"))
-    return E.graded_mcqs(a.unionByName(a), part.select(F.col("p_partkey").alias("question_id"), (F.col("p_partkey") % 4).alias("answer")))
+@query("I38", "units", "lineitem", "orders", sql=f"""
+    WITH RECURSIVE {_EDGES}, c AS (SELECT unit_id, prereq_id FROM edges UNION SELECT c.unit_id, e.prereq_id FROM c JOIN edges e ON e.unit_id = c.prereq_id),
+    a AS (SELECT o_custkey AS user_id, unit_id, p_partkey AS question_id, l_linenumber % 4 AS choice FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN units ON p_partkey = l_partkey),
+    g AS (SELECT user_id, unit_id, COUNT(*) AS answered, COUNT(*) FILTER (choice = question_id % 4) AS correct, 100.0 * COUNT(*) FILTER (choice = question_id % 4) / COUNT(*) AS acc FROM a GROUP BY 1, 2),
+    b AS (SELECT g.user_id, g.unit_id, COALESCE(MIN(CASE WHEN d.user_id IS NULL THEN c.prereq_id END), MIN(c.prereq_id)) AS branch_to FROM g JOIN c ON c.unit_id = g.unit_id LEFT JOIN g d ON d.user_id = g.user_id AND d.unit_id = c.prereq_id AND d.acc >= 80 WHERE g.acc < 60 GROUP BY 1, 2)
+    SELECT g.user_id, g.unit_id, answered, correct, ROUND(acc, 4) AS accuracy, CASE WHEN acc >= 80 THEN 'mastered' WHEN branch_to IS NOT NULL THEN 'prerequisite_gap' ELSE 'practise' END AS outcome, branch_to FROM g LEFT JOIN b ON b.user_id = g.user_id AND b.unit_id = g.unit_id""")
+def _(units, lineitem, orders):
+    """Batch grading with branches to direct and indirect prerequisites; every receipt is sent twice and counts once."""
+    rows = lineitem.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(units.select("unit_id", "p_partkey"), F.col("p_partkey") == F.col("l_partkey"))
+    a = rows.select(F.expr(LINE).alias("interaction_id"), F.col("o_custkey").alias("user_id"), "unit_id", F.col("p_partkey").alias("question_id"), (F.col("l_linenumber") % 4).cast("long").alias("choice"))
+    key = units.select(F.col("p_partkey").alias("question_id"), (F.col("p_partkey") % 4).alias("answer"))
+    return E.graded_mcqs(a.unionByName(a), key, P.closure(_edges(units)))
+
+
+@query("I50_facts", "documents")
+def _(documents):
+    """Five questions on every text with facts, out of its own words; held against a plain version in tests."""
+    facts = grounded_facts(documents).join(documents.select("doc_id", "source"), "doc_id")
+    return E.fact_questions(facts, F.col("source"))
 
 
 @query("I50", "questions", sql="""

@@ -2,44 +2,44 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from lumenary.functions import text as X
 from lumenary.plans.content import _KEY
 from lumenary.plans.registry import ORACLE, QUERIES, query
-from lumenary.runtime import shared_root
+from lumenary.runtime import scratch
 from lumenary.sources import files as S
 
 _TITLE = "array_to_string(list_transform(string_split(TRIM(regexp_replace(regexp_replace({0}, '[_\\-]+', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: UPPER(SUBSTR(w, 1, 1)) || LOWER(SUBSTR(w, 2))), ' ')"
 
 
 def a1(spark, sf_dir: str):
-    """Events of the declared types."""
-    return S.typed(spark, f"{sf_dir}/events.parquet", "event_id long, user_id long, event_type string, value double, props string")
+    """Events of the declared types; their times are with or without a zone as the file has them."""
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema["ts"].dataType.simpleString()
+    return S.typed(spark, f"{sf_dir}/events.parquet", f"event_id long, ts {kind}, user_id long, event_type string, value double, props string")
 
 
 def a2(spark, sf_dir: str):
-    """The URLs of all pages as a folder of files, read back: pages and characters of each, or why not."""
-    root = f"{shared_root(spark)}/folder-{uuid.uuid4().hex}"
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("class_"), F.col("page_id") % 3 + 9).alias("grade"), F.concat(F.lit("subject_"), F.col("page_id") % 5).alias("topic"), "url")
-    rows = pages.unionByName(pages.select("grade", F.lit("blank").alias("topic"), F.lit(" ").alias("url")).distinct())
-    rows.repartition("grade", "topic").write.partitionBy("grade", "topic").text(root)
+    """The HTML of all pages as a folder of files, a line each, read back: pages and characters of each, or why it needs review."""
+    root = scratch(spark, "folder")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("class_"), F.col("page_id") % 3 + 9).alias("grade"), F.concat(F.lit("subject_"), F.col("page_id") % 5).alias("topic"), F.regexp_replace("html", "[\\r\\n\\f]+", " ").alias("html"))
+    rows = pages.unionByName(pages.select("grade", F.lit("blank").alias("topic"), F.lit(" ").alias("html")).distinct())
+    rows.repartition("grade", "topic").write.mode("overwrite").partitionBy("grade", "topic").text(root)
     got, errors = S.ingested(S.folder(spark, root))
     folder = F.regexp_extract("path", "^(.*)/", 1)
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: x != ""))
     good = got.groupBy(folder.alias("folder")).agg(F.count("*").alias("pages"), F.sum(lines).cast("long").alias("lines"), F.sum(F.length(F.regexp_replace("text", "\n", ""))).cast("long").alias("chars"))
     zero = F.lit(0).cast("long")
-    bad = errors.select(folder.alias("folder"), zero.alias("pages"), zero.alias("lines"), zero.alias("chars"), F.col("error").alias("status"))
+    bad = errors.select(folder.alias("folder"), zero.alias("pages"), zero.alias("lines"), zero.alias("chars"), F.concat(F.lit("needs_review: "), F.col("error")).alias("status"))
     return good.withColumn("status", F.lit("completed")).unionByName(bad)
 
 
 QUERIES["A1"], QUERIES["A2"] = a1, a2
-ORACLE["A1"] = "SELECT event_id, user_id, event_type, value, props FROM events"
+ORACLE["A1"] = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
 ORACLE["A2"] = """
-    SELECT 'class_' || (page_id % 3 + 9) || '/subject_' || (page_id % 5) AS folder, 1 AS pages, COUNT(*) AS lines, CAST(SUM(LENGTH(url)) AS BIGINT) AS chars, 'completed' AS status FROM pages GROUP BY 1
-    UNION ALL SELECT DISTINCT 'class_' || (page_id % 3 + 9) || '/blank', 0, 0, 0, 'empty' FROM pages"""
+    SELECT 'class_' || (page_id % 3 + 9) || '/subject_' || (page_id % 5) AS folder, 1 AS pages, COUNT(*) AS lines, CAST(SUM(LENGTH(regexp_replace(html, '[\\r\\n\\f]+', ' ', 'g'))) AS BIGINT) AS chars, 'completed' AS status FROM pages GROUP BY 1
+    UNION ALL SELECT DISTINCT 'class_' || (page_id % 3 + 9) || '/blank', 0, 0, 0, 'needs_review: empty' FROM pages"""
 
 _PATH = "CASE p_partkey % 4 WHEN 0 THEN 'NCERT/Class_' || (p_size % 4 + 9) || '/' || p_brand || '/chapter_' || (p_size % 20) || '_' || p_name || '.pdf' WHEN 1 THEN 'raw/books of ' || p_brand || '/physics/' || (p_size % 20) || ' - ' || p_name || '.PDF' WHEN 2 THEN 'x/class 11/Ch-' || (p_size % 20) || '.pdf' ELSE p_name || '.pdf' END"
 _F = f"""

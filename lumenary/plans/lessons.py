@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenary.operators import lessons as L
@@ -53,7 +54,7 @@ _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
     p AS (SELECT doc_id, level, form, part, text, CASE WHEN mode <> 'spans' THEN mode WHEN part = 0 THEN 'prose' ELSE 'span' END AS mode FROM p1),
     a0 AS (SELECT *, list_filter(CASE WHEN mode IN ('prose', 'classification') THEN string_split_regex(text, '\\n\\s*\\n') ELSE [text] END, lambda x: TRIM(x) <> '') AS ps FROM p WHERE mode NOT IN ('worked', 'formula')),
     a AS (SELECT doc_id, level, form, mode, part, UNNEST(ps) AS text, generate_subscripts(ps, 1) - 1 AS para FROM a0),
-    s0 AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, {_Q('([.!?])\s+(' + L.NEXT + ')')}, '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS ss FROM a),
+    s0 AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, {_Q(r'([.!?])\s+(' + L.NEXT + ')')}, '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS ss FROM a),
     s AS (SELECT doc_id, level, form, mode, part, para, UNNEST(ss) AS x, generate_subscripts(ss, 1) - 1 AS no FROM s0),
     r AS (SELECT doc_id, level, part, para, no, x, CASE WHEN mode = 'span' THEN CASE WHEN regexp_matches(x, {_Q(L.GENERAL)}) THEN 'conditions' END WHEN mode = 'classification' THEN 'classification' WHEN mode = 'calculations' AND regexp_matches(x, {_Q(L.CALCULATES)}) THEN 'worked_example'
           ELSE {_ROLE} WHEN mode = 'calculations' OR para = 0 AND no = 0 THEN CASE WHEN form = 'law' THEN 'law' ELSE 'definition' END ELSE 'explanation' END END AS kind FROM s
@@ -88,20 +89,20 @@ def _(conversations):
 
 
 @query("I43", "concept_rows", sql="""
-    WITH c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chapter ORDER BY p_partkey) AS place FROM concept_rows), p AS (SELECT chapter AS lesson, place AS page, difficulty AS subtopic, CASE WHEN definition <> '' THEN 2 ELSE 1 END + CASE WHEN explanation <> '' THEN 1 ELSE 0 END AS essential FROM c WHERE place <= 10),
-    w AS (SELECT DISTINCT chapter AS lesson, difficulty AS subtopic FROM concept_rows WHERE p_partkey % 4 <> 0), q AS (SELECT chapter AS lesson, COUNT(*) % 12 AS questions FROM concept_rows GROUP BY 1),
+    WITH c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chapter ORDER BY p_partkey) - 1 AS k FROM concept_rows), l AS (SELECT *, chapter || '/' || (k // 10) AS lesson, k % 10 + 1 AS page FROM c),
+    p AS (SELECT lesson, page, difficulty AS subtopic, CASE WHEN definition <> '' THEN 2 ELSE 1 END + CASE WHEN explanation <> '' THEN 1 ELSE 0 END AS essential FROM l),
+    w AS (SELECT DISTINCT lesson, difficulty AS subtopic FROM l WHERE p_partkey % 7 <> 0), q AS (SELECT lesson, SUM(p_partkey) % 12 AS questions FROM l GROUP BY 1),
     a AS (SELECT p.lesson, COUNT(*) AS n, MIN(essential) AS least, COUNT(*) FILTER (w.lesson IS NULL) AS astray, COUNT(DISTINCT w.subtopic) AS covered FROM p LEFT JOIN w ON w.lesson = p.lesson AND w.subtopic = p.subtopic GROUP BY 1), t AS (SELECT lesson, COUNT(*) AS wanted FROM w GROUP BY 1)
     SELECT t.lesson, array_to_string(list_filter([CASE WHEN n <> 10 THEN 'pages_out_of_order' END, CASE WHEN least < 2 THEN 'thin_page' END, CASE WHEN astray > 0 THEN 'page_off_topic' END, CASE WHEN covered <> wanted THEN 'missing_subtopic' END, CASE WHEN questions NOT BETWEEN 5 AND 10 THEN 'question_count' END], lambda x: x IS NOT NULL), ',') AS issues
     FROM t JOIN a ON a.lesson = t.lesson JOIN q ON q.lesson = t.lesson""")
 def _(concept_rows):
-    """What each chapter's first ten concepts as a lesson break of the rules."""
-    from lumenary.operators.sessions import latest
-
-    c = latest(concept_rows, ["chapter"], [F.asc("p_partkey")], 10).withColumnRenamed("chapter", "lesson")
+    """What lessons of ten concepts each, of all chapters, break of the rules."""
+    k = F.row_number().over(Window.partitionBy("chapter").orderBy("p_partkey")) - 1
+    c = concept_rows.withColumn("k", k).withColumns({"lesson": F.concat_ws("/", "chapter", F.floor(F.col("k") / 10).cast("string")), "page": F.col("k") % 10 + 1})
     essential = F.when(F.col("definition") != "", 2).otherwise(1) + F.when(F.col("explanation") != "", 1).otherwise(0)
-    pages = c.select("lesson", F.col("rn").alias("page"), F.col("difficulty").alias("subtopic"), essential.alias("essential"))
-    wanted = concept_rows.where("p_partkey % 4 <> 0").select(F.col("chapter").alias("lesson"), F.col("difficulty").alias("subtopic"))
-    asked = concept_rows.groupBy(F.col("chapter").alias("lesson")).agg((F.count("*") % 12).alias("questions"))
+    pages = c.select("lesson", F.col("page"), F.col("difficulty").alias("subtopic"), essential.alias("essential"))
+    wanted = c.where("p_partkey % 7 <> 0").select("lesson", F.col("difficulty").alias("subtopic"))
+    asked = c.groupBy("lesson").agg((F.sum("p_partkey") % 12).alias("questions"))
     return L.lesson_issues(pages, wanted, asked, 10)
 
 

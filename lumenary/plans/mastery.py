@@ -10,6 +10,7 @@ from lumenary.operators import planning as P
 from lumenary.plans.content import _KEY
 from lumenary.plans.planning import _ALIASES, _EDGES, _EVIDENCE, _MINUTES, _STATUS, _aliases, _edges, _evidence, _timed
 from lumenary.plans.registry import query
+from lumenary.runtime import checkpointed
 
 _STATES = """
     e AS (SELECT o_custkey AS user_id, unit_id, l_linenumber % 3 <> 0 AS canonical, l_linenumber AS attempts, l_quantity * 2 AS accuracy, CASE l_returnflag WHEN 'R' THEN 'revision' WHEN 'A' THEN 'exam' ELSE 'study' END AS kind, l_discount * 1000 AS confidence, l_shipdate AS seen FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN units ON l_partkey = p_partkey),
@@ -46,7 +47,7 @@ _LV = lambda c, t: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.
     SELECT user_id, chapter, unit_id, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, chapter) AS rn FROM k) y WHERE rn = 1""")
 def _(units, lineitem, orders):
     """Each learner's best chapter to go on with."""
-    status = P.unit_status(units, _evidence(units, lineitem, orders))
+    status = checkpointed(P.unit_status(units, _evidence(units, lineitem, orders)))
     return M.next_chapters(_timed(units), P.next_units(units, _edges(units), status), status.select("user_id", "unit_id", "status"))
 
 

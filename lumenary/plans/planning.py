@@ -8,6 +8,7 @@ from lumenary.operators import planning as P
 from lumenary.plans.bindings import AS_OF, CHAPTER
 from lumenary.plans.content import _KEY
 from lumenary.plans.registry import query
+from lumenary.runtime import checkpointed
 
 _ALIASES = f"aliases AS (SELECT DISTINCT {_KEY.format('n')} AS alias, unit_id FROM (SELECT unit_id, UNNEST([title, chapter || ' ' || CAST(unit_order AS STRING), unit_id]) AS n FROM units) x)"
 _EDGES = "edges AS (SELECT u.unit_id, p.unit_id AS prereq_id FROM units u JOIN units p ON u.chapter = p.chapter AND p.unit_order = CAST(FLOOR(u.unit_order / 2) AS BIGINT))"
@@ -85,7 +86,7 @@ def _(units, lineitem, orders):
     n AS (SELECT o.user_id, o.chapter, MIN(e.prereq_id) AS prereq_id FROM o JOIN edges e ON e.unit_id = o.unit_id LEFT JOIN m ON m.user_id = o.user_id AND m.unit_id = e.prereq_id WHERE m.unit_id IS NULL GROUP BY 1, 2)
     SELECT o.user_id, o.chapter, COALESCE(prereq_id, unit_id) AS next_unit, prereq_id IS NOT NULL AS blocked FROM o LEFT JOIN n ON n.user_id = o.user_id AND n.chapter = o.chapter""")
 def _(units, lineitem, orders):
-    return P.next_units(units, _edges(units), P.unit_status(units, _evidence(units, lineitem, orders)))
+    return P.next_units(units, _edges(units), checkpointed(P.unit_status(units, _evidence(units, lineitem, orders))))
 
 
 @query("D44", "units", "lineitem", "orders", also="D44_all", sql=f"WITH {_EVIDENCE}, {_STATUS} SELECT user_id, COUNT(*) FILTER (status = 'mastered') AS mastered, COUNT(*) FILTER (status = 'practising') AS practising, COUNT(*) FILTER (status = 'needs_review') AS needs_review, COUNT(*) AS total, CAST(ROUND(100 * COUNT(*) FILTER (status = 'mastered') / COUNT(*)) AS INT) AS percentage FROM status GROUP BY user_id")
@@ -145,9 +146,9 @@ def _(units, lineitem):
 
 
 @query("D38", "sessions", sql=f"""
-    WITH g AS (SELECT user_id, topic, COUNT(*) AS observations, COUNT(*) FILTER (score < 3) AS support_count, AVG(accuracy_rate) AS conf, MAX(completed_at) AS last_seen FROM sessions GROUP BY 1, 2),
-    r AS (SELECT *, CASE WHEN support_count >= 2 THEN 'simplify_and_reinforce' WHEN observations >= 3 AND conf >= 78 THEN 'increase_difficulty' ELSE 'steady_progression' END AS route FROM g),
+    WITH s AS (SELECT *, CASE WHEN score <> 5 THEN score < 3 END AS needs FROM sessions), g AS (SELECT user_id, topic, COUNT(needs) AS observations, COUNT(*) FILTER (needs) AS support_count, AVG(accuracy_rate) AS conf, MAX(completed_at) AS last_seen FROM s GROUP BY 1, 2),
+    r AS (SELECT *, CASE WHEN support_count >= 2 THEN 'simplify_and_reinforce' WHEN observations >= 3 AND conf >= 78 THEN 'increase_difficulty' WHEN observations > 0 THEN 'steady_progression' ELSE 'baseline' END AS route, FIRST_VALUE(topic) OVER (PARTITION BY user_id ORDER BY support_count DESC, topic) AS weak_topic FROM g),
     d AS (SELECT *, CAST(last_seen AS DATE) + CASE route WHEN 'simplify_and_reinforce' THEN 1 WHEN 'increase_difficulty' THEN 7 ELSE 3 END AS due_on FROM r)
-    SELECT user_id, topic, observations, support_count, ROUND(conf, 4) AS average_confidence, route, due_on, due_on <= DATE '{AS_OF[:10]}' AS revision_due FROM d""")
+    SELECT user_id, topic, observations, support_count, ROUND(conf, 4) AS average_confidence, route, weak_topic, due_on, due_on <= DATE '{AS_OF[:10]}' AS revision_due FROM d""")
 def _(sessions):
-    return P.mastery_routes(sessions.select("user_id", "topic", (F.col("score") < 3).alias("needs_support"), F.col("accuracy_rate").alias("confidence"), F.col("completed_at").alias("seen")), AS_OF)
+    return P.mastery_routes(sessions.select("user_id", "topic", F.when(F.col("score") != 5, F.col("score") < 3).alias("needs_support"), F.col("accuracy_rate").alias("confidence"), F.col("completed_at").alias("seen")), AS_OF)

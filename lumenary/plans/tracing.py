@@ -54,11 +54,13 @@ def _(t):
 
 @query("D15", "sessions", "traces", "profiles", sql="""
     WITH u AS (SELECT COUNT(*) AS users FROM (SELECT user_id FROM sessions UNION SELECT user_id FROM traces UNION SELECT user_id FROM profiles) x),
-    a AS (SELECT COUNT(DISTINCT user_id) AS active_users, COUNT(*) AS recent_sessions FROM sessions WHERE date >= DATE '2024-01-29'),
-    o AS (SELECT COUNT(*) FILTER (trace_type = 'turn') AS turns, COUNT(*) FILTER (status = 'failed') AS failed FROM traces)
-    SELECT *, COALESCE(NULLIF(recent_sessions, 0), turns) AS active_sessions FROM u, a, o""")
+    a AS (SELECT COUNT(DISTINCT user_id) AS active_users FROM (SELECT user_id FROM sessions WHERE date = DATE '2024-01-30' UNION ALL SELECT user_id FROM traces WHERE created_at >= TIMESTAMP '2024-01-30 00:00:00' AND created_at <= TIMESTAMP '2024-01-30 12:00:00') y),
+    s AS (SELECT COUNT(DISTINCT id) AS recent_sessions FROM sessions WHERE completed_at > TIMESTAMP '2024-01-30 11:00:00' AND completed_at <= TIMESTAMP '2024-01-30 12:00:00'),
+    o AS (SELECT COUNT(*) FILTER (trace_type = 'turn') AS turns, COUNT(*) FILTER (status = 'failed') AS failed, COUNT(DISTINCT turn_id) FILTER (created_at > TIMESTAMP '2024-01-30 11:00:00' AND created_at <= TIMESTAMP '2024-01-30 12:00:00') AS recent FROM traces)
+    SELECT users, active_users, recent_sessions, turns, failed, COALESCE(NULLIF(recent_sessions, 0), recent) AS active_sessions FROM u, a, s, o""")
 def _(s, t, p):
-    return T.overview(s, t, p, AS_OF)
+    """The platform at noon of the last day."""
+    return T.overview(s, t, p, "2024-01-30 12:00:00")
 
 
 @query("D16", "traces", sql=f"""
@@ -70,10 +72,10 @@ def _(t):
 
 @query("D17", "traces", sql=f"""
     WITH t AS (SELECT *, (CAST(FLOOR(epoch({_END})) AS BIGINT) - CAST(FLOOR(epoch(created_at)) AS BIGINT)) / 3600 AS age FROM traces),
-    g AS (SELECT agent, COUNT(*) FILTER (age < 48) AS runs, ROUND(AVG(quality) FILTER (age < 48), 6) AS quality, ROUND(AVG(quality) FILTER (age < 48) - AVG(quality) FILTER (age >= 48), 6) AS quality_delta,
-                 ROUND(AVG(latency_ms) FILTER (age < 48) - AVG(latency_ms) FILTER (age >= 48), 4) AS latency_delta,
-                 ROUND(COUNT(*) FILTER (age < 48 AND status = 'success') / NULLIF(COUNT(*) FILTER (age < 48), 0), 6) AS success_rate, COALESCE(SUM(estimated_input_tokens + estimated_output_tokens) FILTER (age < 48), 0) AS tokens
-          FROM t WHERE age >= 0 AND age < 96 GROUP BY agent)
+    g AS (SELECT agent, COUNT(*) FILTER (age < 24) AS runs, ROUND(AVG(quality) FILTER (age < 24), 6) AS quality, ROUND(AVG(quality) FILTER (age < 24) - AVG(quality) FILTER (age >= 24), 6) AS quality_delta,
+                 ROUND(AVG(latency_ms) FILTER (age < 24) - AVG(latency_ms) FILTER (age >= 24), 4) AS latency_delta,
+                 ROUND(COUNT(*) FILTER (age < 24 AND status = 'success') / NULLIF(COUNT(*) FILTER (age < 24), 0), 6) AS success_rate, COALESCE(SUM(estimated_input_tokens + estimated_output_tokens) FILTER (age < 24), 0) AS tokens
+          FROM t WHERE age >= 0 AND age < 48 GROUP BY agent)
     SELECT *, CASE WHEN runs = 0 THEN 'idle' WHEN quality_delta >= 0.02 THEN 'improving' WHEN quality_delta <= -0.02 THEN 'declining' ELSE 'steady' END AS trend FROM g""")
 def _(t):
     return T.intelligence(t, AS_OF)
@@ -182,11 +184,17 @@ def _(e):
     return T.feed(e, 700).select("event_version", "event_type")
 
 
+# references as the platform writes them for some rows, as others do for the rest; a provider's name with a blank, an unknown state
+_SHOWN = "SELECT id, CASE WHEN status = 'review' THEN 'odd state' ELSE status END AS status, CASE WHEN id % 3 = 0 THEN CONCAT('turn_', SUBSTR(sha2(CAST(turn_id AS STRING), 256), 1, 12)) WHEN id % 3 = 1 THEN CONCAT('run_', CAST(turn_id AS STRING)) END AS ref, CASE WHEN id % 7 = 0 THEN 'a b' ELSE provider END AS provider, CASE WHEN id % 11 = 0 THEN 'x/y:z' WHEN id % 11 = 1 THEN 'm 1' ELSE model END AS model, CASE WHEN id % 13 = 0 THEN 0 ELSE latency_ms END AS latency_ms FROM traces"
+
+
 @query("B14", "traces", sql=f"""
-    SELECT id, {_STATE} AS state, 'turn-' || LPAD(CAST(turn_id AS STRING), 6, '*') AS ref, CASE WHEN regexp_matches(model, '^[a-z0-9._-]{{1,40}}$') THEN model ELSE 'hidden' END AS model,
-           CASE WHEN status = 'failed' THEN 'execution' ELSE 'none' END AS error_class FROM traces""")
+    WITH t AS ({_SHOWN.replace('sha2(CAST(turn_id AS STRING), 256)', 'sha256(CAST(turn_id AS STRING))')})
+    SELECT id, CASE WHEN status IN ({', '.join(f"'{x}'" for x in T.STATES)}) THEN status ELSE 'unknown' END AS state, CASE WHEN regexp_full_match(ref, '(run|turn)_[a-f0-9]{{12}}') THEN ref END AS ref, CASE WHEN regexp_full_match(provider, '[a-zA-Z0-9_.-]{{1,80}}') THEN provider END AS provider,
+           CASE WHEN regexp_full_match(model, '[a-zA-Z0-9_./:-]{{1,120}}') THEN model END AS model, CASE WHEN latency_ms > 0 THEN latency_ms END AS latency_ms, CASE WHEN status = 'failed' THEN 'execution' END AS error_class FROM t""")
 def _(t):
-    return T.masked(t)
+    """What may be shown of every trace."""
+    return T.masked(t.sparkSession.sql(_SHOWN.replace("FROM traces", "FROM {traces}"), traces=t))
 
 
 @query("B15", "traces", sql="""
