@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import groupby
 from os.path import commonprefix
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 #: letter is put in, one that may be a letter is; a sign parts two words; a wide gap joins a word.
 KEEP, SUBSTITUTE, REPEAT, FILLER, SIGN, BREAK, WIDE = -0.05, -1.0, -1.0, -0.5, -2.0, -0.5, -4.0
 #: Log-probability of a word of the vocabulary, where the letter model gives it less.
-WORD = -8.0
+WORD = -5.0
 #: Steps after which what all paths of the decoder share is written out.
 SETTLE = 64
 #: Letters of the language model: a to z, and 0 for all others and the ends of words.
@@ -37,6 +38,13 @@ SPACED_HINT = re.compile(r"(?:^|\s)\S[ .\-_*]+\S[ .\-_*]+\S")
 SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]+[^\W_]|[ .\-_*]+[@$!|+€(¡]){2,}(?!\S)|(?<!\S)[@$!|+€(¡](?:[ .\-_*]+[^\W_]){2,}(?!\S)")
 #: A token that may be disguised: signs among letters, a thrice repeated letter, dots between.
 DISGUISED = re.compile(r"[a-z][0-9@$!|+€(¡.*_\-]+[a-z]|^[0-9@$!|+€(¡]+[a-z]{2}|[a-z]{2}[0-9@$!|+€(¡]+$|([a-z])\1\1")
+#: A letter twice, or a sign anywhere: the token may be a word of the vocabulary if its skeleton is one's.
+PERHAPS = re.compile(r"([a-z])\1|[0-9@$!|+€(¡.*_\-]")
+#: Letters that a sign may stand for count as one; signs of no letter as none.
+CLASSES = {ord("l"): "i", **{ord(c): x[0] for c, x in LEET.items()}, **{ord(c): None for c in ".*_-"}}
+#: Letters of a word that is looked for across gaps, at least.
+GAPPED = 4
+AGAIN = re.compile(r"(.)\1+")
 EDGE = re.compile(r"^[^\w@$!|+€(¡]+|[^\w@$!|+€(¡]+$")
 #: Letters of the beginnings of words that are features beside whole words.
 STEMS = (5, 7)
@@ -44,6 +52,11 @@ STEMS = (5, 7)
 COUNTED = 100_000
 
 
+def skeleton(word: str) -> str:
+    """A folded word without repeats, its signs as letters; the same for a word and its disguises of one token."""
+    return AGAIN.sub(r"\1", word.translate(CLASSES))
+
+
 def letter_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """How often each run of three letters occurs in all texts: an array of LETTERS cubed.
 
@@ -80,6 +93,13 @@ class Restorer:
         back = (one + 1) / (one.sum() + LETTERS)
         self.log = np.log((counts + 20 * back) / (two + 20)).tolist()
         self.memo: dict[str, tuple[str, ...]] = {}
+        self.vocabulary, self.skeletons = words, {skeleton(w) for w in words}
+        self.joined = ahocorasick.Automaton()
+        for w in words:
+            if len(w) >= GAPPED:
+                self.joined.add_word(w, len(w))
+        if len(self.joined):
+            self.joined.make_automaton()
         # the vocabulary as a tree: of each node its children by letter, and whether a word ends
         self.next: list[dict[int, int]] = [{}]
         self.ends = [False]
@@ -103,8 +123,8 @@ class Restorer:
             return [(x * j, j * SUBSTITUTE + (min(k, 2) - j) * REPEAT) for x in LEET[c] for j in range(min(k, 2), 0, -1)] + [(" ", BREAK), ("", SIGN)]
         return [(c, KEEP)] if c.isalpha() else [(" ", BREAK), ("", FILLER)]
 
-    def decode(self, text: str) -> str:
-        """Viterbi over the lattice of a text's characters, spaces, signs and repeats alike.
+    def decode(self, text: str, whole: bool = False) -> str:
+        """Viterbi over the lattice of a text's characters, spaces, signs and repeats alike; whole: nothing parts words.
 
         A state is the last two letters of the word so far with its place in the vocabulary's tree
         (-1: in none of its words). A word costs what the letter model says from its first letter
@@ -122,6 +142,8 @@ class Restorer:
         states, done = {(0, 0, 0): (0.0, 0.0, "")}, []
         for step, (c, run) in enumerate(groupby(text)):
             arcs = self.arcs(c, sum(1 for _ in run))
+            if whole:
+                arcs = [arc for arc in arcs if arc[0] != " "]
             new: dict = {}
             for (a, b, node), (cost, word, path) in states.items():
                 for x, p in arcs:
@@ -155,7 +177,10 @@ class Restorer:
                 self.memo.clear()
             core = EDGE.sub("", token)
             plain = core.translate(FOLD)
-            if " " not in token and not DISGUISED.search(plain):
+            inside = self.hidden(plain) if " " not in token else None
+            if inside:
+                got = tuple(dict.fromkeys(self.decode(inside, True).split()))
+            elif " " not in token and not DISGUISED.search(plain):
                 own = core if core.isalpha() else re.sub("[^a-z]+$|^[^a-z]+", "", plain)
                 got = (own,) if own else ()
             else:
@@ -163,6 +188,29 @@ class Restorer:
             self.memo[token] = got
         return got
 
+    def hidden(self, plain: str) -> str | None:
+        """The part of a token that has the skeleton of a word of the vocabulary but isn't one: signs at its end may be its own or the sentence's."""
+        if not self.skeletons or plain in self.vocabulary or not PERHAPS.search(plain):
+            return None
+        for part in (plain, plain.rstrip("!|(+¡")):
+            if part not in self.vocabulary and skeleton(part) in self.skeletons and PERHAPS.search(part):
+                return part
+        return None
+
+    def groups(self, low: str) -> list[str]:
+        """Neighbouring tokens, one of two letters or fewer among them, that are a word of the vocabulary without the gaps."""
+        hits = list(self.joined.iter(low.replace(" ", ""))) if len(self.joined) else []
+        if not hits:
+            return []
+        tokens = low.split(" ")
+        ends = np.cumsum([0, *map(len, tokens)])
+        out = []
+        for last, n in hits:
+            a, b = np.searchsorted(ends, last + 1 - n, "right") - 1, np.searchsorted(ends, last + 1)
+            if b - a > 1 and ends[a] == last + 1 - n and ends[b] == last + 1 and min(len(t) for t in tokens[a:b] if t) <= 2:
+                out.append(" ".join(t for t in tokens[a:b] if t))
+        return out
+
     @staticmethod
     def parts(text: str) -> list[str]:
         """The lower-cased tokens of a text, each once, and its runs of single characters."""
@@ -172,6 +220,10 @@ class Restorer:
             out |= dict.fromkeys(run for m in SPACED.finditer(low) if re.search("[a-z]", run := m.group()))
         return list(out)
 
+    def gapped(self, text: str) -> set[str]:
+        """The words of the vocabulary that the decoder reads in neighbouring tokens; they have no stems, as their tokens have them."""
+        return {w for g in self.groups(text.lower()) for w in self.words(g)} & self.vocabulary
+
     def features(self, text: str) -> set[str]:
         """A text's words, and beginnings of words: stem* if a word has it, stem** if two have."""
         out = {w for p in self.parts(text) for w in self.words(p)}
@@ -182,7 +234,7 @@ class Restorer:
             out.update(x + "*" for x in once)
             if len(once) < len(stems):
                 out.update(x + "**" for x, k in Counter(stems).items() if k > 1)
-        return out
+        return out | self.gapped(text)
 
 
 class Scorer:
@@ -212,10 +264,11 @@ class Scorer:
                 got = memo[t] = self.known(t)
             if got:
                 found.update(got)
-        if not found:
+        gapped = self.restorer.gapped(text)
+        if not found and not gapped:
             return self.base
         stems = Counter(x for _, *rest in found for x in rest)
-        names = {w for w, *_ in found} | {x + "*" for x in stems} | {x + "**" for x, k in stems.items() if k > 1}
+        names = gapped | {w for w, *_ in found} | {x + "*" for x in stems} | {x + "**" for x, k in stems.items() if k > 1}
         return self.base + sum(self.weights.get(n, 0.0) for n in sorted(names))
 
 

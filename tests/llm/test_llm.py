@@ -17,6 +17,7 @@ from lumenary.llm.automaton import SuffixAutomaton
 from lumenary.llm.wordbpe import WordBpe
 
 DATA = "/root/testdata/sf0.001"
+D01 = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, at long, hits string"
 LONG = " ".join(f"w{k % 977}x{k % 31}" for k in range(40_000))
 PASSAGE = " ".join(f"shared{k}" for k in range(60))
@@ -522,10 +523,13 @@ def test_disguised_words_come_back(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     restorer = toxicity.Restorer(toxicity.letter_counts(docs), {"moron", "scum", "stupid", "idiot"})
-    for text, want in (("a m o r o n", "moron"), ("5c" + "." * 40 + "um", "scum"), ("sc.u.m", "scum"), ("5cum", "scum"), ("scummm", "scum"), ("st" + "u" * 60 + "pid", "stupid"), ("i d 1 o t  s c u m", "idiot"), ("$tup1d!!", "stupid")):
-        parts = {w for p in toxicity.Restorer.parts(text) for w in restorer.words(p)}
+    for text, want in (("a m o r o n", "moron"), ("5c" + "." * 40 + "um", "scum"), ("sc.u.m", "scum"), ("5cum", "scum"), ("scummm", "scum"), ("st" + "u" * 60 + "pid", "stupid"), ("i d 1 o t  s c u m", "idiot"), ("$tup1d!!", "stupid"), ("scuum", "scum"), ("idiiot", "idiot"), ("sc um", "scum"), ("so s c um.", "scum"), ("moro n", "moron"), ("m o r o n s", "moron"), ("moron! m0r0n!", "moron")):
+        parts = {w for p in toxicity.Restorer.parts(text) for w in restorer.words(p)} | restorer.gapped(text.replace(".", ""))
         assert want in parts, (text, parts)
     assert "scum" in {w for p in toxicity.Restorer.parts("i d 1 o t  s c u m") for w in restorer.words(p)}
+    short = toxicity.Restorer(toxicity.letter_counts(docs), {"ass", "hate"})
+    assert [short.words(w) for w in ("a55", "a$$", "@ss", "a55!", "pass", "2024", "as")] == [("ass",)] * 4 + [("pass",), (), ("as",)]
+    assert short.gapped("h a t e y o u") == {"hate"} and short.gapped("so hat red the ate") == set()
     long = restorer.decode("x.y" * 30_000)
     assert len(long) > 20_000  # linear in the length
 
@@ -540,6 +544,35 @@ def test_weights_are_those_of_plain_regression():
     assert np.abs(z.T @ (y - p) - np.append(np.full(12, 1.0), 1e-6) * got).max() < 1e-6
 
 
+def test_toxicity_scores_are_a_plain_versions(spark):
+    """End to end but for the decoder: which features stand out, regression by dense Newton steps, sums."""
+    docs, labels = spark.read.parquet(f"{D01}/documents.parquet"), spark.read.parquet(f"{D01}/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    label = defaultdict(int)
+    for r in labels.collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5:
+            label[r.doc_id] = max(label[r.doc_id], r.toxic)
+    got = toxicity.fit(docs, labels)
+    plain = toxicity.Restorer(got[0], set())
+    bad, good = sum(label.values()), len(label) - sum(label.values())
+    seen = {i: plain.features(texts[i]) for i in label}
+    counts = Counter(x for i, f in seen.items() for x in f)
+    toxic = Counter(x for i, f in seen.items() if label[i] for x in f)
+    rate = {x: n / (bad + good) for x, n in counts.items()}
+    names = sorted(x for x, n in toxic.items() if n >= toxicity.LEAST and (n - bad * rate[x]) / np.sqrt(bad * rate[x] * (1 - rate[x]) + 0.5) > toxicity.STANDS_OUT)
+    assert names == sorted(got[1]) and names
+    restorer = toxicity.Restorer(got[0], toxicity.vocabulary_words(names))
+    row = lambda t: [float(x in f) for x in names] + [1.0] if (f := restorer.features(t)) is not None else None
+    z, y = np.array([row(texts[i]) for i in label]), np.array([float(v) for v in label.values()])
+    ridge, w = np.append(np.full(len(names), 1.0), 1e-6), np.zeros(len(names) + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        w += np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+    want = {i: 1 / (1 + np.exp(-np.array(row(t)) @ w)) for i, t in texts.items()}
+    for r in toxicity.op10_toxicity_channel(spark, D01).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-6 and r.predicted == (want[r.doc_id] >= 0.5)
+
+
 def test_toxicity_on_held_out_rows_and_disguises(spark):
     d = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{d}/documents.parquet")
