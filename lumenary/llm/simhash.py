@@ -246,7 +246,8 @@ def op7_simhash_covering(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component.
 
     A text without words (null, empty) has fingerprint 0 and is linked like any other; repeated
-    rows share one component; other columns play no part; an empty table gives no rows.
+    rows share one component; other columns play no part; an empty table gives no rows; a text of
+    any length is read whole, and adds 64 bits to what is compared.
     """
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
