@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenary.llm import packing, secrets, simhash, substrings, toxicity
 from lumenary.llm.common import documents, table
-from lumenary.runtime import checkpointed, shared_root
+from lumenary.runtime import checkpointed, scratch
 
 
 def aside(docs: DataFrame) -> DataFrame:
@@ -27,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't predicted toxic; the model learns from labels not held out.
 
     A null or empty text has no toxic word and stays; a repeated row gets the verdict of its twin;
-    an empty table stays empty; other columns pass, whatever their names.
+    a score of just a half is toxic; an empty table stays empty; other columns pass, whatever their
+    names; a text of any length counts whole.
     """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return back(toxicity.score(aside(docs), model).where("predicted = 0"), docs)
@@ -38,7 +37,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Groups: SimHash within 4 bits, or 5-word shingle sets of similarity 0.8 or more. All texts
     without a word are one group. Of several rows of one id the one of the least hash stays. Rows
-    without an id stay; an empty table stays empty; other columns pass.
+    without an id stay; an empty table stays empty; other columns pass; a text of any length is
+    compared by all its shingles.
     """
     groups = checkpointed(simhash.resembling(docs))
     gone = groups.where("doc_id > component_id").select("doc_id").distinct()
@@ -55,7 +55,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 13-word windows of smaller ids; a document of which no word is left goes.
 
     A null or empty text has no window and stays, as do rows without an id; rows of one id cut
-    nothing from each other; an empty table stays empty; n_chars, if there, follows the text.
+    nothing from each other; an empty table stays empty; n_chars, if there, follows the text; a text
+    of any length is cut whole.
     """
     cut = substrings.deduplicate(aside(docs)).where("n_removed = 0 or n_removed < n_words")
     return back(cut, docs, text=F.col("kept"), **shorter(docs, F.col("n_removed") > 0, "kept"))
@@ -72,7 +73,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All documents, each secret or linked part of a credential replaced by its kind in brackets.
 
     A null or empty text stays as it is; a repeated row is masked again; an empty table stays
-    empty; other columns pass; n_chars, if there, follows the text.
+    empty; other columns pass; n_chars, if there, follows the text; of spans that begin together the
+    first kind names the mask; a text of any length is scanned whole.
     """
     return back(secrets.scan(aside(docs)), docs, text=F.col("masked"), **shorter(docs, F.col("spans") != "", "masked"))
 
@@ -81,7 +83,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """All documents as pieces of sequences of at most 2048 tokens.
 
     A null or empty text is one piece, the end id alone; a repeated row has a place of its own; an
-    empty table gives no rows; other columns play no part.
+    empty table gives no rows; other columns play no part; pieces of equal length go by id; a text of any
+    length is cut into as many pieces as it needs.
     """
     cut = checkpointed(packing.with_copies(packing.pieces(docs)))
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -98,7 +101,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents; each result is written as Parquet to the shared folder and reread."""
-    folder = f"{shared_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
@@ -106,6 +109,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Models, shingle sets, tokens and the packing plan can't be told in SQL; tests hold the stages
-#: against plain versions instead.
+#: Models, shingle sets, tokens and the packing plan can't be told in SQL; tests hold each stage
+#: against a plain version instead.
 ORACLE_SQL = None
