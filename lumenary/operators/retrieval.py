@@ -178,7 +178,7 @@ def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: in
                     if not hit and not exact:
                         continue
                     hits, each = np.concatenate([*hit, np.zeros(0, np.int64)]), [len(q) for q in hit]
-                    score = np.bincount(hits, np.repeat(gain, each), minlength=len(ids))
+                    score = np.bincount(hits, np.repeat(gain, each), minlength=len(ids)).astype(float)  # without hits numpy counts in integers
                     if words:
                         score[np.bincount(hits, np.repeat(seen, each), minlength=len(ids)) == 0] = 0
                     if scoped:

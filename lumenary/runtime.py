@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,8 +22,8 @@ def ship(spark: SparkSession) -> None:
     Arrow batches are kept small, as texts are long: each task holds a few of them outside the heap.
     """
     sc = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # the default
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000)
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH):  # a size that was set on purpose stays
+        spark.conf.set(BATCH, 2_000)
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent

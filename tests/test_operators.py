@@ -105,17 +105,23 @@ def test_all_benchmark_items_are_lexical_queries(spark):
     terms = lambda df, i: {r[0]: set(r[1]) for r in df.select(i, X.terms(F.col("text"))).collect()}
     q, c = terms(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id"), spark.read.parquet(f"{d}/documents.parquet")
     low = {r.doc_id: r.text.lower() for r in c.where("text is not null").collect()}
-    want = {(a, b): 2 * len(x & y) + sum(low[b].count(t) for t in x) for a, x in q.items() for b, y in terms(c.where("text is not null"), "doc_id").items() if x & y}
-    assert {(r.query_id, r.chunk_id): r.lexical for r in QUERIES["I5_all"](spark, d).collect()} == want
+    docs = terms(c.where("text is not null"), "doc_id")
+    want = {}
+    for a, x in q.items():
+        scored = sorted((-2 * len(x & y) - sum(low[b].count(t) for t in x), b) for b, y in docs.items() if x & y)
+        want |= {(a, b, k): -s for k, (s, b) in enumerate(scored[:100], 1)}
+    assert {(r.query_id, r.chunk_id, r["rank"]): r.lexical for r in QUERIES["I5_all"](spark, d).collect()} == want
 
 
 def test_fusion_and_packing(spark):
-    a = spark.createDataFrame([(1, 10, 5.0), (1, 11, 4.0)], "query_id long, chunk_id long, score double")
-    b = spark.createDataFrame([(1, 11, 0.9)], "query_id long, chunk_id long, score double")
+    kind = "query_id long, kind string, id long, exact boolean, rank long"
+    a = spark.createDataFrame([(1, "chunk", 10, False, 1), (1, "chunk", 11, False, 2), (1, "concept", 7, True, 3)], kind)
+    b = spark.createDataFrame([(1, "chunk", 11, 1)], "query_id long, kind string, id long, rank long")
     f = fused(a, b)
-    assert f.orderBy(F.desc("fused")).first().chunk_id == 11
-    sized = f.join(spark.createDataFrame([(10, 30), (11, 500)], "chunk_id long, n long"), "chunk_id")
-    assert [(r.chunk_id, r.chars) for r in packed(sized, 5, 100).orderBy("position").collect()] == [(11, 100)]
+    assert [(r.kind, r.id) for r in f.orderBy("position").collect()] == [("concept", 7), ("chunk", 11), ("chunk", 10)]
+    sized = f.join(spark.createDataFrame([("chunk", 10, 30), ("chunk", 11, 500), ("concept", 7, 60)], "kind string, id long, n long"), ["kind", "id"])
+    assert [(r.id, r.chars) for r in packed(sized, 5, 100).orderBy("position").collect()] == [(7, 60), (10, 30)]
+    assert [(r.id, r.chars) for r in packed(sized.where("id <> 7"), 5, 100).orderBy("position").collect()] == [(11, 100)]
 
 
 def test_closure_is_transitive(spark):
