@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenary.functions import text as X
+from lumenary.operators.sessions import latest
 from lumenary.runtime import ship
 
 
@@ -82,6 +83,20 @@ def report(chunks: DataFrame, chapters: DataFrame, concepts: DataFrame) -> DataF
     return by.withColumns({"memory_bytes": F.col("chars") + F.col("vector_bytes"), "error_rate": share})
 
 
+def retrieval_evidence(chunks: DataFrame, most: int = 500) -> DataFrame:
+    """Per chapter of chunks (chapter, page_start, page_end, dims: a vector's length or null): chunks, vectors, their share and lengths, the first page ranges, whether there are more.
+
+    A range without an end is one page; one that doesn't start at a page is none.
+    """
+    base = chunks.groupBy("chapter").agg(F.count("*").alias("chunks"), F.count_if(F.col("dims") > 0).alias("embedded"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("dims") > 0, F.col("dims")))), ",").alias("dims"))
+    ranges = chunks.where("page_start > 0").select("chapter", "page_start", F.coalesce("page_end", "page_start").alias("page_end")).distinct()
+    first = latest(ranges, ["chapter"], [F.asc("page_start"), F.asc("page_end")], most + 1)
+    listed = F.array_sort(F.collect_list(F.when(F.col("rn") <= most, F.struct("rn", F.concat_ws("-", "page_start", "page_end").alias("r")))))
+    pages = first.groupBy("chapter").agg(F.array_join(F.transform(listed, lambda x: x["r"]), ",").alias("ranges"), (F.max("rn") > most).alias("truncated"))
+    share = F.round(F.col("embedded") / F.col("chunks") * 100, 1).alias("embedded_percent")
+    return base.join(pages, "chapter", "left").select("chapter", "chunks", "embedded", share, "dims", F.coalesce("ranges", F.lit("")).alias("ranges"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
 def catalog(chunks: DataFrame) -> DataFrame:
     """Subject and chapter counts nested as text: chapter=n in order."""
     by = chunks.groupBy("subject", "chapter").agg(F.count("*").alias("n"))

@@ -116,6 +116,7 @@ def valid_options(options: Column) -> Column:
 NO_FACT = ("why ", "how ", "what ", "which ", "when ", "where ", "who ", "meaning ", "source:", "section content:", "common mistakes:", "key points:", "examples:", "formulas:")
 
 
+# The patterns of marks and heads that a fact loses, and of what is none.
 def clean_fact(c: Column) -> Column:
     """A line without list marks, bold heads and the words definition or explanation in front."""
     t = F.regexp_replace(X.squeezed(c), r"^[#>\-\d\.\)\s]+", "")

@@ -292,14 +292,55 @@ def overlap_pages(queries: DataFrame, chunks: DataFrame, top: int) -> DataFrame:
     return best.select("query_id", "id.chunk_id", F.row_number().over(order).cast("long").alias("position"))
 
 
+# What is only conversation; what goes on with the last turn, as a whole message, in front, or anywhere.
+SMALL_TALK = ("hi", "hello", "hey", "thanks", "thank you", "thankyou", "ok", "okay", "got it", "clear", "great", "cool", "perfect", "yes", "no", "not now")
+GOES_ON_WHOLE = ("why", "how", "why is that", "how does that work", "can you explain that", "one more example", "practice this", "test me on this", "quiz me on this")
+GOES_ON_FIRST = ("this", "that", "it", "same", "again", "simpler", "more", "example", "what about", "explain again", "show me", "test me", "quiz me")
+GOES_ON = (
+    "explain it", "explain this", "explain that", "simplify it", "simplify this", "simpler words", "simple words", "another example", "more examples", "show another", "tell me more", "go deeper", "in short",
+    "previous answer", "last answer", "same topic",
+)
+# An intent, its format, the declared intents that ask for it, what a message says that does; the first that holds counts.
+INTENTS = (
+    ("planning", "planning", ("planning", "plan"), ("study plan", "roadmap", "schedule", "what should i study")),
+    ("exam", "exam_answer", ("exam", "exam_prep"), ("exam answer", "board answer", "marks", "important question")),
+    ("revision", "revision", ("revision", "summary"), ("revise", "revision", "summary", "key points", "quick notes")),
+    ("practice", "quiz", ("practice", "quiz", "mcq"), ("quiz me", "test me", "mcq", "practice question")),
+    ("clarification", "stuck", (), ("confused", "stuck", "do not understand", "don't understand", "not getting")),
+    ("comparison", "comparison", (), ("difference between", "compare", "differentiate", " versus ", " vs ")),
+    ("numerical", "numerical", (), ("calculate", "find", "solve", "formula", "mass", "volume", "density")),
+    ("definition", "definition", (), ("define", "what is", "what are", "meaning", "definition", "describe")),
+)
+NO_INTENT = ("", "general", "concept", "curiosity")
+# What asks for the learner's own sources, and what may use them.
+GROUNDED = (
+    "from my notes", "from the notes", "from my material", "study material", "uploaded material", "uploaded notes", "selected chapter", "selected topic", "chapter data", "knowledge base", "according to my notes",
+    "according to the notes", "according to ncert", "from ncert", "in ncert", "textbook says", "from the textbook", "use my notes", "check my notes", "check the chapter", "check the textbook", "use the chapter",
+    "look in the notes", "verify from the notes", "latest syllabus", "current syllabus", "updated syllabus", "new syllabus", "latest notes", "updated notes", "latest study material",
+)
+OVERVIEWS = ("chapter overview", "lesson overview", "curriculum overview", "chapter recap")
+
+
 def intents(messages: DataFrame) -> DataFrame:
-    """An intent for each message by the first rule that holds, whether it needs sources, and whether it goes on with the last."""
-    t = F.lower("text")
-    quiz, asks = t.rlike(r"\b(quiz|test me|mcq)\b"), t.rlike(r"\b(why|how)\b")
-    rule = F.when(quiz, "quiz").when(asks, "explain").when(t.contains("?"), "question").when(F.length(t) < 20, "short").otherwise("statement")
-    policy = F.when(quiz, "practice").when(t.contains("?") | asks, "required").when(F.length(t) < 20, "none").otherwise("optional")
-    follows = (F.col("turn") > 1) & ((F.length(t) < 20) | t.rlike(r"\b(it|this|that|again|more)\b"))
-    return messages.withColumns({"intent": rule, "retrieval_policy": policy, "is_follow_up": follows})
+    """messages (text, declared, has_history) with intent, format, retrieval_policy, is_follow_up and reasoning, by the first rule that holds.
+
+    A null text is an empty one, which is conversation. A number and a word of calculation make a message numerical.
+    """
+    t = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
+    says = lambda phrases: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(t, p))
+    declared = F.lower(F.trim(F.coalesce("declared", F.lit(""))))
+    talk = t.isin(*SMALL_TALK) | (F.length(t) <= 2)
+    intent, form = F.when(talk, "conversation"), F.when(talk, "conversation")
+    for name, shape, asked, phrases in INTENTS:
+        hit = says(phrases) & t.rlike("[0-9]") if name == "numerical" else says(phrases)
+        hit = declared.isin(*asked) | hit if asked else hit
+        intent, form = intent.when(hit, name), form.when(hit, shape)
+    intent = intent.otherwise(F.when(declared.isin(*NO_INTENT), "concept").otherwise(declared))
+    policy = F.when(talk, "none").when(says(GROUNDED), "required").when(says(OVERVIEWS), "optional").otherwise("none")
+    first = F.exists(F.array(*map(F.lit, GOES_ON_FIRST)), lambda p: (t == p) | F.startswith(t, F.concat(p, F.lit(" "))))
+    follows = F.col("has_history") & (F.regexp_replace(t, "[?.!]+$", "").isin(*GOES_ON_WHOLE) | first | says(GOES_ON))
+    reasoning = F.when(talk, "conversation").when(policy == "required", "source_grounded").when(follows, "contextual_reasoning").otherwise("general_reasoning")
+    return messages.withColumns({"intent": intent, "format": form.otherwise("concept"), "retrieval_policy": policy, "is_follow_up": follows, "reasoning": reasoning})
 
 
 def lesson_memory(turns: DataFrame, last: int = 6, corrected: int = 4) -> DataFrame:

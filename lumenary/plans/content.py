@@ -92,6 +92,15 @@ def _(chunks, embeddings, labels):
     return C.report(sized, chapters, concepts)
 
 
+@query("D27_chunks", "chunks", "embeddings", sql="""
+    WITH c AS (SELECT chunks.*, LEN(embedding) AS dims FROM chunks LEFT JOIN embeddings ON vec_id = chunk_id), r AS (SELECT chapter, page_start, page_end, ROW_NUMBER() OVER (PARTITION BY chapter ORDER BY page_start, page_end) AS rn FROM (SELECT DISTINCT chapter, page_start, page_end FROM chunks WHERE page_start > 0) x),
+    p AS (SELECT chapter, STRING_AGG(page_start || '-' || page_end, ',' ORDER BY rn) FILTER (rn <= 40) AS ranges, MAX(rn) > 40 AS truncated FROM r GROUP BY chapter)
+    SELECT c.chapter, COUNT(*) AS chunks, COUNT(*) FILTER (dims > 0) AS embedded, ROUND(COUNT(*) FILTER (dims > 0) / COUNT(*) * 100, 1) AS embedded_percent, COALESCE(STRING_AGG(DISTINCT CAST(dims AS STRING), ','), '') AS dims, COALESCE(MAX(ranges), '') AS ranges, COALESCE(BOOL_OR(truncated), FALSE) AS truncated FROM c LEFT JOIN p ON p.chapter = c.chapter GROUP BY c.chapter""")
+def _(chunks, embeddings):
+    """What retrieval has of each chapter, with its first forty page ranges."""
+    return C.retrieval_evidence(chunks.join(embeddings.select(F.col("vec_id").alias("chunk_id"), F.size("embedding").alias("dims")), "chunk_id", "left"), 40)
+
+
 @query("D26", "chunks", "embeddings", sql="""
     WITH p AS (SELECT DISTINCT chapter, page_start AS page FROM chunks WHERE chunk_id % 2 = 0), c AS (SELECT chapter, UNNEST(list_distinct([page_start, page_end])) AS page, chunk_id FROM chunks),
     v AS (SELECT c.chapter, COUNT(p.page) AS verified, COUNT(*) AS cited FROM c LEFT JOIN p ON p.chapter = c.chapter AND p.page = c.page GROUP BY c.chapter)

@@ -139,11 +139,24 @@ def _(benchmark, chunks):
     return R.overlap_pages(_queries(benchmark).withColumn("chapter", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))), chunks, 4)
 
 
-@query("I14", "conversations", sql="""
-    SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\\b(quiz|test me|mcq)\\b') THEN 'quiz' WHEN regexp_matches(t, '\\b(why|how)\\b') THEN 'explain' WHEN contains(t, '?') THEN 'question' WHEN LENGTH(t) < 20 THEN 'short' ELSE 'statement' END AS intent,
-    CASE WHEN regexp_matches(t, '\\b(quiz|test me|mcq)\\b') THEN 'practice' WHEN contains(t, '?') OR regexp_matches(t, '\\b(why|how)\\b') THEN 'required' WHEN LENGTH(t) < 20 THEN 'none' ELSE 'optional' END AS retrieval_policy, turn > 1 AND (LENGTH(t) < 20 OR regexp_matches(t, '\\b(it|this|that|again|more)\\b')) AS is_follow_up FROM (SELECT *, LOWER(text) AS t FROM conversations) x""")
+_SAYS = lambda phrases: "(" + " OR ".join("contains(t, '" + p.replace("'", "''") + "')" for p in phrases) + ")"
+_IN = lambda words: ", ".join(f"'{w}'" for w in words)
+# every turn begins in one of sixteen ways, so that each rule holds for some
+_ASKED = """CASE turn % 16 WHEN 0 THEN 'What is ' WHEN 1 THEN 'Compare this: ' WHEN 2 THEN 'Find 12 of ' WHEN 3 THEN 'It is  hard. ' WHEN 4 THEN 'I am stuck. ' WHEN 5 THEN 'quiz me: ' WHEN 6 THEN 'Key points of ' WHEN 7 THEN 'Explain this from my notes: ' WHEN 8 THEN 'chapter recap ' WHEN 9 THEN 'two marks for ' WHEN 10 THEN 'my schedule ' ELSE '' END
+    || CASE turn % 16 WHEN 11 THEN 'Thank  you' WHEN 12 THEN 'Why is that?!' WHEN 13 THEN 'no' ELSE text END"""
+_DECLARED = "CASE conv_id % 9 WHEN 0 THEN 'Exam' WHEN 1 THEN 'summary' WHEN 2 THEN 'curiosity' WHEN 3 THEN 'Other' ELSE NULL END"
+
+
+@query("I14", "conversations", sql=f"""
+    WITH m AS (SELECT conv_id, turn, turn > 1 AS has_history, LOWER(TRIM(COALESCE({_DECLARED}, ''))) AS declared, TRIM(regexp_replace(LOWER({_ASKED}), '\\s+', ' ', 'g')) AS t FROM conversations),
+    p AS (SELECT *, t IN ({_IN(R.SMALL_TALK)}) OR LENGTH(t) <= 2 AS talk, {_SAYS(R.GROUNDED)} AS grounded, has_history AND (regexp_replace(t, '[?.!]+$', '') IN ({_IN(R.GOES_ON_WHOLE)}) OR regexp_matches(t, '^({'|'.join(R.GOES_ON_FIRST)})( |$)') OR {_SAYS(R.GOES_ON)}) AS is_follow_up FROM m),
+    i AS (SELECT *, CASE WHEN talk THEN 'conversation' {' '.join("WHEN " + (f"declared IN ({_IN(d)}) OR " if d else "") + _SAYS(w) + (" AND regexp_matches(t, '[0-9]')" if n == "numerical" else "") + f" THEN '{n}'" for n, _, d, w in R.INTENTS)} END AS rule FROM p)
+    SELECT conv_id, turn, COALESCE(rule, CASE WHEN declared IN ('', 'general', 'concept', 'curiosity') THEN 'concept' ELSE declared END) AS intent, CASE rule WHEN 'exam' THEN 'exam_answer' WHEN 'practice' THEN 'quiz' WHEN 'clarification' THEN 'stuck' ELSE COALESCE(rule, 'concept') END AS format,
+           CASE WHEN talk THEN 'none' WHEN grounded THEN 'required' WHEN {_SAYS(R.OVERVIEWS)} THEN 'optional' ELSE 'none' END AS retrieval_policy, is_follow_up, CASE WHEN talk THEN 'conversation' WHEN grounded THEN 'source_grounded' WHEN is_follow_up THEN 'contextual_reasoning' ELSE 'general_reasoning' END AS reasoning FROM i""")
 def _(conversations):
-    return R.intents(conversations).select("conv_id", "turn", "intent", "retrieval_policy", "is_follow_up")
+    """What every turn asks for."""
+    asked = conversations.select("conv_id", "turn", F.expr(_ASKED).alias("text"), F.expr(_DECLARED).alias("declared"), (F.col("turn") > 1).alias("has_history"))
+    return R.intents(asked).select("conv_id", "turn", "intent", "format", "retrieval_policy", "is_follow_up", "reasoning")
 
 
 @query("D43", "conversations", sql="""
