@@ -237,7 +237,8 @@ def bank_matches(messages: DataFrame, bank: DataFrame, k: int = 5, ignored: froz
     or row without text is like nothing.
     """
     size = lambda df: df.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 50)).head()[0] or 0
-    across, down = max(1, -(-size(messages) // MESSAGE_BYTES)), max(1, -(-size(bank) // BANK_BYTES))
+    # the cells are what there is to do at a time: enough of them for all cores, however small the tables are
+    across, down = max(messages.sparkSession.sparkContext.defaultParallelism, -(-size(messages) // MESSAGE_BYTES)), max(1, -(-size(bank) // BANK_BYTES))
     ship(messages.sparkSession)
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = messages.select("message_id", "text", F.pmod(F.xxhash64("message_id"), F.lit(across)).cast("int").alias("s"), all_(down).alias("b"))
