@@ -234,7 +234,7 @@ def overview(sessions: DataFrame, traces: DataFrame, interactions_users: DataFra
 
 # States that are shown as they are, failures, the forms of references and names that may be shown.
 STATES = ("success", "completed", "done", "failed", "error", "timeout", "timed_out", "needs_review", "fallback", "running", "active", "queued", "waiting", "skipped", "cancelled", "requested", "accepted")
-FAILED, TIMED_OUT = ("failed", "error", "timeout", "timed_out"), ("timeout", "timed_out")
+FAILURES, TIMED_OUT = ("failed", "error", "timeout", "timed_out"), ("timeout", "timed_out")
 REFERENCE, PROVIDER, MODEL = "^(run|turn)_[a-f0-9]{12}$", "^[a-zA-Z0-9_.-]{1,80}$", "^[a-zA-Z0-9_./:-]{1,120}$"
 
 
@@ -245,7 +245,7 @@ def masked(traces: DataFrame) -> DataFrame:
     """
     shown = lambda c, form: F.when(F.col(c).rlike(form), F.col(c))
     known = F.when(F.col("status").isin(*STATES), F.col("status")).otherwise("unknown")
-    wrong = F.when(F.col("status").isin(*TIMED_OUT), "timeout").when(F.col("status").isin(*FAILED), "execution")
+    wrong = F.when(F.col("status").isin(*TIMED_OUT), "timeout").when(F.col("status").isin(*FAILURES), "execution")
     return traces.select("id", known.alias("state"), shown("ref", REFERENCE).alias("ref"), shown("provider", PROVIDER).alias("provider"), shown("model", MODEL).alias("model"), F.when(F.col("latency_ms") > 0, F.col("latency_ms")).alias("latency_ms"), wrong.alias("error_class"))
 
 
