@@ -7,7 +7,6 @@ from collections import Counter
 from itertools import groupby
 from os.path import commonprefix
 
-import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +41,8 @@ DISGUISED = re.compile(r"[a-z][0-9@$!|+€(¡.*_\-]+[a-z]|^[0-9@$!|+€(¡]+[a-z
 PERHAPS = re.compile(r"([a-z])\1|[0-9@$!|+€(¡.*_\-]")
 #: Letters that a sign may stand for count as one; signs of no letter as none.
 CLASSES = {ord("l"): "i", **{ord(c): x[0] for c, x in LEET.items()}, **{ord(c): None for c in ".*_-"}}
+#: Signs that may be a sentence's at the end of a token.
+LAST = "!|(+¡"
 #: Letters of a word that is looked for across gaps, at least.
 GAPPED = 4
 AGAIN = re.compile(r"(.)\1+")
@@ -54,7 +55,8 @@ COUNTED = 100_000
 
 def skeleton(word: str) -> str:
     """A folded word without repeats, its signs as letters; the same for a word and its disguises of one token."""
-    return AGAIN.sub(r"\1", word.translate(CLASSES))
+    letters = word.replace("l", "i") if word.isalpha() else word.translate(CLASSES)
+    return AGAIN.sub(r"\1", letters)
 
 
 def letter_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -94,12 +96,8 @@ class Restorer:
         self.log = np.log((counts + 20 * back) / (two + 20)).tolist()
         self.memo: dict[str, tuple[str, ...]] = {}
         self.vocabulary, self.skeletons = words, {skeleton(w) for w in words}
-        self.joined = ahocorasick.Automaton()
-        for w in words:
-            if len(w) >= GAPPED:
-                self.joined.add_word(w, len(w))
-        if len(self.joined):
-            self.joined.make_automaton()
+        #: Beginnings of the words that are looked for across gaps.
+        self.begun = {w[:k] for w in words if len(w) >= GAPPED for k in range(1, len(w))}
         # the vocabulary as a tree: of each node its children by letter, and whether a word ends
         self.next: list[dict[int, int]] = [{}]
         self.ends = [False]
@@ -192,23 +190,23 @@ class Restorer:
         """The part of a token that has the skeleton of a word of the vocabulary but isn't one: signs at its end may be its own or the sentence's."""
         if not self.skeletons or plain in self.vocabulary or not PERHAPS.search(plain):
             return None
-        for part in (plain, plain.rstrip("!|(+¡")):
+        for part in (plain, plain.rstrip(LAST)) if plain[-1] in LAST else (plain,):
             if part not in self.vocabulary and skeleton(part) in self.skeletons and PERHAPS.search(part):
                 return part
         return None
 
     def groups(self, low: str) -> list[str]:
         """Neighbouring tokens, one of two letters or fewer among them, that are a word of the vocabulary without the gaps."""
-        hits = list(self.joined.iter(low.replace(" ", ""))) if len(self.joined) else []
-        if not hits:
-            return []
-        tokens = low.split(" ")
-        ends = np.cumsum([0, *map(len, tokens)])
+        begun, words, tokens = self.begun, self.vocabulary, low.split()
         out = []
-        for last, n in hits:
-            a, b = np.searchsorted(ends, last + 1 - n, "right") - 1, np.searchsorted(ends, last + 1)
-            if b - a > 1 and ends[a] == last + 1 - n and ends[b] == last + 1 and min(len(t) for t in tokens[a:b] if t) <= 2:
-                out.append(" ".join(t for t in tokens[a:b] if t))
+        for k in [k for k, t in enumerate(tokens) if t in begun]:
+            word, least = tokens[k], len(tokens[k])
+            for n in range(k + 1, len(tokens)):
+                word, least = word + tokens[n], min(least, len(tokens[n]))
+                if least <= 2 and len(word) >= GAPPED and word in words:
+                    out.append(" ".join(tokens[k : n + 1]))
+                if word not in begun:
+                    break
         return out
 
     @staticmethod
