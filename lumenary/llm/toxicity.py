@@ -171,10 +171,12 @@ class Restorer:
         """The words behind a lower-cased token or spaced-out run; its own where nothing is disguised."""
         got = self.memo.get(token)
         if got is None:
+            if token.isalpha() and token.isascii() and not AGAIN.search(token):
+                return (token,)  # neither a sign nor a repeat
             if len(self.memo) > REMEMBERED:
                 self.memo.clear()
-            core = EDGE.sub("", token)
-            plain = core.translate(FOLD)
+            core = token if token[:1].isalnum() and token[-1:].isalnum() else EDGE.sub("", token)
+            plain = core if core.isascii() else core.translate(FOLD)
             inside = self.hidden(plain) if " " not in token else None
             if inside:
                 got = tuple(dict.fromkeys(self.decode(inside, True).split()))
