@@ -263,3 +263,23 @@ def test_requests_meet_an_alias_of_many_units_once(spark):
             rows.append([k.nodeName() for k in kids])
         todo += kids
     assert rows and all("Aggregate" in r for r in rows)
+
+
+@pytest.mark.parametrize("keys", [[], ["subject"]])
+def test_patterns_are_the_merged_analyses_of_papers(spark, keys):
+    rng = random.Random(5)
+    rows = [(p, p * 7 % 3 if keys else 0, rng.choice([None, 1, 5, 6, 9]) if p % 2 else rng.randrange(1, 9), rng.choice("ABC"), rng.choice(["x", "y", None]), rng.choice(["Heat", "heat", "Optics", None, "Atoms"]), k) for p in range(60) for k in rng.sample(range(100), rng.randrange(1, 9))]
+    q = spark.createDataFrame(rows, "paper_id long, subject int, marks int, question_type string, difficulty string, topic string, question_number long")
+    papers = exams.paper_analyses(q, ("A",), tuple(keys))
+    most = F.array_sort(F.transform(F.map_entries("types"), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("key"))))[0]["key"]
+    sure = F.aggregate(F.filter(F.map_entries("marks"), lambda e: e["key"].cast("int") > 5), F.lit(0).cast("long"), lambda a, e: a + e["value"]) / F.col("total_questions")
+    want = exams.merged_analyses(papers.withColumns({"style": most, "confidence": sure, "repeated": exams.common(F.col("topics"), 20, 2)}), keys)
+    got = exams.paper_patterns(q, keys)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_patterns_read_the_questions_once_and_sum_in_hash_tables(spark):
+    for name in ("D31", "D32"):
+        df = QUERIES[name](spark, DATA)
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Generate explode") == 1 and plan.count("lineitem.parquet") == 1 and "SortAggregate" not in plan
