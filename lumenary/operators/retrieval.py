@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenary.functions import text as X
+from lumenary.operators.ranks import rank_within
 from lumenary.operators.sessions import latest
 from lumenary.runtime import ship
 
@@ -19,6 +21,8 @@ from lumenary.runtime import ship
 BLOCK_BYTES = 8 << 20
 #: Rows of each list that enter fusion.
 TOP = 100
+#: Rows that a task has at most before it hands them on, if all are wanted.
+OUT_ROWS = 200_000
 # What an exact match adds, and what a concept adds.
 EXACT, ADDED = 1000, {"concept": 3}
 
@@ -109,15 +113,16 @@ def term_blocks(queries: DataFrame) -> list[tuple[list, list[list[str]], list, l
     return out
 
 
-def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: int, weights: Callable, keys: str | None = None, words: bool = False, scoped: bool = False) -> DataFrame:
-    """(query_id, kind, id, score, exact, rank): the m best rows (kind, id, columns) of each query (query_id, query, topic).
+def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: int | None, weights: Callable, keys: str | None = None, words: bool = False, scoped: bool = False) -> DataFrame:
+    """(query_id, kind, id, score, exact, rank): the m best rows (kind, id, columns) of each query (query_id, query, topic), or all.
 
     A row's score is the sum over columns and the query's terms of weights(kind, column's number,
     occurrences without overlap, whether one stands as a word), 0 adds nothing; words: only rows that
     have a term as a word; scoped: only rows of the query's scope. With keys,
     a column of arrays, a row that has the query's topic among them is exact: EXACT more, whatever else
     it has. A kind of ADDED gets that more if it has any score or is exact. Blocks of queries go to all
-    tasks; texts are read once a block and never shuffled: a task keeps m rows a query.
+    tasks; texts are read once a block and never shuffled: a task keeps m rows a query. Without m a task hands on what it
+    has whenever that is OUT_ROWS, and places are counted over ranges of the order.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -144,7 +149,17 @@ def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: in
             for t, q in asking.items():
                 machine.add_word(t, (t, np.array(q)))
             machine.make_automaton()
-            best, letters, types = Best(len(ids), m), set("abcdefghijklmnopqrstuvwxyz0123456789"), None
+            best, letters, types = Best(len(ids), m or sys.maxsize), set("abcdefghijklmnopqrstuvwxyz0123456789"), None
+
+            def told():
+                query, score, row, exact = best.cut()
+                for a in range(0, len(query), 10_000):
+                    at = slice(a, a + 10_000)
+                    own = [best.rows[k] for k in row[at].tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[q] for q in query[at].tolist()]), pa.array([k for k, _ in own], types[0]), pa.array([dict(zip(fields, i)) for _, i in own] if fields else [i for _, i in own], types[1]), pa.array(score[at]), pa.array(exact[at])], names=["query_id", "kind", "id", "score", "exact"]
+                    )
+
             for part in batches:
                 types = [part.schema.field(c).type for c in ("kind", "id")]
                 fields = [f.name for f in types[1]] if pa.types.is_struct(types[1]) else []
@@ -187,20 +202,20 @@ def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: in
                     is_exact[exact] = True
                     some = np.flatnonzero((score > 0) | is_exact)
                     best.put((kind_now, id_now), some, score[some] + ADDED.get(kind_now, 0) + EXACT * is_exact[some], is_exact[some])
+                    if not m and best.waiting > OUT_ROWS:
+                        yield from told()
+                        best = Best(len(ids), sys.maxsize)
             if types:
-                query, score, row, exact = best.cut()
-                for a in range(0, len(query), 10_000):
-                    at = slice(a, a + 10_000)
-                    own = [best.rows[k] for k in row[at].tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[q] for q in query[at].tolist()]), pa.array([k for k, _ in own], types[0]), pa.array([dict(zip(fields, i)) for _, i in own] if fields else [i for _, i in own], types[1]), pa.array(score[at]), pa.array(exact[at])], names=["query_id", "kind", "id", "score", "exact"]
-                    )
+                yield from told()
 
         parts.append(low.mapInArrow(run, kind))
     if not parts:
         return spark.createDataFrame([], kind).withColumn("rank", F.lit(1).cast("long"))
     order = [F.desc("score"), F.asc("kind"), F.asc("id")]
-    return latest(reduce(DataFrame.unionByName, parts), ["query_id"], order, m).select("query_id", "kind", "id", "score", "exact", F.col("rn").cast("long").alias("rank"))
+    every = reduce(DataFrame.unionByName, parts)
+    if not m:
+        return rank_within(every, "query_id", order).select("query_id", "kind", "id", "score", "exact", F.col("rank").cast("long").alias("rank"))
+    return latest(every, ["query_id"], order, m).select("query_id", "kind", "id", "score", "exact", F.col("rn").cast("long").alias("rank"))
 
 
 def shared_terms(kind: str, place: int, n: int, whole: bool) -> float:
@@ -219,8 +234,8 @@ def lexical_best(queries: DataFrame, chunks: DataFrame, concepts: DataFrame, m:
     return best.select("query_id", "kind", "id", F.col("score").cast("long").alias("lexical"), "exact", "rank")
 
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame, m: int = TOP) -> DataFrame:
-    """(query_id, chunk_id, lexical, rank): the m best chunks that share a whole term with the query."""
+def lexical_scores(queries: DataFrame, chunks: DataFrame, m: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, lexical, rank): the chunks that share a whole term with the query, or the m best of them."""
     rows = chunks.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "text")
     best = best_by_terms(queries.withColumn("topic", F.lit(None).cast("string")), rows, ["text"], m, shared_terms, words=True)
     return best.select("query_id", F.col("id").alias("chunk_id"), F.col("score").cast("long").alias("lexical"), "rank")

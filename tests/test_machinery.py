@@ -283,3 +283,13 @@ def test_patterns_read_the_questions_once_and_sum_in_hash_tables(spark):
         df = QUERIES[name](spark, DATA)
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("Generate explode") == 1 and plan.count("lineitem.parquet") == 1 and "SortAggregate" not in plan
+
+
+def test_all_chunks_that_share_a_term_come(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "OUT_ROWS", 50)
+    chunks = spark.range(400).select(F.col("id").alias("chunk_id"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("heat "), F.repeat(F.lit("heat "), (F.col("id") % 7).cast("int")))).otherwise("reheats").alias("text"))
+    asked = spark.createDataFrame([(1, "Heat"), (2, "heat and work"), (3, "light")], "query_id long, query string")
+    got = {(r.query_id, r.chunk_id): (r.lexical, r["rank"]) for r in retrieval.lexical_scores(asked, chunks).collect()}
+    score = {k: 3 + k % 7 for k in range(400) if k % 4}
+    place = {k: i for i, k in enumerate(sorted(score, key=lambda k: (-score[k], k)), 1)}
+    assert got == {(q, k): (score[k], place[k]) for q in (1, 2) for k in score}
