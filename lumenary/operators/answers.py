@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -127,10 +126,12 @@ RATIO, TOKENS, COVERAGE, GRAMS, INSIDE = 0.38, 0.28, 0.20, 0.14, 0.08
 
 #: Characters of a block of messages and of a block of the bank.
 MESSAGE_BYTES, BANK_BYTES = 4 << 20, 1 << 20
+#: Messages whose ratios are worked out together, cells of one step of that, and cells from which a pair is matched by itself.
+TOGETHER, CELLS, LONG = 256, 1 << 18, 4 << 20
 
 
 class Message:
-    """A message as the likeness looks at it: plain text, words, runs of three characters, counts of characters."""
+    """A message as the likeness looks at it: plain text, words, runs of three characters."""
 
     def __init__(self, text: str | None, ignored: frozenset[str]):
         kept = "".join(c if c.isascii() and c.isalnum() or c in " '" else " " for c in (text or "").lower())
@@ -138,7 +139,6 @@ class Message:
         self.words = {w for w in self.text.split() if len(w) > 1 and w not in ignored}
         solid = self.text.replace(" ", "")
         self.grams = {solid[k : k + 3] for k in range(max(1, len(solid) - 2))} if solid else set()
-        self.letters = Counter(self.text)
 
 
 def shares(a: Message, b: Message) -> float:
@@ -173,11 +173,66 @@ def pair_likeness(pairs: DataFrame, left: str, right: str, ignored: frozenset[st
     return pairs.mapInArrow(run, kind)
 
 
+def longest(a: np.ndarray, b: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start in a, start in b, length) of the longest equal piece of each column of a and of b, the first in a, then in b.
+
+    a and b: a text's characters in a column, filled up with values that the other one hasn't; no piece is over bound.
+    """
+    n = a.shape[1]
+    size, i, j = (np.zeros(n, np.int64) for _ in range(3))
+    most = np.zeros(n, np.uint8 if bound < 256 else np.int32)
+    last, run = (np.zeros((len(b) + 1, n), most.dtype) for _ in range(2))
+    for y in range(len(a)):
+        np.add(last[:-1], 1, out=run[1:])
+        run[1:] *= (b == a[y]).view(np.uint8)
+        new = run.max(axis=0)
+        on = np.flatnonzero(new > most)
+        if len(on):
+            most[on] = size[on] = new[on]
+            i[on], j[on] = y + 1 - size[on], run[:, on].argmax(axis=0) - size[on]
+        last, run = run, last
+    return i, j, size
+
+
+def matched(texts: np.ndarray, seeds: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Characters in matching blocks of each pair (start, end of one text, start, end of the other), as SequenceMatcher finds them.
+
+    Of all pairs at once: the longest piece, then what is left and right of it, until nothing is left. seeds are
+    the characters that a piece may begin to be found by (0: none); it grows by any.
+    """
+    total, todo, owner = np.zeros(len(pairs), np.int64), pairs, np.arange(len(pairs))
+    while len(todo):
+        found = np.zeros((len(todo), 3), np.int64)
+        high, wide = todo[:, 1] - todo[:, 0], todo[:, 3] - todo[:, 2]
+        kind = np.ceil(np.log2(np.maximum(high, wide))).astype(int)
+        for k in np.unique(kind):
+            some = np.flatnonzero(kind == k)
+            step = max(1, CELLS // int(wide[some].max()))
+            for at in (some[c : c + step] for c in range(0, len(some), step)):
+                h, w = np.arange(high[at].max())[:, None], np.arange(wide[at].max())[:, None]
+                a = np.where(h < high[at], texts[np.minimum(todo[at, 0] + h, len(texts) - 1)], np.uint8(255))
+                b = np.where(w < wide[at], seeds[np.minimum(todo[at, 2] + w, len(seeds) - 1)], np.uint8(0))
+                found[at] = np.stack(longest(a, b, int(np.minimum(high, wide)[at].max())), axis=1)
+        i, j, size = found[:, 0] + todo[:, 0], found[:, 1] + todo[:, 2], found[:, 2]
+        on = np.arange(len(todo))
+        while len(on := on[(i[on] > todo[on, 0]) & (j[on] > todo[on, 2])]) and len(on := on[texts[i[on] - 1] == texts[j[on] - 1]]):
+            i[on], j[on], size[on] = i[on] - 1, j[on] - 1, size[on] + 1
+        on = np.arange(len(todo))
+        while len(on := on[(i[on] + size[on] < todo[on, 1]) & (j[on] + size[on] < todo[on, 3])]) and len(on := on[texts[i[on] + size[on]] == texts[j[on] + size[on]]]):
+            size[on] += 1
+        np.add.at(total, owner, size)
+        parts = np.concatenate([np.stack([todo[:, 0], i, todo[:, 2], j], axis=1), np.stack([i + size, todo[:, 1], j + size, todo[:, 3]], axis=1)])
+        left = np.tile(size > 0, 2) & (parts[:, 0] < parts[:, 1]) & (parts[:, 2] < parts[:, 3])
+        todo, owner = parts[left], np.tile(owner, 2)[left]
+    return total
+
+
 class Bank:
     """A block of known messages with inverted indexes of their words and runs of three characters.
 
-    The indexes give what a message shares with every row at once, the counts of letters bound its
-    matching blocks; the ratio itself is worked out only for rows whose bound reaches the k best so far.
+    The indexes give what a message shares with every row at once. Matching blocks follow one another in both
+    texts, so a longest common subsequence bounds them: that of all rows at once, with their places as bits of one
+    number. The ratio itself is worked out only for rows whose bound reaches the k best so far, for many messages at once.
     """
 
     def __init__(self, ids: list, texts: list[str | None], ignored: frozenset[str]):
@@ -186,9 +241,19 @@ class Bank:
         self.known = [Message(t, ignored) for _, t in rows]
         self.index = [self.inverted([m.words for m in self.known]), self.inverted([m.grams for m in self.known])]
         self.sizes = [np.array([len(x) for x in sets]) for sets in ([m.words for m in self.known], [m.grams for m in self.known])]
-        self.letters = {c: np.array([m.letters[c] for m in self.known]) for c in sorted(set().union(*(m.letters for m in self.known)))}
         self.length = np.array([len(m.text) for m in self.known])
-        self.matchers: dict[int, SequenceMatcher] = {}
+        # a row's characters and a place behind them that stays empty, where a carry ends
+        self.start = np.concatenate([[0], np.cumsum(self.length + 1)])[:-1]
+        chars = np.frombuffer("\0".join([*(m.text for m in self.known), ""]).encode("ascii"), np.uint8)
+        bits = lambda on: int.from_bytes(np.packbits(on, bitorder="little").tobytes(), "little")
+        self.places, self.all = len(chars), bits(chars != 0)
+        self.where = {chr(c): bits(chars == c) for c in np.unique(chars) if c}
+        # a row of 200 characters or more is not searched by those that are over a hundredth of it, as SequenceMatcher has it
+        self.chars, seeds = chars, chars.copy()
+        for a, n in zip(self.start[self.length >= 200].tolist(), self.length[self.length >= 200].tolist()):
+            row = seeds[a : a + n]
+            row[np.bincount(row, minlength=256)[row] > n // 100 + 1] = 0
+        self.seeds = seeds
 
     @staticmethod
     def inverted(sets: list[set[str]]) -> dict[str, np.ndarray]:
@@ -203,30 +268,64 @@ class Bank:
         lists = [index[x] for x in items if x in index]
         return np.bincount(np.concatenate(lists), minlength=len(self.ids)) if lists else np.zeros(len(self.ids), np.int64)
 
+    def common(self, text: str) -> np.ndarray:
+        """The length of the longest common subsequence of the text and each row."""
+        free = self.all
+        for c in text:
+            if hit := free & self.where.get(c, 0):
+                free = (free + hit | free ^ hit) & self.all
+        taken = np.unpackbits(np.frombuffer((self.all ^ free).to_bytes(-(-self.places // 8), "little"), np.uint8), bitorder="little")
+        return np.add.reduceat(taken, self.start, dtype=np.int64)
+
     def bounds(self, own: Message) -> tuple[np.ndarray, np.ndarray]:
         """What each row gets without the ratio and what it can't exceed with it."""
         words, grams = self.shared(0, own.words), self.shared(1, own.grams)
         alike = lambda n, size, m: n / np.maximum(1, size + m - n)
         sure = TOKENS * alike(words, self.sizes[0], len(own.words)) + COVERAGE * words / max(1, len(own.words)) + GRAMS * alike(grams, self.sizes[1], len(own.grams))
-        both = sum((np.minimum(self.letters[c], n) for c, n in own.letters.items() if c in self.letters), np.zeros(len(self.ids), np.int64))
+        both = self.common(own.text)
         most = sure + RATIO * 2 * both / np.maximum(1, self.length + len(own.text)) + np.where(both == np.minimum(self.length, len(own.text)), 1.0, 0.0)
         return sure, np.where(self.length > 0, most + 1e-4, 0.0)
 
+    def ratios(self, asked: list[tuple[Message, int]]) -> np.ndarray:
+        """SequenceMatcher's ratio of each message and row."""
+        size = np.array([len(m.text) for m, _ in asked])
+        row = np.array([r for _, r in asked], np.int64)
+        out = np.zeros(len(asked))
+        far = size * self.length[row] > LONG
+        for x in np.flatnonzero(far):
+            out[x] = SequenceMatcher(None, asked[x][0].text, self.known[row[x]].text).ratio()
+        if len(near := np.flatnonzero(~far)):
+            own = {id(asked[x][0]): asked[x][0].text for x in near}
+            start = dict(zip(own, len(self.chars) + np.cumsum([0, *map(len, own.values())])))
+            texts = np.concatenate([self.chars, np.frombuffer("".join(own.values()).encode("ascii"), np.uint8)])
+            a = np.array([start[id(asked[x][0])] for x in near])
+            pairs = np.stack([a, a + size[near], self.start[row[near]], self.start[row[near]] + self.length[row[near]]], axis=1)
+            out[near] = 2.0 * matched(texts, self.seeds, pairs) / (size[near] + self.length[row[near]])
+        return out
+
+    def best_of(self, texts: list[str | None], k: int) -> list[list[tuple[float, int]]]:
+        """(likeness, row) of the k likest rows of each text, the least id first among equal ones."""
+        own = [Message(t, self.ignored) for t in texts]
+        bound = [self.bounds(m) if m.text else (np.zeros(0), np.zeros(0)) for m in own]
+        order = [np.argsort(-most, kind="stable") for _, most in bound]
+        best: list[list[tuple[float, int]]] = [[] for _ in own]
+        done, step = [0] * len(own), 4 * k
+        while True:
+            todo = []
+            for q, (_, most) in enumerate(bound):
+                floor = -best[q][-1][0] if len(best[q]) == k else 0.0
+                rows = order[q][done[q] : done[q] + step]
+                rows = rows[(most[rows] >= floor) & (most[rows] > 0)].tolist()
+                done[q] += len(rows)
+                todo += [(q, r) for r in rows]
+            if not todo:
+                return [[(-s, row) for s, row in b if s < 0] for b in best]
+            for (q, row), ratio in zip(todo, self.ratios([(own[q], r) for q, r in todo]).tolist()):
+                score = round(finished(own[q], self.known[row], float(bound[q][0][row]) + RATIO * ratio), 4)
+                best[q] = sorted([*best[q], (-score, row)])[:k]
+
     def best(self, text: str | None, k: int) -> list[tuple[float, int]]:
-        """(likeness, row) of the k likest rows, the least id first among equal ones."""
-        own, best = Message(text, self.ignored), []
-        if not own.text:
-            return best
-        sure, most = self.bounds(own)
-        for row in np.argsort(-most, kind="stable").tolist():
-            if most[row] <= 0 or len(best) == k and most[row] < -best[-1][0]:
-                break
-            if (m := self.matchers.get(row)) is None:
-                m = self.matchers[row] = SequenceMatcher(None, "", self.known[row].text)
-            m.set_seq1(own.text)
-            score = round(finished(own, self.known[row], float(sure[row]) + RATIO * m.ratio()), 4)
-            best = sorted([*best, (-score, row)])[:k]
-        return [(-s, row) for s, row in best if s < 0]
+        return self.best_of([text], k)[0]
 
 
 def bank_matches(messages: DataFrame, bank: DataFrame, k: int = 5, ignored: frozenset[str] = frozenset()) -> DataFrame:
@@ -249,12 +348,16 @@ def bank_matches(messages: DataFrame, bank: DataFrame, k: int = 5, ignored: froz
         out: list[list] = [[], [], []]
         if known.num_rows:
             block = Bank(known["bank_id"].to_pylist(), known["text"].to_pylist(), ignored)
-            for name, text in zip(asked["message_id"].to_pylist(), asked["text"].to_pylist()):
-                for score, row in block.best(text, k):
-                    for c, v in zip(out, (name, block.ids[row], score)):
-                        c.append(v)
+            names, texts = asked["message_id"].to_pylist(), asked["text"].to_pylist()
+            for a in range(0, len(names), TOGETHER):
+                for name, rows in zip(names[a : a + TOGETHER], block.best_of(texts[a : a + TOGETHER], k)):
+                    for score, row in rows:
+                        for c, v in zip(out, (name, block.ids[row], score)):
+                            c.append(v)
         types = (asked.schema.field("message_id").type, known.schema.field("bank_id").type, pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=["message_id", "bank_id", "likeness"])
 
-    met = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInArrow(run, kind)
+    # a number of its own keeps small cells from being put into one task
+    dealt = lambda df: df.repartition(2 * across * down, "s", "b").groupBy("s", "b")
+    met = dealt(left).cogroup(dealt(right)).applyInArrow(run, kind)
     return latest(met, ["message_id"], [F.desc("likeness"), F.asc("bank_id")], k).select("message_id", "bank_id", "likeness", F.col("rn").cast("long").alias("rank"))

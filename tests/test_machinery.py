@@ -293,3 +293,30 @@ def test_all_chunks_that_share_a_term_come(spark, monkeypatch):
     score = {k: 3 + k % 7 for k in range(400) if k % 4}
     place = {k: i for i, k in enumerate(sorted(score, key=lambda k: (-score[k], k)), 1)}
     assert got == {(q, k): (score[k], place[k]) for q in (1, 2) for k in score}
+
+
+def test_ratios_of_many_pairs_are_those_of_the_sequence_matcher(monkeypatch):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    rows = ["".join(rng.choice("ab cdefgh"[: rng.choice([2, 4, 9])]) for _ in range(rng.choice([1, 5, 60, 199, 200, 330]))).strip() for _ in range(40)] + ["", "heat"]
+    bank = answers.Bank(list(range(len(rows))), rows, frozenset())
+    asked = [m for m in (answers.Message(x[::-1] if k % 2 else x[3:] + x[:3], frozenset()) for k, x in enumerate(rows)) if m.text]
+    pairs = [(m, r) for m in asked for r in range(len(rows)) if bank.known[r].text]
+    want = [SequenceMatcher(None, m.text, bank.known[r].text).ratio() for m, r in pairs]
+    assert bank.ratios(pairs).tolist() == want
+    monkeypatch.setattr(answers, "CELLS", 1000)
+    monkeypatch.setattr(answers, "LONG", 20_000)
+    assert bank.ratios(pairs).tolist() == want
+
+    def common(a, b):
+        old = [0] * (len(b) + 1)
+        for x in a:
+            line = [0]
+            for k, y in enumerate(b, 1):
+                line.append(old[k - 1] + 1 if x == y else max(line[-1], old[k]))
+            old = line
+        return old[-1]
+
+    for m in asked[:6]:
+        assert bank.common(m.text).tolist() == [common(m.text, k.text) for k in bank.known]
