@@ -135,8 +135,9 @@ def is_fact(t: Column) -> Column:
 
 def grounded_facts(docs: DataFrame, most: int = 18, enough: int = 8) -> DataFrame:
     """(doc_id, facts, text): each text's distinct facts in order, of lines; of sentences too where lines give fewer than enough."""
-    parts = lambda phase, pattern: docs.select("doc_id", F.lit(phase).alias("phase"), F.posexplode(F.split("text", pattern)).alias("no", "fact"))
-    rows = parts(0, r"[\r\n]+").unionByName(parts(1, r"(?<=[.!?])\s+")).withColumn("fact", clean_fact(F.col("fact"))).where(is_fact(F.col("fact")))
+    parts = lambda phase, pattern: docs.select("doc_id", F.lit(phase).alias("phase"), F.posexplode(F.transform(F.split("text", pattern), clean_fact)).alias("no", "fact"))
+    # lines are clean before they are rows: a filter on a cleaned column would clean a line anew for each of its conditions
+    rows = parts(0, r"[\r\n]+").unionByName(parts(1, r"(?<=[.!?])\s+")).where(is_fact(F.col("fact")))
     once = rows.groupBy("doc_id", F.lower("fact").alias("k")).agg(F.min(F.struct("phase", "no", "fact")).alias("x")).select("doc_id", "x.*")
     lines = once.groupBy("doc_id").agg(F.count_if(F.col("phase") == 0).alias("n"))
     kept = latest(once.join(lines, "doc_id").where((F.col("phase") == 0) | (F.col("n") < enough)), ["doc_id"], [F.asc("phase"), F.asc("no")], most)

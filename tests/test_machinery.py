@@ -320,3 +320,9 @@ def test_ratios_of_many_pairs_are_those_of_the_sequence_matcher(monkeypatch):
 
     for m in asked[:6]:
         assert bank.common(m.text).tolist() == [common(m.text, k.text) for k in bank.known]
+
+
+def test_lines_are_cleaned_once_each(spark):
+    df = misc.grounded_facts(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_replace" in x]
