@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import zlib
+import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenary.llm.common import documents, map_slices, strings, table
+from lumenary.operators.ranks import global_rank
+from lumenary.runtime import checkpointed
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Labelled rows that the forest is fitted on at most: those of least hash of the id.
-SAMPLE = 20_000
 TREES, TREE_ROWS, SEED = 100, 256, 11
 #: Share of rows labelled good that the threshold may reject.
 LOSS = 0.01
+#: Spans of scores in which the rows above a score are counted.
+SPANS = 4096
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 
@@ -84,20 +86,21 @@ class IsolationForest:
 
     rows are what is normal; space, if given, holds rows of all kinds. Splits are drawn over
     the box that space spans and not only over the rows at hand, so a value that no normal row
-    has is isolated early even where normal rows are all alike.
+    has is isolated early even where normal rows are all alike. picks, if given, are the rows of each
+    tree, drawn elsewhere.
     """
 
-    def __init__(self, rows: np.ndarray, space: np.ndarray | None = None, trees: int = TREES, size: int = TREE_ROWS, seed: int = SEED):
+    def __init__(self, rows: np.ndarray, space: np.ndarray | None = None, trees: int = TREES, size: int = TREE_ROWS, seed: int = SEED, picks: list[np.ndarray] | None = None):
         rng = np.random.default_rng(seed)
         space = rows if space is None else space
-        self.size = min(size, len(rows))
+        self.size = len(picks[0]) if picks else min(size, len(rows))
         self.depth = max(1, int(np.ceil(np.log2(max(self.size, 2)))))
         n = 2 ** (self.depth + 1) - 1
         self.feature = np.zeros((trees, n), np.int64)
         self.split = np.full((trees, n), np.inf)  # leaves send all rows left, at no added depth
         self.path = np.zeros((trees, n))
         for t in range(trees):
-            pick = rows[rng.choice(len(rows), self.size, replace=False)]
+            pick = picks[t] if picks else rows[rng.choice(len(rows), self.size, replace=False)]
             self._grow(t, 0, 0, pick, space.min(axis=0), space.max(axis=0), rng)
 
     @staticmethod
@@ -142,33 +145,77 @@ def base_failed(words, repeats):
     return (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT * words)
 
 
-def fit(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[IsolationForest | None, float]:
+def fit(measured: DataFrame, labels: DataFrame) -> tuple[IsolationForest | None, float]:
     """A forest over good labelled rows, and the score over which a row is an anomaly.
 
-    At most `sample` labelled rows that pass the base rules are used, by hash of the id, so the
-    same rows whenever it runs. The forest grows on those of quality 1, so that it isolates what
-    is rare there. The threshold comes from scores of rows that no tree has seen: of each half of
-    the rows (by crc32 of the id) under a forest grown on the other half. Of the thresholds that
-    lose at most LOSS of the good rows the one is taken that tells the two labels apart best.
-    Without good rows in both halves and bad ones to hold against, nothing is an anomaly.
+    All labelled rows that pass the base rules count. The forest grows on those of quality 1, so
+    that it isolates what is rare there: each tree on TREE_ROWS of them, drawn by their places
+    among all, in the box that all labelled rows span. The threshold comes from scores of rows that no
+    tree has seen: of each half of the rows (by crc32 of the id) under a forest grown on the other half.
+    Of the thresholds that lose at most LOSS of the good rows the one is taken that tells the
+    two labels apart best. Without good rows in both halves and bad ones to hold against, nothing is an anomaly.
     """
-    pick = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    pick = pick.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = measured.join(F.broadcast(pick), "doc_id").select("doc_id", "quality", *COUNTS).distinct().collect()
-    rows = sorted(r for r in rows if not base_failed(r.n_words, r.n_repeat_words))
-    good = np.array([r.quality == 1 for r in rows], bool)
-    half = np.array([zlib.crc32(str(r.doc_id).encode()) % 2 == 0 for r in rows], bool)
-    if not (good & half).any() or not (good & ~half).any() or good.all():
+    pick = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = measured.join(pick, "doc_id").select("doc_id", "quality", *COUNTS).distinct().where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    rows = rows.withColumns({"good": F.col("quality") == 1, "half": F.crc32(F.col("doc_id").cast("string")) % 2 == 0})
+    rows = global_rank(rows, [F.desc("good"), F.asc("half"), F.asc("doc_id"), *COUNTS], "place")
+    some, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
+    rates = (F.col("word_chars") / some, 100 * F.col("n_symbols") / chars, 100 * F.col("n_dup_lines") / some, F.col("n_repeat_words") / some)
+    n = rows.agg(F.count_if(F.col("good") & ~F.col("half")), F.count_if(F.col("good") & F.col("half")), F.count_if(~F.col("good")), *(f(c) for f in (F.min, F.max) for c in rates)).head()
+    first, second, bad = n[:3]
+    if not first or not second or not bad:
         return None, 1.0
-    x = features(np.array([[r[c] for c in COUNTS] for r in rows], np.int64).T)
-    score = np.zeros(len(rows))
-    for part in (half, ~half):
-        score[part] = IsolationForest(x[good & ~part], x).score(x[part])
-    order = np.unique(score)
-    least = np.quantile(score[good], 1 - LOSS, method="higher")
-    options = order[order >= least]
-    gain = [(score[~good] > c).mean() - (score[good] > c).mean() for c in options]
-    return IsolationForest(x[good], x), float(options[int(np.argmax(gain))])
+    # good rows have the first places, those outside the half before those in it; the rates' logarithms keep their order
+    space = np.array(n[3:], float).reshape(2, 4)
+    space[:, :3] = np.log1p(space[:, :3])
+    rng = np.random.default_rng(SEED)
+    drawn = [[low + 1 + rng.choice(size, min(TREE_ROWS, size), replace=False) for _ in range(TREES)] for low, size in ((0, first), (first, second), (0, first + second))]
+    places = np.unique(np.concatenate([x for d in drawn for x in d]))
+    wanted = measured.sparkSession.createDataFrame([(int(x),) for x in places], "place long")
+    got = rows.join(F.broadcast(wanted), "place").select("place", *COUNTS).toPandas().sort_values("place")
+    x = features(got[list(COUNTS)].to_numpy(np.int64).T)
+    forests = [IsolationForest(x, space, picks=[x[np.searchsorted(places, p)] for p in d]) for d in drawn]
+    return forests[2], threshold_of(unseen_scores(rows, *forests[:2]))
+
+
+def unseen_scores(rows: DataFrame, outside: IsolationForest, inside: IsolationForest) -> DataFrame:
+    """(score, good, bad): how many rows of each label have a score under the forest grown on the other half."""
+    shared = rows.sparkSession.sparkContext.broadcast((outside, inside))
+
+    def start():
+        def step(part):
+            x = features(np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in COUNTS]))
+            half = part.column("half").to_numpy(zero_copy_only=False).astype(bool)
+            score = np.zeros(len(x))
+            for on, forest in zip((half, ~half), shared.value):
+                score[on] = forest.score(x[on])
+            return [score, part.column("good")]
+
+        return step
+
+    scored = map_slices(rows.select("half", "good", *COUNTS), start, "score double, good boolean", None)
+    return checkpointed(scored.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")))
+
+
+def threshold_of(scores: DataFrame, loss: float = LOSS) -> float:
+    """The score over which most bad rows and at most that share of the good ones lie; scores: (score, good, bad), each score once.
+
+    Rows above a score are counted by spans of scores, and within a span in order, so no task sees all scores.
+    """
+    scores = scores.withColumn("span", F.floor(F.col("score") * SPANS))
+    spans = scores.groupBy("span").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    sizes = sorted(spans.collect(), reverse=True)
+    good, bad = sum(r.g for r in sizes), sum(r.b for r in sizes)
+    before, g, b = [], 0, 0
+    for r in sizes:
+        before.append((r.span, g, b))
+        g, b = g + r.g, b + r.b
+    above = Window.partitionBy("span").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    over = lambda c, rest: F.coalesce(F.sum(c).over(above), F.lit(0)) + F.col(rest)
+    rows = scores.join(F.broadcast(scores.sparkSession.createDataFrame(before, "span long, g0 long, b0 long")), "span").withColumns({"g": over("good", "g0"), "b": over("bad", "b0")})
+    # the least of the scores that lose few enough good rows is the good rows' quantile, or the next above it
+    options = rows.where(F.col("g") < good - math.ceil((good - 1) * (1 - loss)))
+    return options.agg(F.max_by("score", F.struct(F.col("b") * good - F.col("g") * bad, -F.col("score")))).head()[0]
 
 
 def judge(measured: DataFrame, forest: IsolationForest | None, threshold: float) -> DataFrame:
@@ -195,12 +242,6 @@ def op4_isolation_rules(spark, sf_dir: str) -> DataFrame:
     other columns play no part; an empty table gives no rows; a text is measured whole, however
     long; a score at the threshold is no anomaly.
     """
-    measured = counts(documents(spark, sf_dir))
-    forest, threshold = fit(counts(labelled(spark, sf_dir)), table(spark, sf_dir, "labels"))
+    measured = checkpointed(counts(documents(spark, sf_dir)))
+    forest, threshold = fit(measured, table(spark, sf_dir, "labels"))
     return judge(measured, forest, threshold)
-
-
-def labelled(spark, sf_dir: str) -> DataFrame:
-    """The documents of the labelled rows that fit() may use, so that only those are measured for it."""
-    pick = table(spark, sf_dir, "labels").where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    return documents(spark, sf_dir).join(F.broadcast(pick), "doc_id", "left_semi")

@@ -243,6 +243,33 @@ def test_forest_scores_are_mean_depths():
     assert forest.score(np.array([[9.0, 9, 9, 9]]))[0] > np.quantile(forest.score(rows), 0.95)
 
 
+def test_thresholds_are_of_all_scores(spark):
+    rng = np.random.default_rng(5)
+    score, good = np.round(rng.beta(4, 6, 30_000), 4), rng.random(30_000) < 0.9
+    score[~good] += 0.2
+    order = np.unique(score)
+    options = order[order >= np.quantile(score[good], 1 - rules.LOSS, method="higher")]
+    want = options[int(np.argmax([(score[~good] > c).mean() - (score[good] > c).mean() for c in options]))]
+    told = [(float(c), int((good & (score == c)).sum()), int((~good & (score == c)).sum())) for c in order]
+    assert rules.threshold_of(spark.createDataFrame(told, "score double, good long, bad long")) == want
+
+
+def test_rules_are_fitted_on_all_labelled_rows(spark):
+    ids = F.col("id")
+    counted = spark.range(50_000).select(ids.alias("doc_id"), F.lit(100).alias("n_words"), (400 + ids % 200).alias("word_chars"), F.when(ids % 10 == 0, 90).otherwise(ids % 3).alias("n_symbols"), F.lit(0).alias("n_dup_lines"), F.lit(0).alias("n_repeat_words"))
+    counted = counted.select("doc_id", *(F.col(c).cast("long").alias(c) for c in rules.COUNTS))
+    labels = spark.range(50_000).select(ids.alias("doc_id"), (ids % 10 != 0).cast("int").alias("quality"))
+    seen, told = [], rules.unseen_scores
+    rules.unseen_scores = lambda *a: seen.append(told(*a)) or seen[0]
+    try:
+        forest, threshold = rules.fit(counted, labels)
+    finally:
+        rules.unseen_scores = told
+    assert tuple(seen[0].agg(F.sum("good"), F.sum("bad")).head()) == (45_000, 5_000)
+    out = rules.judge(counted, forest, threshold).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    assert {r.quality: r.kept > 0.97 for r in out} == {0: False, 1: True}
+
+
 def test_rules_without_labels_reject_nothing_more(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = rules.judge(rules.counts(odd), *rules.fit(rules.counts(odd), labels)).collect()
