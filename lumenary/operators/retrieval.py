@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ BLOCK_BYTES = 8 << 20
 TOP = 100
 #: Rows that a task has at most before it hands them on, if all are wanted.
 OUT_ROWS = 200_000
+#: Pairs of vectors and queries that a task multiplies at once.
+CELLS = 2_000_000
 # What an exact match adds, and what a concept adds.
 EXACT, ADDED = 1000, {"concept": 3}
 
@@ -48,15 +51,110 @@ def vector_matches(queries: DataFrame, vectors: DataFrame, k: int | None, least:
     """(query_id, vec_id, similarity, rank): the k nearest compatible vectors of each query, at least `least` alike.
 
     queries go to all tasks in blocks, each against all vectors, which are read once a block and
-    never shuffled whole: each task keeps k a query. Without k all such pairs come, unranked.
+    never shuffled whole: a matrix product tells which pairs may count, those are summed in order, and each
+    task hands on its k best of a query. Without k all such pairs come, unranked.
     """
-    met = reduce(DataFrame.unionByName, (vectors.join(F.broadcast(q), "model") for q in blocks(queries)))
-    pairs = met.withColumn("similarity", dot(F.col("embedding"), F.col("query"))).where(F.col("similarity") >= least)
+    spark = vectors.sparkSession
+    ship(spark)
+    kind = T.StructType([queries.schema["query_id"], vectors.schema["vec_id"], T.StructField("similarity", T.DoubleType())])
+    rows, parts = vectors.select("vec_id", "model", "embedding"), []
+    for block in blocks(queries.select("query_id", "model", "query")):
+        parts.append(rows.mapInArrow(nearest(spark.sparkContext.broadcast(block.toArrow()), k, least, CELLS), kind))
+    pairs = reduce(DataFrame.unionByName, parts)
     if k is None:
         return pairs.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
     return latest(pairs, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rn").cast("long").alias("rank"))
 
 
+def by_model(part: pa.RecordBatch | pa.Table, id_: str, vector: str) -> dict:
+    """{(model, length): (ids, matrix)} of the rows that have both; a vector with a null in it is like none."""
+    found: dict = {}
+    part = pa.Table.from_batches([part]) if isinstance(part, pa.RecordBatch) else part
+    vectors, models = part.column(vector).combine_chunks(), part.column("model").to_numpy()
+    size = pc.list_value_length(vectors)
+    values = pc.list_flatten(vectors)
+    nulls = np.zeros(len(vectors), bool)
+    nulls[pc.filter(pc.list_parent_indices(vectors), values.is_null()).to_numpy()] = True
+    nulls |= pc.is_null(vectors).to_numpy(zero_copy_only=False) | part.column("model").is_null().to_numpy()
+    size = pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, start = values.to_numpy(zero_copy_only=False).astype(float), np.cumsum(size) - size
+    for key in sorted({(m, n) for m, n, off in zip(models.tolist(), size.tolist(), nulls.tolist()) if not off}):
+        on = np.flatnonzero(~nulls & (models == key[0]) & (size == key[1]))
+        found[key] = part.column(id_).combine_chunks().take(pa.array(on)), flat[start[on][:, None] + np.arange(key[1])]
+    return found
+
+
+def in_order(a: np.ndarray, row: np.ndarray, b: np.ndarray, query: np.ndarray, step: int = 50_000) -> np.ndarray:
+    """Sums of products of rows of a and of b, added up from the first column on as dot() does."""
+    total = np.zeros(len(row))
+    for k in range(0, len(row), step):
+        x, y, t = a[row[k : k + step]], b[query[k : k + step]], total[k : k + step]
+        for c in range(a.shape[1]):
+            t += x[:, c] * y[:, c]
+    return total
+
+
+def nearest(shared, k: int | None, least: float, cells: int) -> Callable:
+    """A function of batches (vec_id, model, embedding) that gives (query_id, vec_id, similarity): with k, the k best of each query.
+
+    A product of matrices may add up in another order, so what lies under a bound by less than its error is summed again.
+    """
+
+    def run(batches):
+        asked = by_model(shared.value, "query_id", "query")
+        best: dict = {key: (np.zeros(0, np.int64), pa.array([]), np.zeros(0)) for key in asked}
+        floor = {key: np.full(len(ids), least) for key, (ids, _) in asked.items()}
+        length = {key: np.sqrt((q * q).sum(axis=1)) for key, (_, q) in asked.items()}
+
+        def told(key):
+            query, ids, score = best[key]
+            for a in range(0, len(query), OUT_ROWS):
+                at = slice(a, a + OUT_ROWS)
+                yield pa.RecordBatch.from_arrays([asked[key][0].take(pa.array(query[at])), ids[at], pa.array(score[at])], names=["query_id", "vec_id", "similarity"])
+
+        def met(key, ids, rows):
+            queries = asked[key][1]
+            # twice what a sum of so many rounded products can be off by
+            error = 4 * key[1] * np.finfo(float).eps * np.sqrt((rows * rows).sum(axis=1))[:, None] * length[key]
+            about = rows @ queries.T
+            close = ~(about < floor[key] - error)
+            if k is not None and len(rows) > k and close.sum() > 4 * k * len(queries):
+                # that many of these rows are as near at least
+                close &= ~(about < np.partition(about - error, len(rows) - k, axis=0)[len(rows) - k] - error)
+            row, query = np.nonzero(close)
+            score = in_order(rows, row, queries, query)
+            on = ~(score < floor[key][query])
+            row, query, score = row[on], query[on], score[on]
+            query, score = np.concatenate([best[key][0], query]), np.concatenate([best[key][2], score])
+            ids = pa.concat_arrays([best[key][1].cast(ids.type), ids.take(pa.array(row))])
+            if k is not None:  # NaN counts as the greatest, as in Spark
+                order = np.lexsort((ids.to_numpy(zero_copy_only=False), -np.where(np.isnan(score), np.inf, score), ~np.isnan(score), query))
+                query, score = query[order], score[order]
+                first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+                size = np.diff(np.r_[first, len(query)])
+                full = first[size >= k]
+                floor[key][query[full]] = np.maximum(least, score[full + k - 1])
+                on = np.arange(len(query)) - np.repeat(first, size) < k
+                query, score, ids = query[on], score[on], ids.take(pa.array(order[on]))
+            best[key] = query, ids, score
+
+        with np.errstate(invalid="ignore", over="ignore"):
+            for part in batches:
+                for key, (ids, rows) in by_model(part, "vec_id", "embedding").items():
+                    if key not in asked:
+                        continue
+                    step = max(1, cells // len(asked[key][0]))
+                    for a in range(0, len(rows), step):
+                        met(key, ids[a : a + step], rows[a : a + step])
+                        if k is None:
+                            yield from told(key)
+                            best[key] = best[key][0][:0], best[key][1][:0], best[key][2][:0]
+            for key in best if k is not None else ():
+                yield from told(key)
+
+    return run
+
+
 class Best:
     """The m best rows of each query among those put in so far: highest scores first, then least keys.
 

@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenary.functions import text as X
-from lumenary.operators import content, planning, ranks, sessions, traces
+from lumenary.operators import content, planning, ranks, retrieval, sessions, traces
 from lumenary.operators.retrieval import fused, packed, vector_matches
 from lumenary.plans.registry import QUERIES
 
@@ -80,6 +81,31 @@ def test_vectors_of_other_models_do_not_match(spark):
     assert [r.vec_id for r in vector_matches(q, v, 5).collect()] == [1]
 
 
+def test_nearest_vectors_equal_the_sums_in_order(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 16)).astype(np.float32).round(1)
+    x[300:700] = x[7]  # copies tie: the least ids count
+    rows = [(i, i % 2, [float(c) for c in r]) for i, r in enumerate(x)]
+    rows += [(900, 0, None), (901, 0, [None, *rows[0][2][1:]]), (902, None, rows[0][2]), (903, 0, [float("nan"), *rows[0][2][1:]]), (904, 1, [])]
+    v = spark.createDataFrame(rows, "vec_id long, model int, embedding array<float>").repartition(5)
+    q = v.where("vec_id % 3 = 0 and vec_id <> 903").select(F.col("vec_id").alias("query_id"), "model", F.col("embedding").alias("query"))
+    pairs = v.join(q, "model").withColumn("s", retrieval.dot(F.col("embedding"), F.col("query"))).where("s >= 0.25")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))
+    want = pairs.select("query_id", "vec_id", F.round("s", 6).alias("s"), rank.alias("r")).cache()
+    told = lambda df: sorted(map(str, df.collect()))
+    for cells in (retrieval.CELLS, 1000):
+        kept, retrieval.CELLS = retrieval.CELLS, cells
+        try:
+            assert told(vector_matches(q, v, 7).toDF("query_id", "vec_id", "s", "r")) == told(want.where("r <= 7").withColumn("r", F.col("r").cast("long")))
+            assert told(vector_matches(q, v, None).toDF("query_id", "vec_id", "s")) == told(want.drop("r"))
+        finally:
+            retrieval.CELLS = kept
+    plan = vector_matches(q, v, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # a join makes a row of every pair
+
+
 def test_over_10_000_vector_queries_are_all_answered(spark):
     q = spark.range(10_050).select(F.col("id").alias("query_id"), F.lit(0).alias("model"), F.array(F.lit(1.0), F.col("id") % 2).cast("array<float>").alias("query"))
     v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.5, 0.9])], "vec_id long, model int, embedding array<float>")
