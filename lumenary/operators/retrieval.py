@@ -198,16 +198,22 @@ class Best:
         return self.parts[0]
 
 
-def term_blocks(queries: DataFrame) -> list[tuple[list, list[list[str]], list, list]]:
-    """queries (query_id, query, topic, scope if any) as blocks (ids, terms, topic keys, scopes) of about BLOCK_BYTES of text each."""
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """queries (query_id, query, topic, scope if any) as (query_id, terms, topic's key, scope, asks); what asks the same has one value of asks."""
     scope = F.col("scope") if "scope" in queries.columns else F.lit(None).cast("string").alias("scope")
     asked = queries.select("query_id", X.terms(F.concat_ws(" ", "topic", "query")).alias("terms"), X.normal_key(F.col("topic")).alias("topic"), scope)
+    return asked.withColumn("asks", F.sha2(F.to_json(F.struct("terms", "topic", "scope")), 256))
+
+
+def term_blocks(queries: DataFrame) -> list[tuple[list, list[list[str]], list, list]]:
+    """What queries ask, each once, as blocks (asks, terms, topic keys, scopes) of about BLOCK_BYTES of text each."""
+    asked = asked_terms(queries).dropDuplicates(["asks"])
     total = asked.agg(F.sum(F.length(F.concat_ws(" ", "terms")) + 40)).head()[0] or 0
     n = -(-total // BLOCK_BYTES)
     out = []
     for b in range(n):
-        got = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).toArrow()
-        out.append(tuple(got[c].to_pylist() for c in ("query_id", "terms", "topic", "scope")))
+        got = asked.where(F.pmod(F.xxhash64("asks"), F.lit(n)) == b).toArrow()
+        out.append(tuple(got[c].to_pylist() for c in ("asks", "terms", "topic", "scope")))
     return out
 
 
@@ -218,14 +224,15 @@ def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: in
     occurrences without overlap, whether one stands as a word), 0 adds nothing; words: only rows that
     have a term as a word; scoped: only rows of the query's scope. With keys,
     a column of arrays, a row that has the query's topic among them is exact: EXACT more, whatever else
-    it has. A kind of ADDED gets that more if it has any score or is exact. Blocks of queries go to all
-    tasks; texts are read once a block and never shuffled: a task keeps m rows a query. Without m a task hands on what it
+    it has. A kind of ADDED gets that more if it has any score or is exact. Queries of the same terms, topic and scope are
+    answered once, and each gets the answer by a join at the end. Blocks of what is asked go to all
+    tasks; texts are read once a block: a task keeps m rows for each. Without m a task hands on what it
     has whenever that is OUT_ROWS, and places are counted over ranges of the order.
     """
     spark = rows.sparkSession
     ship(spark)
     low = rows.select("kind", "id", *(F.lower(c).alias(f"c{k}") for k, c in enumerate(columns)), (F.col(keys) if keys else F.array().cast("array<string>")).alias("keys"), (F.col("scope") if scoped else F.lit(None).cast("string").alias("scope")))
-    kind = T.StructType([queries.schema["query_id"], T.StructField("kind", T.StringType()), rows.schema["id"], *T._parse_datatype_string("score double, exact boolean").fields])
+    kind = T.StructType([T.StructField("asks", T.StringType()), T.StructField("kind", T.StringType()), rows.schema["id"], *T._parse_datatype_string("score double, exact boolean").fields])
     places, parts = len(columns), []
     for block in term_blocks(queries):
         shared = spark.sparkContext.broadcast(block)
@@ -255,7 +262,7 @@ def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: in
                     at = slice(a, a + 10_000)
                     own = [best.rows[k] for k in row[at].tolist()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[q] for q in query[at].tolist()]), pa.array([k for k, _ in own], types[0]), pa.array([dict(zip(fields, i)) for _, i in own] if fields else [i for _, i in own], types[1]), pa.array(score[at]), pa.array(exact[at])], names=["query_id", "kind", "id", "score", "exact"]
+                        [pa.array([ids[q] for q in query[at].tolist()]), pa.array([k for k, _ in own], types[0]), pa.array([dict(zip(fields, i)) for _, i in own] if fields else [i for _, i in own], types[1]), pa.array(score[at]), pa.array(exact[at])], names=["asks", "kind", "id", "score", "exact"]
                     )
 
             for part in batches:
@@ -307,13 +314,10 @@ def best_by_terms(queries: DataFrame, rows: DataFrame, columns: list[str], m: in
                 yield from told()
 
         parts.append(low.mapInArrow(run, kind))
-    if not parts:
-        return spark.createDataFrame([], kind).withColumn("rank", F.lit(1).cast("long"))
     order = [F.desc("score"), F.asc("kind"), F.asc("id")]
-    every = reduce(DataFrame.unionByName, parts)
-    if not m:
-        return rank_within(every, "query_id", order).select("query_id", "kind", "id", "score", "exact", F.col("rank").cast("long").alias("rank"))
-    return latest(every, ["query_id"], order, m).select("query_id", "kind", "id", "score", "exact", F.col("rn").cast("long").alias("rank"))
+    every = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], kind)
+    ranked = latest(every, ["asks"], order, m, "rank") if m else rank_within(every, "asks", order)
+    return asked_terms(queries).select("query_id", "asks").join(ranked, "asks").select("query_id", "kind", "id", "score", "exact", F.col("rank").cast("long").alias("rank"))
 
 
 def shared_terms(kind: str, place: int, n: int, whole: bool) -> float:
@@ -391,7 +395,9 @@ CONCEPT_WEIGHTS = (8, 7, 4, 3, 1)
 def keyword_concepts(queries: DataFrame, concepts: DataFrame, top: int) -> DataFrame:
     """Concepts by weighted hits of query terms in concept_id, title, definition, explanation and points."""
     columns = ["id", "title", "definition", "explanation", "points"]
-    rows = concepts.select(F.lit("keyword").alias("kind"), F.col("concept_id").alias("id"), *columns[1:])
+    # concepts are short, so a file of many may be one task
+    tasks = int(concepts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = concepts.select(F.lit("keyword").alias("kind"), F.col("concept_id").alias("id"), *columns[1:]).repartition(tasks, "id")
     best = best_by_terms(queries.withColumn("topic", F.lit(None).cast("string")), rows, columns, top, lambda kind, place, n, whole: CONCEPT_WEIGHTS[place])
     return best.select("query_id", F.col("id").alias("concept_id"), F.col("score").cast("long").alias("score"))
 

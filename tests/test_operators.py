@@ -139,6 +139,18 @@ def test_all_benchmark_items_are_lexical_queries(spark):
     assert {(r.query_id, r.chunk_id, r["rank"]): r.lexical for r in QUERIES["I5_all"](spark, d).collect()} == want
 
 
+def test_queries_that_ask_the_same_are_answered_once(spark):
+    q = spark.createDataFrame([(k, ("alpha beta", "beta alpha", "gamma")[k % 3]) for k in range(300)], "query_id long, query string")
+    assert [len(block[0]) for block in retrieval.term_blocks(q.withColumn("topic", F.lit(None).cast("string")))] == [2]
+    c = spark.createDataFrame([(f"c{k}", ("alpha", "beta gamma", "none")[k % 3], "alpha", "", None) for k in range(40)], "concept_id string, title string, definition string, explanation string, points string")
+    want = {}
+    for k in range(300):
+        terms = {"alpha", "beta"} if k % 3 < 2 else {"gamma"}
+        score = {f"c{j}": sum(7 * (t in ("alpha", "beta gamma", "none")[j % 3]) + 4 * (t in "alpha") for t in terms) for j in range(40)}
+        want |= {(k, i): s for i, s in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:20] if s}
+    assert {(r.query_id, r.concept_id): r.score for r in retrieval.keyword_concepts(q, c, 20).collect()} == want
+
+
 def test_fusion_and_packing(spark):
     kind = "query_id long, kind string, id long, exact boolean, rank long"
     a = spark.createDataFrame([(1, "chunk", 10, False, 1), (1, "chunk", 11, False, 2), (1, "concept", 7, True, 3)], kind)
