@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenary.runtime import scratch, ship
@@ -16,6 +18,8 @@ from lumenary.runtime import scratch, ship
 LATE = "10 minutes"
 #: A time in microseconds that no watermark passes.
 FOREVER = 250_000_000_000_000_000
+#: Rows of a key that a fold takes at once.
+STRETCH = 20_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str = "events", files: int = 1) -> DataFrame:
@@ -100,34 +104,53 @@ def recorded(stream: DataFrame, folder: str, source: str, version: str = "event_
 def in_order(events: DataFrame, key: str, columns: list[str], fold: Callable, out: str) -> DataFrame:
     """Rows of out that fold() gives for each key's events in the order of (ts, event_id), once the watermark has passed them.
 
-    fold(key, state, rows, until) gets what it returned before (None at first), the key's next rows as tuples
-    (microseconds, event_id, *columns) and the watermark; it returns (state, rows out, the time up to
-    which the state matters or None). State is that and the rows that may still be overtaken; a timer at
-    the next of them or at that time calls it again, and a key without either is forgotten.
+    fold(key, state, rows, until) gets what it returned before (None at first), a stretch of the key's next rows as tuples
+    (microseconds, event_id, *columns) and the time up to which there are no others; it returns (state, rows out, the time up to
+    which the state matters or None). State is that and the rows that may still be overtaken, as a compressed Arrow table; a
+    timer at the next of them or at that time calls it again, and a key without either is forgotten. Rows are
+    Python objects only a stretch of STRETCH at a time.
     """
     ship(events.sparkSession)
     names = [c.split()[0] for c in out.split(", ")]
+    rows = events.withWatermark("ts", LATE).select("ts", F.unix_micros("ts").alias("t"), "event_id", key, *columns)
+    fields = ["t", "event_id", *columns]
+    schema, size = to_arrow_schema(rows.select(*fields).schema), STRETCH
 
     def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, waiting = json.loads(state.get[0]) if state.exists else (None, [])
-        for part in parts:
-            waiting += [[int(x) if isinstance(x, np.integer) else x for x in row] for row in part.itertuples(index=False, name=None)]
-        waiting.sort()
+        kept, stored = state.get if state.exists else ("null", None)
+        kept, tables = json.loads(kept), [unpacked(stored)] if stored else []
+        tables += [pa.Table.from_pandas(part, schema, preserve_index=False) for part in parts]
+        waiting = pa.concat_tables([schema.empty_table(), *tables]).combine_chunks()
+        tables.clear()
+        waiting = waiting.take(pc.sort_indices(waiting, [(c, "ascending") for c in fields]))
         mark = state.getCurrentWatermarkMs() * 1000
-        n = next((k for k, row in enumerate(waiting) if row[0] > mark), len(waiting))
-        kept, rows, until = fold(keys[0], kept, waiting[:n], mark)
-        waiting = waiting[n:]
-        times = [x for x in (waiting[0][0] if waiting else None, until) if x is not None]
+        n = pc.sum(pc.less_equal(waiting["t"], mark)).as_py() or 0
+        for a in range(0, n or 1, size):
+            stretch = waiting.slice(a, min(size, n - a))
+            now = list(zip(*(stretch[c].to_pylist() for c in fields)))
+            kept, told, until = fold(keys[0], kept, now, mark if a + size >= n else now[-1][0])
+            yield pd.DataFrame(told, columns=names)
+        left = waiting.slice(n)
+        times = [x for x in (left["t"][0].as_py() if len(left) else None, until) if x is not None]
         if times:
-            state.update((json.dumps((kept, waiting)),))
+            state.update((json.dumps(kept), packed(left)))
             state.setTimeoutTimestamp(max(min(times), mark) // 1000 + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(rows, columns=names)
 
-    rows = events.withWatermark("ts", LATE).select("ts", F.unix_micros("ts").alias("t"), "event_id", key, *columns)
-    rows = rows.groupBy(key).applyInPandasWithState(_only(step, ["t", "event_id", *columns]), out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
-    return rows
+    return rows.groupBy(key).applyInPandasWithState(_only(step, fields), out, "kept string, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def packed(rows: pa.Table) -> bytes:
+    """A table as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows, max_chunksize=100_000)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
 
 
 def _only(step: Callable, columns: list[str]) -> Callable:
@@ -158,7 +181,7 @@ def limited(events: DataFrame, key: str, limit: int, seconds: int = 60) -> DataF
 
 
 def agent_health(events: DataFrame, key: str, last: int = 50, idle: int = 1800) -> DataFrame:
-    """(key, step, status, health, requests, successes, errors, lapses, latency_ms): each agent's state after each batch.
+    """(key, step, status, health, requests, successes, errors, lapses, latency_ms): each agent's state after each stretch of its events, at the least after each batch.
 
     events have kind (start, complete, error, critical, state or anything else), latency and state. A start runs,
     a completion makes it idle and healthy and enters its latency, if over 0, into the mean of the last

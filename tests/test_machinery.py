@@ -184,6 +184,24 @@ def test_limits_in_the_order_of_time(spark, tmp_path):
     assert got == want and {a for a, _ in want.values()} == {True, False}
 
 
+def test_ordered_folds_take_stretches(spark, tmp_path, monkeypatch):
+    """Many rows of one key never are one list of Python rows, and what waits is kept as bytes."""
+    monkeypatch.setattr(events, "STRETCH", 100)
+    at = [(k * 7919) % 3000 for k in range(3000)]
+    rows = [(k, f"2024-01-01 {t // 3600:02d}:{t // 60 % 60:02d}:{t % 60:02d}", 1) for k, t in enumerate(at)]
+    stream = stream_of(spark, tmp_path, rows, "event_id long, ts string, user long").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def counted(name, state, rows, until):
+        state = [state[0] + 1, state[1] + len(rows)] if state else [1, len(rows)]
+        late = [r for r in rows if r[0] > until]
+        return state, [(name, rows[-1][1], state[0], state[1], len(rows), len(late))] if rows else [], None
+
+    out = events.closed(stream, "stretches", lambda e: events.in_order(e, "user", [], counted, "user long, event_id long, calls long, sum long, size long, late long"))
+    got = out.where("user = 1").orderBy("sum").collect()
+    assert max(r["size"] for r in got) == 100 and got[-1]["sum"] == 3000 and not any(r.late for r in got)
+    assert [r.event_id for r in got] == [at.index(r["sum"] - 1) for r in got]
+
+
 def test_agents_lapse_warn_and_fail(spark, tmp_path):
     said = [(1, 0, "start"), (1, 10, "complete"), (1, 20, "start"), (2, 0, "start"), (2, 40, "other"), (3, 0, "error"), (3, 1, "error"), (4, 0, "critical"), (5, 0, "start"), (5, 5, "state"), *((6, k, "error") for k in range(5))]
     rows = [(k, f"2024-01-01 00:{m:02d}:00", a, kind, 100 * m, "paused") for k, (a, m, kind) in enumerate(said)]
