@@ -211,6 +211,20 @@ def test_agents_lapse_warn_and_fail(spark, tmp_path):
     assert got == {1: ("idle", "warning", 0, 1, 1000.0), 2: ("idle", "warning", 0, 1, 0.0), 3: ("idle", "warning", 2, 0, 0.0), 4: ("failed", "critical", 1, 0, 0.0), 5: ("paused", "healthy", 0, 0, 0.0), 6: ("idle", "critical", 5, 0, 0.0)}
 
 
+def test_more_order_lines_are_dealt_to_more_tasks(spark, monkeypatch):
+    from lumenary.plans import bindings
+
+    def paper_rows():
+        return sorted(map(str, QUERIES["D30"](spark, DATA).collect()))
+
+    want = paper_rows()
+    monkeypatch.setattr(bindings, "TASK_ROWS", 100)
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert bindings.source(spark, DATA, "questions").rdd.getNumPartitions() == -(-lines // 100) > 8
+    plan = QUERIES["D30"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and paper_rows() == want
+
+
 def test_halves_keep_all_but_white_space():
     rng = random.Random(2)
     for _ in range(200):
