@@ -149,9 +149,10 @@ def evaluation(predicted: DataFrame) -> DataFrame:
     return predicted.groupBy("expected").agg(F.count("*").alias("cases"), F.round(F.avg((F.col("predicted") == F.col("expected")).cast("int")), 6).alias("pass_rate"), F.round(F.avg("grounded"), 6).alias("grounded_rate"), F.round(F.avg(F.col("tool").cast("int")), 6).alias("tool_rate"))
 
 
-def exposure(events: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Learning events of each learner and unit through the unit's names."""
-    return events.withColumn("alias", X.normal_key(F.col("topic"))).join(aliases, "alias").groupBy("user_id", "unit_id").agg(F.count("*").alias("events"))
+def exposure(events: DataFrame, aliases: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Learning events of each learner and unit through the unit's names; tasks: how many the events are dealt to, if not the session's number."""
+    named = events.select("user_id", X.normal_key(F.col("topic")).alias("alias"))
+    return (named.repartition(tasks, "alias") if tasks else named).join(aliases, "alias").groupBy("user_id", "unit_id").agg(F.count("*").alias("events"))
 
 
 def daily_signals(sessions: DataFrame, most: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenary.operators import mastery as M
 from lumenary.operators import misc
 from lumenary.operators import planning as P
-from lumenary.plans.bindings import order_lines
+from lumenary.plans.bindings import order_lines, tasks_for
 from lumenary.plans.content import _KEY
 from lumenary.plans.planning import _ALIASES, _EDGES, _EVIDENCE, _MINUTES, _STATUS, _aliases, _edges, _evidence, _timed
 from lumenary.plans.registry import query
@@ -57,9 +57,10 @@ def _(units, lineitem, orders):
     SELECT user_id, unit_id, COUNT(*) AS events FROM t JOIN aliases ON alias = {_KEY.format('topic')} GROUP BY 1, 2""")
 def _(units, lineitem, orders):
     """Study events of each learner and unit, by any of the unit's names."""
-    rows = order_lines(lineitem.where("l_returnflag = 'R'"), orders, units)
+    again = lineitem.where("l_returnflag = 'R'")
+    rows = order_lines(again, orders, units)
     topic = F.when(F.col("l_linenumber") % 2 == 0, F.upper("unit_id")).otherwise(F.concat_ws(" - ", "chapter", F.col("unit_order").cast("string")))
-    return misc.exposure(rows.select(F.col("o_custkey").alias("user_id"), topic.alias("topic")), _aliases(units))
+    return misc.exposure(rows.select(F.col("o_custkey").alias("user_id"), topic.alias("topic")), _aliases(units), tasks_for(again))
 
 
 @query("D37", "sessions", sql="""

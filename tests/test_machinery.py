@@ -217,12 +217,15 @@ def test_more_order_lines_are_dealt_to_more_tasks(spark, monkeypatch):
     def paper_rows():
         return sorted(map(str, QUERIES["D30"](spark, DATA).collect()))
 
-    want = paper_rows()
+    want, studied = paper_rows(), sorted(map(str, QUERIES["D35"](spark, DATA).collect()))
     monkeypatch.setattr(bindings, "TASK_ROWS", 100)
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
     assert bindings.source(spark, DATA, "questions").rdd.getNumPartitions() == -(-lines // 100) > 8
     plan = QUERIES["D30"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 2 and paper_rows() == want
+    monkeypatch.setattr(bindings, "TASK_ROWS", 150)
+    d35 = QUERIES["D35"](spark, DATA)
+    assert d35._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 3 and sorted(map(str, d35.collect())) == studied
 
 
 def test_halves_keep_all_but_white_space():
