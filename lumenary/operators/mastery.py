@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenary.operators.sessions import latest
+from lumenary.runtime import dealt
 
 # What a next unit's state, importance and relevance to exams add to its chapter's score.
 STATUS_SCORES = {"needs_review": 500, "practising": 420, "learning": 380, "recommended": 300, "not_started": 280, "mastered": 80}
@@ -48,17 +49,21 @@ def unit_states(units: DataFrame, evidence: DataFrame, stored: DataFrame) -> Dat
     return rows.select("user_id", "unit_id", now.alias("status"))
 
 
-def next_chapters(units: DataFrame, following: DataFrame, status: DataFrame) -> DataFrame:
+def next_chapters(units: DataFrame, following: DataFrame, status: DataFrame, tasks: int | None = None) -> DataFrame:
     """(user_id, chapter, unit_id, score): each learner's best chapter to go on with; ties go to the first by name.
 
-    units: (unit_id, chapter, importance, exam_relevance). following: (user_id, chapter,
-    next_unit). status: (user_id, unit_id, status).
+    units: (unit_id, importance, exam_relevance). following: (user_id, chapter, next_unit), one of a chapter. status:
+    (user_id, unit_id, chapter, status). tasks: how many the rows are dealt to, if not the session's number.
     """
-    state = status.join(units.select("unit_id", "chapter"), "unit_id").groupBy("user_id", "chapter").agg(F.count_if(F.col("status").isin("learning", "practising")).alias("active"), F.count_if(F.col("status") == "mastered").alias("done"))
-    rows = following.select("user_id", "chapter", F.col("next_unit").alias("unit_id")).join(units.select("unit_id", "importance", "exam_relevance"), "unit_id").join(status, ["user_id", "unit_id"], "left").join(state, ["user_id", "chapter"], "left")
-    flow = F.least(F.lit(CONTINUITY), F.coalesce("active", F.lit(0)) * ACTIVE + F.coalesce("done", F.lit(0)) * DONE)
-    score = table(STATUS_SCORES, F.coalesce("status", F.lit("not_started"))) + flow + table(IMPORTANCE_SCORES, F.col("importance")) + table(EXAM_SCORES, F.col("exam_relevance"))
-    return latest(rows.withColumn("score", score.cast("long")), ["user_id"], [F.desc("score"), F.asc("chapter")], 1).select("user_id", "chapter", "unit_id", "score")
+    rated = dealt(following.select("user_id", "chapter", F.col("next_unit").alias("unit_id"), F.lit(True).alias("following")), tasks, "unit_id").join(units.select("unit_id", "importance", "exam_relevance"), "unit_id")
+    rows = dealt(status.select("user_id", "chapter", "unit_id", "status").unionByName(rated, allowMissingColumns=True), tasks, "user_id")
+    rows = rows.withColumn("now", F.max("status").over(Window.partitionBy("user_id", "unit_id")))  # a unit has one status
+    chosen = F.max(F.when(F.col("following"), F.struct("unit_id", "now", "importance", "exam_relevance")))
+    by = rows.groupBy("user_id", "chapter").agg(F.count_if(F.col("status").isin("learning", "practising")).alias("active"), F.count_if(F.col("status") == "mastered").alias("done"), chosen.alias("x")).where("x IS NOT NULL")
+    flow = F.least(F.lit(CONTINUITY), F.col("active") * ACTIVE + F.col("done") * DONE)
+    score = table(STATUS_SCORES, F.coalesce("x.now", F.lit("not_started"))) + flow + table(IMPORTANCE_SCORES, F.col("x.importance")) + table(EXAM_SCORES, F.col("x.exam_relevance"))
+    scored = by.select("user_id", "chapter", "x.unit_id", score.cast("long").alias("score"))
+    return latest(scored, ["user_id"], [F.desc("score"), F.asc("chapter")], 1).select("user_id", "chapter", "unit_id", "score")
 
 
 def concept_memory(signals: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from lumenary.operators import misc
 from lumenary.operators import planning as P
 from lumenary.plans.bindings import order_lines, tasks_for
 from lumenary.plans.content import _KEY
-from lumenary.plans.planning import _ALIASES, _EDGES, _EVIDENCE, _MINUTES, _STATUS, _aliases, _edges, _evidence, _timed
+from lumenary.plans.planning import _ALIASES, _EDGES, _EVIDENCE, _MINUTES, _STATUS, _aliases, _edges, _placed_status, _timed
 from lumenary.plans.registry import query
 from lumenary.runtime import checkpointed
 
@@ -48,8 +48,8 @@ _LV = lambda c, t: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.
     SELECT user_id, chapter, unit_id, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, chapter) AS rn FROM k) y WHERE rn = 1""")
 def _(units, lineitem, orders):
     """Each learner's best chapter to go on with."""
-    status = checkpointed(P.unit_status(units, _evidence(units, lineitem, orders)))
-    return M.next_chapters(_timed(units), P.next_units(units, _edges(units), status), status.select("user_id", "unit_id", "status"))
+    status, tasks = checkpointed(_placed_status(units, lineitem, orders)), tasks_for(lineitem)
+    return M.next_chapters(_timed(units), P.next_units(units, _edges(units), status, tasks), status, tasks)
 
 
 @query("D35", "units", "lineitem", "orders", sql=f"""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenary.operators import planning as P
-from lumenary.plans.bindings import AS_OF, CHAPTER, order_lines
+from lumenary.plans.bindings import AS_OF, CHAPTER, order_lines, tasks_for
 from lumenary.plans.content import _KEY
 from lumenary.plans.registry import query
-from lumenary.runtime import checkpointed
+from lumenary.runtime import checkpointed, dealt
 
 _ALIASES = f"aliases AS (SELECT DISTINCT {_KEY.format('n')} AS alias, unit_id FROM (SELECT unit_id, UNNEST([title, chapter || ' ' || CAST(unit_order AS STRING), unit_id]) AS n FROM units) x)"
 _EDGES = "edges AS (SELECT u.unit_id, p.unit_id AS prereq_id FROM units u JOIN units p ON u.chapter = p.chapter AND p.unit_order = CAST(FLOOR(u.unit_order / 2) AS BIGINT))"
@@ -35,9 +35,14 @@ def _edges(units):
     return a.join(units.select(F.col("unit_id").alias("prereq_id"), "chapter", "unit_order"), ["chapter", "unit_order"]).select("unit_id", "prereq_id")
 
 
-def _evidence(units, lineitem, orders):
-    rows = order_lines(lineitem, orders, units)
-    return rows.select(F.col("o_custkey").alias("user_id"), "unit_id", F.col("l_linenumber").alias("attempts"), (F.col("l_quantity") * 2).alias("accuracy"))
+def _evidence(units, lineitem, orders, *more):
+    """Evidence, with more columns of its unit; many lines are dealt to more tasks, by learner."""
+    rows = order_lines(lineitem, orders, units).select(F.col("o_custkey").alias("user_id"), "unit_id", F.col("l_linenumber").alias("attempts"), (F.col("l_quantity") * 2).alias("accuracy"), *more)
+    return dealt(rows, tasks_for(lineitem), "user_id")
+
+
+def _placed_status(units, lineitem, orders):
+    return P.unit_status(units, _evidence(units, lineitem, orders, "chapter", "unit_order")).drop("attempts", "accuracy")
 
 
 @query("C18", "units", sql=f"WITH {_ALIASES} SELECT alias, COUNT(*) AS units, MIN(unit_id) AS first_unit, COUNT(*) > 1 AS ambiguous FROM aliases GROUP BY alias")
@@ -77,7 +82,7 @@ def _(units, lineitem, orders):
 
 @query("C13", "units", "lineitem", "orders", also="C13_all", sql=f"WITH {_EVIDENCE}, {_STATUS}, {_EDGES} SELECT s.user_id, s.unit_id, COUNT(*) AS unmet FROM status s JOIN edges e ON e.unit_id = s.unit_id LEFT JOIN status m ON m.user_id = s.user_id AND m.unit_id = e.prereq_id AND m.status = 'mastered' WHERE s.status <> 'mastered' AND m.unit_id IS NULL GROUP BY 1, 2")
 def _(units, lineitem, orders):
-    return P.unmet_prerequisites(_edges(units), P.unit_status(units, _evidence(units, lineitem, orders)))
+    return P.unmet_prerequisites(_edges(units), P.unit_status(units, _evidence(units, lineitem, orders)), tasks_for(lineitem))
 
 
 @query("E12", "units", "lineitem", "orders", also="E12_all", sql=f"""
@@ -86,7 +91,7 @@ def _(units, lineitem, orders):
     n AS (SELECT o.user_id, o.chapter, MIN(e.prereq_id) AS prereq_id FROM o JOIN edges e ON e.unit_id = o.unit_id LEFT JOIN m ON m.user_id = o.user_id AND m.unit_id = e.prereq_id WHERE m.unit_id IS NULL GROUP BY 1, 2)
     SELECT o.user_id, o.chapter, COALESCE(prereq_id, unit_id) AS next_unit, prereq_id IS NOT NULL AS blocked FROM o LEFT JOIN n ON n.user_id = o.user_id AND n.chapter = o.chapter""")
 def _(units, lineitem, orders):
-    return P.next_units(units, _edges(units), checkpointed(P.unit_status(units, _evidence(units, lineitem, orders))))
+    return P.next_units(units, _edges(units), checkpointed(_placed_status(units, lineitem, orders)), tasks_for(lineitem))
 
 
 @query("D44", "units", "lineitem", "orders", also="D44_all", sql=f"WITH {_EVIDENCE}, {_STATUS} SELECT user_id, COUNT(*) FILTER (status = 'mastered') AS mastered, COUNT(*) FILTER (status = 'practising') AS practising, COUNT(*) FILTER (status = 'needs_review') AS needs_review, COUNT(*) AS total, CAST(ROUND(100 * COUNT(*) FILTER (status = 'mastered') / COUNT(*)) AS INT) AS percentage FROM status GROUP BY user_id")
