@@ -242,6 +242,22 @@ def test_rows_of_more_learners_are_dealt_to_more_tasks(spark, monkeypatch):
         assert parts == {tasks} and tasks > 8 and rows(n) == want[n]
 
 
+def test_pairs_of_a_name_are_whole_and_come_in_short_runs(spark):
+    topics = spark.range(52).select(F.col("id").alias("row"), F.when(F.col("id") == 0, "Rare").when(F.col("id") != 1, "A Name").alias("topic"))
+    aliases = spark.range(400).select(F.lit("a_name").alias("alias"), F.concat(F.lit("u"), "id").alias("unit_id")).unionAll(spark.createDataFrame([("rare", "u1")], "alias string, unit_id string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with names too many to be sent to all tasks
+    try:
+        got = [tuple(r) for r in planning.matched_units(topics, aliases).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(got) == sorted([(0, "Rare", "u1"), *((k, "A Name", f"u{u}") for k in range(2, 52) for u in range(400))])
+    length = longest = 0
+    for a, b in zip([None, *(r[0] for r in got)], (r[0] for r in got)):
+        length = length + 1 if a == b else 1
+        longest = max(longest, length)
+    assert longest <= 16
+
+
 def test_a_learner_goes_on_with_the_first_unmet_prerequisite(spark):
     """A prerequisite may be another chapter's; its status and the chapter's progress count."""
     units = spark.createDataFrame([("a1", "a", 1), ("a2", "a", 2), ("a3", "a", 3), ("b1", "b", 1), ("b2", "b", 2)], "unit_id string, chapter string, unit_order int")
