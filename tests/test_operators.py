@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenary.functions import text as X
-from lumenary.operators import content, planning, ranks, retrieval, sessions, traces
+from lumenary.operators import content, exams, planning, ranks, retrieval, sessions, traces
 from lumenary.operators.retrieval import fused, packed, vector_matches
 from lumenary.plans.registry import QUERIES
 
@@ -186,3 +186,12 @@ def test_paper_batches_stream_a_large_key(spark):
     df = content.paper_batches(pages, "source", 800)
     assert {(r.source, r.page): r.batch for r in df.collect()} == want
     assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_paper_has_all_four_distributions_whole(spark):
+    """More topics than the six most frequent, marks that aren't known for one question."""
+    rows = [(1, k, None if k == 9 else k % 3, "N", "easy", f"Topic {k % 8}") for k in range(10)]
+    questions = spark.createDataFrame(rows, "paper_id long, question_number long, marks int, question_type string, difficulty string, topic string")
+    row = exams.paper_totals(questions, ("N",)).first()
+    assert row.marks == "0=3,1=3,2=3" and row.topics == "topic 0=2,topic 1=2,topic 2=1,topic 3=1,topic 4=1,topic 5=1,topic 6=1,topic 7=1"
+    assert (row.types, row.difficulties, row.total_marks, row.repeated) == ("N=10", "easy=10", None, "topic 0,topic 1")
