@@ -87,15 +87,15 @@ def console(traces: DataFrame, as_of: str) -> DataFrame:
 
 
 def intelligence(traces: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
-    """Per agent: this period, the one before, and how quality and latency moved."""
+    """Per agent: this period, the one before, and how quality and latency moved; success and tokens of all its traces until as_of."""
     end = F.lit(as_of).cast("timestamp")
     age = (F.unix_timestamp(end) - F.unix_timestamp("created_at")) / 3600
     now, past = (age >= 0) & (age < hours), (age >= hours) & (age < 2 * hours)
-    t = traces.where(now | past)
+    t = traces.where(age >= 0)
     mean = lambda c, w: F.avg(F.when(w, F.col(c)))
     out = t.groupBy("agent").agg(
         F.count_if(now).alias("runs"), F.round(mean("quality", now), 6).alias("quality"), F.round(mean("quality", now) - mean("quality", past), 6).alias("quality_delta"), F.round(mean("latency_ms", now) - mean("latency_ms", past), 4).alias("latency_delta"),
-        F.round(F.count_if(now & (F.col("status") == "success")) / F.nullif(F.count_if(now), F.lit(0)), 6).alias("success_rate"), F.coalesce(F.sum(F.when(now, F.col("estimated_input_tokens") + F.col("estimated_output_tokens"))), F.lit(0)).alias("tokens"),
+        F.round(F.count_if(F.col("status") == "success") / F.count("*"), 6).alias("success_rate"), F.coalesce(F.sum(F.col("estimated_input_tokens") + F.col("estimated_output_tokens")), F.lit(0)).alias("tokens"),
     )
     trend = F.when(F.col("runs") == 0, "idle").when(F.col("quality_delta") >= 0.02, "improving").when(F.col("quality_delta") <= -0.02, "declining").otherwise("steady")
     return out.withColumn("trend", trend)

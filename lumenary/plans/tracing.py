@@ -72,10 +72,10 @@ def _(t):
 
 @query("D17", "traces", sql=f"""
     WITH t AS (SELECT *, (CAST(FLOOR(epoch({_END})) AS BIGINT) - CAST(FLOOR(epoch(created_at)) AS BIGINT)) / 3600 AS age FROM traces),
-    g AS (SELECT agent, COUNT(*) FILTER (age < 24) AS runs, ROUND(AVG(quality) FILTER (age < 24), 6) AS quality, ROUND(AVG(quality) FILTER (age < 24) - AVG(quality) FILTER (age >= 24), 6) AS quality_delta,
-                 ROUND(AVG(latency_ms) FILTER (age < 24) - AVG(latency_ms) FILTER (age >= 24), 4) AS latency_delta,
-                 ROUND(COUNT(*) FILTER (age < 24 AND status = 'success') / NULLIF(COUNT(*) FILTER (age < 24), 0), 6) AS success_rate, COALESCE(SUM(estimated_input_tokens + estimated_output_tokens) FILTER (age < 24), 0) AS tokens
-          FROM t WHERE age >= 0 AND age < 48 GROUP BY agent)
+    g AS (SELECT agent, COUNT(*) FILTER (age < 24) AS runs, ROUND(AVG(quality) FILTER (age < 24), 6) AS quality, ROUND(AVG(quality) FILTER (age < 24) - AVG(quality) FILTER (age >= 24 AND age < 48), 6) AS quality_delta,
+                 ROUND(AVG(latency_ms) FILTER (age < 24) - AVG(latency_ms) FILTER (age >= 24 AND age < 48), 4) AS latency_delta,
+                 ROUND(COUNT(*) FILTER (status = 'success') / COUNT(*), 6) AS success_rate, COALESCE(SUM(estimated_input_tokens + estimated_output_tokens), 0) AS tokens
+          FROM t WHERE age >= 0 GROUP BY agent)
     SELECT *, CASE WHEN runs = 0 THEN 'idle' WHEN quality_delta >= 0.02 THEN 'improving' WHEN quality_delta <= -0.02 THEN 'declining' ELSE 'steady' END AS trend FROM g""")
 def _(t):
     return T.intelligence(t, AS_OF)

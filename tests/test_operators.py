@@ -195,3 +195,12 @@ def test_a_paper_has_all_four_distributions_whole(spark):
     row = exams.paper_totals(questions, ("N",)).first()
     assert row.marks == "0=3,1=3,2=3" and row.topics == "topic 0=2,topic 1=2,topic 2=1,topic 3=1,topic 4=1,topic 5=1,topic 6=1,topic 7=1"
     assert (row.types, row.difficulties, row.total_marks, row.repeated) == ("N=10", "easy=10", None, "topic 0,topic 1")
+
+
+def test_success_and_tokens_are_of_all_of_an_agents_traces(spark):
+    """Only runs, quality and latency are of a day; an agent whose traces are older is idle."""
+    rows = [("a", 1, "success", 0.5, 10), ("a", 30, "failed", 0.4, 30), ("a", 200, "success", 0.9, 50), ("b", 300, "success", 0.7, 5), ("b", -1, "failed", 0.1, 5)]
+    t = spark.createDataFrame(rows, "agent string, age int, status string, quality double, latency_ms int").withColumn("created_at", F.expr("TIMESTAMP '2024-01-31 00:00:00' - make_interval(0, 0, 0, 0, age)"))
+    t = t.withColumns({"estimated_input_tokens": F.lit(2), "estimated_output_tokens": F.lit(1)})
+    got = {r.agent: (r.runs, r.quality, r.quality_delta, r.latency_delta, r.success_rate, r.tokens, r.trend) for r in traces.intelligence(t, "2024-01-31 00:00:00").collect()}
+    assert got == {"a": (1, 0.5, 0.1, -20.0, 0.666667, 9, "improving"), "b": (0, None, None, None, 1.0, 3, "idle")}
