@@ -125,9 +125,10 @@ RATIO, TOKENS, COVERAGE, GRAMS, INSIDE = 0.38, 0.28, 0.20, 0.14, 0.08
 
 
 #: Characters of a block of messages and of a block of the bank.
-MESSAGE_BYTES, BANK_BYTES = 4 << 20, 1 << 20
-#: Messages whose ratios are worked out together, cells of one step of that, and cells from which a pair is matched by itself.
-TOGETHER, CELLS, LONG = 256, 1 << 18, 4 << 20
+MESSAGE_BYTES, BANK_BYTES = 1 << 20, 1 << 20
+#: Messages that are answered together at most, and pairs of messages and rows that they may have; cells of one step of the ratios, and cells
+#: from which a pair is matched by itself.
+TOGETHER, PAIRS, CELLS, LONG = 1024, 1 << 18, 1 << 17, 4 << 20
 
 
 class Message:
@@ -173,60 +174,121 @@ def pair_likeness(pairs: DataFrame, left: str, right: str, ignored: frozenset[st
     return pairs.mapInArrow(run, kind)
 
 
-def longest(a: np.ndarray, b: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def longest(a: np.ndarray, b: np.ndarray, high: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start in a, start in b, length) of the longest equal piece of each column of a and of b, the first in a, then in b.
 
-    a and b: a text's characters in a column, filled up with values that the other one hasn't; no piece is over bound.
+    a and b: a text's characters in a column, filled up with values that the other one hasn't, by falling lengths (high) in a;
+    no piece is over bound.
     """
-    n = a.shape[1]
-    size, i, j = (np.zeros(n, np.int64) for _ in range(3))
-    most = np.zeros(n, np.uint8 if bound < 256 else np.int32)
-    last, run = (np.zeros((len(b) + 1, n), most.dtype) for _ in range(2))
-    for y in range(len(a)):
-        np.add(last[:-1], 1, out=run[1:])
-        run[1:] *= (b == a[y]).view(np.uint8)
-        new = run.max(axis=0)
-        on = np.flatnonzero(new > most)
-        if len(on):
-            most[on] = size[on] = new[on]
-            i[on], j[on] = y + 1 - size[on], run[:, on].argmax(axis=0) - size[on]
+    wide, n = b.shape
+    kind = np.uint8 if bound < 256 else np.int32
+    size, end = np.zeros(n, kind), np.zeros(n, np.int64)
+    last, run = (np.zeros((wide + 1, n), kind) for _ in range(2))
+    same = np.empty((wide, n), bool)
+    for y, c in enumerate(np.searchsorted(-high, -np.arange(len(a))).tolist()):  # columns that are longer than y come first
+        np.equal(b[:, :c], a[y, :c], out=same[:, :c])
+        np.add(last[:-1, :c], 1, out=run[1:, :c])
+        np.multiply(run[1:, :c], same[:, :c].view(np.uint8), out=run[1:, :c])
+        new = np.maximum.reduce(run[:, :c], axis=0)
+        np.copyto(end[:c], y + 1, where=new > size[:c])
+        np.maximum(size[:c], new, out=size[:c])
         last, run = run, last
+    size = size.astype(np.int64)
+    i, on = end - size, np.arange(n)
+    here = np.ones((wide, n), bool)  # where the piece begins in b
+    for k in range(size.max(initial=0)):
+        on = on[size[on] > k]
+        here[wide - k :, on] = False
+        here[: wide - k, on] &= b[k:, on] == a[i[on] + k, on]
+    return i, here.argmax(axis=0), size
+
+
+def grown(texts: np.ndarray, todo: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of pairs (start, end of one text, start, end of the other) at i and j, with the equal characters around them."""
+    on = np.arange(len(todo))
+    while len(on := on[(i[on] > todo[on, 0]) & (j[on] > todo[on, 2])]) and len(on := on[texts[i[on] - 1] == texts[j[on] - 1]]):
+        i[on], j[on], size[on] = i[on] - 1, j[on] - 1, size[on] + 1
+    on = np.arange(len(todo))
+    while len(on := on[(i[on] + size[on] < todo[on, 1]) & (j[on] + size[on] < todo[on, 3])]) and len(on := on[texts[i[on] + size[on]] == texts[j[on] + size[on]]]):
+        size[on] += 1
     return i, j, size
 
 
-def matched(texts: np.ndarray, seeds: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def around(todo: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What is left of the pieces, then what is right of them."""
+    return np.concatenate([np.stack([todo[:, 0], i, todo[:, 2], j], axis=1), np.stack([i + size, todo[:, 1], j + size, todo[:, 3]], axis=1)])
+
+
+def columns(texts: np.ndarray, start: np.ndarray, size: np.ndarray, fill: int) -> np.ndarray:
+    """The pieces of texts from start on as columns, each filled up to the longest one; texts has as many characters more."""
+    most = int(size.max())
+    rows = np.lib.stride_tricks.sliding_window_view(texts, most)[start]
+    rows[np.arange(most) >= size[:, None]] = fill
+    return np.ascontiguousarray(rows.T)
+
+
+def matched(texts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Characters in matching blocks of each pair (start, end of one text, start, end of the other), as SequenceMatcher finds them.
 
-    Of all pairs at once: the longest piece, then what is left and right of it, until nothing is left. seeds are
-    the characters that a piece may begin to be found by (0: none); it grows by any.
+    Of all pairs at once: the longest piece, then what is left and right of it, until nothing is left. Pairs of about
+    the same width are searched together.
     """
     total, todo, owner = np.zeros(len(pairs), np.int64), pairs, np.arange(len(pairs))
+    texts = np.concatenate([texts, np.zeros((pairs[:, [1, 3]] - pairs[:, [0, 2]]).max(initial=0), np.uint8)])
     while len(todo):
         found = np.zeros((len(todo), 3), np.int64)
         high, wide = todo[:, 1] - todo[:, 0], todo[:, 3] - todo[:, 2]
-        kind = np.ceil(np.log2(np.maximum(high, wide))).astype(int)
+        kind = np.ceil(np.log2(wide)).astype(int)
         for k in np.unique(kind):
             some = np.flatnonzero(kind == k)
+            some = some[np.argsort(-high[some], kind="stable")]
             step = max(1, CELLS // int(wide[some].max()))
             for at in (some[c : c + step] for c in range(0, len(some), step)):
-                h, w = np.arange(high[at].max())[:, None], np.arange(wide[at].max())[:, None]
-                a = np.where(h < high[at], texts[np.minimum(todo[at, 0] + h, len(texts) - 1)], np.uint8(255))
-                b = np.where(w < wide[at], seeds[np.minimum(todo[at, 2] + w, len(seeds) - 1)], np.uint8(0))
-                found[at] = np.stack(longest(a, b, int(np.minimum(high, wide)[at].max())), axis=1)
+                a, b = columns(texts, todo[at, 0], high[at], 255), columns(texts, todo[at, 2], wide[at], 0)
+                found[at] = np.stack(longest(a, b, high[at], int(np.minimum(high, wide)[at].max())), axis=1)
         i, j, size = found[:, 0] + todo[:, 0], found[:, 1] + todo[:, 2], found[:, 2]
-        on = np.arange(len(todo))
-        while len(on := on[(i[on] > todo[on, 0]) & (j[on] > todo[on, 2])]) and len(on := on[texts[i[on] - 1] == texts[j[on] - 1]]):
-            i[on], j[on], size[on] = i[on] - 1, j[on] - 1, size[on] + 1
-        on = np.arange(len(todo))
-        while len(on := on[(i[on] + size[on] < todo[on, 1]) & (j[on] + size[on] < todo[on, 3])]) and len(on := on[texts[i[on] + size[on]] == texts[j[on] + size[on]]]):
-            size[on] += 1
         np.add.at(total, owner, size)
-        parts = np.concatenate([np.stack([todo[:, 0], i, todo[:, 2], j], axis=1), np.stack([i + size, todo[:, 1], j + size, todo[:, 3]], axis=1)])
+        parts = around(todo, i, j, size)
         left = np.tile(size > 0, 2) & (parts[:, 0] < parts[:, 1]) & (parts[:, 2] < parts[:, 3])
         todo, owner = parts[left], np.tile(owner, 2)[left]
     return total
 
 
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, place): each index as many times as counts says, numbered from 0."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def matched_by_seeds(texts: np.ndarray, pairs: np.ndarray, owner: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """matched() where a piece begins at a seed, or where both texts do: owner, i and j are all places where a pair's texts have the same seed.
+
+    Seeds are few, so a longest piece is looked for among the runs of such places, by the diagonal and along it.
+    """
+    total, todo, of = np.zeros(len(pairs), np.int64), pairs, np.arange(len(pairs))
+    order = np.lexsort((i, i - j, owner))
+    g, i, j = owner[order], i[order], j[order]  # g: the part of a pair that a place is in
+    while len(todo):
+        start = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)])[: len(g)])
+        run, size = g[start], np.diff(np.append(start, len(g)))
+        first = np.lexsort((j[start], i[start], -size, run))
+        first = first[np.flatnonzero(np.diff(run[first], prepend=-1))]  # of each part the longest, the first in one text, then in the other
+        some = run[first]
+        bare = np.ones(len(todo), bool)
+        bare[some] = False
+        rest = todo[bare]
+        np.add.at(total, of[bare], grown(texts, rest, rest[:, 0].copy(), rest[:, 2].copy(), np.zeros(len(rest), np.int64))[2])
+        at, bt, n = grown(texts, todo[some], i[start][first], j[start][first], size[first])
+        np.add.at(total, of[some], n)
+        now = np.searchsorted(some, g)
+        left, right = (i < at[now]) & (j < bt[now]), (i >= (at + n)[now]) & (j >= (bt + n)[now])
+        todo, of, g = around(todo[some], at, bt, n), np.tile(of[some], 2), now + np.where(right, len(some), 0)
+        kept = np.flatnonzero(left | right)
+        kept = kept[np.argsort(g[kept], kind="stable")]
+        g, i, j = g[kept], i[kept], j[kept]
+    return total
+
+
 class Bank:
     """A block of known messages with inverted indexes of their words and runs of three characters.
 
@@ -242,18 +304,24 @@ class Bank:
         self.index = [self.inverted([m.words for m in self.known]), self.inverted([m.grams for m in self.known])]
         self.sizes = [np.array([len(x) for x in sets]) for sets in ([m.words for m in self.known], [m.grams for m in self.known])]
         self.length = np.array([len(m.text) for m in self.known])
-        # a row's characters and a place behind them that stays empty, where a carry ends
-        self.start = np.concatenate([[0], np.cumsum(self.length + 1)])[:-1]
-        chars = np.frombuffer("\0".join([*(m.text for m in self.known), ""]).encode("ascii"), np.uint8)
+        self.rare = self.length >= 200
+        # rows with rare seeds come last; behind a row's characters a place stays empty, where a carry ends
+        self.order = np.argsort(self.rare, kind="stable")
+        self.start = np.empty(len(rows), np.int64)
+        self.start[self.order] = np.concatenate([[0], np.cumsum(self.length[self.order] + 1)])[:-1]
+        self.chars = chars = np.frombuffer("\0".join([*(self.known[r].text for r in self.order), ""]).encode("ascii"), np.uint8)
         bits = lambda on: int.from_bytes(np.packbits(on, bitorder="little").tobytes(), "little")
         self.places, self.all = len(chars), bits(chars != 0)
+        self.dense = self.all & ((1 << int((self.length + 1)[~self.rare].sum())) - 1)
         self.where = {chr(c): bits(chars == c) for c in np.unique(chars) if c}
         # a row of 200 characters or more is not searched by those that are over a hundredth of it, as SequenceMatcher has it
-        self.chars, seeds = chars, chars.copy()
-        for a, n in zip(self.start[self.length >= 200].tolist(), self.length[self.length >= 200].tolist()):
+        seeds = chars.copy()
+        for a, n in zip(self.start[self.rare].tolist(), self.length[self.rare].tolist()):
             row = seeds[a : a + n]
             row[np.bincount(row, minlength=256)[row] > n // 100 + 1] = 0
-        self.seeds = seeds
+        self.seed_at = np.flatnonzero(seeds)
+        self.seed_from = np.searchsorted(self.seed_at, self.start)
+        self.seeds = np.searchsorted(self.seed_at, self.start + self.length) - self.seed_from
 
     @staticmethod
     def inverted(sets: list[set[str]]) -> dict[str, np.ndarray]:
@@ -268,23 +336,28 @@ class Bank:
         lists = [index[x] for x in items if x in index]
         return np.bincount(np.concatenate(lists), minlength=len(self.ids)) if lists else np.zeros(len(self.ids), np.int64)
 
-    def common(self, text: str) -> np.ndarray:
-        """The length of the longest common subsequence of the text and each row."""
-        free = self.all
+    def common(self, text: str, dense: bool = False) -> np.ndarray:
+        """The length of the longest common subsequence of the text and each row, or only of rows under 200 characters."""
+        free = every = self.dense if dense else self.all
         for c in text:
             if hit := free & self.where.get(c, 0):
-                free = (free + hit | free ^ hit) & self.all
-        taken = np.unpackbits(np.frombuffer((self.all ^ free).to_bytes(-(-self.places // 8), "little"), np.uint8), bitorder="little")
-        return np.add.reduceat(taken, self.start, dtype=np.int64)
+                free = (free + hit | free ^ hit) & every
+        taken = np.unpackbits(np.frombuffer((every ^ free).to_bytes(-(-self.places // 8), "little"), np.uint8), bitorder="little")
+        out = np.empty(len(self.ids), np.int64)
+        out[self.order] = np.add.reduceat(taken, self.start[self.order], dtype=np.int64)
+        return out
+
+    def bounds(self, own: Message) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What each row gets without the ratio, what the ratio can't exceed, and what one text inside the other may add.
 
-    def bounds(self, own: Message) -> tuple[np.ndarray, np.ndarray]:
-        """What each row gets without the ratio and what it can't exceed with it."""
+        The ratio of a row with rare seeds isn't bounded, as it is cheap.
+        """
         words, grams = self.shared(0, own.words), self.shared(1, own.grams)
         alike = lambda n, size, m: n / np.maximum(1, size + m - n)
         sure = TOKENS * alike(words, self.sizes[0], len(own.words)) + COVERAGE * words / max(1, len(own.words)) + GRAMS * alike(grams, self.sizes[1], len(own.grams))
-        both = self.common(own.text)
-        most = sure + RATIO * 2 * both / np.maximum(1, self.length + len(own.text)) + np.where(both == np.minimum(self.length, len(own.text)), 1.0, 0.0)
-        return sure, np.where(self.length > 0, most + 1e-4, 0.0)
+        ratio = np.where(self.rare, 1.0, 2 * self.common(own.text, True) / np.maximum(1, self.length + len(own.text)))
+        least = np.minimum(self.sizes[1], len(own.grams))
+        return sure, ratio, np.where((grams == least) | (least <= 1), 1.0, 0.0)
 
     def ratios(self, asked: list[tuple[Message, int]]) -> np.ndarray:
         """SequenceMatcher's ratio of each message and row."""
@@ -296,32 +369,65 @@ class Bank:
             out[x] = SequenceMatcher(None, asked[x][0].text, self.known[row[x]].text).ratio()
         if len(near := np.flatnonzero(~far)):
             own = {id(asked[x][0]): asked[x][0].text for x in near}
-            start = dict(zip(own, len(self.chars) + np.cumsum([0, *map(len, own.values())])))
+            place = {m: k for k, m in enumerate(own)}
+            start = len(self.chars) + np.cumsum([0, *map(len, own.values())])
             texts = np.concatenate([self.chars, np.frombuffer("".join(own.values()).encode("ascii"), np.uint8)])
-            a = np.array([start[id(asked[x][0])] for x in near])
-            pairs = np.stack([a, a + size[near], self.start[row[near]], self.start[row[near]] + self.length[row[near]]], axis=1)
-            out[near] = 2.0 * matched(texts, self.seeds, pairs) / (size[near] + self.length[row[near]])
+            m, r = np.array([place[id(asked[x][0])] for x in near]), row[near]
+            pairs = np.stack([start[m], start[m + 1], self.start[r], self.start[r] + self.length[r]], axis=1)
+            few = self.rare[r]
+            common = np.zeros(len(near), np.int64)
+            common[~few] = matched(texts, pairs[~few])
+            common[few] = self.matched_few(texts, start, m[few], r[few], pairs[few])
+            out[near] = 2.0 * common / (size[near] + self.length[r])
+        return out
+
+    def matched_few(self, texts: np.ndarray, start: np.ndarray, m: np.ndarray, r: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """matched() for rows r with rare seeds and messages m, which start there in texts; as many pairs at a time as CELLS allows."""
+        kind = np.repeat(np.arange(len(start) - 1), np.diff(start)) * 256 + texts[start[0] :]  # message and character
+        at, many = start[0] + np.argsort(kind, kind="stable"), np.bincount(kind, minlength=256 * len(start))
+        first = np.cumsum(many) - many
+        which, place = spread(self.seeds[r])
+        j = self.seed_at[self.seed_from[r][which] + place]
+        same = m[which] * 256 + texts[j]
+        places = np.cumsum(np.bincount(which, many[same], len(r))) // CELLS
+        out = np.zeros(len(r), np.int64)
+        for part in np.unique(places):
+            a, z = np.searchsorted(places, [part, part + 1])
+            seeds = slice(*np.searchsorted(which, [a, z]))
+            of, nth = spread(many[same[seeds]])
+            out[a:z] = matched_by_seeds(texts, pairs[a:z], which[seeds][of] - a, at[first[same[seeds]][of] + nth], j[seeds][of])
         return out
 
     def best_of(self, texts: list[str | None], k: int) -> list[list[tuple[float, int]]]:
         """(likeness, row) of the k likest rows of each text, the least id first among equal ones."""
         own = [Message(t, self.ignored) for t in texts]
-        bound = [self.bounds(m) if m.text else (np.zeros(0), np.zeros(0)) for m in own]
-        order = [np.argsort(-most, kind="stable") for _, most in bound]
+        asked = [q for q, m in enumerate(own) if m.text]
+        # first the ratios that are cheap, then those of the rows whose bound reaches the k best so far
+        cheap = np.flatnonzero(self.rare)
+        known = np.full((len(own), len(self.ids)), np.nan)
+        if len(asked) and len(cheap):
+            known[np.ix_(asked, cheap)] = self.ratios([(own[q], r) for q in asked for r in cheap.tolist()]).reshape(-1, len(cheap))
+        sure, most, order = {}, {}, {}
+        for q in asked:
+            sure[q], ratio, inside = self.bounds(own[q])
+            most[q] = np.where(self.length > 0, sure[q] + RATIO * np.where(np.isnan(known[q]), ratio, known[q]) + inside + 1e-4, 0.0)
+            order[q] = np.argsort(-most[q], kind="stable")
         best: list[list[tuple[float, int]]] = [[] for _ in own]
-        done, step = [0] * len(own), 4 * k
+        done, step = [0] * len(own), k
         while True:
-            todo = []
-            for q, (_, most) in enumerate(bound):
+            todo, step = [], 4 * step
+            for q in asked:
                 floor = -best[q][-1][0] if len(best[q]) == k else 0.0
                 rows = order[q][done[q] : done[q] + step]
-                rows = rows[(most[rows] >= floor) & (most[rows] > 0)].tolist()
+                rows = rows[(most[q][rows] >= floor) & (most[q][rows] > 0)].tolist()
                 done[q] += len(rows)
                 todo += [(q, r) for r in rows]
             if not todo:
                 return [[(-s, row) for s, row in b if s < 0] for b in best]
-            for (q, row), ratio in zip(todo, self.ratios([(own[q], r) for q, r in todo]).tolist()):
-                score = round(finished(own[q], self.known[row], float(bound[q][0][row]) + RATIO * ratio), 4)
+            if new := [(q, r) for q, r in todo if np.isnan(known[q, r])]:
+                known[tuple(zip(*new))] = self.ratios([(own[q], r) for q, r in new])
+            for q, row in todo:
+                score = round(finished(own[q], self.known[row], float(sure[q][row]) + RATIO * float(known[q, row])), 4)
                 best[q] = sorted([*best[q], (-score, row)])[:k]
 
     def best(self, text: str | None, k: int) -> list[tuple[float, int]]:
@@ -336,8 +442,8 @@ def bank_matches(messages: DataFrame, bank: DataFrame, k: int = 5, ignored: froz
     or row without text is like nothing.
     """
     size = lambda df: df.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 50)).head()[0] or 0
-    # the cells are what there is to do at a time: enough of them for all cores, however small the tables are
-    across, down = max(messages.sparkSession.sparkContext.defaultParallelism, -(-size(messages) // MESSAGE_BYTES)), max(1, -(-size(bank) // BANK_BYTES))
+    # the cells are what there is to do at a time: some for each core, however small the tables are, as two may fall to one task
+    across, down = max(3 * messages.sparkSession.sparkContext.defaultParallelism, -(-size(messages) // MESSAGE_BYTES)), max(1, -(-size(bank) // BANK_BYTES))
     ship(messages.sparkSession)
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = messages.select("message_id", "text", F.pmod(F.xxhash64("message_id"), F.lit(across)).cast("int").alias("s"), all_(down).alias("b"))
@@ -349,8 +455,9 @@ def bank_matches(messages: DataFrame, bank: DataFrame, k: int = 5, ignored: froz
         if known.num_rows:
             block = Bank(known["bank_id"].to_pylist(), known["text"].to_pylist(), ignored)
             names, texts = asked["message_id"].to_pylist(), asked["text"].to_pylist()
-            for a in range(0, len(names), TOGETHER):
-                for name, rows in zip(names[a : a + TOGETHER], block.best_of(texts[a : a + TOGETHER], k)):
+            step = max(1, min(TOGETHER, PAIRS // known.num_rows))
+            for a in range(0, len(names), step):
+                for name, rows in zip(names[a : a + step], block.best_of(texts[a : a + step], k)):
                     for score, row in rows:
                         for c, v in zip(out, (name, block.ids[row], score)):
                             c.append(v)

@@ -403,6 +403,21 @@ def test_ratios_of_many_pairs_are_those_of_the_sequence_matcher(monkeypatch):
         assert bank.common(m.text).tolist() == [common(m.text, k.text) for k in bank.known]
 
 
+def test_rows_with_rare_seeds_are_matched_by_their_seeds(monkeypatch):
+    """No cells are searched for rows of 200 characters or more; prefixes count where no seed is shared, and one text inside the other does."""
+    rng = random.Random(5)
+    rows = ["".join(rng.choice("etaoin shrdlu etaoin etaoin qzx"[: rng.choice([7, 31])]) for _ in range(rng.choice([280, 300, 400]))) for _ in range(30)]
+    rows = [answers.Message(r, frozenset()).text for r in rows]
+    rows += [rows[0][:199] + "q", "ab" * 130, "qz" + rows[1], rows[2] * 2]
+    bank = answers.Bank(list(range(len(rows))), rows, frozenset())
+    assert min(map(len, rows)) >= 200
+    monkeypatch.setattr(answers, "longest", None)
+    asked = [*rows[:6], rows[0][:40], rows[1][5:90], "ab", "q", "abab x", *(r[7:80][::-1] for r in rows[6:20])]
+    for text, got in zip(asked, bank.best_of(asked, 4)):
+        every = [(-answers.likeness(answers.Message(text, frozenset()), answers.Message(r, frozenset())), k) for k, r in enumerate(rows)]
+        assert got == [(-s, k) for s, k in sorted(every)[:4] if s < 0]
+
+
 def test_lines_are_cleaned_once_each(spark):
     df = misc.grounded_facts(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
