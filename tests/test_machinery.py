@@ -228,6 +228,30 @@ def test_more_order_lines_are_dealt_to_more_tasks(spark, monkeypatch):
     assert d35._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 3 and sorted(map(str, d35.collect())) == studied
 
 
+def test_gaps_are_not_shuffled_by_prerequisite(spark, monkeypatch):
+    from lumenary.plans import bindings
+
+    rows = lambda: sorted(map(str, QUERIES["I38"](spark, DATA).collect()))
+    want = rows()
+    for size in (bindings.TASK_ROWS, 100):
+        monkeypatch.setattr(bindings, "TASK_ROWS", size)
+        plan = QUERIES["I38"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("Generate")] and rows() == want
+
+
+def test_graded_branches_go_to_what_is_not_mastered(spark):
+    """Copies of a receipt, a gap whose first prerequisite is mastered, one with all mastered, one without any, an answer without a choice."""
+    said = [(1, 1, 10, 0), (1, 1, 10, 0), (2, 1, 11, 0), (3, 1, 12, 9), (4, 1, 13, 9), (5, 2, 12, None), (6, 2, 10, 0), (7, 2, 10, 1), (8, 2, 10, 0), (9, 3, 10, 5)]
+    answers_ = spark.createDataFrame(said, "interaction_id long, user_id long, question_id long, choice int")
+    key = spark.createDataFrame([(10, "a", 0), (11, "b", 0), (12, "c", 0), (13, "d", 0)], "question_id long, unit_id string, answer int")
+    edges = spark.createDataFrame([("c", "a"), ("c", "b"), ("d", "a"), ("d", "c")], "unit_id string, prereq_id string")
+    got = {(r.user_id, r.unit_id): (r.answered, r.correct, r.outcome, r.branch_to) for r in exams.graded_mcqs(answers_, key, edges).collect()}
+    assert got == {
+        (1, "a"): (1, 1, "mastered", None), (1, "b"): (1, 1, "mastered", None), (1, "c"): (1, 0, "prerequisite_gap", "a"), (1, "d"): (1, 0, "prerequisite_gap", "c"),
+        (2, "c"): (1, 0, "prerequisite_gap", "a"), (2, "a"): (3, 2, "practise", None), (3, "a"): (1, 0, "practise", None),
+    }
+
+
 def test_rows_of_more_learners_are_dealt_to_more_tasks(spark, monkeypatch):
     from lumenary.plans import bindings
 
